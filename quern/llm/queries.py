@@ -73,10 +73,10 @@ WITH RECURSIVE w AS (
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
 ), n AS (
   SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
-), both AS (
+), shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), link AS (
-  SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
 ), reach(a, b) AS (
   SELECT doc_id, doc_id FROM documents
   UNION
