@@ -3,7 +3,7 @@
 A window is ``window`` consecutive words of a benchmark item (a shorter item is one window).  A document that holds a
 window holds all its words, so the prefix that must be joined is one word, the rarest of the window in the corpus.  Each
 occurrence of such a word in a document fixes where the window would begin; the length and position bounds discard those
-that would reach over an end of the document, and the words of the rest are compared exactly.
+that would reach over an end of the document, and the words of the rest are compared exactly, first as join keys in place, then, in texts that aren't plain ASCII, as spelled.
 
 The join key is the fully lower-cased word (fast in Spark), a superset of equality after lower-casing A-Z alone, which
 is what the final comparison uses.  The benchmark is broadcast only when its windows are counted and few; beyond
@@ -68,17 +68,20 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     vocabulary = wins.select(F.explode("keys").alias("key")).distinct()
     frequency = texts.select(F.explode(_keys(F.col("text"))).alias("key")).join(small(vocabulary), "key").groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
     ranked = (
-        wins.select("item_id", "length", "win", F.posexplode("keys").alias("offset", "key"))
+        wins.select("item_id", "length", "win", F.col("keys").alias("all"), F.posexplode("keys").alias("offset", "key"))
         .join(frequency, "key")  # a window of which one word is nowhere in the corpus loses that word's row, and all others below
         .groupBy("item_id", "length", "win")
-        .agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("freq", "key", "offset")).alias("rarest"))
+        .agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("freq", "key", "offset")).alias("rarest"), F.first("all").alias("all"))
         .where("found = length")
-        .select("item_id", "length", "win", F.col("rarest.key").alias("key"), F.col("rarest.offset").alias("offset"))
+        .select("item_id", "length", "win", "all", F.col("rarest.key").alias("key"), F.col("rarest.offset").alias("offset"))
     )
-    at = texts.withColumn("keys", _keys(F.col("text"))).select("doc", "tag", "text", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key"))
-    met = at.join(small(ranked), "key").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + length <= n")
-    part = F.slice(_words(F.col("text")), F.col("start") + 1, F.col("length"))
-    return met.where(_ascii_lower(F.array_join(part, " ")) == F.col("win")).select("doc", "tag", "item_id", "start", "length")
+    plain = F.length("text") == F.octet_length("text")  # only ASCII: keys are equal just when the words are
+    at = texts.withColumn("keys", _keys(F.col("text"))).select("doc", "tag", "text", "keys", plain.alias("plain"), F.posexplode("keys").alias("pos", "key"))
+    start = F.col("pos") - F.col("offset")
+    first = F.greatest(start, F.lit(0)) + 1  # conditions may be evaluated in any order
+    met = at.join(small(ranked), "key").where((start >= 0) & (start + F.col("length") <= F.size("keys"))).where(F.slice("keys", first, F.col("length")) == F.col("all"))
+    exact = _ascii_lower(F.array_join(F.slice(_words(F.col("text")), first, F.col("length")), " ")) == F.col("win")
+    return met.where(F.col("plain") | exact).select("doc", "tag", "item_id", start.alias("start"), "length")
 
 
 def _per_document(found: DataFrame) -> DataFrame:
