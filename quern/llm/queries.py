@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts
+from . import decontamination, html_extraction, language_id, lm_scoring, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts
 from ._store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.kept_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(docs))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -54,6 +63,8 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_html_extraction": op3_html_extraction,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
     "op6_ngram_join": op6_ngram_join,
