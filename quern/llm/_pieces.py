@@ -190,7 +190,8 @@ class Model:
         if not len(c.buf):
             return np.zeros(len(c), np.int64)
         buf, starts, ends, first = self._pre_tokens(c)
-        per = self.count[self._slots(buf, starts, ends)]
+        slots = self._slots(buf, starts, ends)  # may replace self.count
+        per = self.count[slots]
         total = np.concatenate(([0], np.cumsum(per)))
         return np.diff(total[first])
 
