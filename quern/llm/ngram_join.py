@@ -5,12 +5,12 @@ the set bits.  The Hamming distance of two sketches is at most the symmetric dif
 the intersection is 75 % of the union agree in at least 75 % of the bits of either; by the pigeonhole principle the first
 ``n - ceil(0.75 n) + 1`` bits of both, in one order, have a bit in common.  Sketches are joined on those bits (frequent
 bits last, so that common passages join nothing), pairs whose sizes differ too much are discarded, then pairs whose
-1024-bit folded sketches are already too far apart, and the rest are verified on the whole texts.
+folded sketches (of two to four bits for each shingle) are already too far apart, and the rest are verified on the whole texts.
 
 Equal sets are one node from the start, whatever the number of copies.  The nodes that share a bit are not paired with one
-another: each is compared with the first of them, and only where a group is then still in several components are neighbours at
-growing distances compared, each round doubling the distance, until every group is one component or all its pairs of
-different components have been compared.  No pair is skipped for any other reason, so no link is lost.
+another: each is compared with the first of them, and only where a group is then still in several components are neighbours (in
+the order of sizes, as far as sizes fit) at growing distances compared, each round to ``SPAN`` times the distance, until every group
+is one component or all its pairs of different components have been compared.  No pair is skipped for any other reason, so no link is lost.
 
 Cases with a defined result: null, empty and blank texts have no shingles, are linked with nothing and are their own component;
 with fewer words than a shingle the whole sequence is one shingle; each row is a document, so a repeated id is in
@@ -20,11 +20,12 @@ further columns are ignored by ``components`` and kept by ``keep_one_of_each``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -33,7 +34,10 @@ from ._store import small_batches, written
 
 WORDS = 5
 PERCENT = 75
-FOLD = 1024
+#: Most bits of a folded sketch; a set of n shingles has the least power of two from 2 n.
+FOLD = 1 << 16
+#: How much farther each round compares.
+SPAN = 16
 #: So many of the most frequent shingles are put last in the order of bits; only speed depends on it.
 FREQUENT = 1 << 18
 _BUFFER = 4_000_000
@@ -64,7 +68,9 @@ def _node(u: np.ndarray) -> np.int64:
 
 
 def _fold(u: np.ndarray) -> np.ndarray:
-    bits = (np.bincount((u & X.U(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1).astype(np.uint8)
+    """The sketch, folded by XOR to a power of two of bits; the sketch folded once more is that of half the bits."""
+    size = min(max(64, 1 << int(2 * len(u) - 1).bit_length()), FOLD) if len(u) else 64
+    bits = (np.bincount((u & X.U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
@@ -86,14 +92,15 @@ def _sketch_mapper(words: int):
                 n = np.array([len(u) for u in sets], np.int32)
                 none = n == 0
                 node = np.array([_node(u) for u in sets], np.int64)
-                fold = np.stack([_fold(u) for u in sets])
+                fold = [_fold(u) for u in sets]
+                cut = np.concatenate(([0], np.cumsum([len(f) for f in fold]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0)[c.lo : c.hi],
                         b.column(1)[c.lo : c.hi],
                         pa.array(node, mask=none),
                         pa.array(n),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * (FOLD // 64)), pa.array(fold.ravel())),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(fold))),
                         pa.nulls(len(c), pa.int64()),
                     ],
                     names,
@@ -198,7 +205,9 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     def similar(pairs: DataFrame) -> DataFrame:
         """Of the candidate pairs (a, b), those that hold; nodes are compared by the text of their first document."""
         ends = [nodes.select(F.col("node").alias(x), *(F.col(k).alias(k + x) for k in ("row", "fold", "n"))) for x in "ab"]
-        apart = F.aggregate(F.zip_with("folda", "foldb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        xa, xb = (F.when(F.size(x) > F.size(y), _halved(F.col(x))).otherwise(F.col(x)) for x, y in (("folda", "foldb"), ("foldb", "folda")))
+        apart = F.aggregate(F.zip_with(xa, xb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        apart = F.coalesce(apart, F.lit(0))  # sketches of sizes too different for each other: nothing is known
         # |A xor B| <= (|A| + |B|) (100 - percent) / (100 + percent)
         close = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
         left = written(pairs.distinct().join(ends[0], "a").join(ends[1], "b").where(close).select("a", "b", "rowa", "rowb"), "pairs")
@@ -218,23 +227,32 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         # Groups that are still in several components, and what in them is left to compare.
         member = groups.join(parts.withColumnRenamed("vertex", "node"), "node", "left").select("bit", "node", "n", "place", F.coalesce("component", "node").alias("part"))
         open_bits = member.groupBy("bit").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("place").alias("size")).where(F.expr(f"p0 <> p1 and size > {max(reach, 2)}"))
-        todo = written(member.join(open_bits.select("bit"), "bit"), "open")
-        far = todo.withColumn("step", F.explode(F.sequence(F.lit(reach), F.lit(2 * reach - 1)))).withColumn("to", F.col("place") + F.col("step"))
+        # Places are in the order of n; ``last`` is the place of the last node whose size fits.
+        wide = Window.partitionBy("bit").orderBy("log_n").rangeBetween(Window.unboundedPreceding, math.ceil(1e6 * math.log(100 / percent)) + 1)
+        todo = member.join(open_bits.select("bit"), "bit").withColumn("log_n", F.floor(1e6 * F.log("n"))).withColumn("last", F.count(F.lit(1)).over(wide)).drop("log_n")
+        todo = written(todo, "open")
+        to_do = F.least(F.col("last") - F.col("place"), F.lit(SPAN * reach - 1))
+        far = todo.where(to_do >= reach).withColumn("step", F.explode(F.sequence(F.lit(reach), to_do.cast("int")))).withColumn("to", F.col("place") + F.col("step"))
         other = todo.select("bit", F.col("place").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"))
         pairs = far.join(other, ["bit", "to"]).where((F.col("part") != F.col("other_part")) & fits(F.col("n"), F.col("m"))).select("node", "other")
-        if todo.isEmpty():
+        if far.isEmpty():
             break
         more = written(_ordered(pairs).transform(similar), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = connected_components(parts.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more), keep)
-        reach *= 2
+        reach *= SPAN
     least = parts.select("vertex", "component").unionByName(parts.select(F.col("component").alias("vertex"), "component").distinct())
     named = least.join(nodes.select(F.col("node").alias("vertex"), "doc"), "vertex")
     of = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")), "component")
     return rows.select("doc_id", "tag", "node", "n"), of.select(F.col("vertex").alias("node"), "component_id")
 
 
+def _halved(fold: Column) -> Column:
+    half = (F.size(fold) / 2).cast("int")
+    return F.zip_with(F.slice(fold, 1, half), F.slice(fold, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("other is not null and node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
