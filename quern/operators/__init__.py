@@ -1 +1 @@
-"""Relational, linkage and graph operators over DataFrames."""
+"""DataFrame operators: grading, merging, summaries, linkage, parts, search and name parsing."""
