@@ -40,7 +40,7 @@ FOLD = 1 << 16
 SPAN = 16
 #: So many of the most frequent shingles are put last in the order of bits; only speed depends on it.
 FREQUENT = 1 << 18
-_BUFFER = 4_000_000
+_BUFFER = 2_000_000
 
 
 def _sets(c: X.Chunk, words: int) -> list[np.ndarray]:
@@ -87,7 +87,7 @@ def _sketch_mapper(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
         for b in batches:
-            for c in X.chunks(b.column(2), 4 * X.CHUNK):
+            for c in X.chunks(b.column(2)):
                 sets = _sets(c, words)
                 n = np.array([len(u) for u in sets], np.int32)
                 none = n == 0
@@ -177,7 +177,7 @@ def _verify_mapper(words: int, percent: int):
 def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, node, n) of all documents, and (node, component_id) of nodes with a link to another node."""
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    small_batches(spark, 250)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").alias("text"))
     sketched = written(own.mapInArrow(_sketch_mapper(words), "doc_id long, tag int, node long, n int, fold array<long>, bit long"), "sketches")
     rows = sketched.where("bit is null").select("doc_id", "tag", "node", "n", "fold")
