@@ -150,7 +150,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         .mapInArrow(_window_mapper(window, gram), "doc long, tag int, anchor long, hash long, at int"),
         "windows",
     )
-    first = windows.groupBy("anchor", "hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi")
+    # As a table of its own: joined to it, a passage with very many windows can be split among tasks.
+    first = written(windows.groupBy("anchor", "hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi"), "first")
     edge = windows.join(first, ["anchor", "hash"]).where("doc > lo").select("doc", "tag", "at", F.lit(window).alias("len"))
     return whole.unionByName(edge)
 
