@@ -195,8 +195,12 @@ def _whole(texts: list[str]) -> X.Chunk:
 def fit(docs: DataFrame, folds: int = 4, fold: int = 2) -> Identifier:
     """Fitted on text and language of the rows outside the held-out fold."""
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.select("doc_id", "lang").withColumn("nth", nth).where(F.col("nth") <= PER_LANGUAGE).drop("nth")
+    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("h"))
+    # one row for each language, which also has a model in memory; three times the wanted rows, by hash, are then ranked
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    near = ids.join(F.broadcast(sizes), "lang").where(F.col("h") * F.col("rows") <= 3_000_000 * PER_LANGUAGE)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = near.withColumn("nth", nth).where(F.col("nth") <= PER_LANGUAGE).select("doc_id", "lang")
     sample: dict[str, list[str]] = {}
     # PER_LANGUAGE ids of each language: always small
     for r in rows.join(F.broadcast(picked), ["doc_id", "lang"]).orderBy("lang", F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).toLocalIterator():
