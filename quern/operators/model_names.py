@@ -262,8 +262,18 @@ def parsed_models(names: DataFrame, dictionary: Dictionary, keep) -> DataFrame:
 
 
 def without_models(t: DataFrame) -> DataFrame:
-    """key and rest: the names' texts without brands, nicknames and the numbers and fillers chained to them."""
+    """key and rest: the names' texts without brands, nicknames and the numbers and fillers chained to them.
+
+    A piston's size behind them ("38,75 / 14,1") stays.
+    """
+    order = Window.partitionBy("key").orderBy("pos")
+    size = F.col("token").rlike(r"^[3-9]\d$") & F.coalesce(F.col("next_sep").isin(",", ".") & F.col("next_token").rlike(r"^\d{2}$"), F.lit(False))
+    t = t.withColumn("size_head", size).withColumn("size_tail", F.coalesce(F.lag("size_head").over(order), F.lit(False)))
+    second = F.coalesce(F.lag("size_tail").over(order), F.lit(False)) & F.col("sep").rlike(r"^\s*/\s*$") & F.coalesce(F.col("next_sep").isin(",", "."), F.lit(False))
+    t = t.withColumn("second_head", second).withColumn("second_tail", F.coalesce(F.lag("second_head").over(order), F.lit(False)))
+    sized = F.col("size_head") | F.col("size_tail") | F.col("second_head") | F.col("second_tail")
     used = F.col("kind").isin("BRAND", "NICK") | F.col("licensed") | (F.col("letter") & F.col("live")) | (F.col("token").isin(FILLERS) & F.col("live") & F.col("chain") & F.coalesce(F.col("next_kind") == "NUM", F.lit(False)))
+    used = used & ~((F.col("kind") == "NUM") & sized)
     piece = F.concat("sep", F.when(used, F.lit(" ")).otherwise(F.translate("token", "_", " ")))
     return t.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))), lambda x: x["piece"]), "").alias("rest"))
 

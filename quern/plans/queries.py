@@ -642,12 +642,17 @@ def s17_refresh_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "kind", "price")
 
 
-def _landed(df: DataFrame, name: str) -> str:
-    """Lines of text written to the shared folder, as a feed that was fetched."""
+def _landed(df: DataFrame, name: str, root: str = "") -> str:
+    """Texts written to the shared folder, as a feed that was fetched: lines, or with a root element a document for every 500 of them."""
     import uuid
 
     path = f"{shared_dir(df.sparkSession)}/feed-{name}-{uuid.uuid4().hex}"
-    df.write.text(path)
+    if not root:
+        df.write.text(path)
+        return path
+    text = F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list(F.col(df.columns[0])), "\n"), F.lit(f"</{root}>"))
+    documents = df.withColumn("document", F.floor(F.monotonically_increasing_id() / 500)).groupBy("document").agg(text.alias("text"))
+    documents.write.partitionBy("document").text(path)
     return path
 
 
@@ -661,7 +666,7 @@ def s2_heureka_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("part_key") % 10 != 0, tag("PRICE_VAT", price)).otherwise(F.lit("")), tag("URL", F.concat(F.lit("https://shop.example.com/"), F.col("part_key").cast("string"))),
         tag("DELIVERY_DATE", (F.col("part_key") % 5).cast("string")), F.lit("</SHOPITEM>"),
     )
-    return feeds.feed_items(spark, _landed(p.select(item), "heureka"), "heureka").select("item_id", "name", "price", "url", "delivery_days")
+    return feeds.feed_items(spark, _landed(p.select(item.alias("line")), "heureka", "SHOP"), "heureka").select("item_id", "name", "price", "url", "delivery_days")
 
 
 @query
@@ -675,7 +680,7 @@ def s3_google_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<"), root, F.lit(' xmlns:g="http://base.google.com/ns/1.0">'), tag("g:id", F.col("part_key").cast("string")), tag("title", F.col("base")), link,
         tag("g:price", F.concat(F.translate(F.format_string("%.2f", F.col("retail")), ".", ","), F.lit(" CZK"))), tag("g:availability", stock), F.lit("</"), root, F.lit(">"),
     )
-    return feeds.feed_items(spark, _landed(p.select(item), "google"), "google").select("item_id", "name", "price", "currency", "url", "in_stock")
+    return feeds.feed_items(spark, _landed(p.select(item.alias("line")), "google", "channel"), "google").select("item_id", "name", "price", "currency", "url", "in_stock")
 
 
 @query

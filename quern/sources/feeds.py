@@ -1,7 +1,7 @@
 """Shop feeds: two XML dialects, read by Spark's XML reader, as one table of offers.
 
-Files are split among tasks by row tag.  Elements are matched by local name, whatever their case; of repeated elements the last counts.
-A row without id, name, price or URL is left out, and ``rejected`` tells why.
+A task reads whole documents, row by row; feeds are landed as many documents, and further columns of the path are ignored.  Elements
+are matched by local name; of repeated elements the last counts.  A row without id, name, price or URL is left out, and ``rejected`` tells why.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ def jsonld_nodes(pages: DataFrame) -> DataFrame:
     A block that is no JSON is passed over.  Two levels of nesting are opened, which is what pages have.
     """
     blocks = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(_SCRIPT), 1)).alias("block", "text"))
-    top = blocks.select("url", "block", F.expr("try_parse_json(trim(text))").alias("v")).where("v is not null")
+    # in brackets, so that a value followed by anything is no JSON
+    one = blocks.select("url", "block", F.expr("try_parse_json('[' || trim(text) || ']')").alias("l"))
+    top = one.where("variant_get(l, '$[1]', 'variant') is null").select("url", "block", F.expr("variant_get(l, '$[0]', 'variant')").alias("v")).where("v is not null")
     opened = top.withColumn("p", F.lit("")).withColumn("is_list", F.expr("schema_of_variant(v)").startswith("ARRAY"))
 
     def flat(df: DataFrame) -> DataFrame:
