@@ -150,7 +150,7 @@ class Identifier:
     def score(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Bits for a character under each model, and the number of symbols, of each text of the chunk."""
         out = np.zeros((len(c), len(self.languages)))
-        if not len(c.buf):
+        if not len(c.buf) or not self.languages:
             return out, np.zeros(len(c), np.int64)
         chars = np.concatenate(([0], np.cumsum((c.buf & 0xC0) != 0x80)))
         s, first = self.symbols(_code_points(c.buf.tobytes()), chars[c.offs])
