@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_LOGS: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only where it is unset (tests in local mode), a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +32,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for log in _LOGS:
+        log.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that ``written`` made and that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = hadoop(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` returned and that no result depends on."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            delete(t.sparkSession, [path])
+
+
+@contextmanager
+def logged(log: list[str]) -> Iterator[None]:
+    """Adds the folders of all tables that are written meanwhile to the log."""
+    _LOGS.append(log)
+    try:
+        yield
+    finally:
+        _LOGS.remove(log)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

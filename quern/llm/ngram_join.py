@@ -30,14 +30,16 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import _text as X
-from ._store import small_batches, written
+from ._store import discard, small_batches, written
 
 WORDS = 5
 PERCENT = 75
 #: Most bits of a folded sketch; a set of n shingles has the least power of two from 2 n.
 FOLD = 1 << 16
 #: How much farther each round compares.
-SPAN = 16
+SPAN = 8
+#: One bit in so many also pairs each node with a node before it that a hash chooses; only the number of rounds depends on it.
+CHOSEN = 8
 #: So many of the most frequent shingles are put last in the order of bits; only speed depends on it.
 FREQUENT = 1 << 18
 _BUFFER = 2_000_000
@@ -194,13 +196,16 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         bits.withColumn("before", F.lag("node").over(near))
         .where("before is null or before <> node")  # the same set may come from several tasks
         .withColumn("place", F.row_number().over(near))
-        .withColumn("head", F.first(F.struct("node", "n")).over(near))
-        .withColumn("prev", F.lag(F.struct("node", "n")).over(near))
         .withColumn("next", F.lead("node").over(near))
         .where("place > 1 or next is not null")
-        .select("bit", "node", "n", "place", "head", "prev")
+        .select("bit", "node", "n", "place")
     )
-    groups = written(groups, "groups")
+    met = written(groups, "met")
+    # Bits that the same nodes have are one group.
+    same = met.groupBy("bit").agg(F.bit_xor(F.xxhash64("node")).alias("sig"), F.max("place").alias("size")).groupBy("sig", "size").agg(F.min("bit").alias("bit"))
+    groups = met.join(same.select("bit"), "bit", "left_semi")
+    groups = written(groups.withColumn("head", F.first(F.struct("node", "n")).over(near)).withColumn("prev", F.lag(F.struct("node", "n")).over(near)), "groups")
+    discard(met)
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of the candidate pairs (a, b), those that hold; nodes are compared by the text of their first document."""
@@ -213,35 +218,53 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         left = written(pairs.distinct().join(ends[0], "a").join(ends[1], "b").where(close).select("a", "b", "rowa", "rowb"), "pairs")
         wanted = left.select(F.col("a").alias("node"), "rowa.*").unionByName(left.select(F.col("b").alias("node"), "rowb.*")).distinct()
         same = own["doc_id"].eqNullSafe(wanted["doc_id"]) & (own["tag"] == wanted["tag"])
-        texts = written(own.join(wanted, same).select("node", "text"), "texts").dropDuplicates(["node"])
-        full = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return full.select("a", "b", "ta", "tb").mapInArrow(_verify_mapper(words, percent), "a long, b long")
+        texts = written(own.join(wanted, same).select("node", "text"), "texts")
+        one = texts.dropDuplicates(["node"])
+        full = left.join(one.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(one.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        found = written(full.select("a", "b", "ta", "tb").mapInArrow(_verify_mapper(words, percent), "a long, b long"), "links")
+        discard(left, texts)
+        return found
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     star = F.when(fits(F.col("n"), F.col("head.n")), F.col("head.node")).when(fits(F.col("n"), F.col("prev.n")), F.col("prev.node"))
-    links = written(_ordered(groups.where("place > 1").select("node", star.alias("other"))).transform(similar), "links")
+    chosen = groups.where(F.pmod(F.xxhash64("bit"), F.lit(CHOSEN)) == 0)
+    drawn = (F.pmod(F.xxhash64("bit", "node"), F.greatest(F.col("place") - 1, F.lit(1))) + 1).cast("int")
+    partner = chosen.select("bit", F.col("place").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"))
+    random = chosen.where("place > 2").withColumn("to", drawn).join(partner, ["bit", "to"]).where(fits(F.col("n"), F.col("m"))).select("node", "other")
+    links = similar(_ordered(groups.where("place > 1").select("node", star.alias("other")).unionByName(random)))
     keep = lambda df: written(df, "edges")
     parts = connected_components(links, keep)
     reach = 1
     while True:
-        # Groups that are still in several components, and what in them is left to compare.
+        # Groups that are still in several components, and what in them is left to compare.  Of any two nodes of different
+        # components one is outside the group's largest component: only those nodes look for others, in both directions.
         member = groups.join(parts.withColumnRenamed("vertex", "node"), "node", "left").select("bit", "node", "n", "place", F.coalesce("component", "node").alias("part"))
         open_bits = member.groupBy("bit").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("place").alias("size")).where(F.expr(f"p0 <> p1 and size > {max(reach, 2)}"))
-        # Places are in the order of n; ``last`` is the place of the last node whose size fits.
-        wide = Window.partitionBy("bit").orderBy("log_n").rangeBetween(Window.unboundedPreceding, math.ceil(1e6 * math.log(100 / percent)) + 1)
-        todo = member.join(open_bits.select("bit"), "bit").withColumn("log_n", F.floor(1e6 * F.log("n"))).withColumn("last", F.count(F.lit(1)).over(wide)).drop("log_n")
-        todo = written(todo, "open")
-        to_do = F.least(F.col("last") - F.col("place"), F.lit(SPAN * reach - 1))
-        far = todo.where(to_do >= reach).withColumn("step", F.explode(F.sequence(F.lit(reach), to_do.cast("int")))).withColumn("to", F.col("place") + F.col("step"))
-        other = todo.select("bit", F.col("place").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"))
-        pairs = far.join(other, ["bit", "to"]).where((F.col("part") != F.col("other_part")) & fits(F.col("n"), F.col("m"))).select("node", "other")
+        # Places are in the order of n; ``ahead`` and ``behind`` are how far the nodes whose sizes fit reach.
+        by_size, slack = Window.partitionBy("bit").orderBy("log_n"), math.ceil(1e6 * math.log(100 / percent)) + 1
+        upto = F.count(F.lit(1)).over(by_size.rangeBetween(Window.unboundedPreceding, slack))
+        below = F.count(F.lit(1)).over(by_size.rangeBetween(Window.unboundedPreceding, -slack - 1))
+        here = member.join(open_bits.select("bit"), "bit").withColumn("log_n", F.floor(1e6 * F.log("n")))
+        here = here.withColumns({"ahead": upto - F.col("place"), "behind": F.col("place") - 1 - below, "of_part": F.count(F.lit(1)).over(Window.partitionBy("bit", "part"))})
+        largest = F.max(F.struct("of_part", "part")).over(Window.partitionBy("bit"))["part"]
+        todo = written(here.withColumn("outside", F.col("part") != largest).drop("log_n", "of_part"), "open")
+        up, down = (F.least(F.col(c), F.lit(SPAN * reach - 1)).cast("int") for c in ("ahead", "behind"))
+        steps = lambda most, sign: F.when(most >= reach, F.transform(F.sequence(F.lit(reach), F.greatest(most, F.lit(reach))), lambda x: x * sign)).otherwise(F.array().cast("array<int>"))
+        far = todo.where("outside").where((up >= reach) | (down >= reach)).withColumn("step", F.explode(F.concat(steps(up, 1), steps(down, -1)))).withColumn("to", F.col("place") + F.col("step"))
+        other = todo.select("bit", F.col("place").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"), F.col("outside").alias("other_outside"))
+        new = (F.col("part") != F.col("other_part")) & fits(F.col("n"), F.col("m")) & ((F.col("step") > 0) | ~F.col("other_outside"))
         if far.isEmpty():
+            discard(todo)
             break
-        more = written(_ordered(pairs).transform(similar), "links")
+        more = similar(_ordered(far.join(other, ["bit", "to"]).where(new).select("node", "other")))
+        discard(todo)
         if not more.isEmpty():
-            links = links.unionByName(more)
+            before = parts
             parts = connected_components(parts.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more), keep)
+            discard(before)
+        discard(more)
         reach *= SPAN
+    discard(groups, links)
     least = parts.select("vertex", "component").unionByName(parts.select(F.col("component").alias("vertex"), "component").distinct())
     named = least.join(nodes.select(F.col("node").alias("vertex"), "doc"), "vertex")
     of = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")), "component")
