@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontamination, language_id, ngram_join, sentencepiece_codec, substring_dedup
-from quern.llm._store import table, written
+from quern.llm._store import delete, logged, table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders of intermediate tables of the last stage that was called.
+_made: list[str] = []
+
+
+def _stage(f: Stage) -> Stage:
+    """f, which first deletes the intermediate tables of the stage before: that stage's result has been written by now."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, _made)
+        _made.clear()
+        with logged(_made):
+            return f(spark, docs, sf_dir)
+
+    return run
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +56,11 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language identification", identified),
-    ("n-gram Jaccard join", distinct),
-    ("substring dedup", without_repeats),
-    ("benchmark decontamination", uncontaminated),
-    ("SentencePiece encoding", encoded),
+    ("language identification", _stage(identified)),
+    ("n-gram Jaccard join", _stage(distinct)),
+    ("substring dedup", _stage(without_repeats)),
+    ("benchmark decontamination", _stage(uncontaminated)),
+    ("SentencePiece encoding", _stage(encoded)),
 ]
 
 #: Language identification and SentencePiece encoding can't be expressed in SQL.
