@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._store import small_batches, written
+from ._store import discard, small_batches, written
 
 WINDOW = 50
 GRAM = 12
@@ -139,8 +139,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     )
     met = written(blocks.join(shared, "anchor"), "met")
     key = ["anchor", "block", "n"]
-    index = met.groupBy(*key).agg(F.min("doc").alias("origin"))
+    index = written(met.groupBy(*key).agg(F.min("doc").alias("origin")), "index")  # a table of its own, as below
     parsed = written(met.join(index, key), "parsed")
+    discard(blocks, met, index)
     whole = parsed.where("doc > origin").select("doc", "tag", F.col("a").alias("at"), (F.col("n") + F.lit(window - 1)).alias("len"))
     # What no earlier document holds whole may still overlap other blocks of its anchor: check at the boundary.
     open_blocks = parsed.where("contested and doc = origin").groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "n")).alias("list"))
