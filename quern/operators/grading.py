@@ -56,6 +56,12 @@ def internal_shops(shops: DataFrame) -> DataFrame:
     return shops.where("internal_sync and case source_type when 'feed' then feed_url else base_url end is not null")
 
 
+def probe_shops(shops: DataFrame, only: str | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Shops with a base address: one by its id, or all but the excluded ones."""
+    there = shops.where("base_url is not null")
+    return there.where(F.col("shop_id") == only) if only else there.where(~F.col("shop_id").isin(list(excluded)))
+
+
 def import_gate(shops: DataFrame, enforce: bool = True) -> DataFrame:
     """shop_id, allowed, problem: whether an import may start; without enforcing, only the address is needed."""
     feed = F.col("source_type") == "feed"

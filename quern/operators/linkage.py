@@ -1,9 +1,8 @@
 """Record linkage of offers across shops: blocking, Jaccard, attribute compatibility, price ratio, ambiguity, clusters.
 
 An item is a row (id, shop_id, name, price, part_type, note, model_ids, fit_generic, and one string column for each attribute).
-Candidates are found by equi-joins on (bucket, word): a pair with a Jaccard similarity of 0.5 has a word in common, so blocking
-on both loses no pair, and no bucket is compared within itself row by row.  Equal items of one shop are joined as one profile and
-expanded only where a pair is reported, so repeated offers don't square a bucket.
+Part types repeat far more than offers do, so similarities are computed once for each pair of distinct types (by a prefix-filtered
+equi-join on their words); offers are then joined on (bucket, similar type), and every row of that join is a pair that counts.
 """
 
 from __future__ import annotations
@@ -63,19 +62,29 @@ def price_ratio(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.greatest(a, b) / F.nullif(F.least(a, b), F.lit(0)))
 
 
+def similar_types(types: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
+    """x, y and jaccard of all ordered pairs of types (sorted words, joined by spaces) that are similar, equal ones included.
+
+    types: type.  Of words in one order, two sets with a Jaccard similarity of j share one of the first n - ceil(j n) + 1.
+    """
+    n = F.size("w")
+    cut = (n - F.ceil(F.lit(min_jaccard) * n) + 1).cast("int")
+    t = types.where("type <> ''").distinct().withColumn("w", F.split("type", " ")).withColumn("word", F.explode(F.slice("w", F.lit(1), cut)))
+    x, y = (t.select(F.col("type").alias(k), F.col("w").alias(f"w{k}"), "word") for k in "xy")
+    sizes = F.least(F.size("wx"), F.size("wy")) >= F.lit(min_jaccard) * F.greatest(F.size("wx"), F.size("wy"))
+    near = x.join(y, "word").where(sizes).withColumn("jaccard", jaccard(F.col("wx"), F.col("wy"))).where(F.col("jaccard") >= min_jaccard)
+    return near.select("x", "y", "jaccard").distinct()
+
+
 def candidates(items: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
     """Pairs (a, b) of ids with a < b: one bucket, different shops, similar part types; each pair once."""
-    side = items.select("id", "shop_id", words(F.col("part_type")).alias("w"), F.explode(bucket_keys(F.col("model_ids"), F.col("fit_generic"))).alias("bucket"))
-    side = side.where(F.size("w") > 0)
-    # Of words in a common order, two sets with a Jaccard similarity of j share one of the first n - ceil(j n) + 1.
-    n = F.size("w")
-    prefix = F.slice(F.array_sort("w"), F.lit(1), (n - F.ceil(F.lit(min_jaccard) * n) + 1).cast("int"))
-    keyed = side.withColumn("word", F.explode(prefix)).withColumn("n", n)
-    left = keyed.select(F.col("id").alias("a"), F.col("shop_id").alias("shop_a"), F.col("w").alias("wa"), F.col("n").alias("na"), "bucket", "word")
-    right = keyed.select(F.col("id").alias("b"), F.col("shop_id").alias("shop_b"), F.col("w").alias("wb"), F.col("n").alias("nb"), "bucket", "word")
-    fits = (F.least("na", "nb") >= F.lit(min_jaccard) * F.greatest("na", "nb")) & (F.col("a") < F.col("b")) & (F.col("shop_a") != F.col("shop_b"))
-    near = left.join(right, ["bucket", "word"]).where(fits).withColumn("jaccard", jaccard(F.col("wa"), F.col("wb"))).where(F.col("jaccard") >= min_jaccard)
-    return near.select("a", "b", "jaccard").distinct()
+    kind = F.array_join(F.array_sort(words(F.col("part_type"))), " ")
+    side = items.select("id", "shop_id", kind.alias("type"), F.explode(bucket_keys(F.col("model_ids"), F.col("fit_generic"))).alias("bucket")).where("type <> ''")
+    near = similar_types(side.select("type"), min_jaccard)
+    left = side.select(F.col("id").alias("a"), F.col("shop_id").alias("shop_a"), F.col("type").alias("x"), "bucket").join(near, "x")
+    right = side.select(F.col("id").alias("b"), F.col("shop_id").alias("shop_b"), F.col("type").alias("y"), "bucket")
+    met = left.join(right, ["bucket", "y"]).where((F.col("a") < F.col("b")) & (F.col("shop_a") != F.col("shop_b")))
+    return met.select("a", "b", "jaccard").distinct()
 
 
 def classified(items: DataFrame, min_jaccard: float = MIN_JACCARD, max_ratio: float = MAX_RATIO) -> DataFrame:

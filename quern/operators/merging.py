@@ -77,6 +77,18 @@ def links_rewritten(links: DataFrame, fresh: DataFrame) -> DataFrame:
     return stay.unionByName(fresh.where("model_id is not null").select("offer_id", "model_id", F.lit("name").alias("source"))).distinct()
 
 
+def product_summaries(products: DataFrame, plan: DataFrame, at: Column) -> DataFrame:
+    """products with model_match_level, fit_generic and models_parsed_at of the offers in the plan; the others stay.
+
+    plan: offer_id, level, fit_generic (one row for each offer).
+    """
+    new = plan.select("offer_id", F.col("level").alias("__level"), F.col("fit_generic").alias("__fit"), F.lit(True).alias("__parsed"))
+    both = products.join(new, "offer_id", "left")
+    take = lambda there, c: F.when(F.col("__parsed"), there).otherwise(F.col(c)).alias(c)
+    changed = {"model_match_level": F.col("__level"), "fit_generic": F.col("__fit"), "models_parsed_at": at}
+    return both.select(*(take(changed[c], c) if c in changed else F.col(c) for c in products.columns))
+
+
 def missing_keys(rows: DataFrame, key: str, dimension: DataFrame, dimension_key: str) -> DataFrame:
     """Values of key that the dimension does not have; a write is refused unless this is empty."""
     return rows.select(F.col(key).alias("missing")).where("missing is not null").join(dimension.select(F.col(dimension_key).alias("missing")), "missing", "left_anti").distinct()

@@ -61,6 +61,11 @@ def f4_import_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.import_gate(C.shops(spark, sf_dir))
 
 
+@query
+def f20_probe_shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.probe_shops(C.shops(spark, sf_dir), excluded=("S1", "S2", "S3")).select("shop_id", "base_url")
+
+
 @query
 def f5_relevant_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.relevant_offers(C.parts(spark, sf_dir)).select("part_key", "name")
@@ -724,6 +729,43 @@ def c17_write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.groupBy("level").agg(F.count(F.lit(1)).alias("offers"), F.sum(F.size("links")).alias("links"), F.count_if(F.size("fit_generic") > 0).alias("with_generic"))
 
 
+def _parsed_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    names = _names(spark, sf_dir)
+    return names, kept(N.parsed_models(names, N.seed_dictionary(spark), kept))
+
+
+@query
+def k6_product_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of stored parts after a write plan that leaves excluded names as they were."""
+    _, parsed = _parsed_names(spark, sf_dir)
+    p = C.parts(spark, sf_dir).select(F.col("part_key").cast("string").alias("offer_id"), F.xxhash64("name").alias("key"), "name")
+    fit = "array<struct<brand:string,displacement:int>>"
+    stored = p.select("offer_id", F.lit("old").alias("model_match_level"), F.array().cast(fit).alias("fit_generic"), F.lit(None).cast("timestamp").alias("models_parsed_at"))
+    new = M.product_summaries(stored, N.write_plan(p, parsed), F.lit(NOW).cast("timestamp"))
+    return new.groupBy("model_match_level", F.col("models_parsed_at").isNotNull().alias("parsed")).agg(F.count(F.lit(1)).alias("offers"))
+
+
+@query
+def a10_special_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers whose names are of several families or displacements, or of suspiciously many models."""
+    names, parsed = _parsed_names(spark, sf_dir)
+    weight = C.parts(spark, sf_dir).groupBy(F.xxhash64("name").alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    families = seed.models(spark).select("id", "family")
+    each = parsed.select("key", F.explode_outer("models.id").alias("id")).join(F.broadcast(families), "id", "left")
+    listed = each.groupBy("key").agg(F.collect_list(F.struct("id", "family")).alias("models"))
+    return S.special_counts(listed.join(parsed.select("key", "generic"), "key").join(weight, "key"))
+
+
+@query
+def c15_family_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with models of more than one family; made from two names each, so that there are some."""
+    p = C.parts(spark, sf_dir).select("suffix", F.regexp_extract("name", r"^\S+ \S+ \S+ (.*)$", 1).alias("end")).distinct()
+    two = p.select(F.col("suffix").alias("s"), F.col("end").alias("e")).join(p, F.col("s") < F.col("suffix")).select(F.concat_ws(" díl ", "e", "end").alias("name"))
+    names = kept(two.select(F.xxhash64("name").alias("key"), F.lit("x").alias("shop_id"), "name"))
+    d = N.seed_dictionary(spark)
+    return N.conflicts(N.parsed_models(names, d, kept), d.models).join(names, "key").select("name", F.array_join("families", ",").alias("families"))
+
+
 @query
 def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§2.13: order lines as landed files, merged by an available-now stream in four batches; the state afterwards."""

@@ -45,6 +45,7 @@ SQL["f3_internal_shops"] = f"WITH {SHOPS_SQL} SELECT shop_id, source_type FROM s
 SQL["f4_import_gate"] = f"""WITH {SHOPS_SQL}, g AS (SELECT shop_id, CASE WHEN CASE source_type WHEN 'feed' THEN feed_url ELSE base_url END IS NULL THEN 'no address'
   WHEN NOT CASE source_type WHEN 'feed' THEN feed_permission ELSE crawl_enabled END THEN 'not permitted' END AS problem FROM shops)
 SELECT shop_id, problem IS NULL AS allowed, problem FROM g"""
+SQL["f20_probe_shops"] = f"WITH {SHOPS_SQL} SELECT shop_id, base_url FROM shops WHERE base_url IS NOT NULL AND shop_id NOT IN ('S1', 'S2', 'S3')"
 SQL["f5_relevant_offers"] = f"WITH {PARTS_SQL} SELECT part_key, name FROM parts WHERE {_word(_fold('name'), RELEVANT)}"
 
 _PATH = "CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END"
