@@ -278,3 +278,24 @@ SQL["s2_heureka_feed"] = f"""WITH {PARTS_SQL} SELECT part_key::VARCHAR AS item_i
 SQL["s3_google_feed"] = f"""WITH {PARTS_SQL} SELECT part_key::VARCHAR AS item_id, base AS name, round(retail, 2) AS price, 'CZK' AS currency, 'https://shop.example.com/' || part_key AS url, part_key % 3 <> 1 AS in_stock FROM parts"""
 SQL["s21_delimited_text"] = f"WITH {PARTS_SQL} SELECT part_key::VARCHAR AS count, brand AS shop, base || '~~' || part_type AS name FROM parts"
 SQL["stream_import"] = f"""WITH {OFFERS_SQL} SELECT shop_id, item_id, name, price, url, coalesce(in_stock, true) AS in_stock, last_seen_at, 'pending' AS match_status, NULL::VARCHAR AS part_id FROM offers QUALIFY {_LATEST}"""
+
+# --- names: what the last words of a part's name say ------------------------------------------------------------------
+_ENDS = [
+    ("type", "jawa-350-634", 2), ("type", "cz-175-477", 2), ("type", "pionyr-20,pionyr-21", 0), ("type", "babetta-210", 1), ("nickname", "stadion-s11", 0),
+    ("nickname", "panelka-250-559,panelka-250-592", 2), (None, "", 0), ("brand", "", 1), (None, "", 0), (None, "", 0), ("brand", "", 1), ("brand", "", 1),
+]
+_ENDS_SQL = "ends(suffix, level, models, generic) AS (VALUES " + ", ".join(f"({i}, {_q(a) if a else 'NULL'}, {_q(m)}, {g})" for i, (a, m, g) in enumerate(_ENDS)) + ")"
+SQL["m_parse_models"] = f"WITH {PARTS_SQL}, {_ENDS_SQL} SELECT DISTINCT name, level, models, generic FROM parts JOIN ends USING (suffix)"
+SQL["c17_write_plan"] = f"""WITH {OFFERS_SQL}, {_ENDS_SQL} SELECT coalesce(level, 'none') AS level, count(*) AS offers, sum(CASE WHEN models = '' THEN 0 ELSE len(string_split(models, ',')) END)::BIGINT AS links,
+  count_if(generic > 0) AS with_generic FROM offers JOIN ends USING (suffix) WHERE suffix NOT IN (6, 7) GROUP BY 1"""
+_STEMS = "kolena kolen koleno kolen paprsky paprsk paprsek paprsk osy os karb karburator lanka bowden simerink gufer ocelovych ocel pistni pist kryt kryt volnobezny volnobeh samolepky nalepk".split()
+SQL["t5_stems"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(w)}, {_q(s)})" for w, s in zip(_STEMS[::2], _STEMS[1::2], strict=True)) + ") v(word, stem)"
+
+
+def _text(c: str) -> str:
+    for pattern, char in (("<[^>]+>", " "), ("(?i)&nbsp;", " "), ("(?i)&quot;", '"'), ("(?i)&#0?39;|&apos;", "'"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&amp;", "&"), (r"\s+", " ")):
+        c = f"regexp_replace({c}, {_q(pattern)}, {_q(char)}, 'g')"
+    return f"trim({c})"
+
+
+SQL["t9_page_titles"] = f"""SELECT page_id, nullif({_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title, regexp_matches(html, '(?i)og:type') AS og_product FROM pages"""
