@@ -123,25 +123,27 @@ def _sketch_mapper(words: int):
 
 def _prefix_mapper(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
     """The first bits of each sketch, as many as the pigeonhole principle asks for."""
-    names = ["bit", "node", "n"]
+    names = ["bit", "node", "n", "rk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for c in X.chunks(b.column(0)):
-                bits, nodes, sizes = [], [], []
+                bits, nodes, sizes, ranks = [], [], [], []
                 for u in _sets(c, words):
                     n = len(u)
                     if not n or (k := int(_node(u))) in seen:
                         continue
                     seen.add(k)
                     p = n - -(-percent * n // 100) + 1
+                    rk = np.zeros(n, np.int32)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, u), len(frequent) - 1)
-                        hit = frequent[at] == u
-                        if hit.any():
-                            u = u[np.argsort(np.where(hit, rank[at] + 1, 0), kind="stable")]
+                        rk = np.where(frequent[at] == u, rank[at] + 1, 0).astype(np.int32)
+                        order = np.argsort(rk, kind="stable")
+                        u, rk = u[order], rk[order]
                     bits.append(u[:p])
+                    ranks.append(rk[:p])
                     nodes.append(k)
                     sizes.append((n, p))
                 if bits:
@@ -151,6 +153,7 @@ def _prefix_mapper(words: int, percent: int, frequent: np.ndarray, rank: np.ndar
                             pa.array(np.concatenate(bits).view(np.int64)),
                             pa.array(np.repeat(np.array(nodes, np.int64), reps)),
                             pa.array(np.repeat(np.array([n for n, _ in sizes], np.int32), reps)),
+                            pa.array(np.concatenate(ranks)),
                         ],
                         names,
                     )
@@ -191,20 +194,26 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "tag")).alias("row"), F.first("fold").alias("fold"), F.first("n").alias("n"))
     nodes = written(nodes, "nodes")
     near = Window.partitionBy("bit").orderBy("n", "node")
-    bits = own.select("text").where("text is not null").mapInArrow(_prefix_mapper(words, percent, frequent, rank), "bit long, node long, n int")
+    bits = own.select("text").where("text is not null").mapInArrow(_prefix_mapper(words, percent, frequent, rank), "bit long, node long, n int, rk int")
     groups = (
         bits.withColumn("before", F.lag("node").over(near))
         .where("before is null or before <> node")  # the same set may come from several tasks
         .withColumn("place", F.row_number().over(near))
         .withColumn("next", F.lead("node").over(near))
         .where("place > 1 or next is not null")
-        .select("bit", "node", "n", "place")
+        .select("bit", "node", "n", "place", "rk")
     )
     met = written(groups, "met")
-    # Bits that the same nodes have are one group.
-    same = met.groupBy("bit").agg(F.bit_xor(F.xxhash64("node")).alias("sig"), F.max("place").alias("size")).groupBy("sig", "size").agg(F.min("bit").alias("bit"))
-    groups = met.join(same.select("bit"), "bit", "left_semi")
-    groups = written(groups.withColumn("head", F.first(F.struct("node", "n")).over(near)).withColumn("prev", F.lag(F.struct("node", "n")).over(near)), "groups")
+    # Bits that the same nodes have are one group, that of the first of them in the order of bits.
+    at = F.struct("rk", F.col("bit").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), "bit")
+    same = met.groupBy("bit").agg(F.bit_xor(F.xxhash64("node")).alias("sig"), F.max("place").alias("size"), F.first("rk").alias("rk"))
+    same = same.groupBy("sig", "size").agg(F.min(at).alias("at")).select("at.bit")
+    # ``prior`` is the shared bit before this one in the node's order: two nodes with the same prior also meet at that one.
+    prior = F.lag("bit").over(Window.partitionBy("node").orderBy("rk", F.col("bit").bitwiseXOR(F.lit(-(1 << 63)))))
+    groups = met.withColumn("prior", prior).join(same, "bit", "left_semi")
+    # The head is chosen by hash, so that nearly equal groups have the same one.
+    head = F.min(F.struct(F.xxhash64("node"), "node", "n")).over(Window.partitionBy("bit"))
+    groups = written(groups.withColumn("head", head).withColumn("prev", F.lag(F.struct("node", "n")).over(near)).drop("rk"), "groups")
     discard(met)
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -226,19 +235,19 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         return found
 
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = F.when(fits(F.col("n"), F.col("head.n")), F.col("head.node")).when(fits(F.col("n"), F.col("prev.n")), F.col("prev.node"))
+    star = F.when(fits(F.col("n"), F.col("head.n")) & (F.col("node") != F.col("head.node")), F.col("head.node")).when(fits(F.col("n"), F.col("prev.n")), F.col("prev.node"))
     chosen = groups.where(F.pmod(F.xxhash64("bit"), F.lit(CHOSEN)) == 0)
     drawn = (F.pmod(F.xxhash64("bit", "node"), F.greatest(F.col("place") - 1, F.lit(1))) + 1).cast("int")
     partner = chosen.select("bit", F.col("place").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"))
     random = chosen.where("place > 2").withColumn("to", drawn).join(partner, ["bit", "to"]).where(fits(F.col("n"), F.col("m"))).select("node", "other")
-    links = similar(_ordered(groups.where("place > 1").select("node", star.alias("other")).unionByName(random)))
+    links = similar(_ordered(groups.select("node", star.alias("other")).unionByName(random)))
     keep = lambda df: written(df, "edges")
     parts = connected_components(links, keep)
     reach = 1
     while True:
         # Groups that are still in several components, and what in them is left to compare.  Of any two nodes of different
         # components one is outside the group's largest component: only those nodes look for others, in both directions.
-        member = groups.join(parts.withColumnRenamed("vertex", "node"), "node", "left").select("bit", "node", "n", "place", F.coalesce("component", "node").alias("part"))
+        member = groups.join(parts.withColumnRenamed("vertex", "node"), "node", "left").select("bit", "node", "n", "place", "prior", F.coalesce("component", "node").alias("part"))
         open_bits = member.groupBy("bit").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("place").alias("size")).where(F.expr(f"p0 <> p1 and size > {max(reach, 2)}"))
         # Places are in the order of n; ``ahead`` and ``behind`` are how far the nodes whose sizes fit reach.
         by_size, slack = Window.partitionBy("bit").orderBy("log_n"), math.ceil(1e6 * math.log(100 / percent)) + 1
@@ -251,8 +260,8 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         up, down = (F.least(F.col(c), F.lit(SPAN * reach - 1)).cast("int") for c in ("ahead", "behind"))
         steps = lambda most, sign: F.when(most >= reach, F.transform(F.sequence(F.lit(reach), F.greatest(most, F.lit(reach))), lambda x: x * sign)).otherwise(F.array().cast("array<int>"))
         far = todo.where("outside").where((up >= reach) | (down >= reach)).withColumn("step", F.explode(F.concat(steps(up, 1), steps(down, -1)))).withColumn("to", F.col("place") + F.col("step"))
-        other = todo.select("bit", F.col("place").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"), F.col("outside").alias("other_outside"))
-        new = (F.col("part") != F.col("other_part")) & fits(F.col("n"), F.col("m")) & ((F.col("step") > 0) | ~F.col("other_outside"))
+        other = todo.select("bit", F.col("place").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"), F.col("outside").alias("other_outside"), F.col("prior").alias("other_prior"))
+        new = (F.col("part") != F.col("other_part")) & fits(F.col("n"), F.col("m")) & ((F.col("step") > 0) | ~F.col("other_outside")) & ~F.coalesce(F.col("prior") == F.col("other_prior"), F.lit(False))
         if far.isEmpty():
             discard(todo)
             break
