@@ -207,13 +207,14 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     # Bits that the same nodes have are one group, that of the first of them in the order of bits.
     at = F.struct("rk", F.col("bit").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), "bit")
     same = met.groupBy("bit").agg(F.bit_xor(F.xxhash64("node")).alias("sig"), F.max("place").alias("size"), F.first("rk").alias("rk"))
-    same = same.groupBy("sig", "size").agg(F.min(at).alias("at")).select("at.bit")
+    same = same.groupBy("sig", "size").agg(F.min(at).alias("at")).select("at.bit", "size")
     # ``prior`` is the shared bit before this one in the node's order: two nodes with the same prior also meet at that one.
     prior = F.lag("bit").over(Window.partitionBy("node").orderBy("rk", F.col("bit").bitwiseXOR(F.lit(-(1 << 63)))))
-    groups = met.withColumn("prior", prior).join(same, "bit", "left_semi")
-    # The head is chosen by hash, so that nearly equal groups have the same one.
-    head = F.min(F.struct(F.xxhash64("node"), "node", "n")).over(Window.partitionBy("bit"))
-    groups = written(groups.withColumn("head", head).withColumn("prev", F.lag(F.struct("node", "n")).over(near)).drop("rk"), "groups")
+    groups = met.withColumn("prior", prior).join(same, "bit")
+    # The head is the node that meets the most others at its bits: of edited copies the one that the others stem from.
+    groups = groups.withColumn("weight", F.sum("size").over(Window.partitionBy("node")) / F.col("n"))
+    head = F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node", "n")).over(Window.partitionBy("bit")).dropFields("weight", "h")
+    groups = written(groups.withColumn("head", head).withColumn("prev", F.lag(F.struct("node", "n")).over(near)).drop("rk", "size", "weight"), "groups")
     discard(met)
 
     def similar(pairs: DataFrame) -> DataFrame:
