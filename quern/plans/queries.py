@@ -627,14 +627,14 @@ def _site_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 @query
 def s16_crawled_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     site, robots, maps, product = _site_tables(spark, sf_dir)
-    found = crawl.crawled(site, robots, maps, product, "quernbot", kept, most=10**9)
+    found = crawl.crawled(site, robots, maps, product, "quernbot", kept, most=10**9, documents=None, urls=None)
     return found.select("page_url", "name", "price", "evidence")
 
 
 @query
 def s20_probe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     site, robots, maps, product = _site_tables(spark, sf_dir)
-    return crawl.probe_report(site, robots, maps, product, "quernbot", kept)
+    return crawl.probe_report(site, robots, maps, product, "quernbot", kept, documents=None, urls=None)
 
 
 @query

@@ -144,18 +144,18 @@ def within_budget(requests: DataFrame, by: str, order: list[str], most: int = BU
     return requests.withColumn("spent", spent).where(F.col("spent") <= most - reserve)
 
 
-def crawled(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, pages: DataFrame, bot: str, keep: Callable[[DataFrame], DataFrame], most: int = BUDGET) -> DataFrame:
+def crawled(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, pages: DataFrame, bot: str, keep: Callable[[DataFrame], DataFrame], most: int = BUDGET, documents: int | None = SITEMAPS, urls: int | None = SITEMAP_URLS) -> DataFrame:
     """Products of the sites' pages: site, page_url, evidence and the product's fields.
 
     sites: site, host, home (landed HTML).  A site whose robots forbid "/" is left out.  URLs that may be products are read, or all
-    if none may; those that robots forbid are not; at most ``most`` of a site, in the order of a hash.
+    if none may; those that robots forbid are not; at most ``most`` of a site, in the order of a hash.  documents, urls: as in ``sitemap_urls``.
     """
     rules = keep(robots_rules(robots.where("status < 400"), bot))
     roots = sites.select("site", "host", platform(F.coalesce("home", F.lit(""))).alias("platform"), F.concat(F.lit("https://"), "host", F.lit("/")).alias("root"))
     open_sites = allowed_paths(roots, rules, "root").where("allowed").drop("allowed")
     # a site without a landed robots file uses the usual sitemap
     named = open_sites.join(robots_sitemaps(robots), "host", "left").select("site", F.coalesce("url", F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml"))).alias("url"))
-    found = sitemap_urls(named, sitemaps, keep).join(open_sites.select("site", "platform"), "site")
+    found = sitemap_urls(named, sitemaps, keep, documents, urls).join(open_sites.select("site", "platform"), "site")
     marked = found.withColumn("likely", likely_product(F.col("url"), F.col("platform")))
     some = Window.partitionBy("site")
     wanted = marked.withColumn("any", F.max("likely").over(some)).where("likely or not any")
@@ -166,20 +166,21 @@ def crawled(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, pages: Dat
     return got.select("site", F.col("url").alias("page_url")).join(evidence, "page_url")
 
 
-def probe_report(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, pages: DataFrame, bot: str, keep: Callable[[DataFrame], DataFrame], products: int = 3) -> DataFrame:
+def probe_report(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, pages: DataFrame, bot: str, keep: Callable[[DataFrame], DataFrame], products: int = 3, documents: int | None = SITEMAPS, urls: int | None = SITEMAP_URLS) -> DataFrame:
     """One row for each site: reachability, robots, platform, sitemap URLs, feed guesses that are XML, products found.
 
-    sites: site, host, status, error, home.  Feed guesses are landed pages at the usual paths.
+    sites: site, host, status, error, home.  Feed guesses are landed pages at the usual paths.  documents, urls: as in
+    ``sitemap_urls``.
     """
     base = sites.select("site", "host", reachability(F.col("status"), F.col("error")).alias("reachable"), platform(F.coalesce("home", F.lit(""))).alias("platform"))
     state = robots.select("host", robots_state(F.col("status")).alias("robots")).dropDuplicates(["host"])
     starts = sites.join(robots_sitemaps(robots), "host").select("site", "url")
-    listed = keep(sitemap_urls(starts, sitemaps, keep))
+    listed = keep(sitemap_urls(starts, sitemaps, keep, documents, urls))
     guesses = base.sparkSession.createDataFrame([(p, x) for p, xs in FEED_PATHS.items() for x in xs], "platform string, feed_path string")
     tried = base.join(F.broadcast(guesses), "platform").select("site", F.concat(F.lit("https://"), "host", "feed_path").alias("url"))
     feeds = tried.join(pages.where("status < 400").select("url", "html"), "url").where(F.col("html").rlike(r"^\s*<\?xml|^\s*<(?:rss|feed|SHOP)\b")).groupBy("site").agg(F.sort_array(F.collect_set("url")).alias("feeds"))
     counts = listed.groupBy("site").agg(F.count(F.lit(1)).alias("sitemap_urls"))
-    found = crawled(sites, robots, sitemaps, pages, bot, keep, most=40 - RESERVE).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    found = crawled(sites, robots, sitemaps, pages, bot, keep, 40 - RESERVE, documents, urls).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     full = base.join(state, "host", "left").join(counts, "site", "left").join(feeds, "site", "left").join(found, "site", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return full.select("site", "reachable", F.coalesce("robots", F.lit("unknown")).alias("robots"), "platform", zero("sitemap_urls").alias("sitemap_urls"), F.coalesce("feeds", F.array().cast("array<string>")).alias("feeds"), F.least(zero("n"), F.lit(products)).alias("products"))
