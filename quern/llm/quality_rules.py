@@ -2,8 +2,10 @@
 
 Each document's statistics are transformed towards symmetry and compared with the minimum-covariance-determinant estimate
 of its language and source: concentration steps, each an aggregation over all rows, repeat "mean and covariance of
-the half of the group that is nearest" until they settle.  A document is rejected when its robust Mahalanobis distance is
-beyond both a chi-square quantile and a multiple of what the group itself shows, so that ordinary tails stay.
+the half of the group that is nearest" until no group's log-determinant falls by more than ``SETTLED`` any more (``STEPS``
+steps at most).  A document is rejected when its squared robust Mahalanobis distance is beyond a chi-square quantile, scaled
+by the median distance of the group, after one reweighting step over the rows inside that limit.  Only the nearer half of the group decides on the scale, so up to half of its rows may be
+outliers.
 
 The estimates are rows of a table, one for each group; no group's rows meet in one task, and nothing but the number of rows
 reaches the driver.  Groups of fewer than ``LEAST`` rows share one group of all such rows.
@@ -32,11 +34,12 @@ FEATURES = ("f0", "f1", "f2", "f3", "f4")
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 LEAST = 30
-STEPS = 5
+STEPS = 20
+SETTLED = 1e-3
 FLOOR = (0.05, 0.02, 0.03, 0.05, 0.05)
-#: Chi-square quantile of 5 degrees of freedom at 1e-6, and the multiple of the group's own 90 % quantile.
+#: Chi-square quantiles of 5 degrees of freedom: at 1e-6, and the median.
 CHI2 = 35.89
-TAIL = 6.0
+MEDIAN = 4.351
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
@@ -128,7 +131,7 @@ def _moments(df: DataFrame) -> DataFrame:
 
 
 def _shapes(moments: DataFrame) -> DataFrame:
-    """grp, centre and inverse covariance, one row in, one row out."""
+    """grp, centre, inverse covariance and its log-determinant, one row in, one row out."""
     k = len(FEATURES)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,11 +143,11 @@ def _shapes(moments: DataFrame) -> DataFrame:
                 for i in range(k):
                     for j in range(i, k):
                         s[i, j] = s[j, i] = getattr(r, f"s{i}_{j}") - m[i] * m[j]
-                inv = np.linalg.inv(s + np.diag(np.square(FLOOR)))
-                out.append((r.grp, m.tolist(), inv.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["grp", "centre", "inverse"])
+                s += np.diag(np.square(FLOOR))
+                out.append((r.grp, m.tolist(), np.linalg.inv(s).ravel().tolist(), np.linalg.slogdet(s)[1]))
+            yield pd.DataFrame(out, columns=["grp", "centre", "inverse", "logdet"])
 
-    return moments.mapInPandas(run, "grp string, centre array<double>, inverse array<double>")
+    return moments.mapInPandas(run, "grp string, centre array<double>, inverse array<double>, logdet double")
 
 
 def _distance(df: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -157,7 +160,12 @@ def _distance(df: DataFrame, shapes: DataFrame) -> DataFrame:
         for j in range(k):
             term = off[i] * off[j] * F.col("inverse")[i * k + j]
             total = term if total is None else total + term
-    return joined.withColumn("d2", total).drop("centre", "inverse")
+    return joined.withColumn("d2", total).drop("centre", "inverse", "logdet")
+
+
+def _limit(far: DataFrame) -> DataFrame:
+    """grp and the largest squared distance that is kept: the chi-square quantile, widened where the group's median is larger."""
+    return far.groupBy("grp").agg((CHI2 * F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 1000) / MEDIAN)).alias("limit"))
 
 
 def judge(docs: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -178,11 +186,17 @@ def judge(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     for _ in range(steps):
         ranked = start if shapes is None else _distance(good, shapes)
         cut = ranked.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("cut"))
-        shapes = written(_shapes(_moments(ranked.join(cut, "grp").where("d2 <= cut"))), "shapes")
-    far = _distance(good, shapes)
+        before, shapes = shapes, written(_shapes(_moments(ranked.join(cut, "grp").where("d2 <= cut"))), "shapes")
+        if before is not None:
+            falls = shapes.join(before.select("grp", F.col("logdet").alias("was")), "grp").where(F.col("was") - F.col("logdet") > SETTLED)
+            if falls.isEmpty():
+                break
     # the half nearest to a centre has a smaller covariance than the whole: scale so that the median is the chi-square one
-    tail = far.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("mid"), F.percentile_approx("d2", 0.9, 1000).alias("high"))
-    limit = tail.select("grp", F.greatest(F.col("mid") / 4.351 * CHI2, F.col("high") * TAIL).alias("limit"))
+    far = _distance(good, shapes)
+    inside = far.join(_limit(far), "grp").where("d2 <= limit")
+    # reweighting: the covariance of all rows inside, so that their ordinary tails stay
+    shapes = written(_shapes(_moments(inside)), "shapes")
+    limit = _limit(_distance(good, shapes))
     judged = _distance(grouped, shapes).join(limit, "grp", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("limit"), F.lit(True))
     return judged.select("doc_id", *STATS, "base_failed", kept.alias("kept"), F.sqrt("d2").alias("distance"))
