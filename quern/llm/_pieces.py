@@ -148,7 +148,7 @@ class Model:
 
     def _slots(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place in memory of each pre-token; new ones are encoded, each once."""
-        keys, where, inverse = np.unique(X.span_hash(X.byte_sums(buf), starts, ends), return_index=True, return_inverse=True)
+        keys, where, inverse = np.unique(X.bytes_hash(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > REMEMBERED:
             self._forget()
         pos = np.searchsorted(self.keys, keys)

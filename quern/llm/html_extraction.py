@@ -230,10 +230,10 @@ def _parsed(c: X.Chunk) -> Iterator[tuple[int, bytes, _Page, list[bool], list[bo
         yield k, raw, page, bad, inside, whole, page.candidates(bad, inside, whole)
 
 
-def _hashes(sums: np.ndarray, offset: int, page: _Page, which: list[int]) -> np.ndarray:
+def _hashes(buf: np.ndarray, offset: int, page: _Page, which: list[int]) -> np.ndarray:
     a = np.array([page.start[k] for k in which], np.int64) + offset
     b = np.array([page.end[k] for k in which], np.int64) + offset
-    return X.span_hash(sums, a, b).view(np.int64)
+    return X.bytes_hash(buf, a, b).view(np.int64)
 
 
 def _subtree_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,14 +241,13 @@ def _subtree_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for b in batches:
         hosts = b.column(0).to_numpy()
         for c in X.chunks(b.column(1)):
-            sums = X.byte_sums(c.buf)
             host, main, tree, null = [], [], [], []
             for k, _, page, bad, inside, whole, which in _parsed(c):
                 off = int(c.offs[k])
                 tops = [i for i in range(len(page.tag)) if inside[i] and not bad[i] and (page.parent[i] < 0 or not inside[page.parent[i]])]
-                whole_hash = _hashes(sums, off, page, [i for i in range(len(page.tag)) if page.tag[i] in (b"article", b"main", b"body") and i in tops] or tops)
+                whole_hash = _hashes(c.buf, off, page, [i for i in range(len(page.tag)) if page.tag[i] in (b"article", b"main", b"body") and i in tops] or tops)
                 mine = int(X.mix(np.array([whole_hash.view(np.uint64).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
-                found = np.unique(_hashes(sums, off, page, which)) if which else np.zeros(0, np.int64)
+                found = np.unique(_hashes(c.buf, off, page, which)) if which else np.zeros(0, np.int64)
                 host.append(np.full(len(found) + 1, hosts[c.lo + k]))
                 main.append(np.full(len(found) + 1, mine))
                 tree.append(np.append(found, 0))
@@ -280,11 +279,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = b.column(3)
         texts: list[str] = []
         for c in X.chunks(b.column(2)):
-            sums = X.byte_sums(c.buf)
             for k, raw, page, bad, inside, whole, which in _parsed(c):
                 t = trees[c.lo + k].values
                 if which and t is not None and len(t):
-                    hit = np.isin(_hashes(sums, int(c.offs[k]), page, which), t.to_numpy())
+                    hit = np.isin(_hashes(c.buf, int(c.offs[k]), page, which), t.to_numpy())
                     for i in np.flatnonzero(hit).tolist():
                         bad[which[i]] = True
                 texts.append("\n".join(page.blocks(raw, bad, inside, whole)))

@@ -75,7 +75,7 @@ class Network:
         s, e, first = X.word_bounds(c.buf, c.offs)
         if not len(s):
             return np.zeros(0, np.int64), first
-        h = X.word_hashes(low, s, e)
+        h = X.bytes_hash(low, s, e)
         symbols = np.concatenate(([0], np.cumsum(_SYMBOL[c.buf] & ~_MARK[c.buf])))
         size = np.searchsorted(np.array([4, 7, 11]), e - s, "right")
         shape = size * 8 + 4 * _UPPER[c.buf[s]] + 2 * (symbols[e] > symbols[s]) + _MARK[c.buf[e - 1]]
@@ -149,7 +149,7 @@ def _count_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for c in X.chunks(b.column(0)):
             s, e, _ = X.word_bounds(c.buf, c.offs)
             if len(s):
-                held.append(X.word_hashes(X.LOWER[c.buf], s, e))
+                held.append(X.bytes_hash(X.LOWER[c.buf], s, e))
                 size += len(s)
             if size > _COUNTED:
                 yield counted()

@@ -1,16 +1,22 @@
-"""Similarity self-join on word shingles by parity sketches.
+"""Similarity self-join on word shingles by parity sketches in size bands.
 
-The sketch of a set toggles (XOR) one bit for each shingle hash, in a space of 2**64 bits stored as the sorted positions of
-the set bits.  The Hamming distance of two sketches is at most the symmetric difference of the sets, so two sets of which
-the intersection is 75 % of the union agree in at least 75 % of the bits of either; by the pigeonhole principle the first
-``n - ceil(0.75 n) + 1`` bits of both, in one order, have a bit in common.  Sketches are joined on those bits (frequent
-bits last, so that common passages join nothing), pairs whose sizes differ too much are discarded, then pairs whose
-folded sketches (of two to four bits for each shingle) are already too far apart, and the rest are verified on the whole texts.
+The sketch of a set toggles (XOR) one bit for each shingle hash; folded to a power of two of bits, its Hamming distance to
+another sketch is at most the symmetric difference of the sets.  Bits are ordered by rarity, so that a sketch begins with what few
+others have.  By the pigeonhole principle two sets whose intersection is 75 % of their union have one of their first
+``n - ceil(0.75 n) + 1`` bits in common, and at the first bit they share each still has enough bits left for the whole overlap: a
+set of n bits of which r are left meets sets of at most ``r * 175 / 75 - n`` bits there.  Sketches are joined on those bits, within a size
+band where a bit is frequent: a band's sets meet each other and those of the band above, whose sizes may still fit.
 
-Equal sets are one node from the start, whatever the number of copies.  The nodes that share a bit are not paired with one
-another: each is compared with the first of them, and only where a group is then still in several components are neighbours (in
-the order of sizes, as far as sizes fit) at growing distances compared, each round to ``SPAN`` times the distance, until every group
-is one component or all its pairs of different components have been compared.  No pair is skipped for any other reason, so no link is lost.
+Equal sets are one node from the start, whatever the number of copies.  Of each group (bit and band) every node is first compared with
+the one whose sketch begins there (hub).  Where a group is then still in several components, its nodes outside the largest one are
+compared with all nodes of other components that the bounds above allow, under the sketches' distance inside the join, so that pairs too far
+apart never become rows.  What is left is verified on the whole texts.  No pair is skipped for any other reason, so no link is lost.
+
+The chunks of the pigeonhole are single bits.  Equal-width chunks of several bits would ask for some 0.7 n keys for each document
+instead of 0.25 n (two size bands, and spare chunks for those empty in both), and a passage that many documents share would put
+them all into the same chunks; ordered by rarity it is at the sketches' end, where the bound on r excludes it.
+
+Hashes have 61 bits or more; pairs are verified with hashes of their own, independent of those that found them.
 
 Cases with a defined result: null, empty and blank texts have no shingles, are linked with nothing and are their own component;
 with fewer words than a shingle the whole sequence is one shingle; each row is a document, so a repeated id is in
@@ -20,7 +26,6 @@ further columns are ignored by ``components`` and kept by ``keep_one_of_each``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,20 +41,23 @@ WORDS = 5
 PERCENT = 75
 #: Most bits of a folded sketch; a set of n shingles has the least power of two from 2 n.
 FOLD = 1 << 16
-#: How much farther each round compares.
-SPAN = 8
-#: One bit in so many also pairs each node with a node before it that a hash chooses; only the number of rounds depends on it.
-CHOSEN = 8
+#: Words of 64 bits of the sketch that is compared inside a join.
+NARROW = 4
+#: A frequent bit's rows are dealt to so many tasks.
+SALTS = 64
+#: Nodes are compared with further hubs while all pairs of open groups are more than so many for each row; only speed depends on it.
+PAIRS = 32
 #: So many of the most frequent shingles are put last in the order of bits; only speed depends on it.
 FREQUENT = 1 << 18
 _BUFFER = 2_000_000
+_NO_BAND = -1
 
 
-def _sets(c: X.Chunk, words: int) -> list[np.ndarray]:
+def _sets(c: X.Chunk, words: int, seed: int = 0) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of the chunk."""
     buf = X.LOWER[c.buf]
     s, e, first = X.word_bounds(buf, c.offs)
-    sums = X.item_sums(X.word_hashes(buf, s, e))
+    sums = X.item_sums(X.bytes_hash(buf, s, e, seed))
     at = np.arange(max(len(s) - words + 1, 0))
     grams = X.span_hash(sums, at, at + words)
     out = []
@@ -121,15 +129,24 @@ def _sketch_mapper(words: int):
     return run
 
 
+def _edges(percent: int, most: int) -> np.ndarray:
+    """The least size of each band: whatever fits a size of a band is in the same band or in the one below or above."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * 100 // percent + 1)
+    return np.array(out, np.int64)
+
+
 def _prefix_mapper(words: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
-    """The first bits of each sketch, as many as the pigeonhole principle asks for."""
-    names = ["bit", "node", "n", "rk"]
+    """The first bits of each sketch, as many as the pigeonhole principle asks for; a frequent one for each band it is looked for in."""
+    names = ["bit", "band", "node", "n", "most", "home"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        edges = _edges(percent, 1 << 20)
         for b in batches:
             for c in X.chunks(b.column(0)):
-                bits, nodes, sizes, ranks = [], [], [], []
+                bits, ranks, nodes, sizes, places = [], [], [], [], []
                 for u in _sets(c, words):
                     n = len(u)
                     if not n or (k := int(_node(u))) in seen:
@@ -144,18 +161,21 @@ def _prefix_mapper(words: int, percent: int, frequent: np.ndarray, rank: np.ndar
                         u, rk = u[order], rk[order]
                     bits.append(u[:p])
                     ranks.append(rk[:p])
-                    nodes.append(k)
-                    sizes.append((n, p))
+                    nodes.append(np.full(p, k, np.int64))
+                    sizes.append(np.full(p, n, np.int64))
+                    places.append(np.arange(p))
                 if bits:
-                    reps = [p for _, p in sizes]
+                    bit, rk, node, n, place = (np.concatenate(x) for x in (bits, ranks, nodes, sizes, places))
+                    most = (n - place) * (100 + percent) // percent - n
+                    if n.max() >= edges[-1]:
+                        edges = _edges(percent, int(n.max()))
+                    band = np.where(rk > 0, np.searchsorted(edges, n, "right"), _NO_BAND)
+                    below = np.flatnonzero((band > 1) & (-(-percent * n // 100) < edges[np.maximum(band, 1) - 1]))
+                    all_ = np.concatenate((np.arange(len(bit)), below))
+                    band = np.concatenate((band, band[below] - 1))
+                    home = np.arange(len(all_)) < len(bit)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(bits).view(np.int64)),
-                            pa.array(np.repeat(np.array(nodes, np.int64), reps)),
-                            pa.array(np.repeat(np.array([n for n, _ in sizes], np.int32), reps)),
-                            pa.array(np.concatenate(ranks)),
-                        ],
-                        names,
+                        [pa.array(bit[all_].view(np.int64)), pa.array(band.astype(np.int32)), pa.array(node[all_]), pa.array(n[all_].astype(np.int32)), pa.array(most[all_].astype(np.int32)), pa.array(home)], names
                     )
                 if len(seen) > 500_000:
                     seen.clear()
@@ -168,8 +188,8 @@ def _verify_mapper(words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [u for c in X.chunks(b.column(2)) for u in _sets(c, words)]
-            y = [u for c in X.chunks(b.column(3)) for u in _sets(c, words)]
+            x = [u for c in X.chunks(b.column(2)) for u in _sets(c, words, 1)]
+            y = [u for c in X.chunks(b.column(3)) for u in _sets(c, words, 1)]
             ok = []
             for u, v in zip(x, y, strict=True):
                 both = len(np.intersect1d(u, v, assume_unique=True))
@@ -179,10 +199,14 @@ def _verify_mapper(words: int, percent: int):
     return run
 
 
+def _narrow(fold: Column) -> list[Column]:
+    """The sketch folded to NARROW words of 64 bits; one of fewer words is no bound there and gives nulls."""
+    return [F.when(F.size(fold) >= NARROW, F.aggregate(F.filter(fold, lambda x, i: i % NARROW == k), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))) for k in range(NARROW)]
+
+
 def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, node, n) of all documents, and (node, component_id) of nodes with a link to another node."""
-    spark = docs.sparkSession
-    small_batches(spark, 250)
+    small_batches(docs.sparkSession, 250)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").alias("text"))
     sketched = written(own.mapInArrow(_sketch_mapper(words), "doc_id long, tag int, node long, n int, fold array<long>, bit long"), "sketches")
     rows = sketched.where("bit is null").select("doc_id", "tag", "node", "n", "fold")
@@ -193,29 +217,19 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
 
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "tag")).alias("row"), F.first("fold").alias("fold"), F.first("n").alias("n"))
     nodes = written(nodes, "nodes")
-    near = Window.partitionBy("bit").orderBy("n", "node")
-    bits = own.select("text").where("text is not null").mapInArrow(_prefix_mapper(words, percent, frequent, rank), "bit long, node long, n int, rk int")
-    groups = (
-        bits.withColumn("before", F.lag("node").over(near))
+    bits = own.select("text").where("text is not null").mapInArrow(_prefix_mapper(words, percent, frequent, rank), "bit long, band int, node long, n int, most int, home boolean")
+    # A group without a band is small, since its bit is rare, and goes if it is one node; those of frequent bits are dealt out.
+    salt = F.when(F.col("band") == _NO_BAND, 0).otherwise(F.pmod(F.col("node"), F.lit(SALTS)))
+    near = Window.partitionBy("bit", "band", "salt").orderBy("node")
+    met = (
+        bits.withColumn("salt", salt)
+        .withColumns({"before": F.lag("node").over(near), "next": F.lead("node").over(near)})
         .where("before is null or before <> node")  # the same set may come from several tasks
-        .withColumn("place", F.row_number().over(near))
-        .withColumn("next", F.lead("node").over(near))
-        .where("place > 1 or next is not null")
-        .select("bit", "node", "n", "place", "rk")
+        .where(f"band <> {_NO_BAND} or before is not null or next <> node")
+        .select("bit", "band", "node", "n", "most", "home")
     )
-    met = written(groups, "met")
-    # Bits that the same nodes have are one group, that of the first of them in the order of bits.
-    at = F.struct("rk", F.col("bit").bitwiseXOR(F.lit(-(1 << 63))).alias("u"), "bit")
-    same = met.groupBy("bit").agg(F.bit_xor(F.xxhash64("node")).alias("sig"), F.max("place").alias("size"), F.first("rk").alias("rk"))
-    same = same.groupBy("sig", "size").agg(F.min(at).alias("at")).select("at.bit", "size")
-    # ``prior`` is the shared bit before this one in the node's order: two nodes with the same prior also meet at that one.
-    prior = F.lag("bit").over(Window.partitionBy("node").orderBy("rk", F.col("bit").bitwiseXOR(F.lit(-(1 << 63)))))
-    groups = met.withColumn("prior", prior).join(same, "bit")
-    # The head is the node that meets the most others at its bits: of edited copies the one that the others stem from.
-    groups = groups.withColumn("weight", F.sum("size").over(Window.partitionBy("node")) / F.col("n"))
-    head = F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node", "n")).over(Window.partitionBy("bit")).dropFields("weight", "h")
-    groups = written(groups.withColumn("head", head).withColumn("prev", F.lag(F.struct("node", "n")).over(near)).drop("rk", "size", "weight"), "groups")
-    discard(met)
+    met = written(met, "met")
+    group = ["bit", "band"]
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of the candidate pairs (a, b), those that hold; nodes are compared by the text of their first document."""
@@ -223,8 +237,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         xa, xb = (F.when(F.size(x) > F.size(y), _halved(F.col(x))).otherwise(F.col(x)) for x, y in (("folda", "foldb"), ("foldb", "folda")))
         apart = F.aggregate(F.zip_with(xa, xb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         apart = F.coalesce(apart, F.lit(0))  # sketches of sizes too different for each other: nothing is known
-        # |A xor B| <= (|A| + |B|) (100 - percent) / (100 + percent)
-        close = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
+        close = _near(apart, F.col("na") + F.col("nb"), percent)
         left = written(pairs.distinct().join(ends[0], "a").join(ends[1], "b").where(close).select("a", "b", "rowa", "rowb"), "pairs")
         wanted = left.select(F.col("a").alias("node"), "rowa.*").unionByName(left.select(F.col("b").alias("node"), "rowb.*")).distinct()
         same = own["doc_id"].eqNullSafe(wanted["doc_id"]) & (own["tag"] == wanted["tag"])
@@ -235,52 +248,64 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         discard(left, texts)
         return found
 
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = F.when(fits(F.col("n"), F.col("head.n")) & (F.col("node") != F.col("head.node")), F.col("head.node")).when(fits(F.col("n"), F.col("prev.n")), F.col("prev.node"))
-    chosen = groups.where(F.pmod(F.xxhash64("bit"), F.lit(CHOSEN)) == 0)
-    drawn = (F.pmod(F.xxhash64("bit", "node"), F.greatest(F.col("place") - 1, F.lit(1))) + 1).cast("int")
-    partner = chosen.select("bit", F.col("place").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"))
-    random = chosen.where("place > 2").withColumn("to", drawn).join(partner, ["bit", "to"]).where(fits(F.col("n"), F.col("m"))).select("node", "other")
-    links = similar(_ordered(groups.select("node", star.alias("other")).unionByName(random)))
-    keep = lambda df: written(df, "edges")
-    parts = connected_components(links, keep)
-    reach = 1
+    def linked(now: DataFrame | None, links: DataFrame) -> DataFrame:
+        edges = links if now is None else now.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(links)
+        return connected_components(edges, lambda df: written(df, "edges"))
+
+    def hubs(members: DataFrame, *salts: Column) -> DataFrame:
+        """Each member with the node of its group (and salt) of which the sketch begins there, or nearest to there."""
+        best = members.withColumns({f"salt{k}": c for k, c in enumerate(salts)})
+        best = best.groupBy(*group, *(f"salt{k}" for k in range(len(salts)))).agg(F.max(F.struct((F.col("most") / F.col("n")).alias("begin"), F.xxhash64("node").alias("h"), *_MEMBER)).alias("hub"))
+        return best.select(*group, *(F.col(f"hub.{c}").alias(f"_{c}") for c in _MEMBER))
+
+    _MEMBER = ["node", "n", "most", "home"]
+    fits = (F.col("node") != F.col("_node")) & (F.col("n") <= F.col("_most")) & (F.col("_n") <= F.col("most")) & (F.col("home") | F.col("_home"))
+    links = similar(_ordered(met.join(hubs(met), group).where(fits).select("node", F.col("_node").alias("other"))))
+    parts = linked(None, links)
+    discard(links)
+    salts = 16
     while True:
-        # Groups that are still in several components, and what in them is left to compare.  Of any two nodes of different
-        # components one is outside the group's largest component: only those nodes look for others, in both directions.
-        member = groups.join(parts.withColumnRenamed("vertex", "node"), "node", "left").select("bit", "node", "n", "place", "prior", F.coalesce("component", "node").alias("part"))
-        open_bits = member.groupBy("bit").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.max("place").alias("size")).where(F.expr(f"p0 <> p1 and size > {max(reach, 2)}"))
-        # Places are in the order of n; ``ahead`` and ``behind`` are how far the nodes whose sizes fit reach.
-        by_size, slack = Window.partitionBy("bit").orderBy("log_n"), math.ceil(1e6 * math.log(100 / percent)) + 1
-        upto = F.count(F.lit(1)).over(by_size.rangeBetween(Window.unboundedPreceding, slack))
-        below = F.count(F.lit(1)).over(by_size.rangeBetween(Window.unboundedPreceding, -slack - 1))
-        here = member.join(open_bits.select("bit"), "bit").withColumn("log_n", F.floor(1e6 * F.log("n")))
-        here = here.withColumns({"ahead": upto - F.col("place"), "behind": F.col("place") - 1 - below, "of_part": F.count(F.lit(1)).over(Window.partitionBy("bit", "part"))})
-        largest = F.max(F.struct("of_part", "part")).over(Window.partitionBy("bit"))["part"]
-        todo = written(here.withColumn("outside", F.col("part") != largest).drop("log_n", "of_part"), "open")
-        up, down = (F.least(F.col(c), F.lit(SPAN * reach - 1)).cast("int") for c in ("ahead", "behind"))
-        steps = lambda most, sign: F.when(most >= reach, F.transform(F.sequence(F.lit(reach), F.greatest(most, F.lit(reach))), lambda x: x * sign)).otherwise(F.array().cast("array<int>"))
-        far = todo.where("outside").where((up >= reach) | (down >= reach)).withColumn("step", F.explode(F.concat(steps(up, 1), steps(down, -1)))).withColumn("to", F.col("place") + F.col("step"))
-        other = todo.select("bit", F.col("place").alias("to"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"), F.col("outside").alias("other_outside"), F.col("prior").alias("other_prior"))
-        new = (F.col("part") != F.col("other_part")) & fits(F.col("n"), F.col("m")) & ((F.col("step") > 0) | ~F.col("other_outside")) & ~F.coalesce(F.col("prior") == F.col("other_prior"), F.lit(False))
-        if far.isEmpty():
+        # Of any two nodes of different components one is outside the group's largest component: only those look for others.
+        told = nodes.select("node", *(c.alias(f"s{k}") for k, c in enumerate(_narrow(F.col("fold"))))).join(parts.withColumnRenamed("vertex", "node"), "node", "left")
+        member = met.join(told.withColumn("part", F.coalesce("component", "node")).drop("component"), "node")
+        of_part = member.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("most").alias("most"))
+        open_ = of_part.groupBy(*group).agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("largest"), F.sum("size").alias("all"), F.min("least").alias("least"), F.max("most").alias("farthest"))
+        open_ = open_.where("parts > 1").select(*group, F.col("largest.part").alias("largest"), "all", "least", "farthest")
+        todo = member.join(open_, group).where("most >= least and n <= farthest").withColumn("outside", F.col("part") != F.col("largest")).drop("largest", "least", "farthest")
+        todo = written(todo, "open")
+        size = todo.agg(F.count_if("outside"), F.coalesce(F.sum(F.when(F.col("outside"), F.col("all"))), F.lit(0)), F.count(F.lit(1))).first()
+        if not size[0]:
             discard(todo)
             break
-        more = similar(_ordered(far.join(other, ["bit", "to"]).where(new).select("node", "other")))
+        mine = todo.where("outside")
+        away = (F.col("part") != F.col("_part")) & _near(sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"_s{k}"))) for k in range(NARROW)), F.lit(0)), F.col("n") + F.col("_n"), percent, nothing=True)
+        last = size[1] <= PAIRS * size[2] or salts > 1 << 12
+        if last:
+            names = ["node", "n", "most", "home", "part", "outside", *(f"s{k}" for k in range(NARROW))]
+            other = todo.select(*group, *(F.col(c).alias(f"_{c}") for c in names))
+            pairs = mine.join(other, group).where(fits & away & (~F.col("_outside") | (F.col("node") < F.col("_node"))))
+        else:
+            pairs = mine.join(hubs(todo, F.pmod(F.xxhash64("node"), F.lit(salts))), group).where(fits)
+        more = similar(_ordered(pairs.select("node", F.col("_node").alias("other"))))
         discard(todo)
-        if not more.isEmpty():
-            before = parts
-            parts = connected_components(parts.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more), keep)
-            discard(before)
-        discard(more)
-        reach *= SPAN
-    discard(groups, links)
+        before, parts = parts, linked(parts, more)
+        discard(before, more)
+        if last:  # all pairs of different components have been compared
+            break
+        salts *= 16
+    discard(met)
     least = parts.select("vertex", "component").unionByName(parts.select(F.col("component").alias("vertex"), "component").distinct())
     named = least.join(nodes.select(F.col("node").alias("vertex"), "doc"), "vertex")
     of = named.join(named.groupBy("component").agg(F.min("doc").alias("component_id")), "component")
     return rows.select("doc_id", "tag", "node", "n"), of.select(F.col("vertex").alias("node"), "component_id")
 
 
+def _near(apart: Column, sizes: Column, percent: int, nothing: bool = False) -> Column:
+    """Whether sketches so far apart can be of similar sets: |A xor B| <= (|A| + |B|) (100 - percent) / (100 + percent)."""
+    out = (100 + percent) * apart <= (100 - percent) * sizes
+    return F.coalesce(out, F.lit(True)) if nothing else out
+
+
 def _halved(fold: Column) -> Column:
     half = (F.size(fold) / 2).cast("int")
     return F.zip_with(F.slice(fold, 1, half), F.slice(fold, half + 1, half), lambda x, y: x.bitwiseXOR(y))

@@ -46,8 +46,7 @@ _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
 def _statistics(c: X.Chunk) -> dict[str, np.ndarray]:
     s, e, first = X.word_bounds(c.buf, c.offs)
-    sums = X.byte_sums(c.buf)
-    words = X.span_hash(sums, s, e)
+    words = X.bytes_hash(c.buf, s, e)
     n = np.diff(first)
     text = np.repeat(np.arange(len(c)), n)
     inside = np.concatenate(([0], np.cumsum(~X.SPACE[c.buf] & ((c.buf & 0xC0) != 0x80))))
@@ -62,7 +61,7 @@ def _statistics(c: X.Chunk) -> dict[str, np.ndarray]:
     closed = (stop > begin) & (c.buf[np.maximum(stop - 1, 0)] == 10)
     stop = stop - closed
     full = np.searchsorted(s, stop) > np.searchsorted(s, begin)
-    key = X.span_hash(sums, begin[full], stop[full]) ^ X.mix(line_text[full].astype(X.U))
+    key = X.bytes_hash(c.buf, begin[full], stop[full]) ^ X.mix(line_text[full].astype(X.U))
     line_text = line_text[full]
     _, at = np.unique(key, return_index=True)
     again = np.ones(len(key), bool)

@@ -78,7 +78,7 @@ def _block_mapper(window: int, gram: int):
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
             for c in X.chunks(b.column(2)):
                 s, e, first = X.word_bounds(c.buf, c.offs)
-                got = _blocks(ids[c.lo : c.hi], tags[c.lo : c.hi], X.word_hashes(c.buf, s, e), first, window, gram)
+                got = _blocks(ids[c.lo : c.hi], tags[c.lo : c.hi], X.bytes_hash(c.buf, s, e), first, window, gram)
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(got[k]) for k in names], names)
 
@@ -95,7 +95,7 @@ def _window_mapper(window: int, gram: int):
             a_all, n_all = b.column(3), b.column(4)
             for c in X.chunks(b.column(2)):
                 s, e, first = X.word_bounds(c.buf, c.offs)
-                words = X.word_hashes(c.buf, s, e)
+                words = X.bytes_hash(c.buf, s, e)
                 sums = X.item_sums(words)
                 take = range(c.lo, c.hi)
                 a = [a_all[i].values.to_numpy() for i in take]
