@@ -3,11 +3,12 @@
 A window is ``window`` consecutive words of a benchmark item (a shorter item is one window).  A document that holds a
 window holds all its words, so the prefix that must be joined is one word, the rarest of the window in the corpus.  Each
 occurrence of such a word in a document fixes where the window would begin; the length and position bounds discard those
-that would reach over an end of the document, and the words of the rest are compared exactly, first as join keys in place, then, in texts that aren't plain ASCII, as spelled.
+that would reach over an end of the document, and the words of the rest are compared exactly.
 
-The join key is the fully lower-cased word (fast in Spark), a superset of equality after lower-casing A-Z alone, which
-is what the final comparison uses.  The benchmark is broadcast only when its windows are counted and few; beyond
-``BROADCAST_WINDOWS`` the same join shuffles.
+The join key is the single word in lower case (fast in Spark): words that are equal after lower-casing A-Z have the same key, and
+the final comparison lower-cases A-Z alone.  The benchmark is broadcast only when its windows are counted and few, and then
+a text's words are compared where they are exploded.  Beyond ``BROADCAST_WINDOWS`` the join shuffles rows of (document, place,
+word) only, and each document with a candidate is joined to its text once.
 
 Cases with a defined result: null and empty texts have no words and no hits; items without words never occur; rows of
 documents that repeat an id are judged each by its own text; a null doc_id has no hits found; items with a null item_id
@@ -26,26 +27,20 @@ WINDOW = 10
 #: Windows of about 100 bytes each: at most some 50 MB are broadcast.
 BROADCAST_WINDOWS = 500_000
 
-_BETWEEN_LOWER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BETWEEN_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _ascii_lower(c: Column) -> Column:
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _keys(text: Column) -> Column:
-    """Words of the text as join keys; at each place the key of the exact word there."""
-    return F.array_remove(F.split(F.lower(text), _BETWEEN_LOWER), "")
-
-
 def _words(text: Column) -> Column:
     """The words with their original case."""
-    return F.array_remove(F.split(text, _BETWEEN_ANY), "")
+    return F.array_remove(F.split(text, _BETWEEN), "")
 
 
 def _windows(items: DataFrame, window: int) -> DataFrame:
-    """item_id, length, win (the words, A-Z lower-cased, joined by spaces), keys (its words as join keys)."""
+    """item_id, length, win (the words, A-Z lower-cased, joined by spaces), keys (its words in lower case)."""
     n = F.size("words")
     return (
         items.select(F.col("item_id").cast("string").alias("item_id"), _words(F.col("text")).alias("words"))
@@ -53,7 +48,7 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
         .withColumn("length", F.least(n, F.lit(window)))
         .withColumn("start", F.explode(F.sequence(F.lit(1), n - F.col("length") + 1)))
         .withColumn("part", F.slice("words", F.col("start"), F.col("length")))
-        .select("item_id", "length", _ascii_lower(F.array_join("part", " ")).alias("win"), F.split(F.lower(F.array_join("part", " ")), " ").alias("keys"))
+        .select("item_id", "length", _ascii_lower(F.array_join("part", " ")).alias("win"), F.transform("part", F.lower).alias("keys"))
         .distinct()
     )
 
@@ -65,23 +60,29 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     small = F.broadcast if few else (lambda df: df)
     texts = docs.select(F.col("doc_id").alias("doc"), F.hash("text").alias("tag"), F.col("text").alias("text")).where("doc is not null and text is not null")
 
+    at = texts.withColumn("words", _words(F.col("text"))).select("doc", "tag", "words", F.posexplode("words").alias("pos", "word")).withColumn("key", F.lower("word"))
+
     vocabulary = wins.select(F.explode("keys").alias("key")).distinct()
-    frequency = texts.select(F.explode(_keys(F.col("text"))).alias("key")).join(small(vocabulary), "key").groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
+    frequency = at.select("key").join(small(vocabulary), "key").groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
     ranked = (
-        wins.select("item_id", "length", "win", F.col("keys").alias("all"), F.posexplode("keys").alias("offset", "key"))
+        wins.select("item_id", "length", "win", F.posexplode("keys").alias("offset", "key"))
         .join(frequency, "key")  # a window of which one word is nowhere in the corpus loses that word's row, and all others below
         .groupBy("item_id", "length", "win")
-        .agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("freq", "key", "offset")).alias("rarest"), F.first("all").alias("all"))
+        .agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("freq", "key", "offset")).alias("rarest"))
         .where("found = length")
-        .select("item_id", "length", "win", "all", F.col("rarest.key").alias("key"), F.col("rarest.offset").alias("offset"))
+        .select("item_id", "length", "win", F.col("rarest.key").alias("key"), F.col("rarest.offset").alias("offset"))
     )
-    plain = F.length("text") == F.octet_length("text")  # only ASCII: keys are equal just when the words are
-    at = texts.withColumn("keys", _keys(F.col("text"))).select("doc", "tag", "text", "keys", plain.alias("plain"), F.posexplode("keys").alias("pos", "key"))
     start = F.col("pos") - F.col("offset")
-    first = F.greatest(start, F.lit(0)) + 1  # conditions may be evaluated in any order
-    met = at.join(small(ranked), "key").where((start >= 0) & (start + F.col("length") <= F.size("keys"))).where(F.slice("keys", first, F.col("length")) == F.col("all"))
-    exact = _ascii_lower(F.array_join(F.slice(_words(F.col("text")), first, F.col("length")), " ")) == F.col("win")
-    return met.where(F.col("plain") | exact).select("doc", "tag", "item_id", start.alias("start"), "length")
+    if few:
+        met = at.join(F.broadcast(ranked), "key").withColumn("n", F.size("words"))
+    else:
+        met = at.select("doc", "tag", "pos", "key", F.size("words").alias("n")).join(ranked, "key")
+    met = met.where((start >= 0) & (start + F.col("length") <= F.col("n"))).withColumn("start", start)
+    if not few:
+        met = met.select("doc", "tag", "item_id", "win", "start", "length").distinct().join(texts.withColumn("words", _words(F.col("text"))).drop("text"), ["doc", "tag"])
+    # conditions may be evaluated in any order
+    spelled = F.array_join(F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("length")), " ")
+    return met.where(_ascii_lower(spelled) == F.col("win")).select("doc", "tag", "item_id", "start", "length")
 
 
 def _per_document(found: DataFrame) -> DataFrame:

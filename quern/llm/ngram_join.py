@@ -218,15 +218,23 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "tag")).alias("row"), F.first("fold").alias("fold"), F.first("n").alias("n"))
     nodes = written(nodes, "nodes")
     bits = own.select("text").where("text is not null").mapInArrow(_prefix_mapper(words, percent, frequent, rank), "bit long, band int, node long, n int, most int, home boolean")
-    # A group without a band is small, since its bit is rare, and goes if it is one node; those of frequent bits are dealt out.
+    # A group without a band is small, since its bit is rare: its hub is found here, and rows that no other row of it fits go.
+    # Frequent bits are dealt out, and their hubs are found by aggregation.
     salt = F.when(F.col("band") == _NO_BAND, 0).otherwise(F.pmod(F.col("node"), F.lit(SALTS)))
-    near = Window.partitionBy("bit", "band", "salt").orderBy("node")
+    whole = Window.partitionBy("bit", "band", "salt")
+    near = whole.orderBy("n", "node")
+    before = near.rowsBetween(Window.unboundedPreceding, -1)
+    rare = F.col("band") == _NO_BAND
+    smaller = F.coalesce((F.max("most").over(before) >= F.col("n")) & (F.first("n").over(near) <= F.col("most")), F.lit(False))
+    larger = F.coalesce(F.lead("n").over(near) <= F.col("most"), F.lit(False))
     met = (
         bits.withColumn("salt", salt)
-        .withColumns({"before": F.lag("node").over(near), "next": F.lead("node").over(near)})
+        .withColumn("before", F.lag("node").over(near))
         .where("before is null or before <> node")  # the same set may come from several tasks
-        .where(f"band <> {_NO_BAND} or before is not null or next <> node")
-        .select("bit", "band", "node", "n", "most", "home")
+        .withColumns({"some": ~rare | smaller | larger, "hub": F.when(rare, F.max(_hub()).over(whole))})
+        .where("some")
+        .select("bit", "band", *_MEMBER, *(F.col(f"hub.{c}").alias(f"_{c}") for c in _MEMBER))
+        .select("bit", "band", *_MEMBER, F.when(_fits(), F.col("_node")).alias("star"))
     )
     met = written(met, "met")
     group = ["bit", "band"]
@@ -253,43 +261,46 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         return connected_components(edges, lambda df: written(df, "edges"))
 
     def hubs(members: DataFrame, *salts: Column) -> DataFrame:
-        """Each member with the node of its group (and salt) of which the sketch begins there, or nearest to there."""
+        """The hub of each group (and salt)."""
         best = members.withColumns({f"salt{k}": c for k, c in enumerate(salts)})
-        best = best.groupBy(*group, *(f"salt{k}" for k in range(len(salts)))).agg(F.max(F.struct((F.col("most") / F.col("n")).alias("begin"), F.xxhash64("node").alias("h"), *_MEMBER)).alias("hub"))
+        best = best.groupBy(*group, *(f"salt{k}" for k in range(len(salts)))).agg(F.max(_hub()).alias("hub"))
         return best.select(*group, *(F.col(f"hub.{c}").alias(f"_{c}") for c in _MEMBER))
 
-    _MEMBER = ["node", "n", "most", "home"]
-    fits = (F.col("node") != F.col("_node")) & (F.col("n") <= F.col("_most")) & (F.col("_n") <= F.col("most")) & (F.col("home") | F.col("_home"))
-    links = similar(_ordered(met.join(hubs(met), group).where(fits).select("node", F.col("_node").alias("other"))))
+    dealt = met.where(~rare)
+    star = met.where("star is not null").select("node", F.col("star").alias("other")).distinct()
+    links = similar(_ordered(star.unionByName(dealt.join(hubs(dealt), group).where(_fits()).select("node", F.col("_node").alias("other")))))
     parts = linked(None, links)
     discard(links)
     salts = 16
     while True:
         # Of any two nodes of different components one is outside the group's largest component: only those look for others.
-        told = nodes.select("node", *(c.alias(f"s{k}") for k, c in enumerate(_narrow(F.col("fold"))))).join(parts.withColumnRenamed("vertex", "node"), "node", "left")
-        member = met.join(told.withColumn("part", F.coalesce("component", "node")).drop("component"), "node")
+        # Two nodes whose bit before this one is the same have met there, with more left of both.
+        prior = F.lag("bit").over(Window.partitionBy("node", "home").orderBy(F.desc("most"), "bit", "band"))
+        member = met.drop("star").join(parts.withColumnRenamed("vertex", "node"), "node", "left").withColumns({"part": F.coalesce("component", "node"), "prior": prior}).drop("component")
         of_part = member.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("most").alias("most"))
         open_ = of_part.groupBy(*group).agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("largest"), F.sum("size").alias("all"), F.min("least").alias("least"), F.max("most").alias("farthest"))
         open_ = open_.where("parts > 1").select(*group, F.col("largest.part").alias("largest"), "all", "least", "farthest")
         todo = member.join(open_, group).where("most >= least and n <= farthest").withColumn("outside", F.col("part") != F.col("largest")).drop("largest", "least", "farthest")
-        todo = written(todo, "open")
-        size = todo.agg(F.count_if("outside"), F.coalesce(F.sum(F.when(F.col("outside"), F.col("all"))), F.lit(0)), F.count(F.lit(1))).first()
-        if not size[0]:
+        todo = written(todo.join(nodes.select("node", *(c.alias(f"s{k}") for k, c in enumerate(_narrow(F.col("fold"))))), "node"), "open")
+        outside, tests, size = todo.agg(F.count_if("outside"), F.coalesce(F.sum(F.when(F.col("outside"), F.col("all"))), F.lit(0)), F.count(F.lit(1))).first()
+        if not outside:
             discard(todo)
             break
         mine = todo.where("outside")
-        away = (F.col("part") != F.col("_part")) & _near(sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"_s{k}"))) for k in range(NARROW)), F.lit(0)), F.col("n") + F.col("_n"), percent, nothing=True)
-        last = size[1] <= PAIRS * size[2] or salts > 1 << 12
+        last = tests <= PAIRS * size or salts > 1 << 12
         if last:
-            names = ["node", "n", "most", "home", "part", "outside", *(f"s{k}" for k in range(NARROW))]
+            names = [*_MEMBER, "part", "prior", "outside", *(f"s{k}" for k in range(NARROW))]
             other = todo.select(*group, *(F.col(c).alias(f"_{c}") for c in names))
-            pairs = mine.join(other, group).where(fits & away & (~F.col("_outside") | (F.col("node") < F.col("_node"))))
+            apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"_s{k}"))) for k in range(NARROW)), F.lit(0))
+            close = F.coalesce(_near(apart, F.col("n") + F.col("_n"), percent), F.lit(True))
+            once = (~F.col("_outside") | (F.col("node") < F.col("_node"))) & ~F.coalesce(F.col("prior") == F.col("_prior"), F.lit(False))
+            pairs = mine.join(other, group).where(_fits() & (F.col("part") != F.col("_part")) & once & close)
         else:
-            pairs = mine.join(hubs(todo, F.pmod(F.xxhash64("node"), F.lit(salts))), group).where(fits)
+            pairs = mine.join(hubs(todo, F.pmod(F.xxhash64("node"), F.lit(salts))), group).where(_fits())
         more = similar(_ordered(pairs.select("node", F.col("_node").alias("other"))))
         discard(todo)
-        before, parts = parts, linked(parts, more)
-        discard(before, more)
+        old, parts = parts, linked(parts, more)
+        discard(old, more)
         if last:  # all pairs of different components have been compared
             break
         salts *= 16
@@ -300,10 +311,22 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
     return rows.select("doc_id", "tag", "node", "n"), of.select(F.col("vertex").alias("node"), "component_id")
 
 
-def _near(apart: Column, sizes: Column, percent: int, nothing: bool = False) -> Column:
+def _near(apart: Column, sizes: Column, percent: int) -> Column:
     """Whether sketches so far apart can be of similar sets: |A xor B| <= (|A| + |B|) (100 - percent) / (100 + percent)."""
-    out = (100 + percent) * apart <= (100 - percent) * sizes
-    return F.coalesce(out, F.lit(True)) if nothing else out
+    return (100 + percent) * apart <= (100 - percent) * sizes
+
+
+_MEMBER = ["node", "n", "most", "home"]
+
+
+def _hub() -> Column:
+    """Of a group's members the largest is the one whose sketch begins there, or nearest to there."""
+    return F.struct((F.col("most") / F.col("n")).alias("begin"), F.xxhash64("node").alias("h"), *_MEMBER)
+
+
+def _fits() -> Column:
+    """Whether two members of a group can be similar, by what each has left from there on."""
+    return (F.col("node") != F.col("_node")) & (F.col("n") <= F.col("_most")) & (F.col("_n") <= F.col("most")) & (F.col("home") | F.col("_home"))
 
 
 def _halved(fold: Column) -> Column:

@@ -42,6 +42,29 @@ def test_substring_dedup_short_windows(spark, window):
     assert sorted(map(tuple, got.collect())) == _digest(brute.kept_words(rows, window))
 
 
+def _thue(a, b, n):
+    out = a
+    while len(out) < n:
+        out += out.translate({ord(a): b, ord(b): a})
+    return out, out.translate({ord(a): b, ord(b): a})
+
+
+def test_patterned_texts_differ(spark, sp):
+    """Two texts that differ in every letter, in the pattern that makes polynomials modulo a power of two equal."""
+    u, v = _thue("a", "b", 2048)
+    frame = lambda *texts: spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.components(frame(u, v)).collect()} == {0, 1}
+    same = " ".join(f"w{k}" for k in range(49))
+    assert sum(r.n_removed for r in substring_dedup.kept_digest(frame(f"{same} {u}", f"{same} {v}", " ".join(u), " ".join(v))).collect()) == sum(
+        len(w) - len(k) for _, w, k in brute.kept_words([*enumerate((f"{same} {u}", f"{same} {v}", " ".join(u), " ".join(v)))])
+    )
+    lines = frame(f"{u}\n{v}").selectExpr("*", "'en' lang", "'s' source")
+    assert quality_rules.judge(lines).first().n_dup_lines == 0
+    texts = [*_thue("a", "e", 1024), *(f"q{x}xz" for x in _thue("a", "b", 1024))]
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame(*texts), MODEL).collect()} == {k: len(sp.encode(t)) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in sentencepiece_codec.encode(frame(*texts), MODEL).collect()} == {k: sp.encode(t) for k, t in enumerate(texts)}
+
+
 def test_substring_dedup_repeated_and_null_ids(spark):
     p = " ".join(f"w{k}" for k in range(60))
     rows = [(1, p), (1, p), (2, p), (2, "x " + p), (None, p), (None, None)]
@@ -131,6 +154,21 @@ def test_decontamination(spark, docs, rows, clashing):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(w[0] for w in want if not w[5])
 
 
+CASES = ["ΑΣ.Β γ δ", "İstanbul Kelvin \u212a k K", "ΑΣ Β", "ας β"]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_lowers_ascii_only(spark, monkeypatch, broadcast):
+    """A final sigma, a dotted capital I and the Kelvin sign are what they are, whatever stands around them."""
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    items = [*enumerate(CASES), (9, "q r s t u v w x y z a b c d")]
+    texts = [*enumerate([*CASES, *(f"xx {c} yy" for c in CASES), "k kelvin", "q r s t u v w x y z a b " * 3, None, ""])]
+    got = decontamination.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = [(i, n, hit, len(found), brute.sha(",".join(found)), hit > 0) for i, t in texts for n, hit, found in [brute.contamination(t, items)]]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want[0][2] == 4
+
+
 def test_decontamination_is_native(spark, docs, rows):
     plan = decontamination.contamination(docs, spark.createDataFrame(_items(rows), "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
