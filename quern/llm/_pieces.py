@@ -71,6 +71,8 @@ class CharMap:
         at ^= (unit >> 10) << ((unit & (1 << 9)) >> 6)
         for k in range(i, len(raw)):
             at ^= raw[k]
+            if at >= len(self.units):
+                break
             unit = int(self.units[at])
             if unit & ((1 << 31) | 0xFF) != raw[k]:
                 break
@@ -82,8 +84,6 @@ class CharMap:
 
     def normalise(self, raw: bytes) -> tuple[bytes, np.ndarray]:
         """The normal form with a space for every space mark, and the source offset of each of its bytes and its end."""
-        if not len(self.units) and MARK.encode() not in raw:
-            return raw, np.arange(len(raw) + 1)
         out, align, i = bytearray(), [], 0
         while i < len(raw):
             got = self.longest(raw, i)
@@ -135,6 +135,7 @@ class Model:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.check = np.zeros(0, np.uint64)
         self.slot = np.zeros(0, np.int64)
         self.count: np.ndarray = np.zeros(0, np.int64)
         self.at = np.zeros(0, np.int64)
@@ -146,67 +147,108 @@ class Model:
         ids = self.sp.encode(texts, num_threads=1)
         return [self.lone if p == b" " else x if p[:1] == b" " else x[1:] for p, x in zip(parts, ids, strict=True)]
 
-    def _slots(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The place in memory of each pre-token; new ones are encoded, each once."""
+    def _slots(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep_ids: bool) -> np.ndarray | None:
+        """The place in memory of each pre-token; new ones are encoded, each once.
+
+        Pre-tokens are told apart by 128 bits; None where 64 of them are equal and the others aren't.
+        """
+        second = X.bytes_hash(buf, starts, ends, 1)
         keys, where, inverse = np.unique(X.bytes_hash(buf, starts, ends), return_index=True, return_inverse=True)
+        if (second != second[where][inverse]).any():
+            return None
         if len(self.keys) > REMEMBERED:
             self._forget()
         pos = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         inside = pos < len(self.keys)
         known[inside] = self.keys[pos[inside]] == keys[inside]
+        if (self.check[self.slot[pos[known]]] != second[where[known]]).any():
+            return None
         new = np.flatnonzero(~known)
         if len(new):
             raw = buf.tobytes()
             ids = self.encode_pre_token([raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
+            if keep_ids:
+                self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
+                self.flat = np.concatenate((self.flat, np.fromiter((y for x in ids for y in x), np.int32, int(sizes.sum()))))
             self.count = np.concatenate((self.count, sizes))
-            self.flat = np.concatenate((self.flat, np.fromiter((y for x in ids for y in x), np.int32, int(sizes.sum()))))
+            self.check = np.concatenate((self.check, second[where[new]]))
             self.keys = np.insert(self.keys, pos[new], keys[new])
             self.slot = np.insert(self.slot, pos[new], np.arange(len(self.count) - len(new), len(self.count)))
             pos = np.searchsorted(self.keys, keys)
         return self.slot[pos][inverse]
 
+    def normalised(self, c: X.Chunk) -> tuple[X.Chunk, np.ndarray]:
+        """The chunk's texts in normal form, and of each byte of it (and each text's end) the byte of its source text.
+
+        The end of text k is at ``offs[k + 1] + k``: each text has one entry more than it has bytes.
+        """
+        if not len(self.char_map.units):  # only space marks have a form of their own: every one becomes a space
+            mark = np.flatnonzero((c.buf[:-2] == 0xE2) & (c.buf[1:-1] == 0x96) & (c.buf[2:] == 0x81))
+            mark = mark[np.searchsorted(c.offs, mark, "right") == np.searchsorted(c.offs, mark + 2, "right")]
+            keep = np.ones(len(c.buf), bool)
+            keep[np.concatenate((mark + 1, mark + 2))] = False
+            buf = c.buf.copy()
+            buf[mark] = 32
+            offs = np.concatenate(([0], np.cumsum(keep)))[c.offs]
+            sizes = np.diff(c.offs)
+            own = np.arange(len(c.buf)) - np.repeat(c.offs[:-1], sizes)
+            return X.Chunk(c.lo, c.hi, buf[keep], offs, c.null), np.insert(own[keep], offs[1:], sizes)
+        forms = [self.char_map.normalise(X.text_of(c, k)) for k in range(len(c))]
+        offs = np.concatenate(([0], np.cumsum([len(f) for f, _ in forms]))).astype(np.int64)
+        return X.Chunk(c.lo, c.hi, np.frombuffer(b"".join(f for f, _ in forms), np.uint8), offs, c.null), np.concatenate([a for _, a in forms])
+
     def _pre_tokens(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes with a space before each text, pre-token starts and ends, and each text's first pre-token."""
+        """Of a chunk in normal form: bytes with a space before each text, pre-token starts and ends, and each text's first pre-token."""
         some = c.offs[:-1][np.diff(c.offs) > 0]
         buf = np.insert(c.buf, some, 32)
         offs = c.offs + np.concatenate(([0], np.cumsum(np.diff(c.offs) > 0)))
         space = buf == 32
         head = space.copy()
         head[1:] &= ~space[:-1]
-        mark = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x96) & (buf[2:] == 0x81)) + 3
-        head[mark[mark < len(buf)]] = False
         head |= buf == 10
         head[offs[:-1][np.diff(offs) > 0]] = True
         starts = np.flatnonzero(head)
         return buf, starts, np.append(starts[1:], len(buf)), np.searchsorted(starts, offs)
 
     def count_tokens(self, c: X.Chunk) -> np.ndarray:
-        """Tokens of each text of the chunk."""
-        if not self.by_pre_token:
-            return np.array([len(self.sp.encode(X.text_of(c, k).decode())) for k in range(len(c))], np.int64)
+        """Tokens of each text of the chunk: pieces of each distinct pre-token, times how often the text has it."""
         if not len(c.buf):
             return np.zeros(len(c), np.int64)
-        buf, starts, ends, first = self._pre_tokens(c)
-        slots = self._slots(buf, starts, ends)  # may replace self.count
-        per = self.count[slots]
-        total = np.concatenate(([0], np.cumsum(per)))
-        return np.diff(total[first])
-
-    def encode(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of the chunk, one after another, and where each text's ids begin."""
-        if not self.by_pre_token:
+        slots = None
+        if self.by_pre_token:
+            buf, starts, ends, first = self._pre_tokens(self.normalised(c)[0])
+            slots = self._slots(buf, starts, ends, False)  # may replace self.count
+        if slots is None:
+            return np.array([len(self.sp.encode(X.text_of(c, k).decode())) for k in range(len(c))], np.int64)
+        kinds = int(slots.max()) + 1
+        pairs, often = np.unique(np.repeat(np.arange(len(c)), np.diff(first)) * kinds + slots, return_counts=True)
+        return np.bincount(pairs // kinds, often * self.count[pairs % kinds], len(c)).astype(np.int64)
+
+    def encode(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts of the chunk, one after another, where each text's ids begin, and of each id the first and end byte in its text."""
+        normal, align = self.normalised(c)
+        slots = None
+        if self.by_pre_token and len(c.buf):
+            buf, starts, ends, at = self._pre_tokens(normal)
+            slots = self._slots(buf, starts, ends, True)
+        if slots is None:
             each = [self.sp.encode(X.text_of(c, k).decode()) for k in range(len(c))]
-            return np.array([y for x in each for y in x], np.int32), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
-        if not len(c.buf):
-            return np.zeros(0, np.int32), np.zeros(len(c) + 1, np.int64)
-        buf, starts, ends, first = self._pre_tokens(c)
-        slots = self._slots(buf, starts, ends)
-        sizes = self.count[slots]
-        total = np.concatenate(([0], np.cumsum(sizes)))
-        return self.flat[X.ragged(self.at[slots], sizes)], total[first]
+            ids, first = np.array([y for x in each for y in x], np.int32), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
+        else:
+            sizes = self.count[slots]
+            ids, first = self.flat[X.ragged(self.at[slots], sizes)], np.concatenate(([0], np.cumsum(sizes)))[at]
+        # each piece's end in the normal form, which has one space less than the pieces spell
+        total = np.concatenate(([0], np.cumsum(self.piece_len[ids])))
+        n = np.diff(first)
+        text = np.repeat(np.arange(len(c)), n)
+        size = np.diff(normal.offs)
+        end = np.clip(total[1:] - total[first[text]] - 1, 0, size[text])
+        begin = np.concatenate(([0], end[:-1]))[: len(end)]
+        begin[first[:-1][n > 0]] = 0
+        base = (normal.offs[:-1] + np.arange(len(c)))[text]
+        return ids, first, align[base + begin], align[base + end]
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
         """The texts of ids that ``first`` cuts: the pieces' spellings, without the space that encoding put in front."""
@@ -216,22 +258,15 @@ class Model:
         parts = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return [x[1:] if x[:1] == b" " else x for x in parts]
 
-    def spans(self, raw: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end byte in raw of each id; the space that encoding puts in front has no bytes there."""
-        _, align = self.char_map.normalise(raw)
-        ends = np.minimum(np.maximum(np.cumsum(self.piece_len[ids]) - 1, 0), len(align) - 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(ends)]
-        return align[starts], align[ends]
-
 
 @lru_cache(maxsize=4)
-def _load(digest: str, proto: bytes) -> Model:
+def _load(digest: str, proto: bytes, use: str) -> Model:
     return Model(proto)
 
 
-def model(proto: bytes) -> Model:
-    """The worker's own copy of a model; it lives, with its memory, as long as the worker."""
-    return _load(hashlib.sha256(proto).hexdigest(), proto)
+def model(proto: bytes, use: str) -> Model:
+    """The worker's own copy of a model for one use; it lives, with its memory, as long as the worker."""
+    return _load(hashlib.sha256(proto).hexdigest(), proto, use)
 
 
 def read_model(path: str) -> bytes:

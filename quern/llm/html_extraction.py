@@ -1,23 +1,28 @@
-"""Main text of web pages: site templates and page furniture are cut, the article's blocks stay.
+"""Main text of web pages: subtrees that recur on a site are its template and go, the article's blocks stay.
 
-Every element's subtree is hashed (its bytes, from start tag to end).  Spark counts on how many different pages of a host each
-subtree recurs; those on many of them are the site's template and are deleted, together with elements that are
-furniture by their tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments).
+Every element's subtree is hashed (its bytes, from start tag to end), inside and outside of the article.  Spark counts on how many
+different pages of a host each subtree recurs; what is on ``MIN_PAGES`` of them or more is deleted.  Inside an article the prose itself
+(paragraphs, headings, list items, quotations, cells) stays, however many articles share it: there only other containers go.
+Pages that copy one another count once for each different main part, so copies don't make their own text a template.
 
-What may be deleted for recurring: any container (div, section, list, table and so on) anywhere, and outside of an article
-every element.  Paragraphs, headings and quotations of an article are its content, however many articles share
-them.  Pages that copy one another count once for each different main part, so copies don't make their own text a template.
+What can't recur is told by its tag or role: scripts, styles, navigation, headers and footers of the page, asides, forms and media.  A class decides
+only ties: a container outside of tables, with no article in it and less text than stands around it, goes if one of its classes is
+a word of a short list as a whole.
 
 Cases with a defined result: a null page is empty, and an empty one has an empty text; text outside any block is a block;
-unclosed and misnested elements end where their parent ends; a host of fewer than ``MIN_PAGES`` different pages has no
-template; a null url is a host of its own; rows with repeated or null ids keep their own results; further columns are ignored.
+unclosed and misnested elements end where their parent ends; a tag with a quote that never ends, and all tags after it, end at their first ``>``;
+on fewer than ``MIN_PAGES`` different pages of a host nothing is a template; a null url is a host of its own; rows with repeated or null ids keep their
+own results; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +32,10 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._store import small_batches, written
 
-#: A template subtree is on at least so many different pages of its host, and on this share of them.
+#: A template subtree is on at least so many different pages of its host.
 MIN_PAGES = 3
-SHARE = 0.1
-#: Hosts with templates, up to which their table is broadcast.
-BROADCAST_HOSTS = 20_000
+#: Template subtrees of all hosts, of eight bytes each, up to which their table is broadcast.
+BROADCAST_TREES = 1_000_000
 
 # Fixed values of HTML.
 _VOID = {b"area", b"base", b"br", b"col", b"embed", b"hr", b"img", b"input", b"link", b"meta", b"param", b"source", b"track", b"wbr"}
@@ -49,17 +53,14 @@ _ENDS_P = _BLOCK - {b"html", b"body", b"td", b"th", b"tr", b"tbody", b"thead", b
 _SIBLING = {b"li": {b"ul", b"ol", b"menu", b"dir"}, b"dd": {b"dl"}, b"dt": {b"dl"}, b"td": {b"tr", b"table"}, b"th": {b"tr", b"table"}, b"tr": {b"table", b"tbody", b"thead", b"tfoot"}, b"option": {b"select", b"datalist"}}
 _SAME = {b"dd": {b"dd", b"dt"}, b"dt": {b"dd", b"dt"}, b"td": {b"td", b"th"}, b"th": {b"td", b"th"}}
 
-_TAG = re.compile(rb"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[!?][^>]*>)", re.S)
-_NAMES = re.compile(rb"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_OPEN = re.compile(rb"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?])")
+#: The rest of a tag; what is matched is never tried again.
+_REST = re.compile(rb"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_CLASS = re.compile(rb"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ROLE = re.compile(rb"\brole\s*=\s*[\"']?(navigation|banner|contentinfo|complementary|search|form|dialog|alertdialog|alert|menu|menubar|toolbar)\b", re.I)
 _HIDDEN = re.compile(rb"(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_HINT = re.compile(
-    rb"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|promos?|promotions?|promoted|sponsor(?:ed|s)?|nav|navbar|navigation|menus?|breadcrumbs?|"
-    rb"sidebars?|rail|footers?|headers?|masthead|topbar|cookies?|consent|gdpr|notices?|notification|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|"
-    rb"social|share|sharing|related|recommended|recommendations|comments?|commentlist|disqus|repl(?:y|ies)|respond|widgets?|toolbar|pagination|pager|login|search|copyright|"
-    rb"disclaimer|skip|donate|paywall|teaser|outbrain|taboola)(?:$|[\s_-])",
-    re.I,
-)
+_HINTS = set(b"ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies cookie-notice menu modal nav navbar newsletter notice pagination popup promo related share sharing sidebar social sponsor sponsored subscribe widget".split())
+_HINTED = {b"div", b"section", b"ul", b"ol", b"dl", b"span", b"a"}
 
 
 class _Page:
@@ -74,94 +75,111 @@ class _Page:
         self.text: list[tuple[int, int, int]] = []  # start, end, element (-1: none)
         self.breaks: list[tuple[int, int]] = []  # where a block begins or ends; as text runs of no length
         stack: list[int] = []
-        at = 0
-        for m in _TAG.finditer(raw):
-            if m.start() < at:
+        self.open: Counter[bytes] = Counter()  # of each tag, how many are in the stack
+        at = look = 0
+        quotes = True
+        while (lt := raw.find(b"<", look)) >= 0:
+            m = _OPEN.match(raw, lt)
+            if not m:
+                look = lt + 1
                 continue
-            if m.start() > at:
-                self.text.append((at, m.start(), stack[-1] if stack else -1))
-            at = m.end()
-            name = m[2]
-            if name is None:
+            rest = _REST.match(raw, m.end()) if m[3] and quotes else None
+            if m[3] and not rest:
+                quotes = False
+            stop = raw.find(b"-->", m.end()) + 3 if m[1] else rest.end() if rest else raw.find(b">", m.end()) + 1
+            if stop < 3:
+                if not m[1]:
+                    break  # no tag ends any more
+                stop = len(raw)
+            if lt > at:
+                self.text.append((at, lt, stack[-1] if stack else -1))
+            at = look = stop
+            if not m[3]:
                 continue
-            name = name.lower()
-            if m[1]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if self.tag[stack[k]] == name:
-                        for x in stack[k + 1 :]:
-                            self.end[x] = m.start()
-                        self.end[stack[k]] = at
-                        del stack[k:]
-                        break
+            name, attrs = m[3].lower(), raw[m.end() : stop - 1]
+            if m[2]:
+                if self.open[name]:
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != name:
+                        k -= 1
+                    mine = stack[k]
+                    self._pop(stack, k, lt)
+                    self.end[mine] = at
                 continue
-            self._close_implied(stack, name, m.start())
+            self._close_implied(stack, name, lt)
             me = len(self.tag)
             self.tag.append(name)
-            self.attrs.append(m[3])
-            self.start.append(m.start())
+            self.attrs.append(attrs)
+            self.start.append(lt)
             self.end.append(at)
             self.parent.append(stack[-1] if stack else -1)
-            if name in _VOID or m[3].endswith(b"/"):
-                self.text.append((m.start(), m.start(), me))
+            if name in _VOID or attrs.endswith(b"/"):
+                self.text.append((lt, lt, me))
             elif name in _RAW:
                 stop = re.compile(rb"</" + re.escape(name) + rb"[\s/>]", re.I).search(raw, at)
                 inner = stop.start() if stop else len(raw)
                 self.text.append((at, inner, me))
                 at = raw.find(b">", inner) + 1 if stop else len(raw)
-                at = at or len(raw)
+                at = look = at or len(raw)
                 self.end[me] = at
             else:
                 stack.append(me)
+                self.open[name] += 1
                 if name in _BLOCK:
-                    self.text.append((m.start(), m.start(), me))
+                    self.text.append((lt, lt, me))
         if at < len(raw):
             self.text.append((at, len(raw), stack[-1] if stack else -1))
         for x in stack:
             self.end[x] = len(raw)
 
+    def _pop(self, stack: list[int], k: int, at: int) -> None:
+        """Ends the elements of the stack from k on."""
+        for x in stack[k:]:
+            self.end[x] = at
+            self.open[self.tag[x]] -= 1
+        del stack[k:]
+
     def _close_implied(self, stack: list[int], name: bytes, at: int) -> None:
         """Ends what the new element can't stand in: a paragraph before a block, a list item before the next."""
         if name in _SIBLING:
             same = _SAME.get(name, {name})
-            for k in range(len(stack) - 1, -1, -1):
-                t = self.tag[stack[k]]
-                if t in same:
-                    for x in stack[k:]:
-                        self.end[x] = at
-                    del stack[k:]
-                    break
-                if t in _SIBLING[name] or t in (b"body", b"html"):
-                    break
-        if name in _ENDS_P:
+            if any(self.open[t] for t in same):
+                for k in range(len(stack) - 1, -1, -1):
+                    t = self.tag[stack[k]]
+                    if t in same:
+                        self._pop(stack, k, at)
+                    if t in same or t in _SIBLING[name] or t in (b"body", b"html"):
+                        break
+        if name in _ENDS_P and self.open[b"p"]:
             for k in range(len(stack) - 1, -1, -1):
                 t = self.tag[stack[k]]
                 if t == b"p":
-                    for x in stack[k:]:
-                        self.end[x] = at
-                    del stack[k:]
-                    break
+                    self._pop(stack, k, at)
                 if t in _BLOCK:
                     break
 
     def furniture(self) -> list[bool]:
-        """Of each element whether it, or one that it is in, is furniture."""
+        """Of each element whether it, or one that it is in, can't be content by its tag or role, or by its class where that decides."""
         out: list[bool] = []
-        seen: dict[tuple[bytes, bytes], bool] = {}
         in_article: list[bool] = []
-        for tag, attrs, parent in zip(self.tag, self.attrs, self.parent, strict=True):
+        holds = [False] * len(self.tag)  # an article or main element
+        for k in range(len(self.tag) - 1, -1, -1):
+            if (holds[k] or self.tag[k] in (b"article", b"main")) and self.parent[k] >= 0:
+                holds[self.parent[k]] = True
+        runs = [a for a, _, k in self.text if k < 0 or self.tag[k] not in _RAW]
+        upto = [0, *accumulate(b - a for a, b, k in self.text if k < 0 or self.tag[k] not in _RAW)]
+        for k, (tag, attrs, parent) in enumerate(zip(self.tag, self.attrs, self.parent, strict=True)):
             inside = parent >= 0 and in_article[parent]
-            own = tag in (b"article", b"main")
             bad = parent >= 0 and out[parent]
             if not bad:
                 bad = tag in _FURNITURE or (tag == b"header" and not inside)
-                if not bad and len(attrs) > 5 and tag not in (b"html", b"body", b"main"):
-                    key = (tag, attrs)
-                    if key not in seen:
-                        names = b" ".join(next(x for x in g if x is not None) if any(x is not None for x in g) else b"" for g in (m.groups() for m in _NAMES.finditer(attrs)))
-                        seen[key] = bool(_HINT.search(names) or _ROLE.search(attrs) or _HIDDEN.search(attrs))
-                    bad = seen[key]
+                if not bad and len(attrs) > 5 and not holds[k] and tag not in (b"html", b"body", b"main", b"article"):
+                    bad = bool(_ROLE.search(attrs) or _HIDDEN.search(attrs))
+                    if not bad and tag in _HINTED and (m := _CLASS.search(attrs)):
+                        own = upto[bisect_left(runs, self.end[k])] - upto[bisect_left(runs, self.start[k])]
+                        bad = 2 * own < upto[-1] and not _HINTS.isdisjoint((m[1] or m[2] or m[3] or b"").lower().split())
             out.append(bad)
-            in_article.append(inside or (own and not bad))
+            in_article.append(inside or (tag in (b"article", b"main") and not bad))
         return out
 
     def main(self, bad: list[bool]) -> list[bool]:
@@ -175,16 +193,10 @@ class _Page:
                 return inside
         return [True] * len(self.tag)
 
-    def candidates(self, bad: list[bool], inside: list[bool], whole: bool) -> list[int]:
-        """Elements that go if they recur. whole: the main part is the whole page."""
-        keep = (b"html", b"body", b"article", b"main")
-        out = []
-        for k, (t, b, i) in enumerate(zip(self.tag, bad, inside, strict=True)):
-            if b or not i or t in keep or t in _VOID:
-                continue
-            if whole or (t in _BLOCK and t not in _PROSE):
-                out.append(k)
-        return out
+    def candidates(self, inside: list[bool], whole: bool) -> list[int]:
+        """Elements that go if they recur: all but the page's own frame, and but the prose of an article. whole: the main part is the whole page."""
+        keep = (b"html", b"head", b"body", b"article", b"main")
+        return [k for k, (t, i) in enumerate(zip(self.tag, inside, strict=True)) if t not in keep and t not in _VOID and (whole or not i or (t in _BLOCK and t not in _PROSE))]
 
     def blocks(self, raw: bytes, gone: list[bool], inside: list[bool], whole: bool) -> list[str]:
         out: list[str] = []
@@ -227,34 +239,32 @@ def _parsed(c: X.Chunk) -> Iterator[tuple[int, bytes, _Page, list[bool], list[bo
         bad = page.furniture()
         inside = page.main(bad)
         whole = all(inside)
-        yield k, raw, page, bad, inside, whole, page.candidates(bad, inside, whole)
+        yield k, raw, page, bad, inside, whole, page.candidates(inside, whole)
 
 
-def _hashes(buf: np.ndarray, offset: int, page: _Page, which: list[int]) -> np.ndarray:
+def _hashes(sums: np.ndarray, offset: int, page: _Page, which: list[int]) -> np.ndarray:
     a = np.array([page.start[k] for k in which], np.int64) + offset
     b = np.array([page.end[k] for k in which], np.int64) + offset
-    return X.bytes_hash(buf, a, b).view(np.int64)
+    return X.span_hash(sums, a, b).view(np.int64)
 
 
 def _subtree_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, main (hash of the page's main part) and subtree, once for each page; a row with a null subtree for each page."""
+    """host, main (hash of the page's main part) and subtree, once for each page."""
     for b in batches:
         hosts = b.column(0).to_numpy()
         for c in X.chunks(b.column(1)):
-            host, main, tree, null = [], [], [], []
+            sums = X.item_sums(c.buf.astype(X.U) + X.U(1))
+            host, main, tree = [], [], []
             for k, _, page, bad, inside, whole, which in _parsed(c):
                 off = int(c.offs[k])
                 tops = [i for i in range(len(page.tag)) if inside[i] and not bad[i] and (page.parent[i] < 0 or not inside[page.parent[i]])]
-                whole_hash = _hashes(c.buf, off, page, [i for i in range(len(page.tag)) if page.tag[i] in (b"article", b"main", b"body") and i in tops] or tops)
+                whole_hash = _hashes(sums, off, page, [i for i in range(len(page.tag)) if page.tag[i] in (b"article", b"main", b"body") and i in tops] or tops)
                 mine = int(X.mix(np.array([whole_hash.view(np.uint64).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
-                found = np.unique(_hashes(c.buf, off, page, which)) if which else np.zeros(0, np.int64)
-                host.append(np.full(len(found) + 1, hosts[c.lo + k]))
-                main.append(np.full(len(found) + 1, mine))
-                tree.append(np.append(found, 0))
-                null.append(np.append(np.zeros(len(found), bool), True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(host)), pa.array(np.concatenate(main)), pa.array(np.concatenate(tree), mask=np.concatenate(null))], ["host", "main", "tree"]
-            )
+                found = np.unique(_hashes(sums, off, page, which)) if which else np.zeros(0, np.int64)
+                host.append(np.full(len(found), hosts[c.lo + k]))
+                main.append(np.full(len(found), mine))
+                tree.append(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (host, main, tree)], ["host", "main", "tree"])
 
 
 def _host(url: str):
@@ -262,16 +272,13 @@ def _host(url: str):
     return F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?([^/?#]*)", 1)))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """host (hash of its name) and trees: the hashes of its template subtrees, at most 1 / share times those of a page."""
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host (hash of its name) and trees: the hashes of the subtrees that are on so many different pages of it."""
     small_batches(pages.sparkSession, 1000)
     own = pages.select(_host("url").alias("host"), F.col("html").alias("html"))
     met = own.mapInArrow(_subtree_mapper, "host long, main long, tree long").distinct()
-    counts = met.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("on"))
-    counts = written(counts, "subtrees")
-    pages_of = counts.where("tree is null").select("host", F.col("on").alias("pages"))
-    often = F.greatest(F.lit(min_pages), F.ceil(share * F.col("pages")))
-    return counts.where(f"tree is not null and on >= {min_pages}").join(pages_of, "host").where(F.col("on") >= often).groupBy("host").agg(F.collect_list("tree").alias("trees"))
+    often = met.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= min_pages)
+    return often.groupBy("host").agg(F.collect_list("tree").alias("trees"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,20 +286,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = b.column(3)
         texts: list[str] = []
         for c in X.chunks(b.column(2)):
+            sums = X.item_sums(c.buf.astype(X.U) + X.U(1))
             for k, raw, page, bad, inside, whole, which in _parsed(c):
                 t = trees[c.lo + k].values
                 if which and t is not None and len(t):
-                    hit = np.isin(_hashes(c.buf, int(c.offs[k]), page, which), t.to_numpy())
+                    hit = np.isin(_hashes(sums, int(c.offs[k]), page, which), t.to_numpy())
                     for i in np.flatnonzero(hit).tolist():
                         bad[which[i]] = True
                 texts.append("\n".join(page.blocks(raw, bad, inside, whole)))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per row: page_id, url, text (blocks joined by line feeds) and n_chars (its code points)."""
-    found = written(templates(pages, min_pages, share), "templates")
+    found = written(templates(pages, min_pages), "templates")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"), _host("url").alias("host"))
-    side = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
+    side = F.broadcast(found) if (found.agg(F.sum(F.size("trees"))).first()[0] or 0) <= BROADCAST_TREES else found
     joined = own.join(side, "host", "left").select("page_id", "url", "html", "trees")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

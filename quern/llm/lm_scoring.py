@@ -1,13 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from the tokens on both its sides.
 
-Tokens are the corpus's ``COMMON`` most frequent words (counted over all documents) and, for all other words, 32 shapes by
-length, capital, symbols and final mark.  The network (embeddings of ``SIDE`` tokens on each side, one hidden layer, softmax)
-is trained in numpy, in every partition of the documents at once: each starts from the same weights, walks through its own
-texts, and returns its weights; Spark averages them weight by weight.  Every ``STRIDE``-th token of every text is a training
-target, all tokens are context, so training grows with the corpus.  A document's score is the sum of the conditional
-log-probabilities of all its tokens.
+A word is a class and its spelling within the class.  The corpus's ``WORDS`` most frequent words (counted over all documents) are
+classes of their own; all other words belong to 32 shapes by length, capital, symbols and final mark, and are spelled by
+a model of byte pairs that is counted over all of them.  The network (for each place around the token a table of
+vectors, summed; one hidden layer; a softmax over groups of classes and one over the classes of a group) gives the class, with every token of every
+text as a training target.  A document's score is the sum of the conditional log-probabilities of all its words.
 
-Only the averaged weights (about ten thousand numbers) and the common words' hashes reach the driver, whatever the corpus.
+Texts are dealt to two folds and to shards of about ``SHARD`` words by the hash of the text; a shard's texts are in the order of
+that hash, so that the fit doesn't depend on how the table is partitioned.  Each shard trains a network in numpy from the same start, and a
+fold's networks are averaged by Spark, in whole numbers.  A text is scored by the network of the other fold, which hasn't seen it.
+
+What reaches the driver is bounded, whatever the corpus: the weights (about 250,000 numbers for each fold), the frequent words' hashes and
+the 65,536 counts of byte pairs.
 
 Cases with a defined result: null, empty and blank texts have 0 tokens, log_prob 0 and a null mean; a corpus without a word
 leaves the initial weights; rows are scored one by one, so null and repeated ids keep their own; further columns are ignored.
@@ -26,16 +30,20 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._store import small_batches
 
-COMMON = 160
 SHAPES = 32
+GROUP = 64  # classes of a group
+GROUPS = 32
+WORDS = GROUP * GROUPS - SHAPES
 SIDE = 2
-EMBED = 12
-HIDDEN = 32
-STRIDE = 8
-ROUNDS = 2
+HIDDEN = 24
+FOLDS = 2
+SHARD = 2_000_000
 RATE = 0.05
+_CLASSES = GROUP * GROUPS
+_EDGE = _CLASSES  # the token beyond either end of a text
+_BLOCK = 1 << 16  # words that a shard gathers before it trains on them
 _COUNTED = 2_000_000
-_EDGE = COMMON + SHAPES  # the token beyond either end of a text
+_SCALE = 1 << 24
 
 _SYMBOL = np.ones(256, bool)
 _SYMBOL[48:58] = _SYMBOL[65:91] = _SYMBOL[97:123] = _SYMBOL[128:] = False
@@ -43,99 +51,137 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _MARK = np.zeros(256, bool)
 _MARK[np.frombuffer(b".,;:!?", np.uint8)] = True
-
-
-def _sizes() -> list[tuple[int, ...]]:
-    return [(_EDGE + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, _EDGE), (_EDGE,)]
+_SHAPES_OF = [(2 * SIDE, _CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, GROUP), (GROUPS, GROUP)]
+_AT = np.cumsum([0, *(int(np.prod(s)) for s in _SHAPES_OF)])
+_END = 32  # a space, which no word holds, ends its spelling
 
 
 def _split(flat: np.ndarray) -> list[np.ndarray]:
-    out, at = [], 0
-    for shape in _sizes():
-        n = int(np.prod(shape))
-        out.append(flat[at : at + n].reshape(shape))
-        at += n
-    return out
+    return [flat[a:b].reshape(s) for a, b, s in zip(_AT[:-1], _AT[1:], _SHAPES_OF, strict=True)]
 
 
 def _initial(seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    parts = [rng.normal(0, 0.1 if len(s) == 2 else 0, s) for s in _sizes()]
-    return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
+    return np.concatenate([rng.normal(0, 0.1 if k % 2 == 0 else 0, int(np.prod(s))) for k, s in enumerate(_SHAPES_OF)]).astype(np.float32)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _groups(tok: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each group that has some of the tokens, their places."""
+    group = tok // GROUP
+    order = np.argsort(group, kind="stable")
+    cut = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for g in np.flatnonzero(np.diff(cut)).tolist():
+        yield g, order[cut[g] : cut[g + 1]]
 
 
 @dataclass
 class Network:
-    common: np.ndarray  # sorted hashes of the common words
-    flat: np.ndarray
+    common: np.ndarray  # sorted hashes of the frequent words
+    flat: list[np.ndarray]  # of each fold
+    spelling: np.ndarray  # of each byte, the log-probability of the next one in words that aren't frequent
 
-    def tokens(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of the chunk's texts and where each text begins."""
+    def tokens(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of the chunk's words, where each text begins, the words' bounds, and the chunk in lower case."""
         low = X.LOWER[c.buf]
         s, e, first = X.word_bounds(c.buf, c.offs)
         if not len(s):
-            return np.zeros(0, np.int64), first
-        h = X.bytes_hash(low, s, e)
+            return np.zeros(0, np.int64), first, s, e, low
         symbols = np.concatenate(([0], np.cumsum(_SYMBOL[c.buf] & ~_MARK[c.buf])))
         size = np.searchsorted(np.array([4, 7, 11]), e - s, "right")
         shape = size * 8 + 4 * _UPPER[c.buf[s]] + 2 * (symbols[e] > symbols[s]) + _MARK[c.buf[e - 1]]
         if not len(self.common):
-            return COMMON + shape, first
+            return WORDS + shape, first, s, e, low
+        h = X.bytes_hash(low, s, e)
         at = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
-        return np.where(self.common[at] == h, at, COMMON + shape), first
+        return np.where(self.common[at] == h, at, WORDS + shape), first, s, e, low
+
+    def spelled(self, tok: np.ndarray, s: np.ndarray, e: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Log-probability of each word's spelling within its class; 0 for frequent words."""
+        out = np.zeros(len(tok))
+        rare = np.flatnonzero(tok >= WORDS)
+        if len(rare):
+            begin, end = s[rare], e[rare]
+            size = end - begin
+            at = X.ragged(begin, size)
+            inner = self.spelling[np.where(np.isin(at, begin, assume_unique=True), _END, low[at - 1]), low[at]]
+            out[rare] = np.add.reduceat(inner.astype(np.float64), np.cumsum(size) - size) + self.spelling[low[end - 1], _END]
+        return out
 
     @staticmethod
     def contexts(tok: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The tokens around those at the given places."""
+        """The tokens around those at the given places, a row for each place around."""
         text = np.searchsorted(first, at, "right") - 1
         lo, hi = first[text], first[text + 1]
-        out = np.empty((len(at), 2 * SIDE), np.int64)
+        out = np.empty((2 * SIDE, len(at)), np.int64)
         for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
             p = at + d
-            ok = (p >= lo) & (p < hi)
-            out[:, k] = np.where(ok, tok[np.clip(p, 0, len(tok) - 1)], _EDGE)
+            out[k] = np.where((p >= lo) & (p < hi), tok[np.clip(p, 0, len(tok) - 1)], _EDGE)
         return out
 
-    def log_prob(self, tok: np.ndarray, first: np.ndarray, batch: int = 8192) -> np.ndarray:
-        emb, w1, b1, w2, b2 = _split(self.flat)
-        # each side's place has its own share of the hidden layer: looked up instead of multiplied
-        part = [emb @ w1[k * EMBED : (k + 1) * EMBED] for k in range(2 * SIDE)]
-        out = np.empty(len(tok), np.float32)
+    def log_prob(self, fold: int, tok: np.ndarray, first: np.ndarray, batch: int = 8192) -> np.ndarray:
+        """Log-probability of each token's class, by the network of that fold."""
+        table, b1, wg, bg, ww, bw = _split(self.flat[fold])
+        out = np.empty(len(tok))
         for a in range(0, len(tok), batch):
             at = np.arange(a, min(a + batch, len(tok)))
             ctx = self.contexts(tok, first, at)
-            h = b1 + part[0][ctx[:, 0]]
-            for k in range(1, 2 * SIDE):
-                h += part[k][ctx[:, k]]
-            z = np.tanh(h) @ w2 + b2
+            h = np.tanh(b1 + sum(table[k][ctx[k]] for k in range(2 * SIDE)))
+            own = tok[at]
+            z = h @ wg + bg
             z -= z.max(axis=1, keepdims=True)
-            out[at] = z[np.arange(len(at)), tok[at]] - np.log(np.exp(z).sum(axis=1))
+            got = z[np.arange(len(at)), own // GROUP] - np.log(np.exp(z).sum(axis=1))
+            for g, rows in _groups(own):
+                z = h[rows] @ ww[g] + bw[g]
+                z -= z.max(axis=1, keepdims=True)
+                got[rows] += z[np.arange(len(rows)), own[rows] % GROUP] - np.log(np.exp(z).sum(axis=1))
+            out[at] = got
         return out
 
-    def train(self, tok: np.ndarray, first: np.ndarray, squares: np.ndarray, batch: int = 512) -> int:
-        """One pass over every STRIDE-th token (AdaGrad, in place); the number of targets."""
-        emb, w1, b1, w2, b2 = _split(self.flat)
-        g2 = _split(squares)
-        target = np.arange(0, len(tok), STRIDE)
-        for a in range(0, len(target), batch):
-            at = target[a : a + batch]
-            ctx = self.contexts(tok, first, at)
-            x = emb[ctx].reshape(len(at), -1)
-            h = np.tanh(x @ w1 + b1)
-            z = h @ w2 + b2
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(at)), tok[at]] -= 1
-            p /= len(at)
-            dh = (p @ w2.T) * (1 - h * h)
-            dx = (dh @ w1.T).reshape(-1, EMBED)
-            de = np.zeros_like(emb)
-            np.add.at(de, ctx.ravel(), dx)
-            for w, s, g in zip((emb, w1, b1, w2, b2), g2, (de, x.T @ dh, dh.sum(axis=0), h.T @ p, p.sum(axis=0)), strict=True):
+    @staticmethod
+    def train(flat: np.ndarray, squares: np.ndarray, tok: np.ndarray, first: np.ndarray, batch: int = 4096) -> None:
+        """One pass over all tokens (AdaGrad, in place)."""
+        table, b1, wg, bg, ww, bw = weights = _split(flat)
+        sums = _split(squares)
+        grad = np.zeros_like(flat)
+        d_table, d1, dwg, dbg, dww, dbw = _split(grad)
+        for a in range(0, len(tok), batch):
+            at = np.arange(a, min(a + batch, len(tok)))
+            ctx, own, scale = Network.contexts(tok, first, at), tok[at], np.float32(1 / len(at))
+            h = np.tanh(b1 + sum(table[k][ctx[k]] for k in range(2 * SIDE)))
+            p = _softmax(h @ wg + bg)
+            p[np.arange(len(at)), own // GROUP] -= 1
+            p *= scale
+            dwg[:], dbg[:] = h.T @ p, p.sum(axis=0)
+            dh = p @ wg.T
+            used = []
+            for g, rows in _groups(own):
+                p = _softmax(h[rows] @ ww[g] + bw[g])
+                p[np.arange(len(rows)), own[rows] % GROUP] -= 1
+                p *= scale
+                dww[g], dbw[g] = h[rows].T @ p, p.sum(axis=0)
+                dh[rows] += p @ ww[g].T
+                used.append(g)
+            dh *= 1 - h * h
+            d1[:] = dh.sum(axis=0)
+            for k in range(2 * SIDE):
+                order = np.argsort(ctx[k], kind="stable")
+                names, begin = np.unique(ctx[k][order], return_index=True)
+                step = np.add.reduceat(dh[order], begin, axis=0)
+                sums[0][k][names] += step * step
+                table[k][names] -= RATE * step / (np.sqrt(sums[0][k][names]) + 1e-6)
+            for w, s, g in zip(weights[1:4], sums[1:4], (d1, dwg, dbg), strict=True):
                 s += g * g
                 w -= RATE * g / (np.sqrt(s) + 1e-6)
-        return len(target)
+            for w, s, g in ((ww, sums[4], dww), (bw, sums[5], dbw)):
+                s[used] += g[used] * g[used]
+                w[used] -= RATE * g[used] / (np.sqrt(s[used]) + 1e-6)
 
 
 def _count_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,35 +204,97 @@ def _count_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield counted()
 
 
-def _train_mapper(network: Network):
+def _pair_mapper(network: Network):
+    """Counts of the byte pairs of words that aren't frequent: a row for each pair and task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(network.common, network.flat.copy())
-        squares, n = np.full(len(own.flat), 1e-4, np.float32), 0
+        total = np.zeros(1 << 16, np.int64)
         for b in batches:
             for c in X.chunks(b.column(0)):
-                tok, first = own.tokens(c)
-                n += own.train(tok, first, squares)
-        if n:
-            at = np.arange(len(own.flat), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.flat.astype(float) * n), pa.array(np.full(len(at), n, np.int64))], ["at", "weight", "n"])
+                tok, _, s, e, low = network.tokens(c)
+                rare = tok >= WORDS
+                begin, end = s[rare], e[rare]
+                at = X.ragged(begin, end - begin)
+                before = np.where(np.isin(at, begin, assume_unique=True), _END, low[at - 1]).astype(np.int64)
+                total += np.bincount(before << 8 | low[at], minlength=1 << 16)
+                total += np.bincount(low[end - 1].astype(np.int64) << 8 | _END, minlength=1 << 16)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+
+    return run
+
+
+def _train_mapper(network: Network):
+    """Weights of the shards of a task, times their words, summed: a row for each weight and fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((FOLDS, _AT[-1]), np.int64)
+        words = np.zeros(FOLDS, np.int64)
+        shard, flat, squares, n, held, size = None, None, None, 0, [], 0
+
+        def block() -> None:
+            nonlocal held, size
+            if size:
+                Network.train(flat, squares, np.concatenate(held), np.concatenate(([0], np.cumsum([len(x) for x in held]))))
+            held, size = [], 0
+
+        def close() -> None:
+            if n:
+                total[shard % FOLDS] += np.rint(flat.astype(np.float64) * _SCALE).astype(np.int64) * (n >> 10 or 1)
+                words[shard % FOLDS] += n >> 10 or 1
+
+        for b in batches:
+            shards = b.column(0).to_numpy()
+            for c in X.chunks(b.column(1)):
+                tok, first, *_ = network.tokens(c)
+                for k, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    if shards[c.lo + k] != shard:
+                        block()
+                        close()
+                        shard, flat, squares, n = int(shards[c.lo + k]), network.flat[0].copy(), np.full(_AT[-1], 1e-4, np.float32), 0
+                    if hi > lo:
+                        held.append(tok[lo:hi])
+                        size += hi - lo
+                        n += hi - lo
+                        if size >= _BLOCK:
+                            block()
+        block()
+        close()
+        for f in np.flatnonzero(words).tolist():
+            at = np.arange(_AT[-1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f, np.int32)), pa.array(at), pa.array(total[f]), pa.array(np.full(len(at), words[f]))], ["fold", "at", "weight", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> Network:
-    """A network trained on all documents."""
+def _fold():
+    return F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+
+
+def fit(docs: DataFrame) -> Network:
+    """Networks trained on all documents, one for each fold."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("text").alias("text")).where("text is not null")
     counts = texts.mapInArrow(_count_mapper, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    common = counts.orderBy(F.desc("n"), "word").limit(COMMON).toPandas()["word"].to_numpy(np.int64)
-    net = Network(np.sort(common.view(np.uint64)), _initial())
-    for _ in range(rounds):
-        mean = texts.mapInArrow(_train_mapper(net), "at int, weight double, n long").groupBy("at").agg((F.sum("weight") / F.sum("n")).alias("w"))
-        got = mean.toPandas()  # as many rows as the network has weights
-        if len(got):
-            net.flat = net.flat.copy()
-            net.flat[got["at"].to_numpy()] = got["w"].to_numpy().astype(np.float32)
-    return net
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).toPandas()
+    found = Network(np.sort(top["word"].to_numpy(np.int64).view(np.uint64)), [_initial()] * FOLDS, np.zeros((256, 256)))
+    pairs = np.full((256, 256), 0.01)
+    for r in texts.mapInArrow(_pair_mapper(found), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # 65,536 rows at most
+        pairs[r.at >> 8, r.at & 255] += r.n
+    found.spelling = np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32)
+    # about six bytes for a word
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = FOLDS * max(1, -(-size // (6 * SHARD * FOLDS)))
+    dealt = texts.select(F.pmod(F.xxhash64("text"), F.lit(shards)).cast("long").alias("shard"), "text")
+    sorted_ = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("text"))
+    trained = sorted_.mapInArrow(_train_mapper(found), "fold int, at int, weight long, n long")
+    mean = trained.groupBy("fold", "at").agg((F.sum(F.col("weight").cast("decimal(38,0)")) / F.sum("n")).cast("double").alias("w")).toPandas()  # as many rows as the networks have weights
+    for f in range(FOLDS):
+        own = mean[mean["fold"] == f]
+        if len(own):
+            found.flat[f] = np.zeros(_AT[-1], np.float32)
+            found.flat[f][own["at"].to_numpy()] = (own["w"].to_numpy() / _SCALE).astype(np.float32)
+    return found
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
@@ -195,15 +303,20 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for c in X.chunks(b.column(1)):
-                tok, first = network.tokens(c)
-                sums = np.concatenate(([0.0], np.cumsum(network.log_prob(tok, first), dtype=np.float64)))
-                n.append(np.diff(first))
-                total.append(np.diff(sums[first]))
-            count, sums = np.concatenate(n), np.concatenate(total)
-            mean = pa.array(sums / np.maximum(count, 1), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count), pa.array(sums), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+            n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            folds = b.column(2).to_numpy()
+            for f in range(FOLDS):
+                rows = np.flatnonzero(folds == f)
+                for c in X.chunks(b.column(1).take(pa.array(rows))):
+                    tok, first, s, e, low = network.tokens(c)
+                    each = network.log_prob((f + 1) % FOLDS, tok, first) + network.spelled(tok, s, e, low)
+                    size = np.diff(first)
+                    some = size > 0
+                    n[rows[c.lo : c.hi]] = size
+                    if some.any():
+                        total[rows[c.lo : c.hi][some]] = np.add.reduceat(each, first[:-1][some])
+            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.coalesce(_fold(), F.lit(0)).alias("fold"))
     return own.mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")

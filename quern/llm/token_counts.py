@@ -1,7 +1,7 @@
 """Token counts from pre-token frequencies: no list of ids is made for a document.
 
-In each task the documents' pre-tokens are hashed, counted once per distinct pre-token by the model, and the counts are
-joined to the pre-tokens of each document and summed (``_pieces.Model``).  The join stays in the task: rows of (document,
+In each task every distinct pre-token's pieces are counted once by the model, the frequencies of each document's pre-tokens are
+counted, and counts times frequencies are summed (``_pieces.Model``); only the counts are kept, no ids.  The join stays in the task: rows of (document,
 pre-token, frequency) are larger than the texts themselves, and the table of distinct pre-tokens grows with the corpus
 and can't be broadcast; a task needs only those that it meets.
 
@@ -31,7 +31,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(proto)
+        m = model(proto, "count")
         for b in batches:
             sizes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for c in X.chunks(b.column(1)):

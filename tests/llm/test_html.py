@@ -66,3 +66,73 @@ def test_pages_of_the_table(spark, sf_dir):
     assert len(got) == pages.count()
     assert sum(bool(r.text) for r in got) > 0.9 * len(got)
     assert not any("\n\n" in r.text or r.text != r.text.strip() or "  " in r.text for r in got)
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("<div class='layout has-sidebar'><article><p>one</p></article></div>", "one"),
+        ("<div id='page' class='no-header'><p>one</p><p>two</p></div>", "one\ntwo"),
+        ("<article><div class='article-header'><h1>head</h1></div><p>one</p></article>", "head\none"),
+        ("<article><div class='teaser'>lead</div><p>one</p></article>", "lead\none"),
+        ("<article><p>one</p><table class='comments-by-year'><tr><td>a</td><td>b</td></tr></table></article>", "one\na\nb"),
+    ],
+)
+def test_classes_alone_dont_empty_a_page(spark, body, want):
+    got = html_extraction.extract(spark.createDataFrame([(1, "https://a.example.com/", body)], "page_id long, url string, html string")).first()
+    assert got.text == want
+
+
+def _subtrees(html):
+    """Bytes of each element of a well-formed page."""
+    import re
+
+    out, stack = [], []
+    for m in re.finditer(r"<(/?)([a-z0-9]+)[^>]*>", html):
+        if not m[1]:
+            stack.append((m[2], m.start()))
+        else:
+            name, at = stack.pop()
+            assert name == m[2]
+            if name not in ("html", "body", "head"):
+                out.append(html[at : m.end()])
+    return out
+
+
+def test_templates_are_the_recurring_subtrees(spark):
+    """The number of template subtrees of a host, against a count of all subtrees' bytes over different pages."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    part = lambda k: f"<div><p>part {k}</p><ul><li>x{k % 3}</li></ul></div>"
+    pages = ["<html><body>" + "".join(part(rng.randrange(12)) for _ in range(rng.randrange(1, 5))) + f"<p>own {k}</p></body></html>" for k in range(40)]
+    pages += pages[:5]  # copies count once
+    seen = Counter(t for p in set(pages) for t in set(_subtrees(p)))
+    found = html_extraction.templates(spark.createDataFrame([(k, "https://h.example.com/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()
+    assert len(found) == 1 and len(found[0].trees) == len(set(found[0].trees)) == sum(n >= html_extraction.MIN_PAGES for n in seen.values())
+
+
+def test_templates_alone_find_the_text(spark, sf_dir):
+    """Without article, nav and footer tags and without classes only the recurrence of subtrees is left to tell the text."""
+    import re
+
+    pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/pages.parquet").select("page_id", "url", "html").collect()
+    bare = [(r.page_id, "https://one.example.com/", re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", (r.html or "").replace(' class="ad"', ""))) for r in pages]
+    table = spark.createDataFrame(bare, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(pages)).collect()}
+    with_, without = ({r.page_id: r.text for r in html_extraction.extract(table, n).collect()} for n in (html_extraction.MIN_PAGES, 10**9))
+    menus = sum(len(without[k].split()) - len(with_[k].split()) for k in whole)
+    changed = sum(with_[k] != without[k] for k in whole)
+    print(f"changed {changed} of {len(whole)}, words cut {menus}")
+    assert changed > 0.9 * len(whole)
+
+
+def test_no_quadratic_pages(spark):
+    """Tags and quotes that never end, deep nesting and stray end tags take time in proportion to their length."""
+    import time
+
+    bad = ["<a " * 200_000, "<a '" * 200_000 + ">", "<div>" * 100_000, "<i>" * 100_000 + "<hr>" * 100_000, "<b>" * 100_000 + "</u>" * 100_000, "<!--" * 200_000, "<script>" * 100_000]
+    began = time.time()
+    got = html_extraction.extract(spark.createDataFrame([(k, f"https://h{k}.example.com/", b) for k, b in enumerate(bad)], "page_id long, url string, html string")).collect()
+    assert len(got) == len(bad) and time.time() - began < 60
