@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
-Letters are lower-cased and numbered (the most frequent ones of the sample; all others share a number), runs of anything else are one
-boundary.  Each language's model holds, for every order up to ``ORDER``, its discounted n-gram probabilities and its
+Letters are lower-cased and numbered (the ``OWN`` most frequent ones of the sample, and all others by a hash of the code point), runs of anything
+else are one boundary.  Each language's model holds, for every order up to ``ORDER``, its discounted n-gram probabilities and its
 contexts' interpolation weights in arrays sorted by the n-gram's hash.  A whole text is scored by every model; the least
 cross-entropy per character wins.  The share of the winner is a softmax whose steepness is calibrated on texts left out of
 the models, and so are the cross-entropies beyond which a text is rejected as being in none of the languages.
@@ -31,8 +31,11 @@ from ._store import small_batches
 
 ORDER = 4
 PER_LANGUAGE = 400
-SYMBOLS = 64  # 0 boundary, 1 other letters, 2.. the most frequent letters
-_BITS = 6
+_BITS = 10
+SYMBOLS = 1 << _BITS  # 0 boundary, then the most frequent letters, then the rest by hash
+OWN = 511
+#: N-grams that a worker remembers before it starts anew; only speed depends on it.
+REMEMBERED = 2_000_000
 #: Bits for a character that a text may have beyond the worst 0.1 % of the texts left out of the models.
 MARGIN = 2.0
 
@@ -95,7 +98,7 @@ class KneserNey:
     """Interpolated, one discount for each order; orders below the highest count distinct left neighbours."""
 
     def __init__(self, sequences: list[np.ndarray]) -> None:
-        pad = np.zeros(ORDER - 1, np.uint8)
+        pad = np.zeros(ORDER - 1, np.uint16)
         codes = [_grams(np.concatenate((pad, s)), ORDER)[ORDER - 1 :] for s in sequences]
         gram, count = np.unique(np.concatenate(codes), return_counts=True)
         self.prob: list[_Table] = []
@@ -132,16 +135,19 @@ class Identifier:
     def number(self) -> None:
         """Prepares scoring in this process."""
         letter = _letters()
-        rank = np.zeros(0x110000, np.uint8)
-        rank[self.letters] = np.arange(2, 2 + len(self.letters))
-        self.table = np.where(letter > 0, np.maximum(rank[letter], 1), 0).astype(np.uint8)
-        self.slot = np.full(1 << (_BITS * ORDER), -1, np.int32)  # of n-grams met so far
+        other = OWN + 1 + (X.mix(np.arange(0x110000, dtype=X.U)) % X.U(SYMBOLS - OWN - 1)).astype(np.uint16)
+        other[self.letters] = np.arange(1, 1 + len(self.letters))
+        self.table = np.where(letter > 0, other[letter], 0).astype(np.uint16)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.int64)  # n-grams met so far, sorted
         self.bits = np.zeros((0, len(self.languages)), np.float32)
 
     def symbols(self, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of the texts that ``first`` cuts, boundaries at the head and repeated ones dropped."""
         s = self.table[points]
-        before = np.zeros(len(s), np.uint8)
+        before = np.zeros(len(s), np.uint16)
         before[1:] = s[:-1]
         before[first[:-1][np.diff(first) > 0]] = 0
         keep = (s > 0) | (before > 0)
@@ -164,13 +170,19 @@ class Identifier:
             prior[k:] = s[: len(s) - k]
             prior[inside < k] = 0
             code |= prior << (_BITS * k)
-        at = self.slot[code]
-        if (at < 0).any():
-            fresh = np.unique(code[at < 0])
-            self.slot[fresh] = np.arange(len(self.bits), len(self.bits) + len(fresh))
-            new = np.column_stack([-np.log2(m.probability(fresh.astype(X.U))) for m in self.models]).astype(np.float32)
-            self.bits = np.concatenate((self.bits, new))
-            at = self.slot[code]
+        grams, inverse = np.unique(code, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        pos = np.searchsorted(self.known, grams)
+        inside = pos < len(self.known)
+        fresh = ~inside
+        fresh[inside] = self.known[pos[inside]] != grams[inside]
+        if fresh.any():
+            new = np.column_stack([-np.log2(m.probability(grams[fresh].astype(X.U))) for m in self.models]).astype(np.float32)
+            self.known = np.insert(self.known, pos[fresh], grams[fresh])
+            self.bits = np.insert(self.bits, pos[fresh], new, axis=0)
+            pos = np.searchsorted(self.known, grams)
+        at = pos[inverse]
         some = n > 0
         for k in range(len(self.languages)):
             out[some, k] = np.add.reduceat(self.bits[at, k].astype(np.float64), first[:-1][some]) / n[some]
@@ -214,7 +226,7 @@ def fit(docs: DataFrame, folds: int = 4, fold: int = 2) -> Identifier:
         for t in texts:
             seen += np.bincount(letter[_code_points(t.encode())], minlength=0x110000) if t else 0
     seen[0] = 0
-    top = np.argsort(-seen, kind="stable")[: SYMBOLS - 2]
+    top = np.argsort(-seen, kind="stable")[:OWN]
     found = Identifier(languages, top[seen[top] > 0], [], np.full(len(languages), np.inf))
     found.number()
     check: list[tuple[int, str]] = []
@@ -238,7 +250,7 @@ def fit(docs: DataFrame, folds: int = 4, fold: int = 2) -> Identifier:
     found.steep = kept
     own = bits[np.arange(len(n)), truth] - 6 / np.sqrt(n)
     found.limit = np.array([np.quantile(own[truth == k], 0.999) + MARGIN if (truth == k).any() else np.inf for k in range(len(languages))])
-    found.table, found.slot, found.bits = None, None, None
+    found.table, found.known, found.bits = None, None, None
     return found
 
 

@@ -3,12 +3,13 @@
 Each document's statistics are transformed towards symmetry and compared with the minimum-covariance-determinant estimate
 of its language and source: concentration steps, each an aggregation over all rows, repeat "mean and covariance of
 the half of the group that is nearest" until no group's log-determinant falls by more than ``SETTLED`` any more (``STEPS``
-steps at most).  A document is rejected when its squared robust Mahalanobis distance is beyond a chi-square quantile, scaled
+steps at most).  The steps are taken from ``STARTS`` starts at once, the rows around the medians and small subsets by a hash, and a group keeps the estimate
+of the least determinant.  A document is rejected when its squared robust Mahalanobis distance is beyond a chi-square quantile, scaled
 by the median distance of the group, after one reweighting step over the rows inside that limit.  Only the nearer half of the group decides on the scale, so up to half of its rows may be
 outliers.
 
-The estimates are rows of a table, one for each group; no group's rows meet in one task, and nothing but the number of rows
-reaches the driver.  Groups of fewer than ``LEAST`` rows share one group of all such rows.
+The estimates are rows of a table, one for each group, which is broadcast when its groups are counted and few (``BROADCAST_GROUPS``); no
+group's rows meet in one task, and nothing but numbers of rows reaches the driver.  Groups of fewer than ``LEAST`` rows share one group of all such rows.
 
 Cases with a defined result: null and empty texts have zero counts and fail the base rule; null languages and sources are
 groups of their own; rows that fail the base rule take no part in the estimates; where a statistic is constant in a group
@@ -35,6 +36,11 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 LEAST = 30
 STEPS = 20
+STARTS = 4
+#: Rows that a start by hash has on average.
+SUBSET = 15
+#: Groups of some 500 bytes each: at most some 10 MB are broadcast.
+BROADCAST_GROUPS = 20_000
 SETTLED = 1e-3
 FLOOR = (0.05, 0.02, 0.03, 0.05, 0.05)
 #: Chi-square quantiles of 5 degrees of freedom: at 1e-6, and the median.
@@ -152,14 +158,10 @@ def _shapes(moments: DataFrame) -> DataFrame:
 def _distance(df: DataFrame, shapes: DataFrame) -> DataFrame:
     """df with d2, the squared Mahalanobis distance to its group's estimate."""
     k = len(FEATURES)
-    joined = df.join(shapes, "grp", "left")
+    joined = df.join(shapes.select("grp", "centre", "inverse"), "grp", "left")
     off = [F.col(f) - F.col("centre")[i] for i, f in enumerate(FEATURES)]
-    total = None
-    for i in range(k):
-        for j in range(k):
-            term = off[i] * off[j] * F.col("inverse")[i * k + j]
-            total = term if total is None else total + term
-    return joined.withColumn("d2", total).drop("centre", "inverse", "logdet")
+    total = sum((off[i] * off[j] * F.col("inverse")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
+    return joined.withColumn("d2", total).drop("centre", "inverse")
 
 
 def _limit(far: DataFrame) -> DataFrame:
@@ -173,29 +175,36 @@ def judge(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     stats = statistics(docs).withColumn("base_failed", failed)
     named = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0")))
     rows = written(_features(stats.withColumn("own", named)), "statistics")
-    sized = rows.where("not base_failed").groupBy("own").agg(F.count(F.lit(1)).alias("size"))
-    grouped = rows.join(sized, "own", "left").withColumn("grp", F.when(F.col("size") >= LEAST, F.col("own")).otherwise(F.lit("small")))
+    sized = written(rows.where("not base_failed").groupBy("own").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    few = sized.count() * STARTS <= BROADCAST_GROUPS
+    side = F.broadcast if few else (lambda df: df)
+    grouped = rows.join(side(sized), "own", "left").withColumn("grp", F.when(F.col("size") >= LEAST, F.col("own")).otherwise(F.lit("small")))
     good = grouped.where("not base_failed").select("doc_id", "grp", *FEATURES)
 
-    # start from the rows around the medians, then concentrate
-    middle = good.groupBy("grp").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"p{i}") for i, f in enumerate(FEATURES)))
+    # each group once for each start; start 0 are the rows around the medians, the others a few rows by hash
+    many = good.withColumn("start", F.explode(F.array(*(F.lit(k) for k in range(STARTS))))).withColumn("grp", F.concat_ws("\x1e", "start", "grp"))
+    middle = many.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), *(F.percentile_approx(f, 0.5, 1000).alias(f"p{i}") for i, f in enumerate(FEATURES)))
     near = sum((F.abs(F.col(f) - F.col(f"p{i}")) / FLOOR[i] for i, f in enumerate(FEATURES)), F.lit(0.0))
-    start = good.join(middle, "grp").withColumn("d2", near)
-    shapes = None
+    drawn = F.pmod(F.xxhash64("doc_id", "start", *FEATURES), F.col("rows")) < SUBSET
+    begun = many.join(side(middle), "grp").withColumn("d2", near)
+    cut = begun.where("start = 0").groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("cut"))
+    chosen = begun.join(side(cut), "grp", "left").where(((F.col("start") == 0) & (F.col("d2") <= F.col("cut"))) | ((F.col("start") > 0) & drawn))
+    shapes = written(_shapes(_moments(chosen)), "shapes")
     for _ in range(steps):
-        ranked = start if shapes is None else _distance(good, shapes)
+        ranked = _distance(many, side(shapes))
         cut = ranked.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("cut"))
-        before, shapes = shapes, written(_shapes(_moments(ranked.join(cut, "grp").where("d2 <= cut"))), "shapes")
-        if before is not None:
-            falls = shapes.join(before.select("grp", F.col("logdet").alias("was")), "grp").where(F.col("was") - F.col("logdet") > SETTLED)
-            if falls.isEmpty():
-                break
+        before, shapes = shapes, written(_shapes(_moments(ranked.join(side(cut), "grp").where("d2 <= cut"))), "shapes")
+        falls = shapes.join(before.select("grp", F.col("logdet").alias("was")), "grp").where(F.abs(F.col("was") - F.col("logdet")) > SETTLED)
+        if falls.isEmpty():
+            break
+    best = shapes.withColumn("grp", F.expr("substring(grp, 3)")).groupBy("grp").agg(F.min_by(F.struct("centre", "inverse"), "logdet").alias("best"))
+    shapes = side(best.select("grp", "best.*"))
     # the half nearest to a centre has a smaller covariance than the whole: scale so that the median is the chi-square one
     far = _distance(good, shapes)
-    inside = far.join(_limit(far), "grp").where("d2 <= limit")
+    inside = far.join(side(_limit(far)), "grp").where("d2 <= limit")
     # reweighting: the covariance of all rows inside, so that their ordinary tails stay
-    shapes = written(_shapes(_moments(inside)), "shapes")
+    shapes = side(written(_shapes(_moments(inside)), "shapes"))
     limit = _limit(_distance(good, shapes))
-    judged = _distance(grouped, shapes).join(limit, "grp", "left")
+    judged = _distance(grouped, shapes).join(side(limit), "grp", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("limit"), F.lit(True))
     return judged.select("doc_id", *STATS, "base_failed", kept.alias("kept"), F.sqrt("d2").alias("distance"))

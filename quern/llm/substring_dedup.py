@@ -2,10 +2,11 @@
 
 The reference of a document is every document with a smaller id.  It is indexed in blocks that the content itself
 delimits: the anchor of a window (``window`` consecutive words) is the least hash among its ``GRAM``-word grams, and a
-block is a maximal run of windows with one anchor, so equal passages are cut alike in every document.  A document is
-factored greedily against that index: a block that an earlier document holds whole is a factor, and factors of
-neighbouring blocks join.  Where a factor ends inside a block, its boundary is checked window by window against the other
-blocks of the same anchor.  Every factor of at least one window is a duplicate span.
+block is a maximal run of windows with one anchor, so equal passages are cut alike in every document.  A block that an
+earlier document holds whole is a match; where blocks of one anchor differ, their windows are matched one by one, so that a
+match's boundary inside a block is found.  A document is then parsed greedily: matches that continue one another in the same
+earlier document at the same distance are one maximal match, and at each place the match that reaches farthest becomes a factor,
+behind which the parse goes on.  The factors are the duplicate spans.
 
 Cases with a defined result: null and empty texts have no words; texts under one window keep all words; rows with a null
 id are neither reference nor changed; rows that repeat an id are one document for the comparison of ids, and each row is
@@ -122,9 +123,9 @@ def _window_mapper(window: int, gram: int):
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Spans of words that an earlier document also holds: doc, tag (a hash that tells rows of one id apart), at, len.
+    """Matches of words with an earlier document: doc, tag (a hash that tells rows of one id apart), at, len, origin (that document) and shift (where it stands there, less at).
 
-    Spans of one document may overlap; their union is what ``window``-word windows of documents with a smaller id cover.
+    Matches of one document may overlap; their union is what ``window``-word windows of documents with a smaller id cover.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("tag"), F.col("text").alias("text"))
@@ -139,10 +140,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     )
     met = written(blocks.join(shared, "anchor"), "met")
     key = ["anchor", "block", "n"]
-    index = written(met.groupBy(*key).agg(F.min("doc").alias("origin")), "index")  # a table of its own, as below
+    index = written(met.groupBy(*key).agg(F.min(F.struct("doc", "a")).alias("first")).select(*key, F.col("first.doc").alias("origin"), F.col("first.a").alias("origin_at")), "index")  # a table of its own, as below
     parsed = written(met.join(index, key), "parsed")
     discard(blocks, met, index)
-    whole = parsed.where("doc > origin").select("doc", "tag", F.col("a").alias("at"), (F.col("n") + F.lit(window - 1)).alias("len"))
+    whole = parsed.where("doc > origin").select("doc", "tag", F.col("a").alias("at"), (F.col("n") + F.lit(window - 1)).alias("len"), "origin", (F.col("origin_at") - F.col("a")).alias("shift"))
     # What no earlier document holds whole may still overlap other blocks of its anchor: check at the boundary.
     open_blocks = parsed.where("contested and doc = origin").groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "n")).alias("list"))
     windows = written(
@@ -152,38 +153,57 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         "windows",
     )
     # As a table of its own: joined to it, a passage with very many windows can be split among tasks.
-    first = written(windows.groupBy("anchor", "hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi"), "first")
-    edge = windows.join(first, ["anchor", "hash"]).where("doc > lo").select("doc", "tag", "at", F.lit(window).alias("len"))
+    first = windows.groupBy("anchor", "hash").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("hi")).where("first.doc < hi")
+    first = written(first.select("anchor", "hash", F.col("first.doc").alias("origin"), F.col("first.at").alias("origin_at")), "first")
+    edge = windows.join(first, ["anchor", "hash"]).where("doc > origin").select("doc", "tag", "at", F.lit(window).alias("len"), "origin", (F.col("origin_at") - F.col("at")).alias("shift"))
     return whole.unionByName(edge)
 
 
-def _keep_masks(starts: list[np.ndarray], lens: list[np.ndarray], counts: np.ndarray) -> list[np.ndarray | None]:
-    """For each text which words stay; None where all do."""
-    out: list[np.ndarray | None] = []
-    for s, n, words in zip(starts, lens, counts, strict=True):
-        if s is None or not len(s) or not words:
-            out.append(None)
-            continue
-        s, e = s.astype(np.int64), s.astype(np.int64) + n
-        level = np.zeros(words + 1, np.int32)
-        np.add.at(level, s, 1)
-        np.add.at(level, e, -1)
-        out.append(np.cumsum(level[:-1]) == 0)
+def parse(at: np.ndarray, size: np.ndarray, origin: np.ndarray, shift: np.ndarray) -> list[tuple[int, int]]:
+    """The factors (first word, end) of one document's greedy parse."""
+    order = np.lexsort((at, shift, origin))
+    a, e, o, d = at[order].astype(np.int64), (at + size)[order].astype(np.int64), origin[order], shift[order]
+    new = np.ones(len(a), bool)  # a match that doesn't continue the one before it
+    new[1:] = (o[1:] != o[:-1]) | (d[1:] != d[:-1]) | (a[1:] > e[:-1])
+    head = np.flatnonzero(new)
+    a, e = a[head], np.maximum.reduceat(e, head)
+    order = np.argsort(a, kind="stable")
+    out: list[tuple[int, int]] = []
+    place, far = 0, -1
+    for x, y in zip(a[order].tolist(), e[order].tolist(), strict=True):
+        if x > place and far > place:  # nothing else begins before here
+            out.append((place, far))
+            place = far
+        if far <= place:
+            place = max(place, x)
+        far = max(far, y)
+    if far > place:
+        out.append((place, far))
     return out
 
 
+def _keep_mask(spans: tuple[np.ndarray, ...] | None, words: int) -> np.ndarray | None:
+    """Which words of a text stay; None where all do."""
+    if spans is None or not len(spans[0]) or not words:
+        return None
+    keep = np.ones(words, bool)
+    for a, e in parse(*spans):
+        keep[a:e] = False
+    return keep
+
+
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with a column __spans: the spans found in that row's text (rows of one id are told apart by their text)."""
-    per = spans.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("at", "len")).alias("__spans"))
+    per = spans.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("at", "len", "origin", "shift")).alias("__spans"))
     keyed = docs.withColumn("__of", F.col("doc_id").cast("long")).withColumn("__hash", F.hash("text"))
     return keyed.join(per, (F.col("__of") == F.col("__doc")) & (F.col("__hash") == F.col("__tag")), "left").drop("__of", "__hash", "__doc", "__tag")
 
 
-def _lists(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray] | None]:
+def _lists(col: pa.Array) -> list[tuple[np.ndarray, ...] | None]:
     out = []
     for x in col:
         v = x.values
-        out.append(None if v is None else (v.field("at").to_numpy(), v.field("len").to_numpy()))
+        out.append(None if v is None else tuple(v.field(k).to_numpy() for k in ("at", "len", "origin", "shift")))
     return out
 
 
@@ -193,7 +213,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_words, n_removed, sha = [], [], []
         for text, span in zip(b.column(1), spans, strict=True):
             words = (text.as_py() or "").encode().split()
-            keep = _keep_masks([span[0]], [span[1]], np.array([len(words)]))[0] if span else None
+            keep = _keep_mask(span, len(words))
             kept = words if keep is None else list(compress(words, keep.tolist()))
             n_words.append(len(words))
             n_removed.append(len(words) - len(kept))
@@ -228,19 +248,19 @@ def remove_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = _with_spans(docs, duplicate_spans(docs, window))
 
     @F.pandas_udf("string")
-    def cut(text, at, size):  # noqa: ANN001
+    def cut(text, at, size, origin, shift):  # noqa: ANN001
         import pandas as pd
 
         out = []
-        for t, a, n in zip(text, at, size, strict=True):
-            if t is None or a is None or not len(a):
+        for t, *span in zip(text, at, size, origin, shift, strict=True):
+            if t is None or span[0] is None or not len(span[0]):
                 out.append(t)
                 continue
-            keep = _keep_masks([np.asarray(a)], [np.asarray(n)], np.array([len(t.encode().split())]))[0]
+            keep = _keep_mask(tuple(map(np.asarray, span)), len(t.encode().split()))
             out.append(t if keep is None or keep.all() else _cut(t, keep))
         return pd.Series(out, dtype=object)
 
-    new = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", F.col("__spans.at"), F.col("__spans.len")))
+    new = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", *(F.col(f"__spans.{k}") for k in ("at", "len", "origin", "shift"))))
     done = joined.withColumn("text", new)
     if "n_chars" in cols:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -66,6 +66,20 @@ def test_patterned_texts_differ(spark, sp):
     assert {r.doc_id: r.ids for r in sentencepiece_codec.encode(frame(*texts), MODEL).collect()} == {k: sp.encode(t) for k, t in enumerate(texts)}
 
 
+def test_greedy_parse():
+    """Factors cover what the matches cover, don't overlap, and each reaches as far as any match at its place."""
+    import random
+
+    rng = random.Random(8)
+    for _ in range(300):
+        matches = [(rng.randrange(60), rng.randrange(5, 15), rng.randrange(3), rng.randrange(-2, 3)) for _ in range(rng.randrange(1, 12))]
+        got = substring_dedup.parse(*map(np.array, zip(*matches, strict=True)))
+        assert {k for a, e in got for k in range(a, e)} == {k for a, n, _, _ in matches for k in range(a, a + n)}
+        assert all(e <= a for (_, e), (a, _) in zip(got, got[1:], strict=False))
+        for a, e in got:
+            assert e >= max(x + n for x, n, _, _ in matches if x <= a < x + n)
+
+
 def test_substring_dedup_repeated_and_null_ids(spark):
     p = " ".join(f"w{k}" for k in range(60))
     rows = [(1, p), (1, p), (2, p), (2, "x " + p), (None, p), (None, None)]
@@ -287,6 +301,52 @@ def test_language_held_out(spark, sf_dir):
     assert total > 100 and right / total > 0.97
 
 
+def test_language_of_rare_letters(spark):
+    """Languages are told apart by letters that few texts of the sample have, and by letters beyond the numbered ones."""
+    import random
+
+    rng = random.Random(3)
+    first = [chr(0x4E00 + k) for k in range(2000)]
+    second = [chr(0x7000 + k) for k in range(2000)]
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(60))
+    rows = [(k, text(first if k % 2 else second), "aa" if k % 2 else "bb") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.predict(docs, language_id.fit(docs)).join(docs, "doc_id").where("held_out")
+    right, total = got.select(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert total > 40 and right / total > 0.95
+
+
+def test_language_cross_entropy(spark):
+    """A text's bits for a character, against one n-gram at a time from plain counts."""
+    from collections import Counter
+    from math import log2
+
+    rng = np.random.default_rng(1)
+    train = [rng.integers(0, 6, 300).astype(np.uint16) for _ in range(3)]
+    model = language_id.KneserNey(train)
+    grams = Counter(tuple(([0] * 3 + s.tolist())[i : i + 4]) for s in train for i in range(len(s)))
+    levels = [grams]
+    for _ in range(3):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+
+    def probability(gram):
+        p = 1 / language_id.SYMBOLS
+        for n, counts in enumerate(levels, 1):
+            g = gram[4 - n :]
+            n1, n2 = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+            off = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            same = [c for k, c in counts.items() if k[:-1] == g[:-1]]
+            if same:
+                p = max(counts.get(g, 0) - off, 0) / sum(same) + off * len(same) / sum(same) * p
+        return p
+
+    text = rng.integers(0, 7, 50)
+    padded = [0, 0, 0, *text.tolist()]
+    codes = np.array([sum(x << language_id._BITS * k for k, x in enumerate(reversed(padded[i : i + 4]))) for i in range(50)], np.uint64)
+    want = -sum(log2(probability(tuple(padded[i : i + 4]))) for i in range(50)) / 50
+    assert abs(-np.log2(model.probability(codes)).mean() - want) < 1e-9
+
+
 def test_language_cases(spark, docs, rows, clashing):
     model = language_id.fit(docs)
     for df in (docs, clashing):
@@ -305,9 +365,10 @@ def test_language_cases(spark, docs, rows, clashing):
 def test_language_probabilities_sum_to_one():
     """Of an interpolated model, the probabilities of all symbols after a context are one in sum."""
     rng = np.random.default_rng(0)
-    model = language_id.KneserNey([rng.integers(0, 12, 4000).astype(np.uint8)])
-    for context in (0, 5 | 3 << 6 | 1 << 12, 60 | 61 << 6 | 62 << 12):
-        codes = (np.uint64(context) << np.uint64(6)) | np.arange(64, dtype=np.uint64)
+    model = language_id.KneserNey([rng.integers(0, 12, 4000).astype(np.uint16)])
+    bits = language_id._BITS
+    for a, b, c in ((0, 0, 0), (5, 3, 1), (60, 61, 62)):
+        codes = (np.uint64(a | b << bits | c << 2 * bits) << np.uint64(bits)) | np.arange(language_id.SYMBOLS, dtype=np.uint64)
         assert abs(model.probability(codes).sum() - 1) < 1e-9
 
 
