@@ -49,6 +49,8 @@ SALTS = 64
 PAIRS = 32
 #: So many of the most frequent shingles are put last in the order of bits; only speed depends on it.
 FREQUENT = 1 << 18
+#: Pairs, up to which the ids of their documents (two of 20 bytes each) are broadcast to the texts; beyond that the texts are shuffled.
+BROADCAST_PAIRS = 300_000
 _BUFFER = 2_000_000
 _NO_BAND = -1
 
@@ -248,6 +250,8 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         close = _near(apart, F.col("na") + F.col("nb"), percent)
         left = written(pairs.distinct().join(ends[0], "a").join(ends[1], "b").where(close).select("a", "b", "rowa", "rowb"), "pairs")
         wanted = left.select(F.col("a").alias("node"), "rowa.*").unionByName(left.select(F.col("b").alias("node"), "rowb.*")).distinct()
+        if left.count() <= BROADCAST_PAIRS:
+            wanted = F.broadcast(wanted)
         same = own["doc_id"].eqNullSafe(wanted["doc_id"]) & (own["tag"] == wanted["tag"])
         texts = written(own.join(wanted, same).select("node", "text"), "texts")
         one = texts.dropDuplicates(["node"])
