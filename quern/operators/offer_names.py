@@ -1,12 +1,16 @@
 """Part type, variant and quality tags in free-text offer names, as column expressions.
 
-The text without vehicle models (``model_names``) goes through a list of patterns; each takes its matches out of the text before the next one looks.
+The text without vehicle models (``model_names``) goes through ``EXTRACTION``, a table of rules in order of precedence; one fold applies them, so that
+each rule sees what those before it have left.
 What is left are words, which word classes sort into side, position, finish and the like; the stems of the others are the part type.
 Every step is a projection, so a whole parse is one stage without Python.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,30 +64,39 @@ TAGS = [
 NUM = r"\d+(?:[.,]\d+)?"
 NB = r"(?<![a-z\d])"
 NE = r"(?![a-z\d])"
-#: Units: pattern of the number and of what follows it, and how the unit is written in a dimension.
+#: Units: what follows the number, the number itself, and how the unit is written in a dimension.
 UNITS = [
-    (NUM, rf"\s*w{NE}", "w"), (NUM, rf"\s*km/h{NE}", "kmh"), (NUM, rf"\s*hz{NE}", "hz"), (NUM, rf"\s*ccm{NE}", "ccm"), (NUM, rf"\s*kc{NE}", "kc"), (r"\d+", rf"\s*pl{NE}\.?", "pl"),
-    (r"\d+", rf"\s*cl{NE}\.?", "cl"), (NUM, rf"\s*ah{NE}", "ah"), (NUM, rf"\s*kg{NE}", "kg"), (NUM, rf"\s*ml{NE}", "ml"), (r"\d{1,2}(?:[.,]\d+)?", rf"\s*l{NE}", "l"),
-    (NUM, rf"\s*mm2{NE}", "mm2"), (NUM, rf"a{NE}", "a"), (r"\d+", r"\s*clank\w*", "cl"),
+    (rf"\s*w{NE}", NUM, "w"), (rf"\s*km/h{NE}", NUM, "kmh"), (rf"\s*hz{NE}", NUM, "hz"), (rf"\s*ccm{NE}", NUM, "ccm"), (rf"\s*kc{NE}", NUM, "kc"), (rf"\s*pl{NE}\.?", r"\d+", "pl"),
+    (rf"\s*cl{NE}\.?", r"\d+", "cl"), (rf"\s*ah{NE}", NUM, "ah"), (rf"\s*kg{NE}", NUM, "kg"), (rf"\s*ml{NE}", NUM, "ml"), (rf"\s*l{NE}", r"\d{1,2}(?:[.,]\d+)?", "l"),
+    (rf"\s*mm2{NE}", NUM, "mm2"), (rf"a{NE}", NUM, "a"), (r"\s*clank\w*", r"\d+", "cl"),
 ]
-SOCKETS = rf"{NB}(?:(?:bay?|bax)\d{{1,2}}[a-z]?{NE}|p\d{{2}}[st]{NE}|e\d{{2}}{NE}|h\d(?![a-z\d-]))"
-#: Shapes of dimensions that are taken as they are written, in order.
+#: Shapes of dimensions that are taken as they are written, in order: of bearings white space becomes a hyphen, of diameters and lengths signs go.
 SHAPES = [
-    rf"{NB}\d+/\d+\s*[x×]\s*(?:\d+/\d+|{NUM})",
-    rf"{NB}m\d+(?:[.,]\d+)?(?:\s*[x×]\s*{NUM}){{1,2}}(?:\s*mm)?",
-    rf"{NB}m\d+(?:[.,]\d+)?-\d+{NE}",
-    rf"{NB}m\d{{1,2}}(?:[.,]\d+)?(?:\s*mm)?{NE}",
-    rf"{NB}[dl]\s*[=-]\s*{NUM}(?:\s*mm)?{NE}",
-    rf'{NUM}\s*["”″]?\s*[x×]\s*{NUM}\s*["”″]?(?:\s*[x×]\s*{NUM})?(?:\s*mm)?',
-    rf"{NB}\d[.,]\d{{2}}\s*-\s*\d{{2}}{NE}",
-    rf'{NB}{NUM}\s*["”″]',
-    rf"(?:ø\s*)?{NB}{NUM}\s*mm{NE}",
-    rf"{NB}(?:6\d{{3}}(?:\s*(?:2rs|rs|zz|2z))?|\d{{4}}\s*(?:2rs|rs|zz|2z)){NE}",
-    rf"{NB}\d+[.,]\d+\s*/\s*\d+[.,]\d+{NE}",
-    rf"{NB}\d+[.,]\d{{2}}{NE}",
+    (rf"{NB}\d+/\d+\s*[x×]\s*(?:\d+/\d+|{NUM})", "close"),
+    (rf"{NB}m\d+(?:[.,]\d+)?(?:\s*[x×]\s*{NUM}){{1,2}}(?:\s*mm)?", "close"),
+    (rf"{NB}m\d+(?:[.,]\d+)?-\d+{NE}", "close"),
+    (rf"{NB}m\d{{1,2}}(?:[.,]\d+)?(?:\s*mm)?{NE}", "close"),
+    (rf"{NB}[dl]\s*[=-]\s*{NUM}(?:\s*mm)?{NE}", "bare"),
+    (rf'{NUM}\s*["”″]?\s*[x×]\s*{NUM}\s*["”″]?(?:\s*[x×]\s*{NUM})?(?:\s*mm)?', "close"),
+    (rf"{NB}\d[.,]\d{{2}}\s*-\s*\d{{2}}{NE}", "close"),
+    (rf'{NB}{NUM}\s*["”″]', "close"),
+    (rf"(?:ø\s*)?{NB}{NUM}\s*mm{NE}", "close"),
+    (rf"{NB}(?:6\d{{3}}(?:\s*(?:2rs|rs|zz|2z))?|\d{{4}}\s*(?:2rs|rs|zz|2z)){NE}", "hyphen"),
+    (rf"{NB}\d+[.,]\d+\s*/\s*\d+[.,]\d+{NE}", "close"),
+    (rf"{NB}\d+[.,]\d{{2}}{NE}", "close"),
 ]
+SOCKETS = rf"{NB}(?:(?:bay?|bax)\d{{1,2}}[a-z]?{NE}|p\d{{2}}[st]{NE}|e\d{{2}}{NE}|h\d(?![a-z\d-]))"
 JET = rf"{NB}m\d+(?:[.,]\d+)?(?:\s*[x×]\s*{NUM}){{1,2}}(?:\s*mm)?(?:\s*-\s*\d{{2,3}}(?![a-z\d.,]))?"
 CHAIN = rf"{NB}s?(?:41\d|42\d|52\d|53\d)[hs]?{NE}"
+CODE = r"[a-z0-9]+(?:[-.][a-z0-9]+)*"
+INCHES = rf'{NB}({NUM})\s*["”″](?!\s*[x×])'
+#: Marks in the whole name: after a star, after two commas, and a grade in quotes at its end.
+STAR_MARK = r"\*([^\s*,;()/]*)"
+COMMA_MARK = r',,([^\s,"”″]*)'
+GRADE_MARK = r'\s"([a-z0-9]{1,3})\s*$'
+E_MARK = r"(?:^|\s)-e-(?=\s|$)"
+#: What is written apart though it belongs to the number behind it.
+SERIES = r"(?<![a-z])(phbg|sha)\s+(?=\d)"
 NOT_A_CODE = (
     r"^(?:(?:cena|za)?\d{1,3}(?:\.\d{1,2})?(?:a|m|cm|mm|t|d|l|ml|kg|hr|klic|kus|typ|kont|valec|rychl)|\d{1,3}g|\d+x[a-z]*|\d+\.[a-z]+|a\d|[dl]\d+(?:mm)?|m\d{3}|mz\d+|"
     r"s(?:11|22|23)|sv\d|bab?-?\d{3}|\d+-[a-z]+)$"
@@ -93,6 +106,41 @@ WITH = rf"{NB}(?:s|se|vc|vcetne|bez)[. ]\s*(?:(?:jedn\w*|dv\w*|tri|tremi|ctyr\w*
 VARIANT = ["dimension", "voltage", "side", "position", "finish", "color", "material", "teeth", "pack", "size", "ref", "with", "version", "note", "code"]
 
 
+class Rule(NamedTuple):
+    """All matches of a pattern leave the text; a group of each, tidied and with its unit, joins a field."""
+
+    field: str
+    pattern: str
+    group: int = 0
+    tidy: str = ""
+    unit: str = ""
+    beside: str = ""  # only in texts that also hold this
+    first: bool = False  # only while the field is empty
+
+
+#: Replacements of each way to tidy, in order.
+TIDY = {
+    "": [],
+    "close": [(",", "."), ("×", "x"), ("[”″]", '"'), (r"\s+", ""), ("^ø", "")],
+    "bare": [(",", "."), (r"[\s=-]+", "")],
+    "hyphen": [(r"\s+", "-")],
+}
+EXTRACTION = [
+    Rule("version", r"(?<![\d.,])(\d)\s*\.?\s*typ(?![a-z])", 1),
+    Rule("untreated", r"bez povrchove upravy"),
+    Rule("both", rf"{NB}[lp]\s*[+/]\s*[lp]{NE}"),
+    Rule("volts", rf"{NB}({NUM})\s*v{NE}", 1, "close", "v"),
+    *(Rule("dims", rf"{NB}({number}){tail}", 1, "close", unit) for tail, number, unit in UNITS),
+    Rule("dims", SOCKETS),
+    Rule("teeth", rf"{NB}(\d+)\s*(?:z{NE}|zubu)\.?", 1),
+    Rule("pieces", rf"(?<!\d)(\d+)\s*(?:ks|kus\w*){NE}", 1, "", "ks"),
+    Rule("pieces", rf"{NB}kus{NE}", first=True),
+    Rule("dims", CHAIN, beside=r"(?<![a-z])(?:retez\w*|spon\w*)"),
+    Rule("dims", JET, tidy="close", beside=r"(?<![a-z])trys\w*"),
+    *(Rule("dims", shape, tidy=tidy) for shape, tidy in SHAPES),
+]
+
+
 def _first_of(word: Column, table: list[tuple[str, str]]) -> Column:
     """The value of the first pattern that the word matches, or null."""
     found = F.lit(None).cast("string")
@@ -111,9 +159,8 @@ def _variant_word(w: Column) -> Column:
     return known
 
 
-def _clean(c: Column) -> Column:
-    """A number or dimension without white space, commas as points."""
-    return F.regexp_replace(F.translate(F.regexp_replace(c, ",", "."), "×”″", 'x""'), r"\s+", "")
+def _tidied(c: Column, way: str) -> Column:
+    return reduce(lambda x, change: F.regexp_replace(x, *change), TIDY[way], c)
 
 
 def _sorted_text(c: Column, sep: str) -> Column:
@@ -129,45 +176,33 @@ def parsed_offers(names: DataFrame, dictionary: Dictionary, keep) -> DataFrame:
     return keep(names.join(rest, "key", "left").transform(_parsed))
 
 
-def _parsed(named: DataFrame) -> DataFrame:
-    raw = F.translate(fold(F.col("name")), "„“'", "   ")
-    mark = lambda c: F.filter(F.transform(c, lambda x: F.regexp_replace(x, "[^a-z0-9]", "")), lambda x: x != "")
-    df = named.withColumns({"raw": raw, "stars": mark(F.regexp_extract_all(raw, F.lit(r"\*([^\s*,;()/]*)"), 1)), "commas": mark(F.regexp_extract_all(raw, F.lit(r',,([^\s,"”″]*)'), 1))})
-    df = df.withColumn("grade", F.nullif(F.regexp_extract("raw", r'\s"([a-z0-9]{1,3})\s*$', 1), F.lit("")))
-    df = df.withColumn("emark", F.col("raw").rlike(r"(?:^|\s)-e-(?:\s|$)"))
+def _applied(df: DataFrame, rule: Rule) -> DataFrame:
+    """One step of the fold over the rules: df with the rule's matches moved from ``text`` to its field."""
+    none = F.array().cast("array<string>")
+    found = F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), rule.group), lambda x: F.concat(_tidied(x, rule.tidy), F.lit(rule.unit)))
+    left = F.regexp_replace("text", rule.pattern, " ")
+    limits = [F.col("text").rlike(rule.beside)] * bool(rule.beside) + [F.size(rule.field) == 0] * rule.first
+    for holds in limits:
+        found, left = F.when(holds, found).otherwise(none), F.when(holds, left).otherwise(F.col("text"))
+    return df.withColumns({rule.field: F.concat(rule.field, found), "text": left})
+
+
+def _marked(named: DataFrame) -> DataFrame:
+    """The folded name, the marks in it, and the text to extract from with empty fields."""
+    plain = lambda c: F.filter(F.transform(c, lambda x: F.regexp_replace(x, "[^a-z0-9]", "")), lambda x: x != "")
+    df = named.withColumn("raw", F.translate(fold(F.col("name")), "„“'", "   "))
+    every = lambda pattern: F.regexp_extract_all("raw", F.lit(pattern), 1)
+    marks = {"stars": plain(every(STAR_MARK)), "commas": plain(every(COMMA_MARK)), "grade": F.get(every(GRADE_MARK), F.lit(0)), "emark": F.col("raw").rlike(E_MARK)}
     # the model parser blanked quotes; inches are told from the raw name
-    text = F.coalesce("rest", F.lit(""))
-    text = F.regexp_replace(F.regexp_replace(text, r"(?:^|\s)-e-(?=\s|$)", " "), r"(?<![a-z])(phbg|sha)\s+(?=\d)", "$1")
-    inches = F.transform(F.regexp_extract_all("raw", F.lit(rf'{NB}({NUM})\s*["”″](?!\s*[x×])'), 1), lambda x: F.concat(_clean(x), F.lit('"')))
-    df = df.withColumns({"text": text, "dims": F.array().cast("array<string>"), "inches": inches})
-
-    def take(df: DataFrame, pattern: str, into: str, value=None, group: int = 0, when: Column | None = None) -> DataFrame:
-        found = F.regexp_extract_all("text", F.lit(pattern), group)
-        blank = F.regexp_replace("text", pattern, " ")
-        if when is not None:
-            found, blank = F.when(when, found).otherwise(F.array().cast("array<string>")), F.when(when, blank).otherwise(F.col("text"))
-        got = found if value is None else F.transform(found, value)
-        return df.withColumns({into: F.concat("dims", got) if into == "dims" else got, "text": blank})
-
-    df = take(df, r"(?<![\d.,])(\d)\s*\.?\s*typ(?![a-z])", "version", group=1)
-    df = take(df, r"bez povrchove upravy", "raw_finish")
-    df = take(df, rf"{NB}[lp]\s*[+/]\s*[lp]{NE}", "both_sides")
-    df = take(df, rf"{NB}({NUM})\s*v{NE}", "volts", value=lambda x: F.concat(_clean(x), F.lit("v")), group=1)
-    with_unit = lambda unit: lambda x: F.concat(_clean(x), F.lit(unit))
-    for number, tail, unit in UNITS:
-        df = take(df, rf"{NB}({number}){tail}", "dims", value=with_unit(unit), group=1)
-    df = take(df, SOCKETS, "dims")
-    df = take(df, rf"{NB}(\d+)\s*(?:z{NE}|zubu)\.?", "teeth_found", group=1)
-    df = take(df, rf"(?<!\d)(\d+)\s*(?:ks|kus\w*){NE}", "pieces", value=lambda x: F.concat(x, F.lit("ks")), group=1)
-    df = take(df, rf"{NB}kus{NE}", "lone_piece", when=F.size("pieces") == 0)
-    df = take(df, CHAIN, "dims", when=F.col("text").rlike(r"(?<![a-z])(?:retez\w*|spon\w*)"))
-    df = take(df, JET, "dims", value=_clean, when=F.col("text").rlike(r"(?<![a-z])trys\w*"))
-    for shape in SHAPES:
-        marks = (lambda x: F.regexp_replace(x, r"\s+", "-")) if "2rs" in shape else (lambda x: F.regexp_replace(_clean(x), "[=-]", "")) if "[dl]" in shape else (lambda x: F.regexp_replace(_clean(x), "^ø", ""))
-        df = take(df, shape, "dims", value=marks)
+    inches = F.transform(every(INCHES), lambda x: F.concat(_tidied(x, "close"), F.lit('"')))
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("rest", F.lit("")), E_MARK, " "), SERIES, "$1")
+    return df.withColumns({**marks, "inches": inches, "text": text, **{r.field: F.array().cast("array<string>") for r in EXTRACTION}})
+
+
+def _parsed(named: DataFrame) -> DataFrame:
+    df = reduce(_applied, EXTRACTION, _marked(named))
     usable = lambda x: x.rlike(r"\d") & (x.rlike("[a-z]") | x.rlike(r"^\d{4,}$")) & ~x.rlike(NOT_A_CODE)
-    codes = F.transform(F.filter(F.regexp_extract_all("text", F.lit(r"[a-z0-9]+(?:[-.][a-z0-9]+)*"), 0), usable), lambda x: F.regexp_replace(x, r"\.", ""))
-    df = df.withColumn("codes", codes)
+    df = df.withColumn("codes", F.transform(F.filter(F.regexp_extract_all("text", F.lit(CODE), 0), usable), lambda x: F.regexp_replace(x, r"\.", "")))
 
     # what comes with the part or without it
     found = F.regexp_extract_all("text", F.lit(WITH), 0)
@@ -224,19 +259,19 @@ def _parsed(named: DataFrame) -> DataFrame:
     origin = F.create_map(*(F.lit(x) for kv in ORIGINS.items() for x in kv))
     origins = F.array_compact(F.transform("commas", lambda x: origin[x]))
     extra = F.array_compact(F.array(F.concat(F.lit("grade:"), "grade"), F.when(F.col("emark"), F.lit("e-mark"))))
-    side = F.when((F.size("both_sides") > 0) | (F.col("left") & F.col("right")), "both").when(F.col("left"), "left").when(F.col("right"), "right")
+    side = F.when((F.size("both") > 0) | (F.col("left") & F.col("right")), "both").when(F.col("left"), "left").when(F.col("right"), "right")
     position = F.array_join(F.filter(F.array(*(F.when(F.array_contains("positions", v), v) for _, v in POSITIONS)), lambda x: x.isNotNull()), "+")
-    pack = F.coalesce(F.get("pieces", F.lit(0)), F.when(F.size("lone_piece") > 0, "1ks"), F.when(F.col("trailing"), "sada"), F.when(F.col("complete"), "complete"))
+    pack = F.coalesce(F.when(F.get("pieces", F.lit(0)) == "kus", "1ks").otherwise(F.get("pieces", F.lit(0))), F.when(F.col("trailing"), "sada"), F.when(F.col("complete"), "complete"))
     dims = F.array_distinct(F.concat("dims", "inches"))
     variant = {
         "dimension": F.nullif(F.array_join(dims, " "), F.lit("")),
         "voltage": F.get("volts", F.lit(0)),
         "side": side,
         "position": F.nullif(position, F.lit("")),
-        "finish": F.coalesce(F.when(F.size("raw_finish") > 0, "raw"), F.get("finishes", F.lit(0))),
+        "finish": F.coalesce(F.when(F.size("untreated") > 0, "raw"), F.get("finishes", F.lit(0))),
         "color": _sorted_text(F.col("colors"), "+"),
         "material": _sorted_text(F.transform("material_words", material), "+"),
-        "teeth": F.get("teeth_found", F.lit(0)).try_cast("int"),
+        "teeth": F.get("teeth", F.lit(0)).try_cast("int"),
         "pack": pack,
         "size": F.get("sizes", F.lit(0)),
         "ref": _sorted_text(refs, " "),
