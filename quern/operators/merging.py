@@ -37,10 +37,10 @@ def upserted(existing: DataFrame, incoming: DataFrame, kept: tuple[str, ...] = (
     A new row starts as pending without a part; unknown stock counts as in stock.
     """
     new = incoming.select(*KEY, *(F.col(c).alias(f"__{c}") for c in OVERWRITTEN), F.lit(True).alias("__seen"))
-    both = existing.join(new, KEY, "full")
+    both = existing.withColumn("__was", F.lit(True)).join(new, KEY, "full")
     value = {"price": round_half_up(F.col("__price")), "in_stock": F.coalesce("__in_stock", F.lit(True))}
     cols = [F.when(F.col("__seen"), value.get(c, F.col(f"__{c}"))).otherwise(F.col(c)).alias(c) for c in OVERWRITTEN]
-    status = {"match_status": F.coalesce("match_status", F.when(F.col("price").isNull() & F.col("__seen"), "pending"))}
+    status = {"match_status": F.when(F.col("__was").isNull(), "pending").otherwise(F.col("match_status"))}
     return both.select(*KEY, *cols, *(status.get(c, F.col(c)).alias(c) for c in kept))
 
 

@@ -145,7 +145,7 @@ def special_counts(parsed: DataFrame) -> DataFrame:
 
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """A repeatable sample of n rows: those with the least hash of key and seed."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def random_sample(rows: DataFrame, n: int) -> DataFrame:

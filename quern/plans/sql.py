@@ -299,3 +299,4 @@ def _text(c: str) -> str:
 
 
 SQL["t9_page_titles"] = f"""SELECT page_id, nullif({_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title, regexp_matches(html, '(?i)og:type') AS og_product FROM pages"""
+SQL["t6_hash_sample"] = "SELECT doc_id, lang FROM documents ORDER BY md5('20260930:' || doc_id), doc_id LIMIT 50"
