@@ -18,7 +18,7 @@ its variance has a floor (``FLOOR``); repeated rows count as often as they stand
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,15 +37,22 @@ REPEAT_PERCENT = 50
 LEAST = 30
 STEPS = 20
 STARTS = 4
+#: Steps from all starts, before the best one goes on alone.
+TRIAL_STEPS = 2
 #: Rows that a start by hash has on average.
 SUBSET = 15
 #: Groups of some 500 bytes each: at most some 10 MB are broadcast.
 BROADCAST_GROUPS = 20_000
 SETTLED = 1e-3
+#: Bands of squared distance for each e-fold, and the lowest one, which takes all nearer rows too.
+BANDS = 16
+LOWEST = -32
 FLOOR = (0.05, 0.02, 0.03, 0.05, 0.05)
 #: Chi-square quantiles of 5 degrees of freedom: at 1e-6, and the median.
 CHI2 = 35.89
 MEDIAN = 4.351
+#: The upper quartile of the standard normal distribution.
+QUARTILE = 0.6745
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
@@ -127,16 +134,20 @@ def _features(df: DataFrame) -> DataFrame:
     )
 
 
+_K = range(len(FEATURES))
+#: The features and their products, whose means give centre and covariance.  Long expressions are SQL: one call to the JVM each.
+_TERMS = {f"m{i}": FEATURES[i] for i in _K} | {f"s{i}_{j}": f"{FEATURES[i]} * {FEATURES[j]}" for i in _K for j in _K if j >= i}
+_D2 = " + ".join(f"{1 if i == j else 2} * inverse[{i * len(FEATURES) + j}] * (f{i} - centre[{i}]) * (f{j} - centre[{j}])" for i in _K for j in _K if j >= i)
+_SHAPE = "grp string, start int, centre array<double>, inverse array<double>, logdet double, settled boolean"
+
+
 def _moments(df: DataFrame) -> DataFrame:
-    """Sums of the group's rows up to second order: a row for each group, combined before the shuffle."""
-    k = len(FEATURES)
-    first = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]
-    second = [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-    return df.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), *first, *second)
+    """Means of the rows of each group and start up to second order, combined before the shuffle."""
+    return df.groupBy("grp", "start").agg(F.lit(None).cast("double").alias("was"), *(F.expr(f"avg({c}) {name}") for name, c in _TERMS.items()))
 
 
 def _shapes(moments: DataFrame) -> DataFrame:
-    """grp, centre, inverse covariance and its log-determinant, one row in, one row out."""
+    """Centre, inverse covariance and its log-determinant, and if that settled: one row in, one row out."""
     k = len(FEATURES)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,19 +160,61 @@ def _shapes(moments: DataFrame) -> DataFrame:
                     for j in range(i, k):
                         s[i, j] = s[j, i] = getattr(r, f"s{i}_{j}") - m[i] * m[j]
                 s += np.diag(np.square(FLOOR))
-                out.append((r.grp, m.tolist(), np.linalg.inv(s).ravel().tolist(), np.linalg.slogdet(s)[1]))
-            yield pd.DataFrame(out, columns=["grp", "centre", "inverse", "logdet"])
-
-    return moments.mapInPandas(run, "grp string, centre array<double>, inverse array<double>, logdet double")
-
-
-def _distance(df: DataFrame, shapes: DataFrame) -> DataFrame:
-    """df with d2, the squared Mahalanobis distance to its group's estimate."""
-    k = len(FEATURES)
-    joined = df.join(shapes.select("grp", "centre", "inverse"), "grp", "left")
-    off = [F.col(f) - F.col("centre")[i] for i, f in enumerate(FEATURES)]
-    total = sum((off[i] * off[j] * F.col("inverse")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
-    return joined.withColumn("d2", total).drop("centre", "inverse")
+                logdet = np.linalg.slogdet(s)[1]
+                settled = bool(pd.notna(r.was) and r.was - logdet <= SETTLED)
+                out.append((r.grp, r.start, m.tolist(), np.linalg.inv(s).ravel().tolist(), logdet, settled))
+            yield pd.DataFrame(out, columns=["grp", "start", "centre", "inverse", "logdet", "settled"])
+
+    return moments.mapInPandas(run, _SHAPE)
+
+
+def _distance(df: DataFrame, shapes: DataFrame, how: str = "inner") -> DataFrame:
+    """df with start, logdet and d2, the squared Mahalanobis distance to each of its group's estimates."""
+    return df.join(shapes, "grp", how).withColumn("d2", F.expr(_D2)).drop("centre", "inverse", "settled")
+
+
+def _step(good: DataFrame, shapes: DataFrame) -> DataFrame:
+    """A concentration step: the moments of the nearer half of the rows, for each group and start in shapes.
+
+    Rows are summed by band of distance, so that a few hundred rows for each group and start are shuffled; of the band
+    in which the half ends, the share that completes it counts.
+    """
+    banded = _distance(good, shapes).withColumn("band", F.expr(f"greatest({LOWEST}, ceil({BANDS} * ln(d2)))"))
+    sums = banded.groupBy("grp", "start", "band").agg(F.expr("min(logdet) was"), F.expr("count(1) rows"), *(F.expr(f"sum({c}) {x}") for x, c in _TERMS.items()))
+    each = "partition by grp, start"
+    before = f"sum(rows) over ({each} order by band rows unbounded preceding) - rows"
+    share = f"least(1.0D, greatest(0.0D, (sum(rows) over ({each}) / 2 - ({before})) / rows))"
+    taken = sums.withColumn("share", F.expr(share)).groupBy("grp", "start")
+    return taken.agg(F.expr("min(was) was"), *(F.expr(f"sum(share * {x}) / sum(share * rows) {x}") for x in _TERMS))
+
+
+def _starts(good: DataFrame, side: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The first estimates: start 0 from medians and quartiles, the others from a few rows by hash."""
+    quartiles = (F.expr(f"percentile_approx({f}, array(0.25, 0.5, 0.75), 1000) q{i}") for i, f in enumerate(FEATURES))
+    middle = written(good.groupBy("grp").agg(F.expr("count(1) rows"), *quartiles), "medians")
+    # the narrower side of the median, which outliers on one side don't widen
+    spread = [f"greatest({FLOOR[i]}D, least(q{i}[1] - q{i}[0], q{i}[2] - q{i}[1]) / {QUARTILE}D)" for i in _K]
+    diagonal = ", ".join(f"1 / pow({spread[i]}, 2)" if i == j else "0.0D" for i in _K for j in _K)
+    medians = ", ".join(f"q{i}[1]" for i in _K)
+    first = middle.selectExpr("grp", "0 start", f"array({medians}) centre", f"array({diagonal}) inverse", "0.0D logdet", "false settled")
+    numbered = good.join(side(middle.select("grp", "rows")), "grp").withColumn("start", F.expr(f"explode(sequence(1, {STARTS - 1}))"))
+    drawn = numbered.where(F.pmod(F.xxhash64("doc_id", "start", *FEATURES), F.col("rows")) < SUBSET)
+    return first.unionByName(_shapes(_moments(drawn)))
+
+
+def _concentrated(good: DataFrame, side: Callable[[DataFrame], DataFrame], steps: int) -> DataFrame:
+    """A shape for each group: its estimate of the least determinant."""
+    shapes = written(_starts(good, side), "shapes")
+    for _ in range(TRIAL_STEPS):
+        shapes = written(_shapes(_step(good, side(shapes))), "shapes")
+    best = shapes.groupBy("grp").agg(F.expr("min_by(struct(start, centre, inverse, logdet, false settled), struct(logdet, start)) best"))
+    shapes = written(best.select("grp", "best.*"), "shapes")
+    for _ in range(steps - TRIAL_STEPS):
+        moving, still = shapes.where("not settled"), shapes.where("settled")
+        shapes = written(still.unionByName(_shapes(_step(good, side(moving)))), "shapes")
+        if shapes.where("not settled").isEmpty():
+            break
+    return shapes
 
 
 def _limit(far: DataFrame) -> DataFrame:
@@ -179,32 +232,14 @@ def judge(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     few = sized.count() * STARTS <= BROADCAST_GROUPS
     side = F.broadcast if few else (lambda df: df)
     grouped = rows.join(side(sized), "own", "left").withColumn("grp", F.when(F.col("size") >= LEAST, F.col("own")).otherwise(F.lit("small")))
-    good = grouped.where("not base_failed").select("doc_id", "grp", *FEATURES)
-
-    # each group once for each start; start 0 are the rows around the medians, the others a few rows by hash
-    many = good.withColumn("start", F.explode(F.array(*(F.lit(k) for k in range(STARTS))))).withColumn("grp", F.concat_ws("\x1e", "start", "grp"))
-    middle = many.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), *(F.percentile_approx(f, 0.5, 1000).alias(f"p{i}") for i, f in enumerate(FEATURES)))
-    near = sum((F.abs(F.col(f) - F.col(f"p{i}")) / FLOOR[i] for i, f in enumerate(FEATURES)), F.lit(0.0))
-    drawn = F.pmod(F.xxhash64("doc_id", "start", *FEATURES), F.col("rows")) < SUBSET
-    begun = many.join(side(middle), "grp").withColumn("d2", near)
-    cut = begun.where("start = 0").groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("cut"))
-    chosen = begun.join(side(cut), "grp", "left").where(((F.col("start") == 0) & (F.col("d2") <= F.col("cut"))) | ((F.col("start") > 0) & drawn))
-    shapes = written(_shapes(_moments(chosen)), "shapes")
-    for _ in range(steps):
-        ranked = _distance(many, side(shapes))
-        cut = ranked.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("cut"))
-        before, shapes = shapes, written(_shapes(_moments(ranked.join(side(cut), "grp").where("d2 <= cut"))), "shapes")
-        falls = shapes.join(before.select("grp", F.col("logdet").alias("was")), "grp").where(F.abs(F.col("was") - F.col("logdet")) > SETTLED)
-        if falls.isEmpty():
-            break
-    best = shapes.withColumn("grp", F.expr("substring(grp, 3)")).groupBy("grp").agg(F.min_by(F.struct("centre", "inverse"), "logdet").alias("best"))
-    shapes = side(best.select("grp", "best.*"))
+    good = written(grouped.where("not base_failed").select("doc_id", "grp", *FEATURES), "good")
+    shapes = _concentrated(good, side, steps)
     # the half nearest to a centre has a smaller covariance than the whole: scale so that the median is the chi-square one
-    far = _distance(good, shapes)
+    far = _distance(good, side(shapes))
     inside = far.join(side(_limit(far)), "grp").where("d2 <= limit")
     # reweighting: the covariance of all rows inside, so that their ordinary tails stay
     shapes = side(written(_shapes(_moments(inside)), "shapes"))
-    limit = _limit(_distance(good, shapes))
-    judged = _distance(grouped, shapes).join(side(limit), "grp", "left")
+    limit = written(_limit(_distance(good, shapes)), "limits")
+    judged = _distance(grouped, shapes, "left").join(side(limit), "grp", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= F.col("limit"), F.lit(True))
     return judged.select("doc_id", *STATS, "base_failed", kept.alias("kept"), F.sqrt("d2").alias("distance"))
