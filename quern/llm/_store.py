@@ -39,6 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str, reader: SparkSession) -> DataFrame:
+    """df as a table in the shared folder, in buckets by the key, as ``reader`` sees it: what works by the key needs no shuffle."""
+    name = f"quern_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    for log in _LOGS:
+        log.append(path)
+    out = reader.table(name)
+    _PATHS[out] = path
+    return out
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders that ``written`` made and that nothing reads any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path

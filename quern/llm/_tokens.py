@@ -17,13 +17,19 @@ REMEMBERED, REMEMBERED_IDS = 1_500_000, 1 << 24
 
 
 class Memo:
-    """The ids of spans, each distinct one encoded once: those of slot k are ``flat[at[k] : at[k] + count[k]]``."""
+    """The ids of spans, each distinct one encoded once: those of slot k are ``flat[at[k] : at[k] + count[k]]``.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]) -> None:
+    ``encode`` takes bytes, starts and ends of spans, and gives their ids one after another and the number of each span's.
+    ``generation`` grows when all slots are forgotten.
+    """
+
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
+        self.generation = self._seed = 0
         self._forget()
 
     def _forget(self) -> None:
+        self.generation += 1
         self.keys = np.zeros(0, np.uint64)
         self.check = np.zeros(0, np.uint64)
         self.slot = np.zeros(0, np.int64)
@@ -32,43 +38,41 @@ class Memo:
         self.flat = np.zeros(0, np.int32)
 
     def slots(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The slot of each span; spans are told apart by two hashes of 64 bits, and where only the second differs, nothing is remembered."""
+        """The slot of each span; spans are told apart by two hashes of 64 bits, and where only one is equal, by two others."""
         if len(self.keys) > REMEMBERED or len(self.flat) > REMEMBERED_IDS:
             self._forget()
-        second = X.bytes_hash(buf, starts, ends, 1)
-        keys, where, inverse = np.unique(X.bytes_hash(buf, starts, ends), return_index=True, return_inverse=True)
+        second = X.bytes_hash(buf, starts, ends, self._seed + 1)
+        keys, where, inverse = np.unique(X.bytes_hash(buf, starts, ends, self._seed), return_index=True, return_inverse=True)
         pos = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         inside = pos < len(self.keys)
         known[inside] = self.keys[pos[inside]] == keys[inside]
-        clash = (second != second[where][inverse]).any() or (self.check[self.slot[pos[known]]] != second[where[known]]).any()
-        if clash:
+        if (second != second[where][inverse]).any() or (self.check[self.slot[pos[known]]] != second[where[known]]).any():
+            self._seed += 2
             self._forget()
-            self._add(buf, starts, ends)
-            return np.arange(len(starts))
+            return self.slots(buf, starts, ends)
         new = np.flatnonzero(~known)
         if len(new):
-            first = len(self.count)
-            self._add(buf, starts[where[new]], ends[where[new]])
-            self.check = np.concatenate((self.check, second[where[new]]))
+            flat, sizes = self.encode(buf, starts[where[new]], ends[where[new]])
             self.keys = np.insert(self.keys, pos[new], keys[new])
-            self.slot = np.insert(self.slot, pos[new], np.arange(first, len(self.count)))
+            self.slot = np.insert(self.slot, pos[new], np.arange(len(self.count), len(self.count) + len(new)))
+            self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
+            self.count = np.concatenate((self.count, sizes))
+            self.check = np.concatenate((self.check, second[where[new]]))
             pos = np.searchsorted(self.keys, keys)
         return self.slot[pos][inverse]
 
-    def _add(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = buf.tobytes()
-        ids = self.encode([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.flat = np.concatenate((self.flat, np.fromiter((y for x in ids for y in x), np.int32, int(sizes.sum()))))
-        self.count = np.concatenate((self.count, sizes))
-
     def ids(self, slots: np.ndarray) -> np.ndarray:
         """The ids of spans one after another."""
         return self.flat[X.ragged(self.at[slots], self.count[slots])]
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((y for x in lists for y in x), np.int64, int(sizes.sum())), sizes
+
+
 def loaded(spec: bytes):
     """A tokenizer of the tokenizers library from its JSON, without truncation and padding, in one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -117,20 +121,23 @@ class WordModel:
             setattr(self, way, False)
         self._memo = Memo(self._encode)
 
-    def _encode(self, parts: list[bytes]) -> list[list[int]]:
-        texts = [p.decode(errors="replace") for p in parts]
-        if not self.by_part:
-            return [e.ids for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = buf.tobytes()
+        texts = [raw[a:b].decode(errors="replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        alone = [] if not self.by_part else [k for k, x in enumerate(texts) if x.isalpha()]
         # words of letters alone have one last id each, and can be encoded as one text
-        plain = [x for x in texts if x.isalpha()]
-        other = iter([e.ids for e in self._t.encode_batch_fast([x for x in texts if not x.isalpha()], add_special_tokens=False)])
-        ids = np.array(self._t.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+        ids = np.array(self._t.encode_batch_fast([" ".join([texts[k] for k in alone])], add_special_tokens=False)[0].ids, np.int64)
         last = np.flatnonzero(self._ends[ids]) + 1
-        if len(last) != len(plain):
-            return [e.ids for e in self._t.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = ids.tolist()
-        own = (flat[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist(), strict=True))
-        return [next(own) if x.isalpha() else next(other) for x in texts]
+        if len(last) != len(alone):
+            alone, ids, last = [], ids[:0], last[:0]
+        gone = set(alone)
+        others = [k for k in range(len(texts)) if k not in gone]
+        flat, sizes = flattened([e.ids for e in self._t.encode_batch_fast([texts[k] for k in others], add_special_tokens=False)])
+        order = np.array(alone + others, np.int64)
+        n = np.concatenate((np.diff(last, prepend=0), sizes))
+        at = np.cumsum(n) - n
+        back = np.argsort(order)
+        return np.concatenate((ids, flat))[X.ragged(at[back], n[back])], n[back]
 
     def _parts(self, c: X.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bytes to encode, starts and ends of their parts, and each text's first part."""

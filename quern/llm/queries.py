@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fill_in_middle, html_extraction, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts
+from . import alignment, decontamination, fill_in_middle, html_extraction, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, token_counts
 from ._store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digest(fill_in_middle.transform(table(spark, sf_dir, "documents")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), _piece_model())
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece_codec": op10_sentencepiece_codec,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_alignment": op12_alignment,
     "op13_packing": op13_packing,
 }
 
