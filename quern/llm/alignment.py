@@ -12,8 +12,9 @@ that cover one are the last ones that began.
 Counts of linked id pairs are summed over segments, weighted by how often a segment occurs, and joined to segments' links: the
 most frequent ``FREQUENT`` pairs at most by broadcast, rarer ones, none of which has a large share, by a shuffle.
 
-Nothing moves but sums of pairs: segments and documents are one table, bucketed by block, so that windows, joins and groups
-within a block are local.  A task holds the segments of a block (``BLOCK`` bytes of text, or a single longer document).
+Nothing moves but sums of pairs: segments are a table in buckets by part of a block, aligned ones and documents are tables in
+buckets by block, so that windows, joins and groups are local.  A task sorts the tokens of some parts, or holds the aligned
+segments of some blocks (of ``BLOCK`` bytes of text, or a single longer document) and the documents' segments.
 
 Cases with a defined result: texts that are null, empty, no UTF-8, or that hold U+2581 (which the piece model reads as a space)
 have no tokens: zeros and no groups; null and repeated ids and repeated rows are documents of their own; a long text
@@ -40,10 +41,12 @@ from ._store import bucketed, small_batches, written
 from ._tokens import Memo, flattened, loaded
 
 #: Bytes of text after which a task begins a new block.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
+#: Parts in which the segments of a block are aligned.
+PARTS = 4
 #: Id pairs that are broadcast with their counts.
 FREQUENT = 500_000
-_ROW = "block long, segment int, n long, size int, codes array<int>, doc long, doc_id long, segments array<int>"
+_ROW = "part long, block long, segment int, n long, size int, codes array<int>, doc long, doc_id long, segments array<int>"
 #: Segments that are encoded as one text.
 TOGETHER = 100
 #: First bytes of the characters beyond ASCII that may be white space.
@@ -202,7 +205,7 @@ def _session(spark: SparkSession) -> SparkSession:
 
 
 def _tokenised(docs: DataFrame, byte_bpe: bytes, pieces: bytes, block: int) -> DataFrame:
-    """Rows of documents (doc, doc_id, segments) and, after each block's, of its segments (segment, n, codes)."""
+    """Rows of documents (doc, doc_id, segments) and, after each block's, of its segments (segment, n, codes), a few parts of them."""
     small_batches(docs.sparkSession)
     names = [f.split()[0] for f in _ROW.split(", ")]
 
@@ -217,7 +220,8 @@ def _tokenised(docs: DataFrame, byte_bpe: bytes, pieces: bytes, block: int) -> D
             k = hi - lo
             none = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32()))]
             spelled = np.add.reduceat(length[codes[at[lo] : at[hi]]], at[lo:hi] - at[lo]) // 2  # by A and by B
-            own = [pa.array(x) for x in (np.full(k, b.number), np.arange(lo, hi, dtype=np.int32), b.often[lo:hi], spelled.astype(np.int32))]
+            segment = np.arange(lo, hi, dtype=np.int32)
+            own = [pa.array(x) for x in (np.full(k, b.number * PARTS) + segment % PARTS, np.full(k, b.number), segment, b.often[lo:hi], spelled.astype(np.int32))]
             own.append(lists(codes[at[lo] : at[hi]], sizes[lo:hi]))
             yield pa.RecordBatch.from_arrays([*own, *none], names)
 
@@ -239,7 +243,7 @@ def _tokenised(docs: DataFrame, byte_bpe: bytes, pieces: bytes, block: int) -> D
                 doc = (task << 40) + docs_seen + np.arange(k)
                 docs_seen += k
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, now.number)), *none, pa.array(doc), batch.column(0)[c.lo : c.hi], lists(numbers, np.diff(first))], names
+                    [*[pa.array(np.full(k, now.number))] * 2, *none, pa.array(doc), batch.column(0)[c.lo : c.hi], lists(numbers, np.diff(first))], names
                 )
         yield from closed(now, m.length)
 
@@ -251,18 +255,18 @@ def align(docs: DataFrame, byte_bpe_path: str, pieces_path: str, block: int = BL
     byte_bpe, pieces = read_model(byte_bpe_path), read_model(pieces_path)
     m = pair(byte_bpe, pieces)
     spark = _session(docs.sparkSession)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = bucketed(_tokenised(docs, byte_bpe, pieces, block), "tokenised", buckets, "block", spark)
-    documents = made.where("doc IS NOT NULL").select("block", "doc", "doc_id", "segments")
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # keys are few, and some share a bucket
+    made = bucketed(_tokenised(docs, byte_bpe, pieces, block), "tokenised", buckets, "part", spark)
+    documents = made.where("doc IS NOT NULL").select(F.col("part").alias("block"), "doc", "doc_id", "segments")
     # as many rows as both vocabularies have
     lengths = spark.createDataFrame(pa.table({"code": np.arange(len(m.length), dtype=np.int32), "length": m.length.astype(np.int32)}))
-    own = ["segment", "block"]
+    own = ["segment", "part"]
     listed = Window.partitionBy(*own).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("length").over(listed), F.lit(0))
     tokens = (
-        made.where("segment IS NOT NULL").select("block", "segment", "n", "size", F.posexplode("codes").alias("pos", "code"))
+        made.where("segment IS NOT NULL").select("part", "segment", "n", "size", F.posexplode("codes").alias("pos", "code"))
         .join(F.broadcast(lengths), "code")
-        .select("block", "segment", "n", "code", (F.col("code") >= m.first).alias("b"), (before - F.when(F.col("code") >= m.first, F.col("size")).otherwise(0)).alias("begin"))
+        .select(*own, "n", "code", (F.col("code") >= m.first).alias("b"), (before - F.when(F.col("code") >= m.first, F.col("size")).otherwise(0)).alias("begin"))
         .withColumn("place", F.col("begin") * 2 + F.col("b").cast("int"))
     )
     order = Window.partitionBy(*own).orderBy("place")
@@ -287,7 +291,7 @@ def align(docs: DataFrame, byte_bpe_path: str, pieces_path: str, block: int = BL
         )
         .withColumn("groups", F.when(F.col("n_groups") == 1, F.concat("a", F.lit("|"), "b")).otherwise(
             F.array_join(F.zip_with(F.split("a", ";"), F.split("b", ";"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")))
-        .drop("a", "b")
+        .drop("a", "b").withColumn("block", F.floor(F.col("part") / PARTS).cast("long")).drop("part")
     )
     return Alignment(bucketed(segments, "aligned", buckets, "block", spark), documents)
 
