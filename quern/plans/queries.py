@@ -587,6 +587,45 @@ def s8_page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.product_evidence(p).select("page_url", "evidence", "name")
 
 
+@query
+def s4_jsonld_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's node five to nine levels deep in arrays and graphs, behind a node of another type and before one that comes too late."""
+    p = C.parts(spark, sf_dir)
+    k = F.col("part_key")
+    node = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("base").alias("name"), F.struct(F.struct(F.concat(F.lit("i"), k.cast("string")).alias("url")).alias("url")).alias("image"), F.struct(F.col("retail").alias("price")).alias("offers")))
+    levels = (k % 3 + 2).cast("int")
+    opened = F.concat(F.lit('[{"@type":"WebPage"},'), F.repeat(F.lit('{"@graph":[5,['), levels), node, F.repeat(F.lit("]]}"), levels), F.lit(',{"@type":"Product","name":"late","offers":{"price":1}}]'))
+    html = F.concat(F.lit("<script type='application/ld+json'>"), opened, F.lit("</script>"))
+    found = pages.jsonld_products(p.select(k.cast("string").alias("url"), html.alias("html")))
+    return found.select("page_url", "name", "price", "image_url")
+
+
+@query
+def s6_nested_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts behind as many related products as the last two digits of their key say, each a scope with tags of the same name in it."""
+    p = C.parts(spark, sf_dir)
+    k = F.col("part_key")
+    other = F.lit('<div itemscope itemprop="isRelatedTo"><div><b itemprop="name">other</b></div><meta itemscope itemprop="x"></div>')
+    html = F.concat(
+        F.lit('<div itemscope itemtype="https://schema.org/Product"><meta itemprop="price" content="'), F.format_string("%.2f", F.col("retail")), F.lit('">'),
+        F.repeat(other, (k % 100).cast("int")), F.lit('<div><b itemprop="name">'), "base", F.lit("</b></div></div>"),
+    )
+    return pages.microdata_products(p.select(k.cast("string").alias("url"), html.alias("html"))).select("page_url", "name", "price")
+
+
+@query
+def s8_evidence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages that hold JSON-LD, microdata, an og:type alone, or nothing."""
+    p = C.parts(spark, sf_dir)
+    k = F.col("part_key")
+    price = F.format_string("%.2f", F.col("retail"))
+    ld = F.concat(F.lit("<script type='application/ld+json'>"), F.to_json(F.struct(F.when(k % 3 == 0, "Offer").otherwise("Product").alias("@type"), F.col("base").alias("name"), F.struct(price.alias("price")).alias("offers"))), F.lit("</script>"))
+    micro = F.concat(F.lit('<div itemscope itemtype="https://schema.org/Product"><b itemprop="name">'), "part_type", F.lit('</b><meta itemprop="price" content="'), price, F.lit('"></div>'))
+    part = lambda c, n: F.when(k % n == 0, c).otherwise("")
+    html = F.concat(part(ld, 2), part(micro, 5), part(F.lit('<meta property="og:type" content="product">'), 7))
+    return pages.product_evidence(p.select(k.cast("string").alias("url"), html.alias("html"))).select("page_url", "evidence", "name", "price")
+
+
 @query
 def t9_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")

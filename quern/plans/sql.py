@@ -262,6 +262,11 @@ SELECT r.family, lo, hi, id, type FROM r JOIN t ON r.family = t.family AND try_c
 SQL["s4_jsonld_products"] = f"""WITH {PARTS_SQL} SELECT 'https://shop.example.com/p/' || part_key AS page_url, base AS name, round(retail, 2) AS price, 'CZK' AS currency, part_key % 2 = 0 AS in_stock,
   'https://shop.example.com/p/' || part_key AS url, 'SKU' || part_key AS sku, '4006381333931' AS ean FROM parts WHERE part_key % 5 <> 4 AND part_key % 8 <> 3"""
 SQL["s6_microdata_products"] = f"""WITH {PARTS_SQL} SELECT 'https://shop.example.com/' || part_key AS page_url, CASE WHEN part_key % 3 = 0 THEN 'Page ' || part_key ELSE base || ' & co' END AS name, round(retail, 2) AS price, true AS in_stock FROM parts"""
+SQL["s4_jsonld_nested"] = f"WITH {PARTS_SQL} SELECT part_key::VARCHAR AS page_url, base AS name, retail AS price, 'i' || part_key AS image_url FROM parts"
+SQL["s6_nested_scopes"] = f"WITH {PARTS_SQL} SELECT part_key::VARCHAR AS page_url, base AS name, round(retail, 2) AS price FROM parts"
+SQL["s8_evidence_kinds"] = f"""WITH {PARTS_SQL}, k AS (SELECT *, part_key % 2 = 0 AND part_key % 3 <> 0 AS ld, part_key % 5 = 0 AS micro FROM parts)
+SELECT part_key::VARCHAR AS page_url, CASE WHEN ld THEN 'jsonld' WHEN micro THEN 'microdata' WHEN part_key % 7 = 0 THEN 'og_type_only' END AS evidence,
+  CASE WHEN ld THEN base WHEN micro THEN part_type END AS name, CASE WHEN ld OR micro THEN round(retail, 2) END AS price FROM k"""
 SQL["s8_page_evidence"] = "SELECT page_id::VARCHAR AS page_url, NULL::VARCHAR AS evidence, NULL::VARCHAR AS name FROM pages"
 _PATHS = [("/en/", False), ("/en/6", True), ("/fr", False), ("/fr", True)]
 assert all(f"llow: {p}\n" in ROBOTS for p, _ in _PATHS)

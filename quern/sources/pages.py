@@ -8,95 +8,114 @@ from pyspark.sql import functions as F
 from ..functions.text import availability_schema, compare_key, decode_entities, html_to_text, price_text
 from ..functions.urls import path
 from ..operators.grading import brand_like
+from ..store import kept
 
 _SCRIPT = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 PRODUCT = ["name", "price", "currency", "in_stock", "url", "sku", "mpn", "ean", "image_url", "description"]
 
 
 def jsonld_nodes(pages: DataFrame) -> DataFrame:
-    """url, position and node (variant): every object of the pages' JSON-LD blocks, with those in arrays and graphs.
+    """url, position and node (variant): every object of the pages' JSON-LD blocks, in the order of the document.
 
-    A block that is no JSON is passed over.  Two levels of nesting are opened, which is what pages have.
+    Members take the place of the array that holds them, and those of an ``@graph`` array that of its object, at any depth:
+    what is still to be opened is a table that each round reads and writes anew, until it holds nothing more to open.  A
+    block that is no JSON is passed over.  A round costs what is nested so deep; most pages need one or two.
     """
     blocks = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(_SCRIPT), 1)).alias("block", "text"))
     # in brackets, so that a value followed by anything is no JSON
     one = blocks.select("url", "block", F.expr("try_parse_json('[' || trim(text) || ']')").alias("l"))
-    top = one.where("variant_get(l, '$[1]', 'variant') is null").select("url", "block", F.expr("variant_get(l, '$[0]', 'variant')").alias("v")).where("v is not null")
-    opened = top.withColumn("p", F.lit("")).withColumn("is_list", F.expr("schema_of_variant(v)").startswith("ARRAY"))
-
-    def flat(df: DataFrame) -> DataFrame:
-        """Members of arrays and of "@graph" arrays take the place of what holds them."""
-        lists = df.where("is_list").select("url", "block", "p", "v")
-        graphs = df.where("not is_list").select("url", "block", "p", "v", F.expr("try_variant_get(v, '$[\"@graph\"]', 'variant')").alias("g"))
-        members = F.expr("cast(g as array<variant>)")
-        held = lists.select("url", "block", "p", F.expr("posexplode(cast(v as array<variant>))").alias("i", "v")).unionByName(
-            graphs.where("g is not null and schema_of_variant(g) like 'ARRAY%'").select("url", "block", "p", F.posexplode(members).alias("i", "v"))
-        )
-        own = graphs.select("url", "block", F.concat("p", F.lit("0")).alias("p"), "v").withColumn("is_list", F.lit(False)).withColumn("done", F.lit(True))
-        deeper = held.where("v is not null").select("url", "block", F.concat("p", F.lit("1"), F.lpad(F.col("i").cast("string"), 6, "0")).alias("p"), "v")
-        return own.drop("done").unionByName(deeper.withColumn("is_list", F.expr("schema_of_variant(v)").startswith("ARRAY")))
-
-    first = flat(opened)
-    # nodes that were taken out of an array or a graph may hold a graph again
-    inner = flat(first.where("p <> '0'")).where("p not like '%0' or length(p) > 1")
-    every = first.where("p = '0' and not is_list").select("url", "block", "p", "v").unionByName(inner.where("not is_list").select("url", "block", "p", "v"))
-    return every.withColumn("position", F.row_number().over(Window.partitionBy("url").orderBy("block", "p"))).select("url", "position", F.col("v").alias("node"))
-
-
-def _text(node: str, *keys: str) -> Column:
-    """A property's first text that isn't blank: the text itself, the first of a list, or its url."""
+    top = one.where("variant_get(l, '$[1]', 'variant') is null").select("url", F.array("block").alias("at"), F.expr("variant_get(l, '$[0]', 'variant')").alias("v"))
+
+    def held(df: DataFrame) -> DataFrame:
+        """Objects and arrays, as JSON, with the array of members that is to take their place, if there is one."""
+        members = F.expr("try_variant_get(v, if(text like '[%', '$', '$[\"@graph\"]'), 'array<variant>')")
+        return df.withColumn("text", F.expr("to_json(v)")).where("text like '{%' or text like '[%'").withColumn("members", members).drop("text")
+
+    found, level = None, kept(held(top))
+    while True:
+        nodes = level.where("members is null").select("url", "at", "v")
+        found = nodes if found is None else found.unionByName(nodes)
+        inner = level.where("members is not null")
+        if inner.isEmpty():
+            break
+        opened = inner.select("url", "at", F.posexplode("members").alias("i", "v")).select("url", F.concat("at", F.array("i")).alias("at"), "v")
+        level = kept(held(opened))
+    return found.withColumn("position", F.row_number().over(Window.partitionBy("url").orderBy("at"))).select("url", "position", F.col("v").alias("node"))
+
+
+def _is(kind: str, v: str) -> str:
+    """SQL: whether a variant is of a kind, by the first character of its JSON."""
+    return f"coalesce(to_json({v}) like '{kind}%', false)"
+
+
+def _text(*values: str) -> Column:
+    """The first of the values' texts that isn't blank: a text itself, the first text of a list, or that of an object's url, however deep.
+
+    values: SQL of variants.
+    """
     out = []
-    for k in keys:
-        at = f"$.{k}"
-        plain = F.expr(f"case when schema_of_variant(try_variant_get({node}, '{at}', 'variant')) = 'STRING' then try_variant_get({node}, '{at}', 'string') end")
-        listed = F.get(F.filter(F.expr(f"try_variant_get({node}, '{at}', 'array<string>')"), lambda x: F.trim(x) != ""), F.lit(0))
-        out += [plain, listed, F.expr(f"try_variant_get({node}, '{at}.url', 'string')")]
-    return F.nullif(F.trim(F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in out))), F.lit(""))
+    for v in values:
+        urls = f"""greatest(size(regexp_extract_all(to_json({v}), '"url"', 0)), 1)"""  # an object in it more has a url more
+        inner = f"""aggregate(sequence(1, {urls}), {v}, (acc, i) -> if({_is("{", "acc")}, try_variant_get(acc, '$.url', 'variant'), acc))"""
+        end = f"""(case when {_is("{", v)} then {inner} else {v} end)"""
+        plain = f"""case when {_is('"', end)} then cast({end} as string) end"""
+        listed = f"""get(filter(transform(filter(try_variant_get({end}, '$', 'array<variant>'), x -> {_is('"', "x")}), x -> cast(x as string)), x -> trim(x) <> ''), 0)"""
+        out.append(F.expr(f"nullif(trim(coalesce({plain}, {listed})), '')"))
+    return F.coalesce(*out)
+
+
+def _given(*values: str) -> str:
+    """SQL: the first of variants that is neither missing nor JSON's null."""
+    return "coalesce(" + ", ".join(f"if(is_variant_null({v}), null, {v})" for v in values) + ")"
 
 
 def jsonld_products(pages: DataFrame) -> DataFrame:
-    """url of the page and the first node of it that is a product with a name and a price."""
-    nodes = jsonld_nodes(pages)
-    kind = F.expr("coalesce(array(lower(case when schema_of_variant(try_variant_get(node, '$[\"@type\"]', 'variant')) = 'STRING' then try_variant_get(node, '$[\"@type\"]', 'string') end)), array())")
-    kinds = F.expr("transform(try_variant_get(node, '$[\"@type\"]', 'array<string>'), x -> lower(x))")
-    is_product = F.coalesce(F.array_contains(kind, "product"), F.lit(False)) | F.coalesce(F.array_contains(kinds, "product"), F.lit(False))
-    offer = F.expr("coalesce(try_variant_get(node, '$.offers[0]', 'variant'), try_variant_get(node, '$.offers', 'variant'))")
-    n = nodes.where(is_product).withColumn("offer", offer)
-    price = F.coalesce(price_text(F.expr("try_variant_get(offer, '$.price', 'string')")), price_text(F.expr("try_variant_get(node, '$.price', 'string')")))
+    """page_url and the first node of it that is a product with a name and a price."""
+    at = lambda node, key: f"try_variant_get({node}, '$.{key}', 'variant')"
+    kind = """try_variant_get(node, '$["@type"]', 'variant')"""
+    kinds = f"""coalesce(try_variant_get({kind}, '$', 'array<variant>'), array({kind}))"""
+    is_product = F.expr(f"""exists({kinds}, x -> {_is('"', "x")} and lower(cast(x as string)) = 'product')""")
+    listed = f"""get(filter({at("node", "offers")}::array<variant>, x -> {_is("{", "x")} or {_is("[", "x")}), 0)"""
+    offer = f"""case when {_is("[", at("node", "offers"))} then {listed} when {_is("{", at("node", "offers"))} then {at("node", "offers")} end"""
+    n = jsonld_nodes(pages).where(is_product).withColumn("offer", F.expr(offer)).withColumn("price", F.expr(_given(at("offer", "price"), at("node", "price"))))
+    # numbers and texts only
+    price = F.when(F.expr("""to_json(price) rlike '^["0-9-]'"""), price_text(F.expr("try_variant_get(price, '$', 'string')")))
     mapped = n.select(
         F.col("url").alias("page_url"),
         "position",
-        _text("node", "name").alias("name"),
+        _text(at("node", "name")).alias("name"),
         price.alias("price"),
-        _text("offer", "priceCurrency").alias("currency"),
-        availability_schema(_text("offer", "availability")).alias("in_stock"),
-        F.coalesce(_text("offer", "url"), _text("node", "url"), F.col("url")).alias("url"),
-        _text("node", "sku").alias("sku"),
-        _text("node", "mpn").alias("mpn"),
-        F.coalesce(*(F.expr(f"try_variant_get(node, '$.{k}', 'string')") for k in ("gtin13", "gtin", "gtin8", "gtin12", "ean"))).alias("ean"),
-        _text("node", "image").alias("image_url"),
-        _text("node", "description").alias("description"),
+        _text(at("offer", "priceCurrency")).alias("currency"),
+        availability_schema(_text(at("offer", "availability"))).alias("in_stock"),
+        F.coalesce(_text(at("offer", "url"), at("node", "url")), F.col("url")).alias("url"),
+        _text(at("node", "sku")).alias("sku"),
+        _text(at("node", "mpn")).alias("mpn"),
+        _text(_given(*(at("node", k) for k in ("gtin13", "gtin", "gtin8", "gtin12", "ean")))).alias("ean"),
+        _text(at("node", "image")).alias("image_url"),
+        _text(at("node", "description")).alias("description"),
     ).where("name is not null and price is not null and url is not null")
     first = Window.partitionBy("page_url").orderBy("position")
     return mapped.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "position")
 
 
 def _between(html: Column, tag: Column, after: Column) -> Column:
-    """The HTML from ``after`` (a 1-based position) to the end tag that closes ``tag``, by depth of tags of that name."""
+    """The HTML from ``after`` (a 1-based position) to the end tag that closes ``tag``, by depth of tags of that name.
+
+    The fold over the tags carries numbers only, so its time is that of one pass.
+    """
     rest = F.substring(html, after, F.length(html))
     pattern = F.concat(F.lit("(?is)<(/?)"), tag, F.lit(r"\b[^>]*?(/?)>"))
-    marks = F.regexp_extract_all(rest, pattern, 0)
-    gaps = F.split(rest, pattern)
-    state = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+    state = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"))
 
     def step(s: Column, x: Column) -> Column:
-        gap, mark = x["g"], F.coalesce(x["m"], F.lit(""))
-        change = F.when(mark.startswith("</"), -1).when((mark == "") | mark.endswith("/>"), 0).otherwise(1)
-        inside = F.concat(s["text"], F.coalesce(gap, F.lit("")))
+        mark = F.coalesce(x["m"], F.lit(""))
+        change = F.when((mark == "") | mark.endswith("/>"), 0).when(mark.startswith("</"), -1).otherwise(1)
+        upto = s["at"] + F.length(F.coalesce(x["g"], F.lit("")))
         closed = s["depth"] + change <= 0
-        return F.when(s["depth"] <= 0, s).otherwise(F.struct((s["depth"] + change).alias("depth"), F.when(closed, inside).otherwise(F.concat(inside, mark)).alias("text")))
+        return F.when(s["depth"] <= 0, s).otherwise(F.struct((s["depth"] + change).alias("depth"), F.when(closed, upto).otherwise(upto + F.length(mark)).alias("at")))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("g"), marks.alias("m")), state, step)["text"]
+    tags = F.arrays_zip(F.split(rest, pattern).alias("g"), F.regexp_extract_all(rest, pattern, 0).alias("m"))
+    return F.substring(rest, F.lit(1), F.aggregate(tags, state, step)["at"])
 
 
 _OPEN = r"""(?i)<([a-zA-Z][a-zA-Z0-9-]*)\b[^>]*\b{attr}[^>]*>"""
@@ -119,20 +138,48 @@ def _prop(scope: Column, name: str) -> Column:
     return F.coalesce(attribute("content|value"), attribute("href"), attribute("src"), text)
 
 
-def _without_nested(inner: Column, times: int = 8) -> Column:
-    """HTML of an element without the elements in it that have a scope of their own (up to ``times`` of them)."""
-    pattern = r"""(?i)<([a-zA-Z][a-zA-Z0-9-]*)\b[^>]*?\sitemscope(?=[\s=>/])[^>]*>"""
-    void = "|".join(("meta", "link", "img", "br", "hr", "input", "source"))
-    for _ in range(times):
-        tag = F.regexp_extract(inner, pattern, 0)
-        name = F.lower(F.regexp_extract(inner, pattern, 1))
-        at = F.instr(inner, tag)
-        body = _between(inner, name, at + F.length(tag))
-        alone = name.rlike(f"^(?:{void})$") | tag.endswith("/>")
-        head = F.substring(inner, F.lit(1), at - 1)
-        after = F.substring(inner, at + F.length(tag) + F.when(alone, 0).otherwise(F.length(body)), F.length(inner))
-        inner = F.when(tag == "", inner).otherwise(F.concat(head, F.when(alone, after).otherwise(F.regexp_replace(after, r"^</[^>]*>", ""))))
-    return inner
+_TAG = r"(?s)</?[a-zA-Z][a-zA-Z0-9-]*\b[^>]*>"
+_VOID = ("meta", "link", "img", "br", "hr", "input", "source")
+
+
+def _without_nested(inner: Column) -> Column:
+    """HTML of an element without the elements in it that have a scope of their own, however many and however deep.
+
+    One fold over the tags: outside, a tag with a scope opens a gap; inside, only tags of its name count, up or down, until
+    it is closed.  The fold's state is where it stands, and the gaps as byte ranges; the text is cut once, at the end.  A
+    scope that is never closed reaches to the end; of a void or self-closed one only the tag goes.
+    """
+    tags = F.arrays_zip(F.split(inner, _TAG).alias("g"), F.regexp_extract_all(inner, F.lit(_TAG), 0).alias("m"))
+    gap = "array<struct<lo:int,hi:int>>"
+    start = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("lo"), F.array().cast(gap).alias("gaps"))
+
+    def step(s: Column, x: Column) -> Column:
+        mark = F.coalesce(x["m"], F.lit(""))
+        name = F.lower(F.regexp_extract(mark, r"^</?([a-zA-Z][a-zA-Z0-9-]*)", 1))
+        begin = s["at"] + F.octet_length(F.coalesce(x["g"], F.lit("")))
+        end = begin + F.octet_length(mark)
+        scope = mark.rlike(r"(?is)^<[a-z][^>]*?\sitemscope(?=[\s=>/])")
+        single = name.isin(*_VOID) | mark.endswith("/>")
+        own = (name == s["name"]) | name.startswith(F.concat(s["name"], F.lit("-")))
+        depth = s["depth"] + F.when(~own | (mark == "") | mark.endswith("/>"), 0).when(mark.startswith("</"), -1).otherwise(1)
+        add = lambda lo: F.concat(s["gaps"], F.array(F.struct(lo.alias("lo"), end.alias("hi"))))
+
+        def state(name: Column, depth: Column, lo: Column, gaps: Column) -> Column:
+            return F.struct(name.alias("name"), depth.alias("depth"), end.alias("at"), lo.alias("lo"), gaps.alias("gaps"))
+
+        none, zero = F.lit(""), F.lit(0)
+        inside = F.when(depth <= 0, state(none, zero, zero, add(s["lo"]))).otherwise(state(s["name"], depth, s["lo"], s["gaps"]))
+        outside = F.when(scope & single, state(none, zero, zero, add(begin))).when(scope, state(name, F.lit(1), begin, s["gaps"]))
+        return F.when(s["name"] != "", inside).otherwise(F.coalesce(outside, state(none, zero, zero, s["gaps"])))
+
+    def cut(s: Column) -> Column:
+        """What is outside the gaps."""
+        raw = inner.cast("binary")
+        to = F.when(s["name"] != "", s["lo"]).otherwise(F.octet_length(inner))
+        lows, highs = F.concat(F.transform(s["gaps"], lambda g: g["lo"]), F.array(to)), F.concat(F.array(F.lit(0)), F.transform(s["gaps"], lambda g: g["hi"]))
+        return F.array_join(F.zip_with(highs, lows, lambda lo, hi: F.substring(raw, lo + 1, F.greatest(hi - lo, F.lit(0))).cast("string")), "")
+
+    return F.aggregate(tags, start, step, cut)
 
 
 def microdata_products(pages: DataFrame) -> DataFrame:
@@ -146,9 +193,7 @@ def microdata_products(pages: DataFrame) -> DataFrame:
     p = pages.where(F.col("html").rlike(_OPEN.format(attr=item))).select(F.col("url").alias("page_url"), "html", F.concat(tag, inner).alias("scope"), inner.alias("inner"))
     p = p.withColumn("price", price_text(_prop(F.col("scope"), "price"))).where("price is not null")
     nested = r"""(?is)\sitemscope(?=[\s=>/])"""
-    p = p.withColumn("own", F.col("inner"))
-    for _ in range(8):
-        p = p.withColumn("own", F.when(F.col("own").rlike(nested), _without_nested(F.col("own"), 1)).otherwise(F.col("own")))
+    p = p.withColumn("own", F.when(F.col("inner").rlike(nested), _without_nested(F.col("inner"))).otherwise(F.col("inner")))
     name_tag, name_inner = _scope(F.col("own"), r"""itemprop=["']name["']""")
     content = F.nullif(F.trim(F.regexp_extract(name_tag, r"""(?i)(?:content|value)=["']([^"']+)["']""", 1)), F.lit(""))
     void = name_tag.rlike(r"(?i)^<(?:meta|link|img|br|hr|input|source)\b")
