@@ -6,14 +6,14 @@ occurrence of such a word in a document fixes where the window would begin; the
 that would reach over an end of the document, and the words of the rest are compared exactly.
 
 The join key is the single word in lower case (fast in Spark): words that are equal after lower-casing A-Z have the same key, and
-the final comparison lower-cases A-Z alone.  The benchmark is broadcast only when its windows are counted and few, and then
-a text's words are compared where they are exploded.  Beyond ``BROADCAST_WINDOWS`` the join shuffles rows of (document, place,
-word) only, and each document with a candidate is joined to its text once.
+the final comparison lower-cases A-Z alone.  Rows of (document, place, word) are all that is joined; the benchmark is
+broadcast when its windows are counted and few.  The places where a window may begin are written as a table, and only the
+texts of documents that have one are fetched, by a broadcast of these documents when they are counted and few, and compared
+once each.
 
 Cases with a defined result: null and empty texts have no words and no hits; items without words never occur; rows of
-documents that repeat an id are judged each by its own text; a null doc_id has no hits found; items with a null item_id
-mark words but aren't counted; an empty benchmark hits nothing; further columns are ignored here and kept by
-``drop_contaminated``.
+documents that repeat an id, or have none, are judged each by its own text; items with a null item_id mark words but aren't
+counted; an empty benchmark hits nothing; further columns are ignored here and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -23,9 +23,13 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import written
+
 WINDOW = 10
 #: Windows of about 100 bytes each: at most some 50 MB are broadcast.
 BROADCAST_WINDOWS = 500_000
+#: Documents with a candidate, of 16 bytes each, that are broadcast.
+BROADCAST_DOCUMENTS = 1_000_000
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -53,15 +57,21 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
     )
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Occurrences of item windows: doc, tag (hash of the text), item_id, start (first word, from 0), length."""
-    wins = _windows(items, window)
-    few = wins.count() <= BROADCAST_WINDOWS
-    small = F.broadcast if few else (lambda df: df)
-    texts = docs.select(F.col("doc_id").alias("doc"), F.hash("text").alias("tag"), F.col("text").alias("text")).where("doc is not null and text is not null")
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc, tag (hash of the text, which tells rows of one id, or without one, apart) and text."""
+    return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("tag"), F.col("text").alias("text")).where("text is not null")
 
-    at = texts.withColumn("words", _words(F.col("text"))).select("doc", "tag", "words", F.posexplode("words").alias("pos", "word")).withColumn("key", F.lower("word"))
 
+def _same(left: DataFrame, right: DataFrame, doc: str = "doc", tag: str = "tag") -> Column:
+    return left["doc"].eqNullSafe(right[doc]) & (left["tag"] == right[tag])
+
+
+def candidates(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc, tag, and found: where windows may begin that hold their rarest word there (item_id, win, start from 0, length)."""
+    wins = _windows(items, window)
+    small = F.broadcast if wins.count() <= BROADCAST_WINDOWS else (lambda df: df)
+    at = _texts(docs).withColumn("words", _words(F.col("text"))).withColumn("n", F.size("words")).select("doc", "tag", "n", F.posexplode("words").alias("pos", "word"))
+    at = at.select("doc", "tag", "n", "pos", F.lower("word").alias("key"))
     vocabulary = wins.select(F.explode("keys").alias("key")).distinct()
     frequency = at.select("key").join(small(vocabulary), "key").groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
     ranked = (
@@ -73,31 +83,30 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         .select("item_id", "length", "win", F.col("rarest.key").alias("key"), F.col("rarest.offset").alias("offset"))
     )
     start = F.col("pos") - F.col("offset")
-    if few:
-        met = at.join(F.broadcast(ranked), "key").withColumn("n", F.size("words"))
-    else:
-        met = at.select("doc", "tag", "pos", "key", F.size("words").alias("n")).join(ranked, "key")
-    met = met.where((start >= 0) & (start + F.col("length") <= F.col("n"))).withColumn("start", start)
-    if not few:
-        met = met.select("doc", "tag", "item_id", "win", "start", "length").distinct().join(texts.withColumn("words", _words(F.col("text"))).drop("text"), ["doc", "tag"])
-    # conditions may be evaluated in any order
-    spelled = F.array_join(F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("length")), " ")
-    return met.where(_ascii_lower(spelled) == F.col("win")).select("doc", "tag", "item_id", "start", "length")
-
-
-def _per_document(found: DataFrame) -> DataFrame:
-    spans = F.transform(F.col("spans"), lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))
-    return (
-        found.groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"))
-        .agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("item_id").alias("items"))
-        .select("__doc", "__tag", F.size(F.array_distinct(F.flatten(spans))).cast("long").alias("__hit"), F.array_sort("items").alias("__items"))
-    )
+    met = at.join(small(ranked), "key").where((start >= 0) & (start + F.col("length") <= F.col("n")))
+    return met.groupBy("doc", "tag").agg(F.collect_set(F.struct("item_id", "win", start.alias("start"), "length")).alias("found"))
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document with an occurrence of an item's window: doc, tag (hash of the text), n_hit (words inside any), items (sorted ids)."""
+    table = written(candidates(docs, items, window), "candidates")
+    own = table.select(F.col("doc").alias("d"), F.col("tag").alias("t"))
+    texts = _texts(docs)
+    few = texts.join(F.broadcast(own) if own.count() <= BROADCAST_DOCUMENTS else own, _same(texts, own, "d", "t"), "left_semi").distinct()
+    few = few.select("doc", "tag", _words(F.col("text")).alias("words"))
+    met = few.join(table.select(F.col("doc").alias("d"), F.col("tag").alias("t"), "found"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")))
+    spelled = lambda x: F.array_join(F.slice("words", x["start"] + 1, x["length"]), " ")
+    true = met.select("doc", "tag", F.filter("found", lambda x: _ascii_lower(spelled(x)) == x["win"]).alias("found")).where("size(found) > 0")
+    spans = F.array_distinct(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))))
+    words = F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["start"], x["start"] + x["length"] - 1))))
+    ids = F.array_sort(F.array_distinct(F.array_compact(F.transform("found", lambda x: x["item_id"]))))
+    return true.select("doc", "tag", F.size(words).cast("long").alias("n_hit"), ids.alias("items"))
 
 
 def _joined(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    per = _per_document(hits(docs, items, window))
-    keyed = docs.withColumn("__hash", F.hash("text"))
-    return keyed.join(per, (F.col("doc_id") == F.col("__doc")) & (F.col("__hash") == F.col("__tag")), "left").drop("__hash", "__doc", "__tag")
+    per = hits(docs, items, window).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("n_hit").alias("__hit"), F.col("items").alias("__items"))
+    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    return keyed.join(per, keyed["doc_id"].eqNullSafe(per["__doc"]) & (keyed["__hash"] == per["__tag"]), "left").drop("__hash", "__doc", "__tag")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
