@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import grading as G
 from ..operators import linkage as L
+from ..operators.linkage_classes import Classes
 from ..operators import merging as M
 from ..operators import model_names as N
 from ..operators import offer_names as O
@@ -438,29 +439,27 @@ def c7_classified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a13_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.pair_counts(L.classified(_linked(spark, sf_dir)))
+    return Classes(_linked(spark, sf_dir), kept).pair_counts()
 
 
 @query
 def a13_conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.conflict_counts(L.classified(_linked(spark, sf_dir)))
+    return Classes(_linked(spark, sf_dir), kept).conflict_counts()
 
 
 @query
 def a13_shop_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.shop_pair_counts(L.classified(_linked(spark, sf_dir)))
+    return Classes(_linked(spark, sf_dir), kept).shop_pair_counts()
 
 
 @query
 def c9_ambiguous_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _linked(spark, sf_dir)
-    return L.ambiguous_offers(items, L.classified(items))
+    return Classes(_linked(spark, sf_dir), kept).ambiguous_offers()
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = _linked(spark, sf_dir)
-    pairs = kept(L.demoted(items, kept(L.classified(items))))
-    return items, L.clusters(pairs, kept)
+    return items, Classes(items, kept).clusters()
 
 
 @query
