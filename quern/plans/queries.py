@@ -180,9 +180,9 @@ def f18_url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j12_urls_in_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored URLs that a sitemap lists too (semi), and those it doesn't (anti), by normalised key."""
     p = C.read(spark, sf_dir, "pages").select("page_id", "url", U.host_path_key(F.col("url")).alias("key"))
-    stored, listed = p.where("page_id % 2 = 0"), p.where("page_id % 3 = 0").select("key").distinct()
-    both = stored.join(listed, "key", "left_semi").withColumn("listed", F.lit(True))
-    return both.unionByName(stored.join(listed, "key", "left_anti").withColumn("listed", F.lit(False))).select("page_id", "listed")
+    listed = p.where("page_id % 3 = 0").select("key").distinct()
+    both = p.join(listed, "key", "left_semi").withColumn("listed", F.lit(True))
+    return both.unionByName(p.join(listed, "key", "left_anti").withColumn("listed", F.lit(False))).select("page_id", "listed")
 
 
 @query
@@ -543,7 +543,15 @@ def t6_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def s19_request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = C.read(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 3 + 1).alias("cost"))
-    return crawl.within_budget(e, "user_id", ["event_id"], most=40, reserve=crawl.RESERVE, cost="cost").select("event_id", "spent")
+    return crawl.within_budget(e, "user_id", ["event_id"], 40, kept, reserve=crawl.RESERVE, cost="cost").select("event_id", "spent")
+
+
+@query
+def s19_hot_site_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is spent with each request where nine of ten requests are for one site."""
+    site = F.when(F.col("event_id") % 10 == 0, F.col("user_id").cast("string")).otherwise("hot")
+    e = C.read(spark, sf_dir, "events").select("event_id", site.alias("site"), (F.col("event_id") % 3 + 1).alias("cost"))
+    return crawl.running_sums(e, "site", ["event_id"], F.col("cost"), kept).select("event_id", "site", "spent")
 
 
 # --- pages and feeds --------------------------------------------------------------------------------------------------
@@ -642,24 +650,34 @@ def s14_robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.allowed_paths(p, crawl.robots_rules(robots, "QuernBot")).select("page_id", "allowed")
 
 
+def _sitemaps(spark: SparkSession, urls: DataFrame, root: str, most: int = 10_000) -> DataFrame:
+    """url and xml of sitemaps that list the URLs, each about ``most`` of them, and of the index that names them.  urls: loc."""
+    n = urls.count() // most + 1
+    at = lambda k: F.concat(F.lit(f"{root}s"), k.cast("string"), F.lit(".xml"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<url><loc> "), "loc", F.lit(" </loc></url>")))), "")
+    maps = urls.groupBy(F.pmod(F.xxhash64("loc"), F.lit(n)).alias("k")).agg(F.concat(F.lit('<?xml version="1.0"?><urlset>'), listed, F.lit("</urlset>")).alias("xml"))
+    # a document that isn't there, and one that is named twice
+    named = spark.range(n + 1).select(at(F.col("id")).alias("loc")).unionByName(spark.range(1).select(at(F.col("id")).alias("loc")))
+    index = named.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "loc", F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml"))
+    return maps.select(at(F.col("k")).alias("url"), "xml").unionByName(index.select(F.lit(f"{root}sitemap.xml").alias("url"), "xml"))
+
+
 @query
 def s10_sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of one sitemap for each language, listing the pages."""
-    p = C.read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://x.example.com/p/"), F.col("page_id").cast("string")).alias("loc"), (F.col("page_id") % 4).alias("k"))
-    loc = lambda c: F.concat(F.lit("<url><loc> "), c, F.lit(" </loc></url>"))
-    lists = p.groupBy("k").agg(F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(F.sort_array(F.collect_list(loc(F.col("loc")))), ""), F.lit("</urlset>")).alias("xml")).select(F.concat(F.lit("https://x.example.com/s"), F.col("k").cast("string"), F.lit(".xml")).alias("url"), "xml")
-    index = spark.createDataFrame([("https://x.example.com/sitemap.xml", "<sitemapindex>" + "".join(f"<sitemap><loc>https://x.example.com/s{i}.xml</loc></sitemap>" for i in (0, 1, 2, 2, 9)) + "</sitemapindex>")], "url string, xml string")
-    start = spark.createDataFrame([("x", "https://x.example.com/sitemap.xml")], "site string, url string")
-    return crawl.sitemap_urls(start, index.unionByName(lists), kept, urls=None)
+    """All pages in sitemaps under an index, which twelve further indexes lead to."""
+    p = C.read(spark, sf_dir, "pages").select(F.concat(F.lit("https://x.example.com/p/"), F.col("page_id").cast("string")).alias("loc"))
+    root = "https://x.example.com/"
+    chain = [(f"{root}i{k}.xml", f"<sitemapindex><sitemap><loc>{root}{f'i{k + 1}' if k < 11 else 'sitemap'}.xml</loc></sitemap><sitemap><loc>{root}i0.xml</loc></sitemap></sitemapindex>") for k in range(12)]
+    start = spark.createDataFrame([("x", f"{root}i0.xml")], "site string, url string")
+    return crawl.sitemap_urls(start, spark.createDataFrame(chain, "url string, xml string").unionByName(_sitemaps(spark, p, root, 100)), kept, documents=None, urls=None)
 
 
 def _site_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """A landed crawl of one shop whose sitemap lists the product pages."""
+    """A landed crawl of one shop whose sitemaps list the product pages."""
     product = _product_pages(spark, sf_dir).select("url", F.lit(200).alias("status"), "html")
     site = spark.createDataFrame([("shop", "shop.example.com", 200, None, "<html>data-shoptet</html>")], "site string, host string, status int, error string, home string")
     robots = spark.createDataFrame([("shop.example.com", 200, "User-agent: *\nDisallow: /p/1\nAllow: /p/10\n")], "host string, status int, text string")
-    listed = product.agg(F.concat(F.lit("<urlset>"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>")))), ""), F.lit("</urlset>")).alias("xml"))
-    return site, robots, listed.select(F.lit("https://shop.example.com/sitemap.xml").alias("url"), "xml"), product
+    return site, robots, _sitemaps(spark, product.select(F.col("url").alias("loc")), "https://shop.example.com/"), product
 
 
 @query

@@ -119,7 +119,7 @@ _PKEY = f"lower(regexp_replace({_PATH}, '/$', ''))"
 _HKEY = f"regexp_replace({_HOST}, '^www\\.', '') || {_PKEY}"
 SQL["f18_url_keys"] = f"SELECT page_id, {_HKEY} AS host_path, {_PKEY} AS path FROM pages"
 SQL["j12_urls_in_sitemap"] = f"""WITH p AS (SELECT page_id, {_HKEY} AS key FROM pages)
-SELECT page_id, key IN (SELECT key FROM p WHERE page_id % 3 = 0) AS listed FROM p WHERE page_id % 2 = 0"""
+SELECT page_id, key IN (SELECT key FROM p WHERE page_id % 3 = 0) AS listed FROM p"""
 SQL["a16_url_depth"] = f"SELECT len({_SEGMENTS})::BIGINT AS depth, count(*) AS urls FROM pages GROUP BY 1"
 SQL["a18_token_frequency"] = f"""WITH {_SLUGGED}, e AS (SELECT unnest(tokens) AS token FROM toks)
 SELECT token, count(*) AS rows FROM e WHERE length(token) > 1 AND NOT regexp_matches(token, '^[0-9]+$') GROUP BY token ORDER BY rows DESC, token LIMIT 80"""
@@ -193,6 +193,8 @@ def _slugify(c: str) -> str:
 SQL["t6_text_functions"] = f"""WITH {PARTS_SQL} SELECT part_key, ((part_key % 9 + 1) || lpad((part_key % 1000)::VARCHAR, 3, '0') || '.50')::DOUBLE AS amount, 'CZK' AS currency,
   [true, false, true, NULL][part_key % 4 + 1] AS in_stock, name AS clean, {_slugify('name')} AS slug, {_hash('base')} AS hash, {_N} AS folded, floor(retail / 7 + 0.5)::BIGINT AS rounded,
   CASE WHEN part_key % 5 = 0 THEN 0.0 ELSE round(100 * (part_key % 7) / (part_key % 5), 1) END AS percent FROM parts"""
+SQL["s19_hot_site_budget"] = """WITH e AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN user_id::VARCHAR ELSE 'hot' END AS site, event_id % 3 + 1 AS cost FROM events)
+SELECT event_id, site, sum(cost) OVER (PARTITION BY site ORDER BY event_id)::BIGINT AS spent FROM e"""
 SQL["s19_request_budget"] = "WITH e AS (SELECT event_id, sum(event_id % 3 + 1) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS spent FROM events) SELECT * FROM e WHERE spent <= 35"
 
 # --- linkage ----------------------------------------------------------------------------------------------------------
@@ -273,7 +275,7 @@ assert all(f"llow: {p}\n" in ROBOTS for p, _ in _PATHS)
 SQL["s14_robots_allowed"] = f"""WITH r(path, allowed) AS (VALUES {', '.join(f"('{p}', {a})" for p, a in _PATHS)}), p AS (SELECT page_id, {_PATH} AS path FROM pages),
 m AS (SELECT page_id, r.allowed, row_number() OVER (PARTITION BY page_id ORDER BY length(r.path) DESC, r.allowed) AS n FROM p JOIN r ON starts_with(p.path, r.path))
 SELECT page_id, coalesce(m.allowed, true) AS allowed FROM p LEFT JOIN (SELECT * FROM m WHERE n = 1) m USING (page_id)"""
-SQL["s10_sitemap_urls"] = "SELECT 'x' AS site, 'https://x.example.com/p/' || page_id AS url FROM pages WHERE page_id % 4 < 3"
+SQL["s10_sitemap_urls"] = "SELECT 'x' AS site, 'https://x.example.com/p/' || page_id AS url FROM pages"
 _CRAWLABLE = "NOT starts_with(part_key::VARCHAR, '1') OR starts_with(part_key::VARCHAR, '10')"
 SQL["s16_crawled_products"] = f"""WITH {PARTS_SQL} SELECT 'https://shop.example.com/p/' || part_key AS page_url, base AS name, round(retail, 2) AS price, 'jsonld' AS evidence FROM parts
 WHERE part_key % 5 <> 4 AND part_key % 8 <> 3 AND ({_CRAWLABLE})"""

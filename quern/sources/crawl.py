@@ -107,41 +107,57 @@ def sitemap_score(url: Column) -> Column:
     return F.when(u.rlike("produ[ck]t|zbozi|goods|item"), 0).when(u.rlike("image|blog|clan|page|post|news|categor"), 2).otherwise(1)
 
 
-def sitemap_urls(start: DataFrame, sitemaps: DataFrame, keep: Callable[[DataFrame], DataFrame], documents: int | None = SITEMAPS, urls: int | None = SITEMAP_URLS, depth: int = 10) -> DataFrame:
-    """site and url of the pages that a site's sitemaps list, through nested indexes, no document twice.
+def sitemap_urls(start: DataFrame, sitemaps: DataFrame, keep: Callable[[DataFrame], DataFrame], documents: int | None = SITEMAPS, urls: int | None = SITEMAP_URLS) -> DataFrame:
+    """site and url of the pages that a site's sitemaps list, through indexes however deep they are nested, no document twice.
 
     start: site, url.  documents, urls: the most documents read and URLs returned of one site (None: all); breadth first, product
     sitemaps before others.
     """
     entries = keep(sitemap_entries(sitemaps))
     level = start.select("site", "url", F.sequence(F.lit(0), F.lit(0)).alias("order")).dropDuplicates(["site", "url"])
-    seen = None
-    for k in range(depth):
+    seen, k = None, 0
+    while True:
         level = keep(level.withColumn("level", F.lit(k)))
-        seen = level if seen is None else seen.unionByName(level)
+        if level.isEmpty():
+            break
+        seen, k = level if seen is None else seen.unionByName(level), k + 1
         inner = level.join(entries.where("is_index"), "url").select("site", F.col("loc").alias("url"), F.concat("order", F.array(sitemap_score(F.col("loc")), F.col("position"))).alias("order"))
         first = Window.partitionBy("site", "url").orderBy("order")
         level = inner.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").join(seen.select("site", "url"), ["site", "url"], "left_anti")
-        if level.isEmpty():
-            break
+    seen = level if seen is None else seen
     read = seen.join(entries.select("url").distinct(), "url", "left_semi")
     if documents:
-        nth = F.row_number().over(Window.partitionBy("site").orderBy("level", "order", "url"))
-        read = read.withColumn("nth", nth).where(F.col("nth") <= documents)
+        read = within_budget(read, "site", ["level", "order", "url"], documents, keep)
     listed = read.join(entries.where("not is_index"), "url").select("site", F.col("loc").alias("url"), "level", "order", "position")
     once = Window.partitionBy("site", "url").orderBy("level", "order", "position")
     listed = listed.withColumn("n", F.row_number().over(once)).where("n = 1")
     if urls:
-        nth = F.row_number().over(Window.partitionBy("site").orderBy("level", "order", "position", "url"))
-        listed = listed.withColumn("nth", nth).where(F.col("nth") <= urls)
+        listed = within_budget(listed, "site", ["level", "order", "position", "url"], urls, keep)
     return listed.select("site", "url")
 
 
-def within_budget(requests: DataFrame, by: str, order: list[str], most: int = BUDGET, reserve: int = 0, cost: str | None = None) -> DataFrame:
-    """The requests of each group that fit in its budget, in order, less a reserve."""
-    c = F.lit(1) if cost is None else F.col(cost)
-    spent = F.sum(c).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return requests.withColumn("spent", spent).where(F.col("spent") <= most - reserve)
+def running_sums(df: DataFrame, by: str, order: list[str], cost: Column, keep: Callable[[DataFrame], DataFrame], ranges: int | None = None) -> DataFrame:
+    """df with spent: the sum of cost over the group's rows up to and with each row, in order.  Rows of a group should differ in order.
+
+    Rows are split into ranges of (group, order), so that no task gets a whole group because it is large.  Each range's sums,
+    one row for each group in it, are added up in a window over ranges, and each row's sum within its range is added to that
+    of the ranges before.  ``ranges``: the shuffle's own number of partitions by default.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = keep(keep(df.withColumn("__cost", cost)).repartitionByRange(n, by, *order).withColumn("__range", F.spark_partition_id()))
+    sums = split.groupBy(by, "__range").agg(F.sum("__cost").alias("__sum"))
+    before = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(by, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = split.withColumn("__own", F.sum("__cost").over(within))
+    # null groups are groups too
+    met = own.join(base.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")) & (own["__range"] == base["__range"])).drop(base["__range"])
+    return met.withColumn("spent", F.col("__own") + F.col("__base")).drop("__cost", "__range", "__own", "__base", "__by")
+
+
+def within_budget(requests: DataFrame, by: str, order: list[str], most: int, keep: Callable[[DataFrame], DataFrame], reserve: int = 0, cost: str | None = None) -> DataFrame:
+    """The requests of each group that fit in its budget, in order, less a reserve, with spent: what the group has used with each."""
+    return running_sums(requests, by, order, F.lit(1) if cost is None else F.col(cost), keep).where(F.col("spent") <= most - reserve)
 
 
 def crawled(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, pages: DataFrame, bot: str, keep: Callable[[DataFrame], DataFrame], most: int = BUDGET, documents: int | None = SITEMAPS, urls: int | None = SITEMAP_URLS) -> DataFrame:
@@ -157,10 +173,9 @@ def crawled(sites: DataFrame, robots: DataFrame, sitemaps: DataFrame, pages: Dat
     named = open_sites.join(robots_sitemaps(robots), "host", "left").select("site", F.coalesce("url", F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml"))).alias("url"))
     found = sitemap_urls(named, sitemaps, keep, documents, urls).join(open_sites.select("site", "platform"), "site")
     marked = found.withColumn("likely", likely_product(F.col("url"), F.col("platform")))
-    some = Window.partitionBy("site")
-    wanted = marked.withColumn("any", F.max("likely").over(some)).where("likely or not any")
+    wanted = marked.join(marked.groupBy("site").agg(F.max("likely").alias("any")), "site").where("likely or not any")
     permitted = allowed_paths(wanted, rules).where("allowed").withColumn("h", F.xxhash64("url"))
-    chosen = within_budget(permitted, "site", ["h", "url"], most).select("site", "url")
+    chosen = within_budget(permitted, "site", ["h", "url"], most, keep).select("site", "url")
     got = chosen.join(pages.where("status < 400").select("url", "html").dropDuplicates(["url"]), "url")
     evidence = product_evidence(got.select("url", "html").dropDuplicates(["url"])).where("name is not null and price is not null")
     return got.select("site", F.col("url").alias("page_url")).join(evidence, "page_url")
