@@ -703,17 +703,12 @@ def s17_refresh_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "kind", "price")
 
 
-def _landed(df: DataFrame, name: str, root: str = "") -> str:
-    """Texts written to the shared folder, as a feed that was fetched: lines, or with a root element a document for every 500 of them."""
+def _landed(df: DataFrame, name: str) -> str:
+    """Texts written to the shared folder, a line each, as a feed that was fetched."""
     import uuid
 
     path = f"{shared_dir(df.sparkSession)}/feed-{name}-{uuid.uuid4().hex}"
-    if not root:
-        df.write.text(path)
-        return path
-    text = F.concat(F.lit(f"<{root}>"), F.array_join(F.collect_list(F.col(df.columns[0])), "\n"), F.lit(f"</{root}>"))
-    documents = df.withColumn("document", F.floor(F.monotonically_increasing_id() / 500)).groupBy("document").agg(text.alias("text"))
-    documents.write.partitionBy("document").text(path)
+    df.write.text(path)
     return path
 
 
@@ -727,7 +722,25 @@ def s2_heureka_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("part_key") % 10 != 0, tag("PRICE_VAT", price)).otherwise(F.lit("")), tag("URL", F.concat(F.lit("https://shop.example.com/"), F.col("part_key").cast("string"))),
         tag("DELIVERY_DATE", (F.col("part_key") % 5).cast("string")), F.lit("</SHOPITEM>"),
     )
-    return feeds.feed_items(spark, _landed(p.select(item.alias("line")), "heureka", "SHOP"), "heureka").select("item_id", "name", "price", "url", "delivery_days")
+    return feeds.feed_items(spark, _landed(p.select(item.alias("line")), "heureka"), "heureka").select("item_id", "name", "price", "url", "delivery_days")
+
+
+@query
+def s2_mixed_case_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element names in any case, marked sections and references in texts, a later price that is no number."""
+    p = C.parts(spark, sf_dir)
+    k = F.col("part_key")
+
+    def tag(name: str, c: Column) -> Column:
+        low, mixed = name.lower(), name.title()
+        spelled = lambda n: F.concat(F.lit(f"<{n}>"), c, F.lit(f"</{n}>"))
+        return F.when(k % 3 == 0, spelled(name)).when(k % 3 == 1, spelled(low)).otherwise(spelled(mixed))
+
+    text = F.when(k % 2 == 0, F.concat(F.lit("<![CDATA["), "base", F.lit(" <b> & co]]>"))).otherwise(F.concat("base", F.lit(" &lt;b&gt; &amp; co")))
+    item = tag("SHOPITEM", F.concat(
+        tag("ITEM_ID", k.cast("string")), tag("PRODUCTNAME", text), tag("PRICE_VAT", F.format_string("%.2f", F.col("retail"))), tag("PRICE_VAT", F.lit("on request")), tag("URL", F.concat(F.lit("https://x/"), k.cast("string"))), F.lit("<other>y</other>"),
+    ))
+    return feeds.feed_items(spark, _landed(p.select(item.alias("line")), "mixed"), "heureka").select("item_id", "name", "price", "url")
 
 
 @query
@@ -741,7 +754,7 @@ def s3_google_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<"), root, F.lit(' xmlns:g="http://base.google.com/ns/1.0">'), tag("g:id", F.col("part_key").cast("string")), tag("title", F.col("base")), link,
         tag("g:price", F.concat(F.translate(F.format_string("%.2f", F.col("retail")), ".", ","), F.lit(" CZK"))), tag("g:availability", stock), F.lit("</"), root, F.lit(">"),
     )
-    return feeds.feed_items(spark, _landed(p.select(item.alias("line")), "google", "channel"), "google").select("item_id", "name", "price", "currency", "url", "in_stock")
+    return feeds.feed_items(spark, _landed(p.select(item.alias("line")), "google"), "google").select("item_id", "name", "price", "currency", "url", "in_stock")
 
 
 @query

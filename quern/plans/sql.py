@@ -282,6 +282,7 @@ WHERE part_key % 5 <> 4 AND part_key % 8 <> 3 AND ({_CRAWLABLE})"""
 SQL["s17_refresh_outcomes"] = f"""WITH {PARTS_SQL}, k AS (SELECT part_key::VARCHAR AS item_id, retail, CASE WHEN part_key % 13 = 0 THEN 'disallowed' WHEN part_key % 7 = 1 THEN 'not_found' WHEN part_key % 7 IN (2, 3) THEN 'error'
   WHEN part_key % 5 = 4 OR part_key % 8 = 3 THEN 'no_product' ELSE 'item' END AS kind FROM parts) SELECT item_id, kind, CASE WHEN kind = 'item' THEN round(retail, 2) END AS price FROM k"""
 SQL["s2_heureka_feed"] = f"""WITH {PARTS_SQL} SELECT part_key::VARCHAR AS item_id, base AS name, round(retail, 2) AS price, 'https://shop.example.com/' || part_key AS url, (part_key % 5)::INT AS delivery_days FROM parts WHERE part_key % 10 <> 0"""
+SQL["s2_mixed_case_feed"] = f"""WITH {PARTS_SQL} SELECT part_key::VARCHAR AS item_id, base || ' <b> & co' AS name, round(retail, 2) AS price, 'https://x/' || part_key AS url FROM parts"""
 SQL["s3_google_feed"] = f"""WITH {PARTS_SQL} SELECT part_key::VARCHAR AS item_id, base AS name, round(retail, 2) AS price, 'CZK' AS currency, 'https://shop.example.com/' || part_key AS url, part_key % 3 <> 1 AS in_stock FROM parts"""
 SQL["s21_delimited_text"] = f"WITH {PARTS_SQL} SELECT part_key::VARCHAR AS count, brand AS shop, base || '~~' || part_type AS name FROM parts"
 SQL["stream_import"] = f"""WITH {OFFERS_SQL} SELECT shop_id, item_id, name, price, url, coalesce(in_stock, true) AS in_stock, last_seen_at, 'pending' AS match_status, NULL::VARCHAR AS part_id FROM offers QUALIFY {_LATEST}"""
