@@ -849,3 +849,24 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = OfferImport(spark, root)
     run.run(f"{root}/in", files_per_batch=1)
     return run.state()
+
+
+@query
+def stream_aged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the stream, with ageing after each: shops whose source was empty keep their stock, and late rows bring theirs back."""
+    import uuid
+
+    from ..streaming.imports import OfferImport
+
+    root = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
+    o = kept(M.last_wins(C.offers(spark, sf_dir), M.KEY, [F.col("last_seen_at"), F.col("price"), F.col("offer_id")]))
+    landed = o.select("shop_id", "item_id", "name", F.col("price").cast("double").alias("price"), "url", "in_stock", "last_seen_at")
+    landed.write.parquet(f"{root}/in/first")
+    run = OfferImport(spark, root, 8)
+    run.run(f"{root}/in/*")
+    run.age(SPLIT, landed.where(F.col("shop_id") != "S1").select("shop_id"))
+    late = landed.where(F.col("item_id").endswith("-2")).withColumn("in_stock", F.lit(True))
+    late.write.parquet(f"{root}/in/second")
+    run.run(f"{root}/in/*")
+    run.age(NOW, landed.where(F.col("shop_id") == "S2").select("shop_id"))
+    return run.state().select("shop_id", "item_id", "in_stock", "last_seen_at")

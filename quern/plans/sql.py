@@ -285,6 +285,10 @@ SQL["s2_heureka_feed"] = f"""WITH {PARTS_SQL} SELECT part_key::VARCHAR AS item_i
 SQL["s2_mixed_case_feed"] = f"""WITH {PARTS_SQL} SELECT part_key::VARCHAR AS item_id, base || ' <b> & co' AS name, round(retail, 2) AS price, 'https://x/' || part_key AS url FROM parts"""
 SQL["s3_google_feed"] = f"""WITH {PARTS_SQL} SELECT part_key::VARCHAR AS item_id, base AS name, round(retail, 2) AS price, 'CZK' AS currency, 'https://shop.example.com/' || part_key AS url, part_key % 3 <> 1 AS in_stock FROM parts"""
 SQL["s21_delimited_text"] = f"WITH {PARTS_SQL} SELECT part_key::VARCHAR AS count, brand AS shop, base || '~~' || part_type AS name FROM parts"
+SQL["stream_aged"] = f"""WITH {OFFERS_SQL}, one AS (SELECT shop_id, item_id, coalesce(in_stock, true) AS in_stock, last_seen_at FROM offers QUALIFY {_LATEST}),
+first AS (SELECT *, in_stock AND NOT (shop_id <> 'S1' AND last_seen_at < TIMESTAMP '{SPLIT}' - INTERVAL 3 DAY) AS aged FROM one),
+second AS (SELECT *, CASE WHEN ends_with(item_id, '-2') THEN true ELSE aged END AS back FROM first)
+SELECT shop_id, item_id, back AND NOT (shop_id = 'S2' AND last_seen_at < TIMESTAMP '{NOW}' - INTERVAL 3 DAY) AS in_stock, last_seen_at FROM second"""
 SQL["stream_import"] = f"""WITH {OFFERS_SQL} SELECT shop_id, item_id, name, price, url, coalesce(in_stock, true) AS in_stock, last_seen_at, 'pending' AS match_status, NULL::VARCHAR AS part_id FROM offers QUALIFY {_LATEST}"""
 
 # --- names: what the last words of a part's name say ------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Incremental import: landed offer files as a stream, merged into a state table batch by batch.
 
-Each micro-batch is deduplicated (the last row of a key wins), compared with the state, and written as a new version of the state and as rows of
-the price history, named by the batch's number: a batch that runs again after a failure overwrites its own files, so results are the same
-as without the failure.
+Each micro-batch is deduplicated (the last row of a key wins), compared with the buckets of the state that its keys fall into, and
+written as these buckets' new version and as rows of the price history, named by the batch's number: a batch that runs again
+after a failure overwrites its own files, so results are the same as without the failure.
 """
 
 from __future__ import annotations
@@ -10,37 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merging import KEY, diff, last_wins, price_history_rows, stale_marked, upserted
+from ..operators.merging import KEY, diff, last_wins, price_history_rows, upserted
+from ..store import kept
+from .state import BucketedState
 
-STATE = "shop_id string, item_id string, name string, price long, url string, in_stock boolean, last_seen_at timestamp, match_status string, part_id string"
 OFFER = "shop_id string, item_id string, name string, price double, url string, in_stock boolean, last_seen_at timestamp"
 
 
 class OfferImport:
     """A state table in versions under ``root``, and the stream that writes it."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 32) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _version(self, number: int) -> DataFrame:
-        if number < 0:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.root}/state/v{number:08d}")
-
-    def _latest(self) -> int:
-        """The number of the last complete version, found through Spark's own file system."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        found = jvm.org.apache.hadoop.fs.Path(f"{self.root}/state/v*/_SUCCESS")
-        hits = found.getFileSystem(conf).globStatus(found)
-        return max([int(h.getPath().getParent().getName()[1:]) for h in hits or []], default=-1)
+        self.table = BucketedState(spark, f"{self.root}/state", buckets)
 
     def write_batch(self, batch: DataFrame, number: int) -> None:
-        """State version ``number`` from version ``number - 1`` and the batch's rows."""
-        existing = self._version(number - 1)
-        incoming = last_wins(batch.where("shop_id is not null and item_id is not null"), KEY, [F.col("last_seen_at"), F.col("name"), F.col("price"), F.col("url")])
-        changes = diff(incoming, existing)
-        price_history_rows(changes, F.col("last_seen_at")).write.mode("overwrite").parquet(f"{self.root}/history/batch={number}")
-        upserted(existing, incoming).write.mode("overwrite").parquet(f"{self.root}/state/v{number:08d}")
+        """State version ``number`` from the version before it and the batch's rows."""
+        version = f"{number:08d}"
+        rows = batch.where("shop_id is not null and item_id is not null")
+        incoming = kept(last_wins(rows, KEY, [F.col("last_seen_at"), F.col("name"), F.col("price"), F.col("url")]))
+        # one row for each bucket at most
+        touched = {r[0] for r in incoming.select(self.table.bucket()).distinct().collect()}
+        entries = self.table.entries(self.table.latest(version))
+        existing = self.table.rows({b: e for b, e in entries.items() if b in touched})
+        price_history_rows(diff(incoming, existing), F.col("last_seen_at")).write.mode("overwrite").parquet(f"{self.root}/history/batch={number}")
+        self.table.commit(version, upserted(existing, incoming) if touched else None, entries)
 
     def run(self, source: str, files_per_batch: int = 1000) -> None:
         """Merges all files of ``source`` (Parquet with OFFER's columns) that earlier runs have not seen."""
@@ -49,11 +43,12 @@ class OfferImport:
         query.awaitTermination()
 
     def state(self) -> DataFrame:
-        return self._version(self._latest())
+        return self.table.read()
 
     def history(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/history")
 
-    def aged(self, now, batch_rows: int) -> DataFrame:
-        """The state with offers out of stock that have not been seen lately; nothing is aged after an empty source."""
-        return stale_marked(self.state(), F.lit(now).cast("timestamp"), source_was_empty=batch_rows == 0)
+    def age(self, now: str, shops: DataFrame) -> int:
+        """Marks offers that were not seen lately as out of stock; shops: shop_id of those whose source gave rows in this run."""
+        last = self.table.latest()
+        return self.table.mark_stale(f"{last}-aged", now, shops) if last else 0
