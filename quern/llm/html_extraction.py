@@ -1,13 +1,15 @@
-"""Main text of web pages: subtrees that recur on a site are its template and go, the article's blocks stay.
+"""Main text of web pages: blocks that recur on a site are its template and go, the article's blocks stay.
 
-Every element's subtree is hashed (its bytes, from start tag to end), inside and outside of the article.  Spark counts on how many
-different pages of a host each subtree recurs; what is on ``MIN_PAGES`` of them or more is deleted.  Inside an article the prose itself
-(paragraphs, headings, list items, quotations, cells) stays, however many articles share it: there only other containers go.
+Every block element's subtree is hashed with its place: its bytes, from start tag to end, and the tags it stands in.  Spark counts on how many
+different pages of a host each such subtree recurs; what is on ``MIN_PAGES`` of them or more, and on a share of ``SHARE`` of all, is
+deleted, inside and outside of articles.  The share keeps phrases that merely are common on a large host; a block that is
+nothing but links needs none, as menus differ from part to part of a site.  Inline elements never go alone, so a kept block keeps all its words, and a heading goes only with a block that holds it.
 Pages that copy one another count once for each different main part, so copies don't make their own text a template.
 
-What can't recur is told by its tag or role: scripts, styles, navigation, headers and footers of the page, asides, forms and media.  A class decides
-only ties: a container outside of tables, with no article in it and less text than stands around it, goes if one of its classes is
-a word of a short list as a whole.
+What can't recur is told by its tag, role or attributes: scripts, styles, navigation, headers and footers of the page, asides, hidden parts,
+media, and forms that don't hold the text.  A class decides only ties, for comments, notices and the like, which differ from page to page:
+a container outside of tables, with no article in it and less text than stands around it, goes if a part of one of its classes is in
+a short list; so does an article that is a comment.
 
 Cases with a defined result: a null page is empty, and an empty one has an empty text; text outside any block is a block;
 unclosed and misnested elements end where their parent ends; a tag with a quote that never ends, and all tags after it, end at their first ``>``;
@@ -23,6 +25,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,11 @@ from ._store import small_batches, written
 
 #: A template subtree is on at least so many different pages of its host.
 MIN_PAGES = 3
-#: Template subtrees of all hosts, of eight bytes each, up to which their table is broadcast.
+#: And on such a share of them, but for what is nothing but links.
+SHARE = 0.3
+#: A block of an article's prose (a paragraph, a list's item) needs more to be a template: so many pages, and such a share.
+PROSE_PAGES, PROSE_SHARE = 10, 0.5
+#: Template subtrees of all hosts, of sixteen bytes each, up to which their table is broadcast.
 BROADCAST_TREES = 1_000_000
 
 # Fixed values of HTML.
@@ -46,7 +53,7 @@ _BLOCK = set(
 )
 _PROSE = {b"p", b"h1", b"h2", b"h3", b"h4", b"h5", b"h6", b"blockquote", b"pre", b"li", b"dd", b"dt", b"td", b"th", b"tr", b"tbody", b"thead", b"caption", b"figcaption"}
 _FURNITURE = set(
-    b"head nav footer aside form script style noscript template iframe svg math canvas object audio video map button select textarea dialog menu fieldset "
+    b"head nav footer aside script style noscript template iframe svg math canvas object audio video map button select textarea dialog menu "
     b"noembed noframes xmp title datalist".split()
 )
 _ENDS_P = _BLOCK - {b"html", b"body", b"td", b"th", b"tr", b"tbody", b"thead", b"tfoot", b"caption", b"option", b"legend"}
@@ -56,13 +63,22 @@ _SAME = {b"dd": {b"dd", b"dt"}, b"dt": {b"dd", b"dt"}, b"td": {b"td", b"th"}, b"
 _OPEN = re.compile(rb"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?])")
 #: The rest of a tag; what is matched is never tried again.
 _REST = re.compile(rb"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-_CLASS = re.compile(rb"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_ROLE = re.compile(rb"\brole\s*=\s*[\"']?(navigation|banner|contentinfo|complementary|search|form|dialog|alertdialog|alert|menu|menubar|toolbar)\b", re.I)
-_HIDDEN = re.compile(rb"(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_HINTS = set(b"ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies cookie-notice menu modal nav navbar newsletter notice pagination popup promo related share sharing sidebar social sponsor sponsored subscribe widget".split())
+#: An attribute: its name, and its value in quotes or without.
+_ATTRIBUTE = re.compile(rb"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ROLES = set(b"navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+_NO_DISPLAY = re.compile(rb"display\s*:\s*none", re.I)
+_HINTS = set(b"ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus menu modal nav navbar newsletter notice pagination popup promo share sharing sidebar social sponsor sponsored subscribe widget".split())
 _HINTED = {b"div", b"section", b"ul", b"ol", b"dl", b"span", b"a"}
 
 
+def _attributes(raw: bytes) -> dict[bytes, bytes]:
+    """Names in lower case and values; of repeated names the first counts."""
+    out: dict[bytes, bytes] = {}
+    for name, double, single, plain in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), double or single or plain)
+    return out
+
+
 class _Page:
     """Elements of a page in the order of their start tags, and its runs of text."""
 
@@ -168,16 +184,23 @@ class _Page:
                 holds[self.parent[k]] = True
         runs = [a for a, _, k in self.text if k < 0 or self.tag[k] not in _RAW]
         upto = [0, *accumulate(b - a for a, b, k in self.text if k < 0 or self.tag[k] not in _RAW)]
+        def smaller(k: int) -> bool:
+            """Whether there is more text outside of an element than in it."""
+            own = upto[bisect_left(runs, self.end[k])] - upto[bisect_left(runs, self.start[k])]
+            return 2 * own < upto[-1]
+
         for k, (tag, attrs, parent) in enumerate(zip(self.tag, self.attrs, self.parent, strict=True)):
             inside = parent >= 0 and in_article[parent]
             bad = parent >= 0 and out[parent]
             if not bad:
-                bad = tag in _FURNITURE or (tag == b"header" and not inside)
-                if not bad and len(attrs) > 5 and not holds[k] and tag not in (b"html", b"body", b"main", b"article"):
-                    bad = bool(_ROLE.search(attrs) or _HIDDEN.search(attrs))
-                    if not bad and tag in _HINTED and (m := _CLASS.search(attrs)):
-                        own = upto[bisect_left(runs, self.end[k])] - upto[bisect_left(runs, self.start[k])]
-                        bad = 2 * own < upto[-1] and not _HINTS.isdisjoint((m[1] or m[2] or m[3] or b"").lower().split())
+                bad = tag in _FURNITURE or (tag == b"header" and not inside) or (tag in (b"form", b"fieldset") and not holds[k] and smaller(k))
+                if not bad and len(attrs) > 5 and not holds[k] and tag not in (b"html", b"body", b"main"):
+                    a = _attributes(attrs)
+                    hidden = b"hidden" in a or a.get(b"aria-hidden", b"").lower() == b"true" or _NO_DISPLAY.search(a.get(b"style", b""))
+                    bad = tag != b"article" and bool(hidden or not _ROLES.isdisjoint(a.get(b"role", b"").lower().split()))
+                    if not bad and (tag in _HINTED or tag == b"article") and b"class" in a:
+                        words = set(a[b"class"].lower().replace(b"_", b"-").replace(b"-", b" ").split())
+                        bad = not words.isdisjoint((b"comment", b"comments") if tag == b"article" else _HINTS) and smaller(k)
             out.append(bad)
             in_article.append(inside or (tag in (b"article", b"main") and not bad))
         return out
@@ -193,10 +216,26 @@ class _Page:
                 return inside
         return [True] * len(self.tag)
 
-    def candidates(self, inside: list[bool], whole: bool) -> list[int]:
-        """Elements that go if they recur: all but the page's own frame, and but the prose of an article. whole: the main part is the whole page."""
-        keep = (b"html", b"head", b"body", b"article", b"main")
-        return [k for k, (t, i) in enumerate(zip(self.tag, inside, strict=True)) if t not in keep and t not in _VOID and (whole or not i or (t in _BLOCK and t not in _PROSE))]
+    def candidates(self, raw: bytes, inside: list[bool]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Block elements that go if they recur, but for the page's own frame and headings; a hash of the tags each stands in; their kinds.
+
+        Kinds: 0 nothing but links, 1 others, 2 an article's prose.
+        """
+        keep = (b"html", b"head", b"body", b"article", b"main", b"h1", b"h2", b"h3", b"h4", b"h5", b"h6", b"hr")
+        which = [k for k, t in enumerate(self.tag) if t in _BLOCK and t not in keep]
+        places: list[int] = []
+        linked: list[bool] = []
+        for t, parent in zip(self.tag, self.parent, strict=True):
+            places.append(crc32(t, places[parent] if parent >= 0 else 0))
+            linked.append(t == b"a" or (parent >= 0 and linked[parent]))
+        said = [(a, 0 if k >= 0 and linked[k] else 1) for a, b, k in self.text if b > a and not raw[a:b].isspace()]
+        at = [a for a, _ in said]
+        plain = [0, *accumulate(x for _, x in said)]
+        kinds = []
+        for k in which:
+            lo, hi = bisect_left(at, self.start[k]), bisect_left(at, self.end[k])
+            kinds.append(0 if hi > lo and plain[hi] == plain[lo] else 2 if inside[k] and self.tag[k] in _PROSE else 1)
+        return which, np.array([places[k] for k in which], np.uint64), np.array(kinds, np.uint64)
 
     def blocks(self, raw: bytes, gone: list[bool], inside: list[bool], whole: bool) -> list[str]:
         out: list[str] = []
@@ -232,39 +271,42 @@ class _Page:
         return out
 
 
-def _parsed(c: X.Chunk) -> Iterator[tuple[int, bytes, _Page, list[bool], list[bool], bool, list[int]]]:
+def _parsed(c: X.Chunk) -> Iterator[tuple[int, bytes, _Page, list[bool], list[bool]]]:
     for k in range(len(c)):
         raw = X.text_of(c, k)
         page = _Page(raw)
         bad = page.furniture()
-        inside = page.main(bad)
-        whole = all(inside)
-        yield k, raw, page, bad, inside, whole, page.candidates(inside, whole)
+        yield k, raw, page, bad, page.main(bad)
 
 
 def _hashes(sums: np.ndarray, offset: int, page: _Page, which: list[int]) -> np.ndarray:
     a = np.array([page.start[k] for k in which], np.int64) + offset
     b = np.array([page.end[k] for k in which], np.int64) + offset
-    return X.span_hash(sums, a, b).view(np.int64)
+    return X.span_hash(sums, a, b)
+
+
+def _placed(sums: np.ndarray, offset: int, page: _Page, which: list[int], places: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Hashes of subtrees at their places; the last two bits tell the kind."""
+    h = X.mix(_hashes(sums, offset, page, which) + places * X.U(0x9E3779B97F4A7C15))
+    return (h & ~X.U(3) | kinds).view(np.int64)
 
 
 def _subtree_mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, main (hash of the page's main part) and subtree, once for each page."""
+    """host, page, main (hash of the page's main part) and subtree, once for each page."""
     for b in batches:
-        hosts = b.column(0).to_numpy()
-        for c in X.chunks(b.column(1)):
+        hosts, pages = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for c in X.chunks(b.column(2)):
             sums = X.item_sums(c.buf.astype(X.U) + X.U(1))
-            host, main, tree = [], [], []
-            for k, _, page, bad, inside, whole, which in _parsed(c):
+            rows: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+            for k, raw, page, bad, inside in _parsed(c):
                 off = int(c.offs[k])
                 tops = [i for i in range(len(page.tag)) if inside[i] and not bad[i] and (page.parent[i] < 0 or not inside[page.parent[i]])]
-                whole_hash = _hashes(sums, off, page, [i for i in range(len(page.tag)) if page.tag[i] in (b"article", b"main", b"body") and i in tops] or tops)
-                mine = int(X.mix(np.array([whole_hash.view(np.uint64).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
-                found = np.unique(_hashes(sums, off, page, which)) if which else np.zeros(0, np.int64)
-                host.append(np.full(len(found), hosts[c.lo + k]))
-                main.append(np.full(len(found), mine))
-                tree.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (host, main, tree)], ["host", "main", "tree"])
+                whole = _hashes(sums, off, page, [i for i in range(len(page.tag)) if page.tag[i] in (b"article", b"main", b"body") and i in tops] or tops)
+                mine = int(X.mix(np.array([whole.sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
+                which, places, kinds = page.candidates(raw, inside)
+                found = np.unique(_placed(sums, off, page, which, places, kinds)) if which else np.zeros(1, np.int64)  # 0: a page without any
+                rows.append((*(np.full(len(found), x, np.int64) for x in (hosts[c.lo + k], pages[c.lo + k], mine)), found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["host", "page", "main", "tree"])
 
 
 def _host(url: str):
@@ -272,13 +314,22 @@ def _host(url: str):
     return F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?([^/?#]*)", 1)))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host (hash of its name) and trees: the hashes of the subtrees that are on so many different pages of it."""
+def subtrees(pages: DataFrame) -> DataFrame:
+    """host, page (hash of the HTML), main (hash of its main part) and tree (hash of a block's subtree at its place), as a table."""
     small_batches(pages.sparkSession, 1000)
-    own = pages.select(_host("url").alias("host"), F.col("html").alias("html"))
-    met = own.mapInArrow(_subtree_mapper, "host long, main long, tree long").distinct()
-    often = met.groupBy("host", "tree").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= min_pages)
-    return often.groupBy("host").agg(F.collect_list("tree").alias("trees"))
+    own = pages.select(_host("url").alias("host"), F.xxhash64("html").alias("page"), F.col("html").alias("html"))
+    return written(own.mapInArrow(_subtree_mapper, "host long, page long, main long, tree long"), "subtrees")
+
+
+def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host and tree of the subtrees that are on so many different pages of it, and on such a share of them.  found: of ``subtrees``."""
+    each = found.select("host", "main", "tree").distinct()
+    pages = found.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    often = each.where("tree <> 0").groupBy("host", "tree").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= min_pages)
+    kind = F.col("tree").bitwiseAND(3)
+    prose = (F.col("on") >= max(min_pages, PROSE_PAGES)) & (F.col("on") >= PROSE_SHARE * F.col("pages"))
+    enough = F.when(kind == 2, prose).when(kind == 1, F.col("on") >= SHARE * F.col("pages")).otherwise(True)
+    return often.join(pages, "host").where(enough).select("host", "tree")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,21 +337,26 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = b.column(3)
         texts: list[str] = []
         for c in X.chunks(b.column(2)):
-            sums = X.item_sums(c.buf.astype(X.U) + X.U(1))
-            for k, raw, page, bad, inside, whole, which in _parsed(c):
+            sums = None
+            for k, raw, page, bad, inside in _parsed(c):
                 t = trees[c.lo + k].values
-                if which and t is not None and len(t):
-                    hit = np.isin(_hashes(sums, int(c.offs[k]), page, which), t.to_numpy())
+                if t is not None and len(t):
+                    sums = X.item_sums(c.buf.astype(X.U) + X.U(1)) if sums is None else sums
+                    which, places, kinds = page.candidates(raw, inside)
+                    hit = np.isin(_placed(sums, int(c.offs[k]), page, which, places, kinds), t.to_numpy())
                     for i in np.flatnonzero(hit).tolist():
                         bad[which[i]] = True
-                texts.append("\n".join(page.blocks(raw, bad, inside, whole)))
+                texts.append("\n".join(page.blocks(raw, bad, inside, all(inside))))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Per row: page_id, url, text (blocks joined by line feeds) and n_chars (its code points)."""
-    found = written(templates(pages, min_pages), "templates")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"), _host("url").alias("host"))
-    side = F.broadcast(found) if (found.agg(F.sum(F.size("trees"))).first()[0] or 0) <= BROADCAST_TREES else found
-    joined = own.join(side, "host", "left").select("page_id", "url", "html", "trees")
+    found = subtrees(pages)
+    table = written(templates(found, min_pages), "templates")
+    few = table.count() <= BROADCAST_TREES
+    # of each page the template subtrees that it holds
+    hits = found.select("host", "page", "tree").join(F.broadcast(table) if few else table, ["host", "tree"]).groupBy("host", "page").agg(F.collect_set("tree").alias("trees"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"), _host("url").alias("host"), F.xxhash64("html").alias("page"))
+    joined = own.join(hits, ["host", "page"], "left").select("page_id", "url", "html", "trees")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -84,7 +84,7 @@ def test_classes_alone_dont_empty_a_page(spark, body, want):
 
 
 def _subtrees(html):
-    """Bytes of each element of a well-formed page."""
+    """Bytes and place of each block element of a well-formed page, but for its frame."""
     import re
 
     out, stack = [], []
@@ -94,13 +94,13 @@ def _subtrees(html):
         else:
             name, at = stack.pop()
             assert name == m[2]
-            if name not in ("html", "body", "head"):
-                out.append(html[at : m.end()])
+            if name in ("div", "p", "ul", "li"):
+                out.append((tuple(n for n, _ in stack), name, html[at : m.end()]))
     return out
 
 
 def test_templates_are_the_recurring_subtrees(spark):
-    """The number of template subtrees of a host, against a count of all subtrees' bytes over different pages."""
+    """The number of template subtrees of a host, against a count of all blocks' bytes and places over different pages."""
     import random
     from collections import Counter
 
@@ -109,8 +109,54 @@ def test_templates_are_the_recurring_subtrees(spark):
     pages = ["<html><body>" + "".join(part(rng.randrange(12)) for _ in range(rng.randrange(1, 5))) + f"<p>own {k}</p></body></html>" for k in range(40)]
     pages += pages[:5]  # copies count once
     seen = Counter(t for p in set(pages) for t in set(_subtrees(p)))
-    found = html_extraction.templates(spark.createDataFrame([(k, "https://h.example.com/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()
-    assert len(found) == 1 and len(found[0].trees) == len(set(found[0].trees)) == sum(n >= html_extraction.MIN_PAGES for n in seen.values())
+    table = spark.createDataFrame([(k, "https://h.example.com/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    found = html_extraction.templates(html_extraction.subtrees(table)).collect()
+    n = len(set(pages))
+    prose = ("p", "li")  # the page has no article: all of it is the main part
+    want = sum(k >= html_extraction.MIN_PAGES and k >= html_extraction.SHARE * n and (t[1] not in prose or k >= html_extraction.PROSE_PAGES and k >= html_extraction.PROSE_SHARE * n) for t, k in seen.items())
+    assert len(found) == len({r.tree for r in found}) == want > 0
+
+
+def extracted(spark, *pages):
+    """Texts of pages, each given as one page or a list of pages of a host of their own."""
+    rows = [(100 * h + k, f"https://h{h}.example.com/{k}", p) for h, ps in enumerate(pages) for k, p in enumerate([ps] if isinstance(ps, str) else ps)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[100 * h] if isinstance(ps, str) else [got[100 * h + k] for k in range(len(ps))] for h, ps in enumerate(pages)]
+
+
+def test_words_inside_a_kept_block_stay(spark):
+    host = [f"<body><h2>Introduction</h2><p>Run <code>git</code> number {k} and <b>never</b> stop.</p><p>See also.</p></body>" for k in range(5)]
+    (got,) = extracted(spark, host)
+    assert got == [f"Introduction\nRun git number {k} and never stop.\nSee also." for k in range(5)]
+
+
+def test_a_common_phrase_of_a_large_host_stays(spark):
+    host = [f"<article><h1>T{k}</h1><p>own text {k}</p>{'<p>See also.</p>' if k % 4 == 0 else ''}<h2>Notes</h2><p>more {k}</p></article>" for k in range(60)]
+    (got,) = extracted(spark, host)
+    assert got == [f"T{k}\nown text {k}" + ("\nSee also." if k % 4 == 0 else "") + f"\nNotes\nmore {k}" for k in range(60)]
+
+
+def test_a_notice_in_every_article_goes(spark):
+    host = [f"<article><h1>T{k}</h1><p class='x'>Subscribe to our newsletter today!</p><p>own text {k}</p></article>" for k in range(12)]
+    (got,) = extracted(spark, host)
+    assert got == [f"T{k}\nown text {k}" for k in range(12)]
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("<form id=aspnetForm><div><article><p>text</p></article></div></form>", "text"),
+        ("<form id=f><p>all of the text is in a form here</p></form><p>x</p>", "all of the text is in a form here\nx"),
+        ("<p>text that is longer</p><form><label>Name</label><input></form>", "text that is longer"),
+        ("<article><p title='a hidden gem'>one</p><p class='md hidden lg'>two</p><p hidden>no</p><p aria-hidden=true>no</p><p style='Display: none'>no</p></article>", "one\ntwo"),
+        ("<article><p>a longer text about it</p><section class='related'><h2>Related work</h2></section></article>", "a longer text about it\nRelated work"),
+        ("<article><p>a longer text about all of it</p><div class='post-comments'>no</div><ul class='comment-list'><li>no</ul><div class=cookie-banner>no</div><div class='social-share'>no</div></article>", "a longer text about all of it"),
+        ("<article><p>a longer text about it</p></article><article class='comment'><p>first!</p></article>", "a longer text about it"),
+        ("<p>a longer text about it</p><div role='Search'>find</div>", "a longer text about it"),
+    ],
+)
+def test_what_tells_content(spark, body, want):
+    assert extracted(spark, f"<html><body>{body}</body></html>") == [want]
 
 
 def test_templates_alone_find_the_text(spark, sf_dir):
