@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fnv1a, fold, number_set, slugify, strip_shop_markers, token_set
+from .components import connected_components
 from .linkage import ATTRIBUTES, fit_key
+from .ranges import running_sums
+
+#: Wishes of plans for parts that a task walks through at once, of one component.
+TOGETHER = 500_000
 
 WRITABLE = ("pending", "auto")
 UNCATEGORISED = "Nezařazeno"
@@ -82,29 +90,69 @@ def stale_auto(offers: DataFrame, plans: DataFrame) -> DataFrame:
     return offers.where("match_status = 'auto' and part_id is not null").join(planned, "offer_id", "left_anti")
 
 
-def resolved(plans: DataFrame, offers: DataFrame, existing: DataFrame, keep) -> DataFrame:
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wishes that come true, of rows in order of component, plan and place: each plan's first whose part is still free."""
+    component = settled = None
+    taken: set[str] = set()
+    for batch in batches:
+        won = []
+        for k, (c, plan, part) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("component", "cluster_key", "part_id")), strict=True)):
+            if c != component:
+                component, settled, taken = c, None, set()
+            if plan != settled and part not in taken:
+                settled = plan
+                taken.add(part)
+                won.append(k)
+        yield batch.take(pa.array(won, pa.int64()))
+
+
+def claimed(wishes: DataFrame, keep: Callable[[DataFrame], DataFrame], together: int = TOGETHER) -> DataFrame:
+    """cluster_key, part_id and via of each plan's first wish, by place, whose part no earlier plan, by cluster_key, has got.
+
+    wishes: cluster_key, part_id, via and place.  Plans that share no part, not even through others, don't touch one another: a task
+    walks through the plans of its components in order, and remembers the parts of one component at a time.  A component of more than
+    ``together`` wishes is cut into stretches of its walk, by running counts; the stretches of all such components are walked in turn, each
+    without the plans and the parts of those before.
+    """
+    wishes = keep(wishes.select("cluster_key", "part_id", "via", "place"))
+    plan, part = F.xxhash64(F.lit("plan"), F.col("cluster_key")), F.xxhash64(F.lit("part"), F.col("part_id"))
+    # vertices of one hash put components together, which changes nothing but their size
+    found = connected_components(wishes.select(plan.alias("a"), part.alias("b")), keep)
+    rows = wishes.withColumn("vertex", plan).join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")).drop("vertex")
+    rows = keep(rows)
+    large = keep(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together).select("component"))
+
+    def walk(some: DataFrame) -> DataFrame:
+        order = ["component", "cluster_key", "place"]
+        sorted_rows = some.select(*order, "part_id", "via").repartition("component").sortWithinPartitions(*order)
+        return keep(sorted_rows.mapInArrow(_walked, sorted_rows.schema).select("cluster_key", "part_id", "via"))
+
+    done = walk(rows.join(large, "component", "left_anti"))
+    if large.isEmpty():
+        return done
+    counted = running_sums(rows.join(large, "component", "left_semi"), "component", ["cluster_key", "place"], F.lit(1), keep)
+    cut = keep(counted.withColumn("stretch", F.floor((F.col("spent") - 1) / together)).drop("spent"))
+    for stretch in range(cut.agg(F.max("stretch")).first()[0] + 1):
+        left = cut.where(F.col("stretch") == stretch)
+        for c in ("cluster_key", "part_id") if stretch else ():
+            # of what is done, only what this stretch names
+            left = left.join(done.join(left.select(c).distinct(), c, "left_semi").select(c), c, "left_anti")
+        done = done.unionByName(walk(left))
+    return done
+
+
+def resolved(plans: DataFrame, offers: DataFrame, existing: DataFrame, keep: Callable[[DataFrame], DataFrame], together: int = TOGETHER) -> DataFrame:
     """cluster_key, part_id, via (part_id or cluster_key), source and key_conflict of the plans that have a part already.
 
     A plan takes the part that most of its offers are in, of those that no plan before it (by key) took, else the part with its key.
-    Each round settles, for every free part, the first plan that now wants it, unless an earlier plan may still come to want it: the
-    result is that of walking through the plans in order.  keep: writes a table that executors can read and returns it.
+    keep: writes a table that executors can read and returns it.
     """
     of = offers.where("part_id is not null").select("offer_id", "part_id").join(existing.select(F.col("id").alias("part_id")), "part_id", "left_semi")
     votes = plans.select("cluster_key", F.explode("offer_ids").alias("offer_id")).join(of, "offer_id").groupBy("cluster_key", "part_id").agg(F.count(F.lit(1)).alias("votes"))
     by_key = plans.select("cluster_key").join(existing.where("cluster_key is not null").select("cluster_key", F.col("id").alias("part_id")), "cluster_key").withColumn("votes", F.lit(0).cast("long"))
     wish = votes.withColumn("via", F.lit("part_id")).unionByName(by_key.withColumn("via", F.lit("cluster_key")))
     place = F.row_number().over(Window.partitionBy("cluster_key").orderBy((F.col("via") == "cluster_key").cast("int"), F.desc("votes"), "part_id"))
-    left = keep(wish.withColumn("place", place).drop("votes"))
-    done = None
-    while not left.isEmpty():  # the first plan that is left always wins, so every round settles some
-        top = left.groupBy("cluster_key").agg(F.min_by(F.struct("part_id", "via"), "place").alias("t")).select("cluster_key", "t.*")
-        # an earlier plan that lists the part anywhere may still take it
-        earliest = left.groupBy("part_id").agg(F.min("cluster_key").alias("first_key"))
-        won = keep(top.join(earliest, "part_id").where("cluster_key = first_key").select("cluster_key", "part_id", "via"))
-        done = won if done is None else done.unionByName(won)
-        left = keep(left.join(won.select("cluster_key"), "cluster_key", "left_anti").join(won.select("part_id"), "part_id", "left_anti"))
-    if done is None:
-        done = left.select("cluster_key", "part_id", "via")
+    done = claimed(wish.withColumn("place", place).drop("votes"), keep, together)
     owners = existing.where("cluster_key is not null").select("cluster_key", F.col("id").alias("owner"))
     source = existing.select(F.col("id").alias("part_id"), "source")
     return done.join(owners, "cluster_key", "left").join(source, "part_id").select("cluster_key", "part_id", "via", "source", F.coalesce(F.col("owner") != F.col("part_id"), F.lit(False)).alias("key_conflict"))

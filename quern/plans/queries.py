@@ -11,11 +11,13 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import grading as G
 from ..operators import linkage as L
+from ..operators.constraints import CheckedTable, Refused, Rules
 from ..operators.linkage_classes import Classes
 from ..operators import merging as M
 from ..operators import model_names as N
 from ..operators import offer_names as O
 from ..operators import parts as P
+from ..operators import samples
 from ..operators import summaries as S
 from ..operators.search import price_search
 from ..sources import catalogue as C
@@ -306,6 +308,28 @@ def k15_invalid_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.invalid_values(C.offers(spark, sf_dir), "match_status", ["pending", "auto", "manual"]).groupBy("match_status").agg(F.count(F.lit(1)).alias("offers"))
 
 
+@query
+def k15_checked_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers as they come, which are refused by rule; mended ones, which are accepted; and a write for an empty table, which then isn't."""
+    import uuid
+
+    table = CheckedTable(spark, f"{shared_dir(spark)}/checked-{uuid.uuid4().hex}")
+    offers = C.offers(spark, sf_dir).select("offer_id", *M.KEY, "name", "price", "url", "in_stock", "last_seen_at", "match_status")
+    shops = C.shops(spark, sf_dir).where("base_url is not null")
+    rules = Rules(
+        required=(*M.KEY, "name", "price", "in_stock"), allowed={"match_status": ("pending", "auto", "manual")}, unique=(tuple(M.KEY), ("offer_id",)), references={"shop_id": (shops, "shop_id")}
+    )
+    once = M.last_wins(offers, M.KEY, [F.col("last_seen_at"), F.col("price"), F.col("offer_id")]).withColumn("in_stock", F.coalesce("in_stock", F.lit(True)))
+    mended = M.last_wins(once, ["offer_id"], [F.col("shop_id")]).where("match_status is null or match_status in ('pending', 'auto', 'manual')").join(shops.select("shop_id"), "shop_id", "left_semi")
+    result = []
+    for attempt, rows, empty in (("raw", offers, False), ("mended", mended, False), ("again", mended, True)):
+        try:
+            result.append((attempt, "accepted", table.replace(rows, rules, only_if_empty=empty)))
+        except Refused as e:
+            result += [(attempt, k, n) for k, n in e.broken.items()]
+    return spark.createDataFrame([*result, ("read", "rows", table.read().count())], "attempt string, rule string, rows long")
+
+
 # --- summaries --------------------------------------------------------------------------------------------------------
 
 
@@ -489,6 +513,21 @@ def c14_applied_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done["actions"].select("cluster_key", "action", F.when(F.col("action") != "insert", F.col("part_id")).alias("part_id"), "via")
 
 
+@query
+def c14_claimed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: customers as plans, their order lines as offers of parts by brand and size: nearly all plans touch one another through parts."""
+    parts = C.read(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_size").alias("id"))
+    plan_key = lambda c: F.concat(F.lit("c"), F.lpad(F.col(c).cast("string"), 12, "0"))
+    lines = (
+        C.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(C.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey")).select(plan_key("o_custkey").alias("cluster_key"), F.col("id").alias("part_id"))
+    )
+    offers = kept(lines.withColumn("offer_id", F.monotonically_increasing_id()))
+    existing = parts.groupBy("id").agg(F.min("p_partkey").alias("first")).select("id", plan_key("first").alias("cluster_key"), F.when(F.col("first") % 10 == 0, "manual").otherwise("auto").alias("source"))
+    plans = offers.groupBy("cluster_key").agg(F.collect_list("offer_id").alias("offer_ids"))
+    return P.resolved(plans, offers.select("offer_id", "part_id"), kept(existing), kept)
+
+
 @query
 def j7_stale_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _linked(spark, sf_dir).select(F.col("id").alias("offer_id"), "match_status", "part_id")
@@ -540,6 +579,17 @@ def t6_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hash_sample(C.read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50, 20260930)
 
 
+@query
+def t6_seeded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-6: 30 parts whose name has a match, then 20 of the others, from one run of the generator, as a shuffle in order of keys gives them."""
+    p = C.parts(spark, sf_dir).select("part_key", "suffix")
+    other = F.col("suffix").isin(6, 8, 9)
+    matched = kept(p.where(~other))
+    one = samples.seeded_sample(matched, ["part_key"], 30, 20260930, kept)
+    two = samples.seeded_sample(p.where(other), ["part_key"], 20, 20260930, kept, used=max(matched.count() - 1, 0))
+    return one.select(F.lit("matched").alias("kind"), "place", "part_key").unionByName(two.select(F.lit("other").alias("kind"), "place", "part_key"))
+
+
 @query
 def s19_request_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = C.read(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 3 + 1).alias("cost"))
@@ -829,7 +879,8 @@ def a10_special_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c15_family_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with models of more than one family; made from two names each, so that there are some."""
     p = C.parts(spark, sf_dir).select("suffix", F.regexp_extract("name", r"^\S+ \S+ \S+ (.*)$", 1).alias("end")).distinct()
-    two = p.select(F.col("suffix").alias("s"), F.col("end").alias("e")).join(p, F.col("s") < F.col("suffix")).select(F.concat_ws(" díl ", "e", "end").alias("name"))
+    later = p.select(F.col("end").alias("e"), F.explode(F.sequence(F.col("suffix") + 1, F.lit(len(C.SUFFIXES)))).alias("suffix"))
+    two = later.join(p, "suffix").select(F.concat_ws(" díl ", "e", "end").alias("name"))
     names = kept(two.select(F.xxhash64("name").alias("key"), F.lit("x").alias("shop_id"), "name"))
     d = N.seed_dictionary(spark)
     return N.conflicts(N.parsed_models(names, d, kept), d.models).join(names, "key").select("name", F.array_join("families", ",").alias("families"))

@@ -156,6 +156,16 @@ SQL["k14_dimension_merge"] = f"""WITH {SHOPS_SQL} SELECT shop_id, name, CASE WHE
 SQL["k15_duplicated_keys"] = f"WITH {OFFERS_SQL} SELECT shop_id, item_id, count(*) AS rows FROM offers GROUP BY ALL HAVING count(*) > 1"
 SQL["k15_invalid_status"] = f"WITH {OFFERS_SQL} SELECT match_status, count(*) AS offers FROM offers WHERE match_status NOT IN ('pending', 'auto', 'manual') GROUP BY 1"
 
+_MENDED = """once AS (SELECT *, coalesce(in_stock, true) AS stock FROM offers QUALIFY row_number() OVER (PARTITION BY shop_id, item_id ORDER BY last_seen_at DESC, price DESC, offer_id DESC) = 1),
+mended AS (SELECT * FROM once WHERE (match_status IS NULL OR match_status IN ('pending', 'auto', 'manual')) AND shop_id IN (SELECT shop_id FROM shops WHERE base_url IS NOT NULL))"""
+SQL["k15_checked_write"] = f"""WITH {SHOPS_SQL}, {OFFERS_SQL}, {_MENDED}, r AS (
+SELECT 'raw' AS attempt, 'required in_stock' AS rule, count_if(in_stock IS NULL) AS rows FROM offers UNION ALL
+SELECT 'raw', 'allowed match_status', count_if(match_status IN ('rejected', 'ignored')) FROM offers UNION ALL
+SELECT 'raw', 'references shop_id', count_if(shop_id NOT IN (SELECT shop_id FROM shops WHERE base_url IS NOT NULL)) FROM offers UNION ALL
+SELECT 'raw', 'unique shop_id, item_id', count(*) - count(DISTINCT shop_id || ' ' || item_id) FROM offers UNION ALL
+SELECT 'raw', 'unique offer_id', count(*) - count(DISTINCT offer_id) FROM offers UNION ALL
+SELECT unnest(['mended', 'again', 'read']), unnest(['accepted', 'empty', 'rows']), count(*) FROM mended) SELECT * FROM r WHERE rows > 0"""
+
 # --- summaries --------------------------------------------------------------------------------------------------------
 SQL["a1_availability"] = f"WITH {OFFERS_SQL} SELECT count_if(in_stock) AS in_stock, count_if(NOT in_stock) AS out_of_stock, count_if(in_stock IS NULL) AS unknown FROM offers"
 SQL["a2_prices"] = f"WITH {OFFERS_SQL} SELECT count(*) AS items, min(price) AS min_price, max(price) AS max_price, round(avg(price), 2) AS avg_price FROM offers"
@@ -245,6 +255,19 @@ plans AS (SELECT cluster, max(offers) AS offers, max(part_type) FILTER (nth = 1)
 planned AS (SELECT *, part_type || '|' || variant || '|' || CASE WHEN coalesce(models, '') <> '' THEN models ELSE 'fit:' || fits END AS cluster_key FROM plans)"""
 SQL["c11_part_plans"] = f"""WITH RECURSIVE {_PLANS} SELECT cluster, cluster_key, part_type, name, {_slugify('name')} || '-' || {_hash('cluster_key')} AS slug, coalesce(category, 'Nezařazeno') AS category,
   coalesce(models, '') AS models, offers FROM planned LEFT JOIN (SELECT cluster, category FROM votes WHERE r = 1) USING (cluster)"""
+# plans are walked through one by one, with the parts that are taken
+_WALK = """listed AS (SELECT cluster_key, row_number() OVER (ORDER BY cluster_key) AS n, list(part_id ORDER BY by_key, votes DESC, part_id) AS ids, list(by_key ORDER BY by_key, votes DESC, part_id) AS keyed FROM wish GROUP BY cluster_key),
+walk(n, taken, nth) AS (SELECT 0::BIGINT, []::VARCHAR[], 0::BIGINT UNION ALL SELECT n, CASE WHEN nth IS NULL THEN taken ELSE list_append(taken, ids[nth]) END, nth FROM (
+  SELECT l.n, taken, ids, list_position(list_transform(ids, lambda x: list_contains(taken, x)), false)::BIGINT AS nth FROM walk w JOIN listed l ON l.n = w.n + 1)),
+got AS (SELECT cluster_key, ids[nth] AS part_id, CASE WHEN keyed[nth] THEN 'cluster_key' ELSE 'part_id' END AS via FROM walk JOIN listed USING (n) WHERE nth IS NOT NULL)"""
+SQL["c14_claimed_parts"] = f"""WITH RECURSIVE cat AS (SELECT p_partkey, p_brand || '|' || p_size AS part_id FROM part),
+existing AS (SELECT part_id, 'c' || lpad(min(p_partkey)::VARCHAR, 12, '0') AS cluster_key, CASE WHEN min(p_partkey) % 10 = 0 THEN 'manual' ELSE 'auto' END AS source FROM cat GROUP BY 1),
+votes AS (SELECT 'c' || lpad(o_custkey::VARCHAR, 12, '0') AS cluster_key, part_id, count(*) AS votes FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN cat ON l_partkey = p_partkey GROUP BY 1, 2),
+wish AS (SELECT *, false AS by_key FROM votes UNION ALL SELECT cluster_key, part_id, 0, true FROM existing WHERE cluster_key IN (SELECT cluster_key FROM votes)), {_WALK}
+SELECT g.cluster_key, g.part_id, via, e.source, coalesce(o.part_id <> g.part_id, false) AS key_conflict FROM got g JOIN existing e ON e.part_id = g.part_id LEFT JOIN existing o ON o.cluster_key = g.cluster_key"""
+SQL["c14_applied_plans"] = f"""WITH RECURSIVE {_PLANS}, planned_offers AS (SELECT cluster_key, unnest(ids) AS id FROM planned),
+wish AS (SELECT cluster_key, part_id, count(*) AS votes, false AS by_key FROM planned_offers JOIN items USING (id) WHERE part_id IS NOT NULL GROUP BY 1, 2), {_WALK}
+SELECT cluster_key, CASE WHEN part_id IS NULL THEN 'insert' WHEN part_id = 'P5' THEN 'skip' ELSE 'update' END AS action, part_id, via FROM planned LEFT JOIN got USING (cluster_key)"""
 SQL["j7_stale_auto"] = f"""WITH RECURSIVE {_PLANS} SELECT id AS offer_id FROM items WHERE match_status = 'auto' AND part_id IS NOT NULL AND id NOT IN (SELECT unnest(ids) FROM plans)"""
 SQL["t3_ranked_b"] = f"""WITH {_LINKED} SELECT a, b FROM final WHERE last_class = 'B' ORDER BY same_type DESC, jaccard DESC, reasons + (class = 'A')::INT, price_ratio NULLS LAST, name_a, a, b LIMIT 200"""
 SQL["a11_attribute_coverage"] = f"""WITH {_LINKED} SELECT shop_id, count(*) AS rows, count(x_color) AS color, count(x_size) AS size, count(x_dimension) AS dimension, count(x_code) AS code, count(part_type) AS part_type
@@ -279,6 +302,8 @@ SQL["s10_sitemap_urls"] = "SELECT 'x' AS site, 'https://x.example.com/p/' || pag
 _CRAWLABLE = "NOT starts_with(part_key::VARCHAR, '1') OR starts_with(part_key::VARCHAR, '10')"
 SQL["s16_crawled_products"] = f"""WITH {PARTS_SQL} SELECT 'https://shop.example.com/p/' || part_key AS page_url, base AS name, round(retail, 2) AS price, 'jsonld' AS evidence FROM parts
 WHERE part_key % 5 <> 4 AND part_key % 8 <> 3 AND ({_CRAWLABLE})"""
+SQL["s20_probe_report"] = f"""WITH {PARTS_SQL} SELECT 'shop' AS site, 'ok' AS reachable, 'found' AS robots, 'shoptet' AS platform, count(*) AS sitemap_urls, []::VARCHAR[] AS feeds,
+  least(count_if(part_key % 5 <> 4 AND part_key % 8 <> 3 AND ({_CRAWLABLE})), 3)::INT AS products FROM parts"""
 SQL["s17_refresh_outcomes"] = f"""WITH {PARTS_SQL}, k AS (SELECT part_key::VARCHAR AS item_id, retail, CASE WHEN part_key % 13 = 0 THEN 'disallowed' WHEN part_key % 7 = 1 THEN 'not_found' WHEN part_key % 7 IN (2, 3) THEN 'error'
   WHEN part_key % 5 = 4 OR part_key % 8 = 3 THEN 'no_product' ELSE 'item' END AS kind FROM parts) SELECT item_id, kind, CASE WHEN kind = 'item' THEN round(retail, 2) END AS price FROM k"""
 SQL["s2_heureka_feed"] = f"""WITH {PARTS_SQL} SELECT part_key::VARCHAR AS item_id, base AS name, round(retail, 2) AS price, 'https://shop.example.com/' || part_key AS url, (part_key % 5)::INT AS delivery_days FROM parts WHERE part_key % 10 <> 0"""
@@ -300,6 +325,13 @@ _ENDS_SQL = "ends(suffix, level, models, generic) AS (VALUES " + ", ".join(f"({i
 SQL["m_parse_models"] = f"WITH {PARTS_SQL}, {_ENDS_SQL} SELECT DISTINCT name, level, models, generic FROM parts JOIN ends USING (suffix)"
 SQL["c17_write_plan"] = f"""WITH {OFFERS_SQL}, {_ENDS_SQL} SELECT coalesce(level, 'none') AS level, count(*) AS offers, sum(CASE WHEN models = '' THEN 0 ELSE len(string_split(models, ',')) END)::BIGINT AS links,
   count_if(generic > 0) AS with_generic FROM offers JOIN ends USING (suffix) WHERE suffix NOT IN (6, 7) GROUP BY 1"""
+SQL["k6_product_summaries"] = f"""WITH {PARTS_SQL}, {_ENDS_SQL} SELECT CASE WHEN suffix IN (6, 7) THEN 'old' ELSE coalesce(level, 'none') END AS model_match_level, suffix NOT IN (6, 7) AS parsed, count(*) AS offers
+FROM parts JOIN ends USING (suffix) GROUP BY ALL"""
+_TWO = f"""{PARTS_SQL}, {MODELS_SQL}, {_ENDS_SQL}, p AS (SELECT suffix, regexp_extract(name, '^\\S+ \\S+ \\S+ (.*)$', 1) AS e, count(*) AS parts FROM parts GROUP BY ALL),
+two AS (SELECT a.suffix AS sa, b.suffix AS sb, a.e || ' díl ' || b.e AS name, a.parts AS count FROM p a JOIN p b ON a.suffix < b.suffix),
+named AS (SELECT suffix, unnest(string_split(ends.models, ',')) AS id FROM ends), fam AS (SELECT DISTINCT suffix, family FROM named JOIN models USING (id)),
+split AS (SELECT name, any_value(count) AS count, array_to_string(list_sort(list(DISTINCT family)), ',') AS families, count(DISTINCT family) AS n FROM two JOIN fam ON fam.suffix IN (sa, sb) GROUP BY name)"""
+SQL["c15_family_conflicts"] = f"WITH {_TWO} SELECT name, families FROM split WHERE n > 1"
 _STEMS = "kolena kolen koleno kolen paprsky paprsk paprsek paprsk osy os karb karburator lanka bowden simerink gufer ocelovych ocel pistni pist kryt kryt volnobezny volnobeh samolepky nalepk".split()
 SQL["t5_stems"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(w)}, {_q(s)})" for w, s in zip(_STEMS[::2], _STEMS[1::2], strict=True)) + ") v(word, stem)"
 
@@ -312,3 +344,16 @@ def _text(c: str) -> str:
 
 SQL["t9_page_titles"] = f"""SELECT page_id, nullif({_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title, regexp_matches(html, '(?i)og:type') AS og_product FROM pages"""
 SQL["t6_hash_sample"] = "SELECT doc_id, lang FROM documents ORDER BY md5('20260930:' || doc_id), doc_id LIMIT 50"
+_TIMES = "((({0})::HUGEINT * ({1})) % 4294967296)::BIGINT"
+_DRAWN = f"""d1 AS (SELECT kind, n, i, (20260930 + (used + n - i) * 1831565813) % 4294967296 AS t FROM (SELECT *, unnest(range(1, n)) AS i FROM sizes)),
+d2 AS (SELECT kind, n, i, {_TIMES.format('xor(t, t >> 15)', 't | 1')} AS t FROM d1),
+d3 AS (SELECT kind, n, i, xor(t, (t + {_TIMES.format('xor(t, t >> 7)', 't | 61')}) % 4294967296) AS t FROM d2),
+swap AS (SELECT kind, n, i, floor(xor(t, t >> 14) / 4294967296.0::DOUBLE * (i + 1))::BIGINT AS j FROM d3)"""
+# the shuffle's swaps, undone one by one, for the places of both samples
+SQL["t6_seeded_samples"] = f"""WITH RECURSIVE {PARTS_SQL}, r AS (SELECT CASE WHEN suffix IN (6, 8, 9) THEN 'other' ELSE 'matched' END AS kind, part_key FROM parts),
+ranked AS (SELECT kind, part_key, row_number() OVER (PARTITION BY kind ORDER BY part_key) - 1 AS pos FROM r), both_n AS (SELECT count_if(kind = 'matched')::BIGINT AS m, count_if(kind = 'other')::BIGINT AS o FROM r),
+sizes AS (SELECT 'matched' AS kind, m AS n, 0 AS used, least(m, 30) AS size FROM both_n UNION ALL SELECT 'other', o, greatest(m - 1, 0), least(o, 20) FROM both_n), {_DRAWN},
+walk(kind, i, n, places) AS (SELECT kind, 0::BIGINT, n, range(0, size) FROM sizes
+  UNION ALL SELECT w.kind, s.i, w.n, list_transform(w.places, lambda x: CASE WHEN x = s.i THEN s.j WHEN x = s.j THEN s.i ELSE x END) FROM walk w JOIN swap s ON s.kind = w.kind AND s.i = w.i + 1),
+done AS (SELECT kind, unnest(places) AS pos, unnest(range(0, len(places))) AS place FROM walk WHERE i = greatest(n - 1, 0))
+SELECT kind, place::INT AS place, part_key FROM done JOIN ranked USING (kind, pos)"""

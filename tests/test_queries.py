@@ -21,8 +21,6 @@ def test_same_as_sql(spark, con, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf_dir, name):
-    if name == "c14_applied_plans":  # the smallest tables have no part that two shops offer
-        sf_dir = sf_dir.replace("0.001", "0.01")
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
