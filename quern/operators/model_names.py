@@ -174,9 +174,11 @@ def parsed_models(names: DataFrame, dictionary: Dictionary, keep) -> DataFrame:
     # displacements since the last letter before these letters
     lettered = t.where("letter and live and array_contains(brands, 'ČZ')").select("key", "grp", F.col("pos").alias("at"), F.upper("token").alias("letter"))
     blocks = Window.partitionBy("key", "grp").orderBy("at")
-    lettered = lettered.withColumn("since", F.lag("at").over(blocks)).withColumn("since", F.when(F.col("since") == F.col("at") - 1, F.lag("since").over(blocks)).otherwise(F.col("since")))
+    # letters side by side are one block: where the letter before the block is
+    before = F.coalesce(F.lag("at").over(blocks), F.lit(-1))
+    lettered = lettered.withColumn("before", before).withColumn("since", F.last(F.when(F.col("before") != F.col("at") - 1, F.col("before")), True).over(blocks))
     sized = n.where("meaning = 'displacement'").select("key", "grp", "pos", F.col("token").alias("size"))
-    by_letter = lettered.join(sized, ["key", "grp"]).where("pos < at and (since is null or pos > since)")
+    by_letter = lettered.join(sized, ["key", "grp"]).where("pos < at and pos > since")
     of_letter = d.types.where("type in ('A', 'B', 'T', 'C')").join(d.models.select("id", "displacement"), "id").select("id", F.col("type").alias("letter"), F.col("displacement").cast("string").alias("size"))
     letter_hits = by_letter.join(F.broadcast(of_letter), ["letter", "size"]).select("key", "id", F.concat_ws(" ", "size", "letter").alias("text"))
     type_hits = by_type.unionByName(between).unionByName(combo).unionByName(letter_hits).select("key", "id", F.lit("type").alias("level"), "text")

@@ -89,7 +89,6 @@ SOCKETS = rf"{NB}(?:(?:bay?|bax)\d{{1,2}}[a-z]?{NE}|p\d{{2}}[st]{NE}|e\d{{2}}{NE
 JET = rf"{NB}m\d+(?:[.,]\d+)?(?:\s*[x×]\s*{NUM}){{1,2}}(?:\s*mm)?(?:\s*-\s*\d{{2,3}}(?![a-z\d.,]))?"
 CHAIN = rf"{NB}s?(?:41\d|42\d|52\d|53\d)[hs]?{NE}"
 CODE = r"[a-z0-9]+(?:[-.][a-z0-9]+)*"
-INCHES = rf'{NB}({NUM})\s*["”″](?!\s*[x×])'
 #: Marks in the whole name: after a star, after two commas, and a grade in quotes at its end.
 STAR_MARK = r"\*([^\s*,;()/]*)"
 COMMA_MARK = r',,([^\s,"”″]*)'
@@ -172,7 +171,9 @@ def parsed_offers(names: DataFrame, dictionary: Dictionary, keep) -> DataFrame:
 
     names: key (unique), shop_id, name.  keep: writes a table that executors can read and returns it.
     """
-    rest = without_models(tokens(names, dictionary).transform(keep)).withColumn("rest", F.regexp_replace("rest", r"¦", " "))
+    # the model parser blanks all quotes but this one
+    inches = names.withColumn("name", F.regexp_replace("name", r'(?<=\d)\s*["”″]', "″"))
+    rest = without_models(tokens(inches, dictionary).transform(keep)).withColumn("rest", F.regexp_replace("rest", r"¦", " "))
     return keep(names.join(rest, "key", "left").transform(_parsed))
 
 
@@ -193,10 +194,8 @@ def _marked(named: DataFrame) -> DataFrame:
     df = named.withColumn("raw", F.translate(fold(F.col("name")), "„“'", "   "))
     every = lambda pattern: F.regexp_extract_all("raw", F.lit(pattern), 1)
     marks = {"stars": plain(every(STAR_MARK)), "commas": plain(every(COMMA_MARK)), "grade": F.get(every(GRADE_MARK), F.lit(0)), "emark": F.col("raw").rlike(E_MARK)}
-    # the model parser blanked quotes; inches are told from the raw name
-    inches = F.transform(every(INCHES), lambda x: F.concat(_tidied(x, "close"), F.lit('"')))
     text = F.regexp_replace(F.regexp_replace(F.coalesce("rest", F.lit("")), E_MARK, " "), SERIES, "$1")
-    return df.withColumns({**marks, "inches": inches, "text": text, **{r.field: F.array().cast("array<string>") for r in EXTRACTION}})
+    return df.withColumns({**marks, "text": text, **{r.field: F.array().cast("array<string>") for r in EXTRACTION}})
 
 
 def _parsed(named: DataFrame) -> DataFrame:
@@ -262,7 +261,7 @@ def _parsed(named: DataFrame) -> DataFrame:
     side = F.when((F.size("both") > 0) | (F.col("left") & F.col("right")), "both").when(F.col("left"), "left").when(F.col("right"), "right")
     position = F.array_join(F.filter(F.array(*(F.when(F.array_contains("positions", v), v) for _, v in POSITIONS)), lambda x: x.isNotNull()), "+")
     pack = F.coalesce(F.when(F.get("pieces", F.lit(0)) == "kus", "1ks").otherwise(F.get("pieces", F.lit(0))), F.when(F.col("trailing"), "sada"), F.when(F.col("complete"), "complete"))
-    dims = F.array_distinct(F.concat("dims", "inches"))
+    dims = F.array_distinct("dims")
     variant = {
         "dimension": F.nullif(F.array_join(dims, " "), F.lit("")),
         "voltage": F.get("volts", F.lit(0)),

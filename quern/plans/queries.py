@@ -23,6 +23,7 @@ from ..operators.search import price_search
 from ..sources import catalogue as C
 from ..sources import crawl, feeds, pages, seed
 from ..store import kept, shared_dir
+from .name_cases import MODEL_CASES, OFFER_CASES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -838,6 +839,33 @@ def o_parse_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "part_type", F.to_json("variant").alias("variant"), F.array_join("quality_tags", ",").alias("tags"))
 
 
+def _cased(spark: SparkSession, sf_dir: str, cases: list[str], words: bool) -> DataFrame:
+    """part_key, key, shop_id and name: a case for each part, by its key; behind the part's own words if these say nothing to the parser."""
+    p = C.parts(spark, sf_dir)
+    case = F.element_at(F.array(*(F.lit(c) for c in cases)), (F.col("part_key") % len(cases) + 1).cast("int"))
+    named = p.select("part_key", F.lit("x").alias("shop_id"), (F.concat_ws(" ", "base", case) if words else case).alias("name"))
+    return kept(named.withColumn("key", F.xxhash64("name")))
+
+
+@query
+def m_model_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M20, rule by rule: what each case's name gives behind the words of the parts."""
+    named = _cased(spark, sf_dir, [c[0] for c in MODEL_CASES], True)
+    names = kept(named.select("key", "shop_id", "name").distinct())
+    found = N.parsed_models(names, N.seed_dictionary(spark), kept)
+    return named.join(found.select("key", "level", F.array_join(F.transform("models", lambda m: m["id"]), ",").alias("models")), "key").select("part_key", "level", "models")
+
+
+@query
+def o_offer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1-O15, rule by rule: the attributes and tags of the name that each part gets; equal names are parsed once."""
+    named = _cased(spark, sf_dir, [c[0] for c in OFFER_CASES], False)
+    names = kept(named.select("key", "shop_id", "name").distinct())
+    found = O.parsed_offers(names, N.seed_dictionary(spark), kept)
+    own = F.filter(F.array(*(F.concat(F.lit(f"{k}="), F.col(f"variant.{k}").cast("string")) for k in sorted(O.VARIANT))), lambda x: x.isNotNull())
+    return named.join(found.select("key", F.array_join(own, ";").alias("attributes"), F.array_join("quality_tags", ",").alias("tags")), "key").select("part_key", "attributes", "tags")
+
+
 @query
 def c17_write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What writing the parsed names would change, by level."""
@@ -864,26 +892,44 @@ def k6_product_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.groupBy("model_match_level", F.col("models_parsed_at").isNotNull().alias("parsed")).agg(F.count(F.lit(1)).alias("offers"))
 
 
+def _with_families(spark: SparkSession, parsed: DataFrame) -> DataFrame:
+    """key, models (with their families) and generic of parsed names."""
+    families = seed.models(spark).select("id", "family")
+    each = parsed.select("key", F.explode_outer("models.id").alias("id")).join(F.broadcast(families), "id", "left")
+    listed = each.groupBy("key").agg(F.collect_list(F.struct("id", "family")).alias("models"))
+    return listed.join(parsed.select("key", "generic"), "key")
+
+
 @query
 def a10_special_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers whose names are of several families or displacements, or of suspiciously many models."""
     names, parsed = _parsed_names(spark, sf_dir)
     weight = C.parts(spark, sf_dir).groupBy(F.xxhash64("name").alias("key")).agg(F.count(F.lit(1)).alias("count"))
-    families = seed.models(spark).select("id", "family")
-    each = parsed.select("key", F.explode_outer("models.id").alias("id")).join(F.broadcast(families), "id", "left")
-    listed = each.groupBy("key").agg(F.collect_list(F.struct("id", "family")).alias("models"))
-    return S.special_counts(listed.join(parsed.select("key", "generic"), "key").join(weight, "key"))
+    return S.special_counts(_with_families(spark, parsed).join(weight, "key"))
+
+
+def _two_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made from two name endings each: key, shop_id, name, count (parts with the first ending)."""
+    end = F.regexp_extract("name", r"^\S+ \S+ \S+ (.*)$", 1).alias("end")
+    p = C.parts(spark, sf_dir).groupBy("suffix", end).agg(F.count(F.lit(1)).alias("count"))
+    later = p.select(F.col("end").alias("e"), F.col("count").alias("c"), F.explode(F.sequence(F.col("suffix") + 1, F.lit(len(C.SUFFIXES)))).alias("suffix"))
+    two = later.join(p, "suffix").select(F.concat_ws(" díl ", "e", "end").alias("name"), F.col("c").alias("count"))
+    return kept(two.select(F.xxhash64("name").alias("key"), F.lit("x").alias("shop_id"), "name", "count"))
 
 
 @query
 def c15_family_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with models of more than one family; made from two names each, so that there are some."""
-    p = C.parts(spark, sf_dir).select("suffix", F.regexp_extract("name", r"^\S+ \S+ \S+ (.*)$", 1).alias("end")).distinct()
-    later = p.select(F.col("end").alias("e"), F.explode(F.sequence(F.col("suffix") + 1, F.lit(len(C.SUFFIXES)))).alias("suffix"))
-    two = later.join(p, "suffix").select(F.concat_ws(" díl ", "e", "end").alias("name"))
-    names = kept(two.select(F.xxhash64("name").alias("key"), F.lit("x").alias("shop_id"), "name"))
-    d = N.seed_dictionary(spark)
-    return N.conflicts(N.parsed_models(names, d, kept), d.models).join(names, "key").select("name", F.array_join("families", ",").alias("families"))
+    names, d = _two_ends(spark, sf_dir), N.seed_dictionary(spark)
+    return N.conflicts(N.parsed_models(names.drop("count"), d, kept), d.models).join(names, "key").select("name", F.array_join("families", ",").alias("families"))
+
+
+@query
+def a10_special_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10, C16 where they are met: the counts over names made from two names each."""
+    names = _two_ends(spark, sf_dir)
+    parsed = kept(N.parsed_models(names.drop("count"), N.seed_dictionary(spark), kept))
+    return S.special_counts(_with_families(spark, parsed).join(names.select("key", "count"), "key"))
 
 
 @query

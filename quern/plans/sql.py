@@ -8,6 +8,7 @@ from ..functions.text import FOLD_FROM, FOLD_TO
 from ..functions.urls import NOT_PRODUCT, PRODUCT_PATHS, RELEVANT
 from ..operators import grading as G
 from ..operators.linkage import ATTRIBUTES
+from .name_cases import MODEL_CASES, OFFER_CASES
 from ..sources.catalogue import LINKS_SQL, MODELS_SQL, OFFERS_SQL, PARTS_SQL, SHOPS_SQL
 from ..sources.seed import MODELS
 from .queries import NOW, ROBOTS, SPLIT
@@ -331,7 +332,19 @@ _TWO = f"""{PARTS_SQL}, {MODELS_SQL}, {_ENDS_SQL}, p AS (SELECT suffix, regexp_e
 two AS (SELECT a.suffix AS sa, b.suffix AS sb, a.e || ' díl ' || b.e AS name, a.parts AS count FROM p a JOIN p b ON a.suffix < b.suffix),
 named AS (SELECT suffix, unnest(string_split(ends.models, ',')) AS id FROM ends), fam AS (SELECT DISTINCT suffix, family FROM named JOIN models USING (id)),
 split AS (SELECT name, any_value(count) AS count, array_to_string(list_sort(list(DISTINCT family)), ',') AS families, count(DISTINCT family) AS n FROM two JOIN fam ON fam.suffix IN (sa, sb) GROUP BY name)"""
+SQL["a10_special_pairs"] = f"""WITH {_TWO} SELECT (SELECT coalesce(sum(count), 0)::BIGINT FROM split WHERE n > 1) AS several_families,
+  coalesce(sum(CASE WHEN sa = 0 AND sb = 5 THEN count END), 0)::BIGINT AS several_displacements, 0::BIGINT AS suspicious FROM two"""
+SQL["a10_special_counts"] = f"""WITH {PARTS_SQL}, {MODELS_SQL}, {_ENDS_SQL}, named AS (SELECT suffix, unnest(string_split(ends.models, ',')) AS id FROM ends), fam AS (SELECT suffix, count(DISTINCT family) AS f, count(*) AS n FROM named JOIN models USING (id) GROUP BY 1)
+SELECT count_if(f > 1) AS several_families, 0::BIGINT AS several_displacements, count_if(n > 6) AS suspicious FROM parts LEFT JOIN fam USING (suffix)"""
 SQL["c15_family_conflicts"] = f"WITH {_TWO} SELECT name, families FROM split WHERE n > 1"
+
+
+def _case_list(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else _q(v) for v in values) + "][part_key % " + str(len(values)) + " + 1]"
+
+
+SQL["m_model_cases"] = f"WITH {PARTS_SQL} SELECT part_key, {_case_list([c[1] for c in MODEL_CASES])} AS level, {_case_list([c[2] for c in MODEL_CASES])} AS models FROM parts"
+SQL["o_offer_cases"] = f"WITH {PARTS_SQL} SELECT part_key, {_case_list([c[1] for c in OFFER_CASES])} AS attributes, {_case_list([c[2] for c in OFFER_CASES])} AS tags FROM parts"
 _STEMS = "kolena kolen koleno kolen paprsky paprsk paprsek paprsk osy os karb karburator lanka bowden simerink gufer ocelovych ocel pistni pist kryt kryt volnobezny volnobeh samolepky nalepk".split()
 SQL["t5_stems"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(w)}, {_q(s)})" for w, s in zip(_STEMS[::2], _STEMS[1::2], strict=True)) + ") v(word, stem)"
 

@@ -24,7 +24,7 @@ def walked(wishes):
     return got
 
 
-@pytest.mark.parametrize("together", [500_000, 25])
+@pytest.mark.parametrize("together", [500_000, 150])
 def test_claims_as_one_walk(spark, together):
     rng = random.Random(together)
     wishes = []
