@@ -22,7 +22,7 @@ from ..operators import summaries as S
 from ..operators.search import price_search
 from ..sources import catalogue as C
 from ..sources import crawl, feeds, pages, seed
-from ..store import kept, shared_dir
+from ..store import kept, shared_dir, spread
 from .name_cases import MODEL_CASES, OFFER_CASES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -434,7 +434,7 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     none = F.lit(None).cast("string")
     fit = F.when((k % 4 == 0) & (k % 8 != 0), F.array(F.struct(F.col("brand").alias("brand"), (size % 2 * 50).cast("int").alias("displacement")))).otherwise(F.array().cast(fit_type))
-    return C.parts(spark, sf_dir).select(
+    return spread(C.parts(spark, sf_dir)).select(
         F.concat(F.lit("p"), k.cast("string")).alias("id"),
         F.when(k % 7 == 0, "motomax").otherwise(F.concat(F.lit("S"), (k % 7).cast("string"))).alias("shop_id"),
         "name",
@@ -610,7 +610,7 @@ def s19_hot_site_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages made from parts: JSON-LD as an object, a list or a graph, some broken, some of another type."""
-    p = C.parts(spark, sf_dir)
+    p = spread(C.parts(spark, sf_dir))
     k = F.col("part_key")
     url = F.concat(F.lit("https://shop.example.com/p/"), k.cast("string"))
     offer = F.struct(F.format_string("%.2f", F.col("retail")).alias("price"), F.lit("CZK").alias("priceCurrency"), F.when(k % 2 == 0, "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock").alias("availability"))
@@ -629,7 +629,7 @@ def s4_jsonld_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def s6_microdata_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.parts(spark, sf_dir)
+    p = spread(C.parts(spark, sf_dir))
     k = F.col("part_key").cast("string")
     brand = F.lit('<span itemprop="brand" itemscope itemtype="https://schema.org/Brand"><meta itemprop="name" content="CZ"></span>')
     name = F.when(F.col("part_key") % 3 == 0, F.lit('<b itemprop="name">CZ</b>')).otherwise(F.concat(F.lit('<h2 itemprop="name"><span>'), "base", F.lit(" &amp; co</span></h2>")))
@@ -648,7 +648,7 @@ def s8_page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def s4_jsonld_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's node five to nine levels deep in arrays and graphs, behind a node of another type and before one that comes too late."""
-    p = C.parts(spark, sf_dir)
+    p = spread(C.parts(spark, sf_dir))
     k = F.col("part_key")
     node = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("base").alias("name"), F.struct(F.struct(F.concat(F.lit("i"), k.cast("string")).alias("url")).alias("url")).alias("image"), F.struct(F.col("retail").alias("price")).alias("offers")))
     levels = (k % 3 + 2).cast("int")
@@ -661,7 +661,7 @@ def s4_jsonld_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def s6_nested_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts behind as many related products as the last two digits of their key say, each a scope with tags of the same name in it."""
-    p = C.parts(spark, sf_dir)
+    p = spread(C.parts(spark, sf_dir))
     k = F.col("part_key")
     other = F.lit('<div itemscope itemprop="isRelatedTo"><div><b itemprop="name">other</b></div><meta itemscope itemprop="x"></div>')
     html = F.concat(
@@ -674,7 +674,7 @@ def s6_nested_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def s8_evidence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pages that hold JSON-LD, microdata, an og:type alone, or nothing."""
-    p = C.parts(spark, sf_dir)
+    p = spread(C.parts(spark, sf_dir))
     k = F.col("part_key")
     price = F.format_string("%.2f", F.col("retail"))
     ld = F.concat(F.lit("<script type='application/ld+json'>"), F.to_json(F.struct(F.when(k % 3 == 0, "Offer").otherwise("Product").alias("@type"), F.col("base").alias("name"), F.struct(price.alias("price")).alias("offers"))), F.lit("</script>"))

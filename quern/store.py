@@ -25,3 +25,10 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over all cores (by columns, if any), for work that grows far beyond df: a small file is one task, and small partitions are put together."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)

@@ -114,3 +114,25 @@ def test_evidence_of_each_kind(spark):
     df = spark.createDataFrame([(str(k), h) for k, h in enumerate(htmls)], "url string, html string")
     got = {r.page_url: (r.evidence, r.name) for r in pages.product_evidence(df).collect()}
     assert got == {"0": ("jsonld", "j"), "1": ("microdata", "m"), "2": ("og_type_only", None), "3": (None, None), "4": ("og_type_only", None), "5": ("og_type_only", None)}
+
+
+def test_pages_of_many_scopes_in_little_time(spark):
+    """2,000 pages with 400 tags each, from one small file: over all cores, and in one pass over the tags."""
+    import time
+
+    html = '<div itemscope itemtype="https://schema.org/Product"><meta itemprop="price" content="5">' + '<div itemscope><b itemprop="name">other</b></div>' * 100 + '<b itemprop="name">own</b></div>'
+    from pyspark.sql import functions as F
+
+    df = spark.range(2000).select(F.col("id").cast("string").alias("url"), F.concat(F.lit(html), F.col("id").cast("string")).alias("html"))
+    found = pages.microdata_products(df)
+    assert found.where("name = 'own' and price = 5").count() == 2000  # also starts the workers
+    began = time.perf_counter()
+    assert found.where("name = 'own'").count() == 2000
+    assert time.perf_counter() - began < 5
+
+
+def test_spread_over_all_cores(spark):
+    from quern.store import spread
+
+    n = 2 * spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() >= n and spread(spark.range(10), "id").rdd.getNumPartitions() >= n
