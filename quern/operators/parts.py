@@ -110,11 +110,16 @@ def claimed(wishes: DataFrame, keep: Callable[[DataFrame], DataFrame], together:
     """cluster_key, part_id and via of each plan's first wish, by place, whose part no earlier plan, by cluster_key, has got.
 
     wishes: cluster_key, part_id, via and place.  Plans that share no part, not even through others, don't touch one another: a task
-    walks through the plans of its components in order, and remembers the parts of one component at a time.  A component of more than
+    walks through the plans of its components in order, and remembers the parts of one component at a time.  Before that, wishes go that
+    can't come true: a part is gone, at the latest, with the first plan that wants it most.  So where many plans want few parts, what
+    is walked grows with the parts.  A component of more than
     ``together`` wishes is cut into stretches of its walk, by running counts; the stretches of all such components are walked in turn, each
     without the plans and the parts of those before.
     """
     wishes = keep(wishes.select("cluster_key", "part_id", "via", "place"))
+    most = wishes.groupBy("cluster_key").agg(F.min(F.struct("place", "part_id")).getField("part_id").alias("part_id"))
+    gone = most.groupBy("part_id").agg(F.min("cluster_key").alias("last"))
+    wishes = keep(wishes.join(gone, "part_id", "left").where("last is null or cluster_key <= last").drop("last"))
     plan, part = F.xxhash64(F.lit("plan"), F.col("cluster_key")), F.xxhash64(F.lit("part"), F.col("part_id"))
     # vertices of one hash put components together, which changes nothing but their size
     found = connected_components(wishes.select(plan.alias("a"), part.alias("b")), keep)
@@ -123,14 +128,14 @@ def claimed(wishes: DataFrame, keep: Callable[[DataFrame], DataFrame], together:
     large = keep(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together).select("component"))
 
     def walk(some: DataFrame) -> DataFrame:
-        order = ["component", "cluster_key", "place"]
-        sorted_rows = some.select(*order, "part_id", "via").repartition("component").sortWithinPartitions(*order)
+        order = ["component", "cluster_key", "place", "part_id"]
+        sorted_rows = some.select(*order, "via").repartition("component").sortWithinPartitions(*order)
         return keep(sorted_rows.mapInArrow(_walked, sorted_rows.schema).select("cluster_key", "part_id", "via"))
 
     done = walk(rows.join(large, "component", "left_anti"))
     if large.isEmpty():
         return done
-    counted = running_sums(rows.join(large, "component", "left_semi"), "component", ["cluster_key", "place"], F.lit(1), keep)
+    counted = running_sums(rows.join(large, "component", "left_semi"), "component", ["cluster_key", "place", "part_id"], F.lit(1), keep)
     cut = keep(counted.withColumn("stretch", F.floor((F.col("spent") - 1) / together)).drop("spent"))
     for stretch in range(cut.agg(F.max("stretch")).first()[0] + 1):
         left = cut.where(F.col("stretch") == stretch)

@@ -49,6 +49,19 @@ def test_claims_along_a_chain(spark):
     assert got == {f"k{k:06}": f"p{k + 1}" for k in range(n)} and len(tables) < 40
 
 
+def test_claims_of_few_parts_by_many_plans(spark):
+    """90,000 wishes for 40 parts: nearly all of them are hopeless, and aren't walked through stretch by stretch."""
+    rng, tables = random.Random(3), []
+
+    def keep(df):
+        tables.append(1)
+        return kept(df)
+
+    wishes = [(f"k{k:05}", f"p{p}", "part_id", n) for k in range(6000) for n, p in enumerate(rng.sample(range(40), 15))]
+    got = {r.cluster_key: r.part_id for r in P.claimed(spark.createDataFrame(wishes, WISH).repartition(5), keep, 2000).collect()}
+    assert got == walked(wishes) and len(got) == 40 and len(tables) < 20
+
+
 def test_claims_of_nothing(spark):
     assert P.claimed(spark.createDataFrame([], WISH), kept).count() == 0
 
