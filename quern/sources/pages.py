@@ -119,17 +119,18 @@ _OPEN = r"""(?i)<([a-zA-Z][a-zA-Z0-9-]*)\b[^>]*\b{attr}[^>]*>"""
 _ITEM = r"""itemtype=["'][^"']*schema\.org/Product["']"""
 
 
-def _opened(attribute: str) -> re.Pattern[str]:
-    """``_OPEN`` as Java reads it: letters of all alphabets are part of words, but only A-Z have two cases."""
-    return re.compile(rf"<([a-zA-Z][a-zA-Z0-9-]*)\b[^>]*\b(?ai:{attribute})[^>]*>")
+def _opened(attribute: str) -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """The attribute alone, which is found sooner, and ``_OPEN`` as Java reads it: letters of all alphabets are part of words, but only A-Z have two cases."""
+    return re.compile(rf"(?ai){attribute}"), re.compile(rf"<([a-zA-Z][a-zA-Z0-9-]*)\b[^>]*\b(?ai:{attribute})[^>]*>")
 
 
 _ITEM_TAG, _NAME_TAG, _BRAND_TAG = (_opened(a) for a in (_ITEM, r"""itemprop=["']name["']""", r"""itemprop=["'](?:brand|manufacturer)["']"""))
 
 
-def _scope(html: str, opened: re.Pattern[str]) -> tuple[str | None, str | None]:
+def _scope(html: str, opened: tuple[re.Pattern[str], re.Pattern[str]]) -> tuple[str | None, str | None]:
     """The first tag with an attribute, and what stands inside its element."""
-    m = opened.search(html)
+    alone, whole = opened
+    m = whole.search(html) if alone.search(html) else None
     return (m[0], _inside(html, m[1].lower(), m.end())) if m else (None, None)
 
 

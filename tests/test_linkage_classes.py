@@ -41,6 +41,40 @@ def test_same_as_pairs(spark, seed, n):
         assert {r[1] for r in rows(L.pair_counts(pairs))} == {"A", "B", "dropped"} and rows(classes.clusters()) and rows(classes.ambiguous_offers())
 
 
+@pytest.mark.parametrize(("seed", "n"), [(4, 120), (5, 0)])
+def test_listed_as_pairs(spark, seed, n):
+    """Pairs as rows of the last join, against joined pairs: each once, nothing shuffled behind the join."""
+    items = kept(_items(spark, seed, n))
+    pairs = kept(L.classified(items))
+    classes = Classes(items, kept)
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    same = ["a", "b", "shop_a", "shop_b", "name_a", "class", "basis", "shared", "same_type", "jaccard", "price_ratio", "conflicts"]
+    assert rows(classes.met().select("a", "b", "jaccard")) == rows(L.candidates(items))
+    assert rows(classes.listed().select(*same)) == rows(pairs.select(*same))
+    demoted = L.demoted(items, pairs)
+    ranked = lambda df: [(r.a, r.b) for r in df.collect()]
+    assert ranked(classes.ranked_b(50)) == ranked(L.ranked_b(demoted, 50))
+    met = classes.met()._jdf.queryExecution().optimizedPlan().toString()
+    assert not met.lstrip().startswith(("Aggregate", "Distinct", "Repartition"))
+
+
+def test_many_attributes_of_one_type(spark):
+    """3,000 profiles of one type in one bucket: 4.5 million pairs of profiles, none of which is written."""
+    written = []
+
+    def keep(df):
+        written.append(kept(df).count())
+        return kept(df)
+
+    k, none = F.col("id"), F.lit(None).cast("string")
+    items = spark.range(3000).select(
+        k.cast("string").alias("id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("shop_id"), F.lit("n").alias("name"), F.lit(100).cast("long").alias("price"), F.lit("kryt motor").alias("part_type"), none.alias("note"),
+        F.array().cast("array<string>").alias("model_ids"), F.array().cast("array<struct<brand:string,displacement:int>>").alias("fit_generic"), *((k.cast("string") if a == "size" else none).alias(a) for a in L.ATTRIBUTES),
+    )
+    assert [tuple(r) for r in Classes(items, keep).conflict_counts().collect()] == [("size", 3 * 1000 * 1000)]
+    assert max(written) <= 3000
+
+
 def test_one_type_with_half_of_all_offers(spark):
     """100,000 offers of one type in 50 shops: 5 billion pairs, none of them listed."""
     k = F.col("id")
