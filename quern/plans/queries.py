@@ -453,12 +453,12 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def c3_bucket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.candidates(_linked(spark, sf_dir)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return Classes(_linked(spark, sf_dir), kept).met().select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query
 def c7_classified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = L.classified(_linked(spark, sf_dir))
+    p = Classes(_linked(spark, sf_dir), kept).listed()
     return p.select("a", "b", "class", "basis", F.array_join("shared", ",").alias("shared"), F.round("price_ratio", 6).alias("price_ratio"), F.array_join("conflicts", ",").alias("conflicts"))
 
 
@@ -560,8 +560,7 @@ def j15_type_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def t3_ranked_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _linked(spark, sf_dir)
-    return L.ranked_b(L.demoted(items, L.classified(items)), 200).select("a", "b")
+    return Classes(_linked(spark, sf_dir), kept).ranked_b(200).select("a", "b")
 
 
 @query
