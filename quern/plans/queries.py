@@ -316,12 +316,13 @@ def k15_checked_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     table = CheckedTable(spark, f"{shared_dir(spark)}/checked-{uuid.uuid4().hex}")
     offers = C.offers(spark, sf_dir).select("offer_id", *M.KEY, "name", "price", "url", "in_stock", "last_seen_at", "match_status")
-    shops = C.shops(spark, sf_dir).where("base_url is not null")
+    shops = kept(C.shops(spark, sf_dir).where("base_url is not null").select("shop_id"))
     rules = Rules(
         required=(*M.KEY, "name", "price", "in_stock"), allowed={"match_status": ("pending", "auto", "manual")}, unique=(tuple(M.KEY), ("offer_id",)), references={"shop_id": (shops, "shop_id")}
     )
     once = M.last_wins(offers, M.KEY, [F.col("last_seen_at"), F.col("price"), F.col("offer_id")]).withColumn("in_stock", F.coalesce("in_stock", F.lit(True)))
-    mended = M.last_wins(once, ["offer_id"], [F.col("shop_id")]).where("match_status is null or match_status in ('pending', 'auto', 'manual')").join(shops.select("shop_id"), "shop_id", "left_semi")
+    # an offer's id holds its key, so that one row for each key is one for each id: the rule checks it
+    mended = once.where("match_status is null or match_status in ('pending', 'auto', 'manual')").join(shops, "shop_id", "left_semi")
     result = []
     for attempt, rows, empty in (("raw", offers, False), ("mended", mended, False), ("again", mended, True)):
         try:

@@ -121,3 +121,14 @@ def test_cascaded(spark):
     parents = spark.createDataFrame([(1,), (2,)], "id int")
     children = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z")], "parent int, v string")
     assert sorted(r.v for r in K.cascaded(children, "parent", parents, "id").collect()) == ["x", "z"]
+
+
+def test_checked_write_sorts_offers_once(spark, sf_dir, monkeypatch):
+    """Rows that are one for each key aren't shuffled whole a second time for their ids, which hold the key."""
+    from quern.operators import merging
+    from quern.plans import queries
+
+    calls, real = [], merging.last_wins
+    monkeypatch.setattr(merging, "last_wins", lambda *a: calls.append(a[1]) or real(*a))
+    got = {(r.attempt, r.rule): r.rows for r in queries.k15_checked_write(spark, sf_dir).collect()}
+    assert calls == [merging.KEY] and got["mended", "accepted"] == got["read", "rows"] > 0
