@@ -44,6 +44,18 @@ def upserted(existing: DataFrame, incoming: DataFrame, kept: tuple[str, ...] = (
     return both.select(*KEY, *cols, *(status.get(c, F.col(c)).alias(c) for c in kept))
 
 
+def upserted_in(by: str, existing: DataFrame, incoming: DataFrame, kept: tuple[str, ...] = ("match_status", "part_id")) -> DataFrame:
+    """``upserted``, with a column ``by`` that follows from the key: rows are shuffled once, by it, and stay where they are."""
+    stored = existing.select(by, *KEY, F.lit(0).alias("__new"), F.struct(*OVERWRITTEN).alias("__row"), F.struct(*kept).alias("__kept"))
+    value = {"price": round_half_up(F.col("price")), "in_stock": F.coalesce("in_stock", F.lit(True))}
+    fresh = incoming.select(by, *KEY, F.lit(1).alias("__new"), F.struct(*(value.get(c, F.col(c)).alias(c) for c in OVERWRITTEN)).alias("__row"))
+    none = F.struct(*((F.lit("pending") if c == "match_status" else F.lit(None)).cast(existing.schema[c].dataType).alias(c) for c in kept))
+    both = stored.unionByName(fresh.withColumn("__kept", none)).repartition(by)
+    # a key has one row of each side at most
+    one = both.groupBy(by, *KEY).agg(F.max_by("__row", "__new").alias("__row"), F.min_by("__kept", "__new").alias("__kept"))
+    return one.select(*KEY, "__row.*", "__kept.*", by)
+
+
 def price_history_rows(changes: DataFrame, at: Column) -> DataFrame:
     """Rows to append to the price history: of new offers and of changed prices; a change of stock alone writes nothing."""
     return changes.where("change <> 'same'").select(*KEY, round_half_up(F.col("price")).alias("price"), "in_stock", at.alias("captured_at"))

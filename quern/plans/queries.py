@@ -932,6 +932,13 @@ def a10_special_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.special_counts(_with_families(spark, parsed).join(names.select("key", "count"), "key"))
 
 
+def _landed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as they land, one for each key, in at least as many files as there are cores; they are shuffled once."""
+    o = C.offers(spark, sf_dir).select("shop_id", "item_id", "name", "price", "url", "in_stock", "last_seen_at", "offer_id")
+    o = M.last_wins(spread(o, "item_id"), M.KEY, [F.col("last_seen_at"), F.col("price"), F.col("offer_id")])
+    return o.select("shop_id", "item_id", "name", F.col("price").cast("double").alias("price"), "url", "in_stock", "last_seen_at")
+
+
 @query
 def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§2.13: order lines as landed files, merged by an available-now stream in four batches; the state afterwards."""
@@ -940,11 +947,9 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.imports import OfferImport
 
     root = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
-    o = M.last_wins(C.offers(spark, sf_dir), M.KEY, [F.col("last_seen_at"), F.col("price"), F.col("offer_id")])
-    landed = o.select("shop_id", "item_id", "name", F.col("price").cast("double").alias("price"), "url", "in_stock", "last_seen_at")
-    landed.repartition(4, "item_id").write.parquet(f"{root}/in")
+    _landed_offers(spark, sf_dir).write.parquet(f"{root}/in")
     run = OfferImport(spark, root)
-    run.run(f"{root}/in", files_per_batch=1)
+    run.run(f"{root}/in", files_per_batch=-(-len(spark.read.parquet(f"{root}/in").inputFiles()) // 4))
     return run.state()
 
 
@@ -956,9 +961,8 @@ def stream_aged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.imports import OfferImport
 
     root = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
-    o = kept(M.last_wins(C.offers(spark, sf_dir), M.KEY, [F.col("last_seen_at"), F.col("price"), F.col("offer_id")]))
-    landed = o.select("shop_id", "item_id", "name", F.col("price").cast("double").alias("price"), "url", "in_stock", "last_seen_at")
-    landed.write.parquet(f"{root}/in/first")
+    _landed_offers(spark, sf_dir).write.parquet(f"{root}/in/first")
+    landed = spark.read.parquet(f"{root}/in/first")
     run = OfferImport(spark, root, 8)
     run.run(f"{root}/in/*")
     run.age(SPLIT, landed.where(F.col("shop_id") != "S1").select("shop_id"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merging import KEY, diff, last_wins, price_history_rows, upserted
+from ..operators.merging import KEY, diff, last_wins, price_history_rows, upserted_in
 from ..store import kept
 from .state import BucketedState
 
@@ -34,7 +34,8 @@ class OfferImport:
         entries = self.table.entries(self.table.latest(version))
         existing = self.table.rows({b: e for b, e in entries.items() if b in touched})
         price_history_rows(diff(incoming, existing), F.col("last_seen_at")).write.mode("overwrite").parquet(f"{self.root}/history/batch={number}")
-        self.table.commit(version, upserted(existing, incoming) if touched else None, entries)
+        placed = [df.withColumn("bucket", self.table.bucket()) for df in (existing, incoming)]
+        self.table.commit(version, upserted_in("bucket", *placed) if touched else None, entries)
 
     def run(self, source: str, files_per_batch: int = 1000) -> None:
         """Merges all files of ``source`` (Parquet with OFFER's columns) that earlier runs have not seen."""

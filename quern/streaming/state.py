@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merging import KEY, stale_marked
+from ..store import kept
 
 STATE = "shop_id string, item_id string, name string, price long, url string, in_stock boolean, last_seen_at timestamp, match_status string, part_id string"
 MANIFEST = "bucket int, folder string, rows long, oldest timestamp, buckets int"
@@ -24,8 +25,8 @@ class BucketedState:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 32) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         last = self.latest()
-        kept = self._manifest(last).first() if last else None
-        self.buckets = kept["buckets"] if kept else buckets
+        first = self._manifest(last).first() if last else None
+        self.buckets = first["buckets"] if first else buckets
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int")
@@ -54,11 +55,15 @@ class BucketedState:
         return self.rows(self.entries(version or self.latest()))
 
     def commit(self, version: str, changed: DataFrame | None, entries: dict[int, tuple]) -> None:
-        """Writes the rows of changed buckets, all of them, and the manifest: these buckets, and ``entries`` for the others."""
+        """Writes the rows of changed buckets, all of them, and the manifest: these buckets, and ``entries`` for the others.
+
+        changed: rows, with their bucket if they are together by bucket already.
+        """
         entries = dict(entries)
         if changed is not None:
             folder = f"data/{version}"
-            changed.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}")
+            placed = changed if "bucket" in changed.columns else changed.withColumn("bucket", self.bucket()).repartition("bucket")
+            placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}")
             oldest = F.min(F.when(F.col("in_stock"), F.col("last_seen_at")))
             written = self.spark.read.schema(f"{STATE}, bucket int").parquet(f"{self.root}/{folder}")
             for r in written.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), oldest.alias("oldest")).collect():
@@ -74,11 +79,13 @@ class BucketedState:
         entries, at = self.entries(self.latest(version)), F.lit(now).cast("timestamp")
         limit = self.spark.range(1).select((at - F.expr("INTERVAL 3 DAYS")).alias("t")).first()["t"]
         old = {b: e for b, e in entries.items() if e[3] is not None and e[3] < limit}
-        seen = shops.select("shop_id").distinct().withColumn("__seen", F.lit(True))
-        marked = stale_marked(self.rows(old), at).join(seen, "shop_id", "left").withColumn("hit", F.col("stale") & F.coalesce("__seen", F.lit(False)))
-        was = self.rows(old).select(*KEY, F.col("in_stock").alias("was"))
-        done = marked.join(was, KEY).withColumn("hit", F.col("hit") & F.col("was")).withColumn("in_stock", F.when(F.col("hit"), False).otherwise(F.col("was")))
+        # a table of its own, whose size is known before it is joined
+        seen = kept(shops.select("shop_id").distinct()).withColumn("__seen", F.lit(True))
+        marked = stale_marked(self.rows(old).withColumn("was", F.col("in_stock")), at).join(seen, "shop_id", "left")
+        hit = F.col("stale") & F.coalesce("__seen", F.lit(False)) & F.col("was")
+        done = marked.withColumn("hit", hit).withColumn("in_stock", F.when(F.col("hit"), False).otherwise(F.col("was")))
         hits = {r["bucket"]: r["n"] for r in done.where("hit").groupBy(self.bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        changed = done.where(self.bucket().isin(list(hits))).select(*self.rows({}).columns) if hits else None
+        # rows come from their buckets' files, so they are together already
+        changed = done.withColumn("bucket", self.bucket()).where(F.col("bucket").isin(list(hits))).select(*self.rows({}).columns, "bucket") if hits else None
         self.commit(version, changed, entries)
         return sum(hits.values())

@@ -76,3 +76,30 @@ def test_ageing(spark, tmp_path):
     assert run.age("2020-03-01", spark.createDataFrame([], "shop_id string")) == 0
     run.write_batch(offers(spark, [("a", 0, 1, True, 20)]), 1)
     assert {r.in_stock for r in run.state().where("shop_id = 'a' and item_id = '0'").collect()} == {True}
+
+
+def exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+
+
+def test_upsert_shuffles_once(spark):
+    """What the merge writes by bucket isn't shuffled by key before; ageing has no join with the state itself."""
+    from quern.operators.merging import upserted_in
+
+    state = spark.createDataFrame([("a", str(k), f"n{k}", k, "u", True, None, "auto" if k % 2 else None, "p") for k in range(40)], STATE).withColumn("bucket", F.lit(1))
+    new = offers(spark, [("a", k, k + 0.5, None, 2) for k in range(30, 50)])
+    merged = upserted_in("bucket", state, new.withColumn("bucket", F.lit(1)))
+    assert rows(merged.drop("bucket")) == rows(upserted(state.drop("bucket"), new))
+    assert exchanges(merged) == 1
+
+
+def test_landed_offers_are_shuffled_once(spark, sf_dir):
+    from quern.plans.queries import _landed_offers
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
+    try:
+        found = _landed_offers(spark, sf_dir)
+        assert exchanges(found) == 1 and found.count() == found.select(*KEY).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
