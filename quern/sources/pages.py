@@ -19,33 +19,53 @@ _SCRIPT = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</scr
 PRODUCT = ["name", "price", "currency", "in_stock", "url", "sku", "mpn", "ean", "image_url", "description"]
 
 
-def jsonld_nodes(pages: DataFrame) -> DataFrame:
-    """url, position and node (variant): every object of the pages' JSON-LD blocks, in the order of the document.
+#: Levels of a block that one round opens.
+LEVELS = 4
 
-    Members take the place of the array that holds them, and those of an ``@graph`` array that of its object, at any depth:
-    what is still to be opened is a table that each round reads and writes anew, until it holds nothing more to open.  A
-    block that is no JSON is passed over.  A round costs what is nested so deep; most pages need one or two.
-    """
-    blocks = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(_SCRIPT), 1)).alias("block", "text"))
-    # in brackets, so that a value followed by anything is no JSON
-    one = blocks.select("url", "block", F.expr("try_parse_json('[' || trim(text) || ']')").alias("l"))
-    top = one.where("variant_get(l, '$[1]', 'variant') is null").select("url", F.array("block").alias("at"), F.expr("variant_get(l, '$[0]', 'variant')").alias("v"))
 
-    def held(df: DataFrame) -> DataFrame:
-        """Objects and arrays, as JSON, with the array of members that is to take their place, if there is one."""
-        members = F.expr("try_variant_get(v, if(text like '[%', '$', '$[\"@graph\"]'), 'array<variant>')")
-        return df.withColumn("text", F.expr("to_json(v)")).where("text like '{%' or text like '[%'").withColumn("members", members).drop("text")
+def _members(v: Column) -> Column:
+    """The array that takes the place of a value: its members, or those of its ``@graph``; null if it is a node or no object at all."""
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, '$["@graph"]', "array<variant>"))
 
-    found, level = None, kept(held(top))
+
+def _once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a column that is computed once for each row: a plain one is computed again in each filter that Spark moves below it."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
+def _placed_nodes(pages: DataFrame) -> DataFrame:
+    """url, at (places, from the block inwards, which sort as the document does) and v: every object of the pages' JSON-LD blocks."""
+
+    def opened(df: DataFrame, values: Column) -> DataFrame:
+        """Objects and arrays ``LEVELS`` further in, each with the members that are to take its place, if any are left."""
+        for _ in range(LEVELS):
+            values = F.flatten(F.transform(values, lambda x: F.coalesce(_members(x), F.array(x))))
+        rows = df.select("url", "at", F.posexplode(values).alias("i", "value")).select("url", F.concat("at", F.array("i")).alias("at"), "value")
+        marked = _once(rows, "members", _members(F.col("value"))).where(F.col("members").isNotNull() | F.try_variant_get("value", "$", "map<string,variant>").isNotNull())
+        return kept(marked.select("url", "at", F.when(F.col("members").isNull(), F.col("value")).alias("v"), "members"))
+
+    blocks = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(_SCRIPT), 1)).alias("block", "text"))
+    # in brackets, so that a value followed by anything is no JSON
+    parsed = _once(blocks, "l", F.expr("try_variant_get(try_parse_json('[' || trim(text) || ']'), '$', 'array<variant>')"))
+    level = opened(parsed.where("size(l) = 1").select("url", F.array("block").alias("at"), "l"), F.col("l"))
+    found = None
     while True:
         nodes = level.where("members is null").select("url", "at", "v")
         found = nodes if found is None else found.unionByName(nodes)
         inner = level.where("members is not null")
         if inner.isEmpty():
-            break
-        opened = inner.select("url", "at", F.posexplode("members").alias("i", "v")).select("url", F.concat("at", F.array("i")).alias("at"), "v")
-        level = kept(held(opened))
-    return found.withColumn("position", F.row_number().over(Window.partitionBy("url").orderBy("at"))).select("url", "position", F.col("v").alias("node"))
+            return found
+        level = opened(inner, F.col("members"))
+
+
+def jsonld_nodes(pages: DataFrame) -> DataFrame:
+    """url, position and node (variant): every object of the pages' JSON-LD blocks, in the order of the document.
+
+    Members take the place of the array that holds them, and those of an ``@graph`` array that of its object, at any depth:
+    what is still to be opened is a table that each round reads and writes anew, until it holds nothing more to open.  A
+    block that is no JSON is passed over.  A round opens ``LEVELS`` levels; most pages need one.
+    """
+    return _placed_nodes(pages).withColumn("position", F.row_number().over(Window.partitionBy("url").orderBy("at"))).select("url", "position", F.col("v").alias("node"))
 
 
 def _is(kind: str, v: str) -> str:
@@ -60,12 +80,13 @@ def _text(*values: str) -> Column:
     """
     out = []
     for v in values:
-        urls = f"""greatest(size(regexp_extract_all(to_json({v}), '"url"', 0)), 1)"""  # an object in it more has a url more
-        inner = f"""aggregate(sequence(1, {urls}), {v}, (acc, i) -> if({_is("{", "acc")}, try_variant_get(acc, '$.url', 'variant'), acc))"""
-        end = f"""(case when {_is("{", v)} then {inner} else {v} end)"""
-        plain = f"""case when {_is('"', end)} then cast({end} as string) end"""
-        listed = f"""get(filter(transform(filter(try_variant_get({end}, '$', 'array<variant>'), x -> {_is('"', "x")}), x -> cast(x as string)), x -> trim(x) <> ''), 0)"""
-        out.append(F.expr(f"nullif(trim(coalesce({plain}, {listed})), '')"))
+        # names of lambdas stand for values that are used more than once
+        urls = """greatest(size(regexp_extract_all(to_json(x), '"url"', 0)), 1)"""  # an object in it more has a url more
+        inner = f"""aggregate(sequence(1, {urls}), x, (acc, i) -> if({_is("{", "acc")}, try_variant_get(acc, '$.url', 'variant'), acc))"""
+        end = f"""(case when {_is("{", "x")} then {inner} else x end)"""
+        listed = f"""get(filter(transform(filter(try_variant_get(e, '$', 'array<variant>'), y -> {_is('"', "y")}), y -> cast(y as string)), y -> trim(y) <> ''), 0)"""
+        text = f"""trim(case when {_is('"', "e")} then cast(e as string) else {listed} end)"""
+        out.append(F.expr(f"get(filter(transform(transform(filter(array({v}), x -> x is not null), x -> {end}), e -> {text}), t -> t <> ''), 0)"))
     return F.coalesce(*out)
 
 
@@ -82,14 +103,15 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
     is_product = F.expr(f"""exists({kinds}, x -> {_is('"', "x")} and lower(cast(x as string)) = 'product')""")
     listed = f"""get(filter({at("node", "offers")}::array<variant>, x -> {_is("{", "x")} or {_is("[", "x")}), 0)"""
     offer = f"""case when {_is("[", at("node", "offers"))} then {listed} when {_is("{", at("node", "offers"))} then {at("node", "offers")} end"""
-    n = jsonld_nodes(pages).where(is_product).withColumn("offer", F.expr(offer)).withColumn("price", F.expr(_given(at("offer", "price"), at("node", "price"))))
+    n = _placed_nodes(pages).withColumnRenamed("v", "node").where(is_product).withColumn("offer", F.expr(offer)).withColumn("price", F.expr(_given(at("offer", "price"), at("node", "price"))))
     # numbers and texts only
     price = F.when(F.expr("""to_json(price) rlike '^["0-9-]'"""), price_text(F.expr("try_variant_get(price, '$', 'string')")))
+    n = _once(_once(n, "amount", price).where("amount is not null"), "title", _text(at("node", "name"))).where("title is not null and url is not null")
     mapped = n.select(
         F.col("url").alias("page_url"),
-        "position",
-        _text(at("node", "name")).alias("name"),
-        price.alias("price"),
+        "at",
+        F.col("title").alias("name"),
+        F.col("amount").alias("price"),
         _text(at("offer", "priceCurrency")).alias("currency"),
         availability_schema(_text(at("offer", "availability"))).alias("in_stock"),
         F.coalesce(_text(at("offer", "url"), at("node", "url")), F.col("url")).alias("url"),
@@ -98,9 +120,9 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
         _text(_given(*(at("node", k) for k in ("gtin13", "gtin", "gtin8", "gtin12", "ean")))).alias("ean"),
         _text(at("node", "image")).alias("image_url"),
         _text(at("node", "description")).alias("description"),
-    ).where("name is not null and price is not null and url is not null")
-    first = Window.partitionBy("page_url").orderBy("position")
-    return mapped.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "position")
+    )
+    first = Window.partitionBy("page_url").orderBy("at")
+    return mapped.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "at")
 
 
 def _inside(html: str, name: str, at: int) -> str:
@@ -134,13 +156,21 @@ def _scope(html: str, opened: tuple[re.Pattern[str], re.Pattern[str]]) -> tuple[
     return (m[0], _inside(html, m[1].lower(), m.end())) if m else (None, None)
 
 
-def _prop(scope: Column, name: str) -> Column:
-    """A property's content, value, href or src, or the text after its tag."""
-    pattern = rf"""(?i)<[^>]+itemprop=["']{name}["'][^>]*>"""
-    tag = F.nullif(F.regexp_extract(scope, pattern, 0), F.lit(""))
-    attribute = lambda a: F.nullif(F.trim(F.regexp_extract(tag, rf"""(?i)\b(?:{a})=["']([^"']+)["']""", 1)), F.lit(""))
-    text = F.nullif(F.trim(F.regexp_extract(scope, pattern + "([^<]*)", 1)), F.lit(""))
-    return F.coalesce(attribute("content|value"), attribute("href"), attribute("src"), text)
+def _with_properties(df: DataFrame, scope: str, names: list[str]) -> DataFrame:
+    """df with a column for each property: its content, value, href or src, or the text after its tag.
+
+    In steps of columns, since within one expression Spark would search the element anew for each use of what it finds.
+    """
+    found = df.withColumns({f"__{n}": F.regexp_extract(scope, rf"""(?i)<[^>]+itemprop=["']{n}["'][^>]*>[^<]*""", 0) for n in names})
+    ways = ("content|value", "href", "src")
+    steps = {}
+    for n in names:
+        tag = F.substring_index(f"__{n}", ">", 1)  # of tag and text: a tag holds no other ">"
+        steps |= {f"__{n}{k}": F.trim(F.regexp_extract(tag, rf"""(?i)\b(?:{a})=["']([^"']+)["']""", 1)) for k, a in enumerate(ways)}
+        steps[f"__{n}{len(ways)}"] = F.trim(F.expr(f"substr(`__{n}`, length(substring_index(`__{n}`, '>', 1)) + 2)"))
+    found = found.withColumns(steps)
+    first = {n: F.coalesce(*(F.when(F.col(f"__{n}{k}") != "", F.col(f"__{n}{k}")) for k in range(len(ways) + 1))) for n in names}
+    return found.select(*(F.col(c) for c in df.columns), *(c.alias(f"own_{n}") for n, c in first.items()))
 
 
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)\b[^>]*>")
@@ -193,27 +223,28 @@ def microdata_products(pages: DataFrame) -> DataFrame:
     # not deterministic for Spark: it would take the column for cheap, and compute it for each of its uses
     found = F.udf(_product_scope, "tag string, inner string, name_tag string, name_inner string, brand_inner string", useArrow=True).asNondeterministic()
     p = pages.where(F.col("html").rlike(_OPEN.format(attr=_ITEM))).select(F.col("url").alias("page_url"), "html", found("html").alias("found"))
-    p = p.withColumn("scope", F.concat("found.tag", "found.inner")).withColumn("price", price_text(_prop(F.col("scope"), "price"))).where("price is not null")
+    p = _with_properties(p.withColumn("scope", F.concat("found.tag", "found.inner")), "scope", ["price"])
+    p = _once(p, "price", price_text(F.col("own_price"))).where("price is not null")
+    p = _with_properties(p, "scope", ["priceCurrency", "availability", "url", "sku", "mpn", "gtin13", "gtin", "image", "description"])
     name_tag, name_inner, brand_inner = (F.col(f"found.{c}") for c in ("name_tag", "name_inner", "brand_inner"))
-    content = F.nullif(F.trim(F.regexp_extract(name_tag, r"""(?i)(?:content|value)=["']([^"']+)["']""", 1)), F.lit(""))
     void = name_tag.rlike(r"(?i)^<(?:meta|link|img|br|hr|input|source)\b")
-    own_name = F.coalesce(decode_entities(content), F.when(~void, F.nullif(html_to_text(name_inner), F.lit(""))))
     brand = F.regexp_extract(brand_inner, r"""(?is)<[^>]+itemprop=["']name["'][^>]*content=["']([^"']+)["']""", 1)
-    p = p.withColumns({"own_name": own_name, "brand": F.nullif(F.trim(decode_entities(brand)), F.lit(""))})
+    p = p.withColumns({"content": F.trim(F.regexp_extract(name_tag, r"""(?i)(?:content|value)=["']([^"']+)["']""", 1)), "text": F.when(~void, html_to_text(name_inner)), "brand": F.trim(decode_entities(brand))})
+    own_name = F.coalesce(F.when(F.col("content") != "", decode_entities(F.col("content"))), F.when(F.col("text") != "", F.col("text")))
+    p = p.withColumns({"own_name": own_name, "brand": F.when(F.col("brand") != "", F.col("brand"))})
     bad = F.col("own_name").isNull() | brand_like(F.col("own_name")) | F.coalesce(compare_key(F.col("own_name")) == compare_key(F.col("brand")), F.lit(False))
-    s = F.col("scope")
     return p.select(
         "page_url",
         F.when(~bad, F.col("own_name")).otherwise(F.coalesce(heading(F.col("html")), og_title(F.col("html")))).alias("name"),
         "price",
-        _prop(s, "priceCurrency").alias("currency"),
-        availability_schema(_prop(s, "availability"), offline_words=False).alias("in_stock"),
-        F.coalesce(_prop(s, "url"), F.col("page_url")).alias("url"),
-        _prop(s, "sku").alias("sku"),
-        _prop(s, "mpn").alias("mpn"),
-        F.coalesce(_prop(s, "gtin13"), _prop(s, "gtin")).alias("ean"),
-        _prop(s, "image").alias("image_url"),
-        _prop(s, "description").alias("description"),
+        F.col("own_priceCurrency").alias("currency"),
+        availability_schema(F.col("own_availability"), offline_words=False).alias("in_stock"),
+        F.coalesce("own_url", "page_url").alias("url"),
+        F.col("own_sku").alias("sku"),
+        F.col("own_mpn").alias("mpn"),
+        F.coalesce("own_gtin13", "own_gtin").alias("ean"),
+        F.col("own_image").alias("image_url"),
+        F.col("own_description").alias("description"),
     )
 
 

@@ -106,6 +106,24 @@ def test_product_name_behind_nested_scopes(spark, nested):
     assert [(r.name, r.price) for r in pages.microdata_products(spark.createDataFrame([("u", html)], "url string, html string")).collect()] == [("own name", 5.0)]
 
 
+def test_nine_levels_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(pages, "kept", lambda df, keep=pages.kept: rounds.append(df) or keep(df))
+    value = {"n": 1}
+    for _ in range(9):
+        value = [5, {"@graph": [value]}]
+    df = spark.createDataFrame([("u", block(value))], "url string, html string")
+    assert [json.loads(r.node) for r in pages.jsonld_nodes(df).selectExpr("to_json(node) AS node").collect()] == [{"n": 1}]
+    assert len(rounds) <= 5  # 18 levels
+
+
+def test_what_a_page_is_searched_for_is_searched_once(spark):
+    df = spark.createDataFrame([("u", "x")], "url string, html string")
+    plan = pages.microdata_products(df)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("price", "sku", "availability"):
+        assert len(re.findall(rf"""itemprop=\["'\]{name}\["'\]""", plan)) == 1, name
+
+
 def test_evidence_of_each_kind(spark):
     micro = '<div itemscope itemtype="https://schema.org/Product"><b itemprop="name">m</b><meta itemprop="price" content="5"></div>'
     og = '<meta property="og:type" content="product">'
