@@ -45,6 +45,11 @@ def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _contracted(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same vertices: each task contracts its own, in the order in which they lie, and shuffles nothing."""
+    return edges.mapInArrow(_local_stars, "a long, b long")
+
+
 def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], rounds: int = 60) -> DataFrame:
     """Vertex and the least vertex of its component, for every vertex that has an edge to another one.
 
@@ -58,7 +63,7 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
         if now.count() < TOGETHER:  # few enough for one task, whatever the corpus
             last = now.repartition(1).mapInArrow(_local_stars, "a long, b long")
             return keep(last.select(F.col("a").alias("vertex"), F.col("b").alias("component")))
-        stars = now.mapInArrow(_local_stars, "a long, b long")
+        stars = keep(contracted(now))
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

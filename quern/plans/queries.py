@@ -484,7 +484,7 @@ def c9_ambiguous_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    items = _linked(spark, sf_dir)
+    items = kept(_linked(spark, sf_dir))
     return items, Classes(items, kept).clusters()
 
 
@@ -493,22 +493,23 @@ def c10_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir)[1]
 
 
-def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items, found = _clustered(spark, sf_dir)
-    return P.part_plans(items.join(found, "id"))
+    return items, P.part_plans(items.join(found, "id"))
 
 
 @query
 def c11_part_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key, name, slug, category and models of each planned part."""
-    p = _planned(spark, sf_dir)
+    p = _planned(spark, sf_dir)[1]
     return p.select("cluster", "cluster_key", "part_type", "name", "slug", "category", F.array_join("models", ",").alias("models"), F.size("offer_ids").cast("long").alias("offers"))
 
 
 @query
 def c14_applied_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What applying the plans does to parts that are there and to new ones."""
-    items, plans = _linked(spark, sf_dir), kept(_planned(spark, sf_dir))
+    items, plans = _planned(spark, sf_dir)
+    plans = kept(plans)
     existing = spark.createDataFrame([(f"P{i}", f"old-{i}", f"part {i}", f"part-{i}", "x", "x", i % 2 == 0, "manual" if i == 5 else "auto") for i in range(10)], "id string, cluster_key string, name string, slug string, category string, part_type string, is_public boolean, source string")
     links = spark.createDataFrame([(f"P{i}", "Brand#1") for i in range(10)], "part_id string, model_id string")
     done = P.applied(plans, items.select(F.col("id").alias("offer_id"), "part_id", "match_status"), existing, links, kept)
@@ -532,8 +533,8 @@ def c14_claimed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def j7_stale_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _linked(spark, sf_dir).select(F.col("id").alias("offer_id"), "match_status", "part_id")
-    return P.stale_auto(items, _planned(spark, sf_dir)).select("offer_id")
+    items, plans = _planned(spark, sf_dir)
+    return P.stale_auto(items.select(F.col("id").alias("offer_id"), "match_status", "part_id"), plans).select("offer_id")
 
 
 @query

@@ -10,6 +10,7 @@ from quern.operators.linkage_classes import Classes
 from quern.store import kept
 
 SCHEMA = "id string, shop_id string, name string, price long, part_type string, note string, model_ids array<string>, fit_generic array<struct<brand:string,displacement:int>>, " + ", ".join(f"`{a}` string" for a in L.ATTRIBUTES)
+SCHEMA_COLUMNS = [c.split()[0].strip("`") for c in SCHEMA.replace("array<struct<brand:string,displacement:int>>", "fits").split(", ")]
 
 
 def _items(spark, seed, n):
@@ -88,3 +89,13 @@ def test_one_type_with_half_of_all_offers(spark):
     assert [tuple(r) for r in classes.pair_counts().collect()] == [("no_fit", "A", (n * n - shops * (n // shops) ** 2) // 2)]
     assert classes.edges().count() <= 2 * classes.points.count()
     assert {r.cluster for r in classes.clusters().select("cluster").distinct().collect()} == {"0"}
+
+
+def test_points_of_one_profile_are_connected_by_one_edge_each(spark):
+    items = _items(spark, 5, 1).select(*(c for c in SCHEMA_COLUMNS if c not in ("id", "shop_id", "price"))).crossJoin(spark.range(300).select("id"))
+    k = F.col("id")
+    items = items.select(k.cast("string").alias("id"), F.concat(F.lit("s"), (F.floor(k / 10) % 7).cast("string")).alias("shop_id"), (k + 1000).alias("price"), *(c for c in SCHEMA_COLUMNS if c not in ("id", "shop_id", "price")))
+    classes = Classes(items, kept)
+    edges = classes.edges()
+    assert edges.count() <= 299 + edges.rdd.getNumPartitions()
+    assert classes.clusters().select("cluster").distinct().count() == 1
