@@ -2,18 +2,17 @@
 
 Both tokenizers cut a text at some places for certain, before a single space in the main, whatever stands around.  Texts are
 segments between such places, and every distinct segment of a block of documents is tokenised and aligned once; a document
-is the sequence of its segments' numbers.  The alignment itself is relational: segments' tokens are rows (posexplode), their
-begins are windowed sums of lengths, and tokens of both sides that begin at the same byte of the same segment meet in one sort
-by (segment, begin, side), which is the equi-join of either side's ends without a second shuffle of tokens.  Running counts
-of the bytes at which both begin number the groups.  Links need no join of all tokens of a group: two tokens overlap in one
-range of bytes, no token of either side begins inside it, and so links and distinct begins are the same rows; the tokens
-that cover one are the last ones that began.
+is the sequence of its segments' numbers.  The alignment itself is relational: segments' tokens are rows (posexplode) in turn of
+the byte at which they begin, and tokens of both sides that begin at the same byte of the same segment meet as neighbours, which
+is the equi-join of either side's ends without a second shuffle of tokens.  A group begins where both begin.  Links need no join
+of all tokens of a group: two tokens overlap in one range of bytes, no token of either side begins inside it, and so links and
+distinct begins are the same rows; the tokens that cover one are the last ones that began, whose places follow from the row's.
 
 Counts of linked id pairs are summed over segments, weighted by how often a segment occurs, and joined to segments' links: the
 most frequent ``FREQUENT`` pairs at most by broadcast, rarer ones, none of which has a large share, by a shuffle.
 
 Nothing moves but sums of pairs: segments are a table in buckets by part of a block, aligned ones and documents are tables in
-buckets by block, so that windows, joins and groups are local.  A task sorts the tokens of some parts, or holds the aligned
+buckets by block, so that joins and groups are local.  A task sorts the tokens of some parts, or holds the aligned
 segments of some blocks (of ``BLOCK`` bytes of text, or a single longer document) and the documents' segments.
 
 Cases with a defined result: texts that are null, empty, no UTF-8, or that hold U+2581 (which the piece model reads as a space)
@@ -32,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -46,7 +45,7 @@ BLOCK = 16 << 20
 PARTS = 4
 #: Id pairs that are broadcast with their counts.
 FREQUENT = 500_000
-_ROW = "part long, block long, segment int, n long, size int, codes array<int>, doc long, doc_id long, segments array<int>"
+_ROW = "part long, block long, segment int, n long, n_a int, codes array<int>, begins array<int>, turns array<int>, doc long, doc_id long, segments array<int>"
 #: Segments that are encoded as one text.
 TOGETHER = 100
 #: First bytes of the characters beyond ASCII that may be white space.
@@ -205,24 +204,35 @@ def _session(spark: SparkSession) -> SparkSession:
 
 
 def _tokenised(docs: DataFrame, byte_bpe: bytes, pieces: bytes, block: int) -> DataFrame:
-    """Rows of documents (doc, doc_id, segments) and, after each block's, of its segments (segment, n, codes), a few parts of them."""
+    """Rows of documents (doc, doc_id, segments) and, after each block's, of its segments, a few parts of them.
+
+    A segment has n (occurrences), n_a (tokens of A), codes of A's tokens and then of B's, the byte at which each of them begins,
+    and turns: their places in both by the byte at which they begin, with A's before B's there.
+    """
     small_batches(docs.sparkSession)
     names = [f.split()[0] for f in _ROW.split(", ")]
 
     def lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
-    def closed(b: _Block, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def closed(b: _Block, length: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
         sizes, codes = np.concatenate([np.zeros(0, np.int64), *b.sizes]), np.concatenate([np.zeros(0, np.int32), *b.codes])
         at = np.concatenate(([0], np.cumsum(sizes)))
-        for lo in range(0, len(sizes), 50_000):
-            hi = min(lo + 50_000, len(sizes))
+        b.sizes.clear()
+        b.codes.clear()
+        for lo in range(0, len(sizes), 20_000):
+            hi = min(lo + 20_000, len(sizes))
             k = hi - lo
             none = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32()))]
-            spelled = np.add.reduceat(length[codes[at[lo] : at[hi]]], at[lo:hi] - at[lo]) // 2  # by A and by B
+            some, long = codes[at[lo] : at[hi]], length[codes[at[lo] : at[hi]]]
+            spelled = np.add.reduceat(long, at[lo:hi] - at[lo]) // 2  # by A and by B
+            bytes_before = 2 * (np.cumsum(spelled) - spelled)
+            begins = np.cumsum(long) - long - np.repeat(bytes_before, sizes[lo:hi]) - np.where(some < first, 0, np.repeat(spelled, sizes[lo:hi]))
+            turns = np.argsort((np.repeat(bytes_before, sizes[lo:hi]) + begins) * 2 + (some >= first), kind="stable") - np.repeat(at[lo:hi] - at[lo], sizes[lo:hi])
+            n_a = np.add.reduceat((some < first).astype(np.int32), at[lo:hi] - at[lo])
             segment = np.arange(lo, hi, dtype=np.int32)
-            own = [pa.array(x) for x in (np.full(k, b.number * PARTS) + segment % PARTS, np.full(k, b.number), segment, b.often[lo:hi], spelled.astype(np.int32))]
-            own.append(lists(codes[at[lo] : at[hi]], sizes[lo:hi]))
+            own = [pa.array(x) for x in (np.full(k, b.number * PARTS) + segment % PARTS, np.full(k, b.number), segment, b.often[lo:hi], n_a.astype(np.int32))]
+            own += [lists(x, sizes[lo:hi]) for x in (some, begins, turns)]
             yield pa.RecordBatch.from_arrays([*own, *none], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,18 +244,18 @@ def _tokenised(docs: DataFrame, byte_bpe: bytes, pieces: bytes, block: int) -> D
             for c in X.chunks(batch.column(1)):
                 slots, first = m.cut(c)
                 if now.generation != m.memo.generation or now.bytes and now.bytes + len(c.buf) > block:
-                    yield from closed(now, m.length)
+                    yield from closed(now, m.length, m.first)
                     blocks += 1
                     now = _Block((task << 24) + blocks, m.memo.generation)
                 now.bytes += len(c.buf)
                 numbers, k = now.add(m.memo, slots), len(c)
-                none = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int32()))]
+                none = [pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), *[pa.nulls(k, pa.list_(pa.int32()))] * 3]
                 doc = (task << 40) + docs_seen + np.arange(k)
                 docs_seen += k
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array(np.full(k, now.number))] * 2, *none, pa.array(doc), batch.column(0)[c.lo : c.hi], lists(numbers, np.diff(first))], names
                 )
-        yield from closed(now, m.length)
+        yield from closed(now, m.length, m.first)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, _ROW)
 
@@ -258,40 +268,37 @@ def align(docs: DataFrame, byte_bpe_path: str, pieces_path: str, block: int = BL
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # keys are few, and some share a bucket
     made = bucketed(_tokenised(docs, byte_bpe, pieces, block), "tokenised", buckets, "part", spark)
     documents = made.where("doc IS NOT NULL").select(F.col("part").alias("block"), "doc", "doc_id", "segments")
-    # as many rows as both vocabularies have
-    lengths = spark.createDataFrame(pa.table({"code": np.arange(len(m.length), dtype=np.int32), "length": m.length.astype(np.int32)}))
     own = ["segment", "part"]
-    listed = Window.partitionBy(*own).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("length").over(listed), F.lit(0))
+    of_a = F.col("k") < F.col("n_a")
+    neighbour = F.get("turns", F.col("pos") + F.when(of_a, 1).otherwise(-1))
+    # a token's own number and its turn say how many tokens of the other side began before it, and so which is the last of them
+    other = F.get("codes", F.col("n_a") + F.col("pos") - F.col("k") - 1)
     tokens = (
-        made.where("segment IS NOT NULL").select("part", "segment", "n", "size", F.posexplode("codes").alias("pos", "code"))
-        .join(F.broadcast(lengths), "code")
-        .select(*own, "n", "code", (F.col("code") >= m.first).alias("b"), (before - F.when(F.col("code") >= m.first, F.col("size")).otherwise(0)).alias("begin"))
-        .withColumn("place", F.col("begin") * 2 + F.col("b").cast("int"))
+        made.where("segment IS NOT NULL")
+        .select(*own, "n", "n_a", "codes", "begins", "turns", F.posexplode("turns").alias("pos", "k"))
+        .select(*own, "n", "pos", of_a.alias("a"), F.get("codes", F.col("k")).alias("code"), other.alias("other"),
+            F.get("begins", F.col("k")).eqNullSafe(F.get("begins", neighbour)).alias("meets"))
+        .sortWithinPartitions(*own, "pos")
     )
-    order = Window.partitionBy(*own).orderBy("place")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    same = F.lead("place").over(order).eqNullSafe(F.col("place") + 1)
-    met = tokens.select(
-        *own, "n", "b", F.when(F.col("b"), F.col("code") - m.first).otherwise(F.col("code")).alias("id"), (~F.col("b") & same).alias("cut"),
-        F.lag("place").over(order).eqNullSafe(F.col("place") - 1).alias("after"), "place",
-        F.last(F.when(~F.col("b"), F.col("code")), True).over(so_far).alias("a_id"), F.last(F.when(F.col("b"), F.col("code") - m.first), True).over(so_far).alias("b_id"),
-    ).withColumn("grp", F.sum(F.col("cut").cast("int")).over(so_far))
-    # the last row that begins at a byte knows both tokens that cover it from there
-    link = F.when(~F.col("cut"), F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id"))
-    starts = F.col("cut") | (F.col("b") & F.col("after"))  # the first of its side in its group
-    spelled = F.concat(F.when(F.col("place") < 2, "").when(starts, ";").otherwise(","), F.col("id").cast("string"))
-    sides = [F.array_join(F.collect_list(F.when(F.col("b") if b else ~F.col("b"), spelled)), "").alias("ab"[b]) for b in (0, 1)]
+    # the last row that begins at a byte links both tokens that cover it from there
+    a_id, b_id = F.when(F.col("a"), F.col("code")).otherwise(F.col("other")), F.when(F.col("a"), F.col("other")).otherwise(F.col("code")) - m.first
+    link = F.when(~(F.col("a") & F.col("meets")), F.shiftleft(a_id.cast("long"), 32) + b_id)
+    # the first token of its side in its group begins with a semicolon
+    start = F.when(F.col("pos") < 2, "").when(F.col("meets"), ";").otherwise(",")
+    sides = [F.when(F.col("a"), F.concat(start, a_id.cast("string"))).alias("a"), F.when(~F.col("a"), F.concat(start, b_id.cast("string"))).alias("b")]
     segments = (
-        met.withColumn("link", link)
+        # columns of their own, since what stands inside collect_list isn't compiled
+        tokens.select(*own, "n", link.alias("link"), *sides)
         .groupBy(*own)
-        .agg(
-            F.first("n").alias("n"), F.sum((~F.col("b")).cast("int")).alias("n_a"), F.sum(F.col("b").cast("int")).alias("n_b"), F.max("grp").alias("n_groups"),
-            F.count("link").alias("n_links"), F.collect_list("link").alias("links"), *sides,
+        .agg(F.first("n").alias("n"), F.collect_list("link").alias("links"), F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+        .select(
+            F.floor(F.col("part") / PARTS).cast("long").alias("block"), "segment", "n", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.size("links").alias("n_links"),
+            # each token begins a link, but two that begin together, as a group does, begin the same one
+            (F.size("a") + F.size("b") - F.size("links")).alias("n_groups"), "links", F.array_join("a", "").alias("a"), F.array_join("b", "").alias("b"),
         )
         .withColumn("groups", F.when(F.col("n_groups") == 1, F.concat("a", F.lit("|"), "b")).otherwise(
             F.array_join(F.zip_with(F.split("a", ";"), F.split("b", ";"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")))
-        .drop("a", "b").withColumn("block", F.floor(F.col("part") / PARTS).cast("long")).drop("part")
+        .drop("a", "b")
     )
     return Alignment(bucketed(segments, "aligned", buckets, "block", spark), documents)
 
@@ -318,15 +325,17 @@ def summaries(found: Alignment, counts: DataFrame, frequent: int = FREQUENT) ->
     if least:
         rare = links.join(often, "link", "left_anti").join(kept.where(F.col("count") < least), "link").groupBy(*own).agg(*sums)
         scores = scores.unionByName(rare).groupBy(*own).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    scored = found.segments.drop("links", "n").join(scores, own)
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    scored = found.segments.drop("links", "n", "n_groups").join(scores, own)
+    summed = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
+    numbers = [*summed[:2], "n_groups", *summed[2:]]
     spelled = (
         found.documents.where(F.size("segments") > 0)
         .select("doc", "block", "doc_id", F.posexplode("segments").alias("pos", "segment"))
         .sortWithinPartitions("doc", "block")
         .join(scored.hint("shuffle_hash"), own)
         .groupBy("doc", "block")
-        .agg(F.first("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in numbers), F.expr("listagg(groups, ';') WITHIN GROUP (ORDER BY pos)").alias("groups"))
+        .agg(F.first("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in summed), F.expr("listagg(groups, ';') WITHIN GROUP (ORDER BY pos)").alias("groups"))
+        .withColumn("n_groups", F.col("n_a") + F.col("n_b") - F.col("n_links"))
     )
     none = found.documents.where(F.size("segments") == 0).select("doc_id", *(F.lit(0).cast("long").alias(x) for x in numbers), F.lit("").alias("groups"))
     return spelled.select("doc_id", *numbers, "groups").unionByName(none)

@@ -246,6 +246,20 @@ def test_alignment_in_small_blocks_and_with_rare_pairs(table, aligned):
     assert sorted((tuple(r) for r in got.collect()), key=key) == sorted((tuple(r) for r in whole.collect()), key=key)
 
 
+def test_alignment_sorts_tokens_once(table, monkeypatch):
+    plans = {}
+
+    def seen(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return bucketed(df, name, *rest)
+
+    bucketed = alignment.bucketed
+    monkeypatch.setattr(alignment, "bucketed", seen)
+    alignment.align(table, BYTES, PIECES)
+    assert plans["aligned"].count("Sort [") == 1
+    assert not any(x in plans["aligned"] for x in ("Window", "Exchange", "Join"))
+
+
 def test_alignment_of_nothing(table):
     assert alignment.digest(table.limit(0), BYTES, PIECES).count() == 0
 
