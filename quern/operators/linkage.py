@@ -62,6 +62,14 @@ def price_ratio(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.greatest(a, b) / F.nullif(F.least(a, b), F.lit(0)))
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """``F.round`` of a number that isn't negative, which takes the way through a decimal's text only close to where it turns."""
+    up = F.lit(10.0**digits)
+    at = x * up
+    near = (F.abs(at - F.floor(at) - 0.5) < 0.001) | (at >= 1e12)
+    return F.when(near, F.round(x, digits)).otherwise(F.floor(at + 0.5) / up)
+
+
 def similar_types(types: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
     """x, y and jaccard of all ordered pairs of types (sorted words, joined by spaces) that are similar, equal ones included.
 

@@ -460,7 +460,7 @@ def c3_bucket_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def c7_classified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Classes(_linked(spark, sf_dir), kept).listed()
-    return p.select("a", "b", "class", "basis", F.array_join("shared", ",").alias("shared"), F.round("price_ratio", 6).alias("price_ratio"), F.array_join("conflicts", ",").alias("conflicts"))
+    return p.select("a", "b", "class", "basis", F.col("shared_text").alias("shared"), L.rounded(F.col("price_ratio")).alias("price_ratio"), F.col("conflicts_text").alias("conflicts"))
 
 
 @query

@@ -27,8 +27,8 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
+def spread(df: DataFrame, *by: str, least: int = 1) -> DataFrame:
     """df over all cores (by columns, if any), for work that grows far beyond df: a small file is one task, and small partitions are put together."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, least)
     return df.repartition(n, *by)

@@ -99,3 +99,25 @@ def test_points_of_one_profile_are_connected_by_one_edge_each(spark):
     edges = classes.edges()
     assert edges.count() <= 299 + edges.rdd.getNumPartitions()
     assert classes.clusters().select("cluster").distinct().count() == 1
+
+
+def test_pairs_of_one_class_are_dealt(spark, monkeypatch):
+    """600 offers of one type in three shops: all their pairs, in no one task."""
+    from quern.operators import linkage_classes
+
+    monkeypatch.setattr(linkage_classes, "PAIRS_A_TASK", 5000, raising=False)
+    k, none = F.col("id"), F.lit(None).cast("string")
+    items = spark.range(600).select(
+        k.cast("string").alias("id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("shop_id"), F.lit("n").alias("name"), (k % 9 + 100).alias("price"), F.lit("kryt motor").alias("part_type"), none.alias("note"),
+        F.array().cast("array<string>").alias("model_ids"), F.array().cast("array<struct<brand:string,displacement:int>>").alias("fit_generic"), *(none.alias(a) for a in L.ATTRIBUTES),
+    )
+    pairs = Classes(items, kept).listed().select("a", "b", F.spark_partition_id().alias("task"))
+    tasks = [r[1] for r in pairs.groupBy("task").count().collect()]
+    assert sum(tasks) == pairs.select("a", "b").distinct().count() == 3 * 200 * 200 and max(tasks) < sum(tasks) / 3
+
+
+def test_rounded_as_round(spark):
+    rng = random.Random(7)
+    values = [rng.choice([1, 10, 1e3, 1e7, 1e13]) * rng.random() for _ in range(5000)] + [(rng.randrange(10**8) + 0.5) / 10**6 for _ in range(5000)] + [a / b for a in range(1, 60) for b in range(1, 60)] + [None, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert df.where(~L.rounded(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
