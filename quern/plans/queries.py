@@ -30,6 +30,8 @@ QUERIES: dict[str, Query] = {}
 #: The day that splits order lines into what is stored and what comes in.
 SPLIT = "1996-07-01"
 NOW = "1998-06-01"
+#: Order lines that one task sorts, about.
+LINES_A_TASK = 1_000_000
 
 
 def query(f: Query) -> Query:
@@ -934,9 +936,17 @@ def a10_special_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as they land, one for each key, in at least as many files as there are cores; they are shuffled once."""
-    o = C.offers(spark, sf_dir).select("shop_id", "item_id", "name", "price", "url", "in_stock", "last_seen_at", "offer_id")
-    o = M.last_wins(spread(o, "item_id"), M.KEY, [F.col("last_seen_at"), F.col("price"), F.col("offer_id")])
+    """Order lines as they land, one for each key, in at least as many files as there are cores; they are shuffled once, as narrow as they are stored."""
+    li = C.lines(spark, sf_dir)
+    # one number for each item_id, which leaves nulls out
+    two = F.col("l_orderkey").isNotNull() & F.col("l_linenumber").isNotNull()
+    item = {"l_orderkey": F.coalesce("l_orderkey", F.col("l_linenumber").cast("long")), "l_linenumber": F.when(two, F.col("l_linenumber"))}
+    joined = li.join(C.read(spark, sf_dir, "part"), li.l_partkey == F.col("p_partkey")).withColumns(item | C.offer_values())
+    values = [*C.offer_values()]
+    dealt = spread(joined.select(*C.LINE, "p_name", "p_type", *values), "l_orderkey", least=li.count() // LINES_A_TASK)
+    key = ["l_suppkey", "l_orderkey", "l_linenumber"]
+    o = dealt.withColumn("part_key", F.col("l_partkey")).withColumns(C.offer_texts() | {"name": C.part_name("part_key")})
+    o = M.last_wins(o, key, [F.col("last_seen_at"), F.col("price"), F.col("offer_id")])
     return o.select("shop_id", "item_id", "name", F.col("price").cast("double").alias("price"), "url", "in_stock", "last_seen_at")
 
 
@@ -948,7 +958,7 @@ def stream_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.imports import OfferImport
 
     root = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
-    _landed_offers(spark, sf_dir).write.parquet(f"{root}/in")
+    _landed_offers(spark, sf_dir).write.option("compression", "zstd").parquet(f"{root}/in")
     run = OfferImport(spark, root)
     run.run(f"{root}/in", files_per_batch=-(-len(spark.read.parquet(f"{root}/in").inputFiles()) // 4))
     return run.state()
@@ -962,13 +972,13 @@ def stream_aged(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.imports import OfferImport
 
     root = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
-    _landed_offers(spark, sf_dir).write.parquet(f"{root}/in/first")
+    _landed_offers(spark, sf_dir).write.option("compression", "zstd").parquet(f"{root}/in/first")
     landed = spark.read.parquet(f"{root}/in/first")
     run = OfferImport(spark, root, 8)
     run.run(f"{root}/in/*")
     run.age(SPLIT, landed.where(F.col("shop_id") != "S1").select("shop_id"))
     late = landed.where(F.col("item_id").endswith("-2")).withColumn("in_stock", F.lit(True))
-    late.write.parquet(f"{root}/in/second")
+    late.write.option("compression", "zstd").parquet(f"{root}/in/second")
     run.run(f"{root}/in/*")
     run.age(NOW, landed.where(F.col("shop_id") == "S2").select("shop_id"))
     return run.state().select("shop_id", "item_id", "in_stock", "last_seen_at")

@@ -7,7 +7,7 @@ Readers take only the columns they need, so Parquet scans stay narrow.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .seed import MODELS, models  # noqa: F401
@@ -27,6 +27,8 @@ SUFFIXES = [
     ("Jawa RVM", []),
     ("(sada) ČZ", []),
 ]
+#: The columns that name an order line.
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 STATUSES = ("pending", "auto", "manual", "rejected", "ignored", None, "pending")
 
 
@@ -49,44 +51,72 @@ def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _suffix(k: int):
-    return F.element_at(F.array(*(F.lit(s[0]) for s in SUFFIXES)), (F.col("p_partkey") % k + 1).cast("int"))
+def part_name(key: str = "p_partkey") -> Column:
+    suffix = F.element_at(F.array(*(F.lit(s[0]) for s in SUFFIXES)), (F.col(key) % len(SUFFIXES) + 1).cast("int"))
+    return F.concat_ws(" ", "p_name", F.lower("p_type"), suffix)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part_key, base (part words), name (with its suffix), suffix number, brand, part_type, size."""
+    return read(spark, sf_dir, "part").select(*part_columns())
+
+
+def part_columns() -> list[Column]:
+    """A part's columns from those of its row."""
     n = len(SUFFIXES)
-    return read(spark, sf_dir, "part").select(
+    return [
         F.col("p_partkey").alias("part_key"),
         F.concat_ws(" ", "p_name", F.lower("p_type")).alias("base"),
-        F.concat_ws(" ", "p_name", F.lower("p_type"), _suffix(n)).alias("name"),
+        part_name().alias("name"),
         (F.col("p_partkey") % n).cast("int").alias("suffix"),
         F.col("p_brand").alias("brand"),
         F.col("p_type").alias("part_type"),
         F.col("p_size").alias("size"),
         F.col("p_retailprice").alias("retail"),
-    )
+    ]
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select(*LINE, "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate", "l_tax")
+
+
+def offer_texts() -> dict[str, Column]:
+    """Texts of an offer that follow from the keys of its order line and part."""
+    return {
+        "offer_id": F.concat_ws("-", *(F.col(c).cast("string") for c in LINE)),
+        "shop_id": F.concat(F.lit("S"), F.col("l_suppkey").cast("string")),
+        "item_id": F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")),
+        "url": F.concat(F.lit("https://shop"), F.col("l_suppkey").cast("string"), F.lit(".example.com/p/"), F.col("part_key").cast("string")),
+    }
+
+
+def offer_values() -> dict[str, Column]:
+    return {
+        "price": F.floor(F.col("l_extendedprice") / F.col("l_quantity") + 0.5).cast("long"),
+        "in_stock": F.when(F.col("l_linestatus") == "F", F.col("l_returnflag") != "R").when(F.col("l_returnflag") != "N", F.lit(True)),
+        "last_seen_at": F.col("l_shipdate"),
+    }
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """offer_id, shop_id, item_id (not unique), name, price (whole crowns), url, in_stock, last_seen_at and more."""
-    k = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    li = read(spark, sf_dir, "lineitem").select(*k, "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate", "l_tax")
+    li = lines(spark, sf_dir)
     joined = li.join(parts(spark, sf_dir), li.l_partkey == F.col("part_key"))
     status = F.get(F.array(*(F.lit(s) for s in STATUSES)), (F.col("l_orderkey") % len(STATUSES)).cast("int"))
+    own = {k: c.alias(k) for k, c in (offer_texts() | offer_values()).items()}
     return joined.select(
-        F.concat_ws("-", *(F.col(c).cast("string") for c in k)).alias("offer_id"),
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("shop_id"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item_id"),
+        own["offer_id"],
+        own["shop_id"],
+        own["item_id"],
         "part_key",
         "name",
         "base",
         "suffix",
         "brand",
-        F.floor(F.col("l_extendedprice") / F.col("l_quantity") + 0.5).cast("long").alias("price"),
-        F.concat(F.lit("https://shop"), F.col("l_suppkey").cast("string"), F.lit(".example.com/p/"), F.col("part_key").cast("string")).alias("url"),
-        F.when(F.col("l_linestatus") == "F", F.col("l_returnflag") != "R").when(F.col("l_returnflag") != "N", F.lit(True)).alias("in_stock"),
-        F.col("l_shipdate").alias("last_seen_at"),
+        own["price"],
+        own["url"],
+        own["in_stock"],
+        own["last_seen_at"],
         status.alias("match_status"),
         F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("P"), F.col("part_key").cast("string"))).alias("part_id"),
     )

@@ -1,8 +1,8 @@
 """A keyed table in hash buckets, changed by copying only the buckets that a change touches.
 
-A version is a manifest: for each bucket the folder that holds its rows, their number, and the oldest sighting of an offer in
-stock.  A change reads the buckets of its keys, writes them to a folder of its own, and then its manifest, whose success mark
-makes it valid; folders of other versions are never written to.  A change that failed, or that runs again, starts from the
+A version is a manifest: for each bucket the folders that hold its rows, their number, and the oldest sighting of an offer in
+stock.  A change writes to a folder of its own the buckets in which a key was there before, whole, and of the others only the new
+rows, and then its manifest, whose success mark makes it valid; folders of other versions are never written to.  A change that failed, or that runs again, starts from the
 version before it and gives the same rows.  What is written grows with the buckets touched, not with the table; the driver
 sees one row for each bucket.
 """
@@ -16,6 +16,8 @@ from ..operators.merging import KEY, stale_marked
 from ..store import kept
 
 STATE = "shop_id string, item_id string, name string, price long, url string, in_stock boolean, last_seen_at timestamp, match_status string, part_id string"
+#: Of so many folders a bucket is made one again by the next change.
+FOLDERS = 16
 MANIFEST = "bucket int, folder string, rows long, oldest timestamp, buckets int"
 
 
@@ -49,25 +51,54 @@ class BucketedState:
     def rows(self, entries: dict[int, tuple]) -> DataFrame:
         if not entries:
             return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(*(f"{self.root}/{e[1]}" for e in entries.values()))
+        return self.spark.read.schema(STATE).parquet(*(f"{self.root}/{folder}" for e in entries.values() for folder in e[1].split()))
+
+    def captured(self, version: str | None) -> DataFrame:
+        """Rows that a version wrote with what is to be noted of them (``captured``); none without a version."""
+        schema = f"{STATE}, captured struct<in_stock: boolean>"
+        if version is None:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{self.folder(version)}/*").where("captured is not null")
 
     def read(self, version: str | None = None) -> DataFrame:
         return self.rows(self.entries(version or self.latest()))
 
-    def commit(self, version: str, changed: DataFrame | None, entries: dict[int, tuple]) -> None:
-        """Writes the rows of changed buckets, all of them, and the manifest: these buckets, and ``entries`` for the others.
+    def known(self, entries: dict[int, tuple], keys: DataFrame) -> set[int]:
+        """The buckets that a change of these keys writes whole: those that hold one of them, or are in many folders already.
+
+        Keys are compared by their hash, which is narrow; two with one hash are only taken for one.
+        """
+        many = {b for b, e in entries.items() if len(e[1].split()) >= FOLDERS}
+        mark = F.xxhash64(*KEY).alias("mark")
+        there = self.rows({b: e for b, e in entries.items() if b not in many}).select(mark)
+        met = there.join(keys.select(mark), "mark", "left_semi").select(F.pmod("mark", F.lit(self.buckets)).cast("int").alias("bucket"))
+        return many | {r[0] for r in met.distinct().collect()} if len(many) < len(entries) else many
+
+    def added(self, old: tuple | None, new: tuple) -> tuple:
+        """The entry of a bucket to which rows were added."""
+        if old is None:
+            return new
+        seen = [t for t in (old[3], new[3]) if t is not None]
+        return (new[0], f"{old[1]} {new[1]}", old[2] + new[2], min(seen, default=None), self.buckets)
+
+    def write(self, version: str, changed: DataFrame) -> dict[int, tuple]:
+        """Writes rows of buckets: these buckets' entries of a manifest.
 
         changed: rows, with their bucket if they are together by bucket already.
         """
-        entries = dict(entries)
-        if changed is not None:
-            folder = f"data/{version}"
-            placed = changed if "bucket" in changed.columns else changed.withColumn("bucket", self.bucket()).repartition("bucket")
-            placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}")
-            oldest = F.min(F.when(F.col("in_stock"), F.col("last_seen_at")))
-            written = self.spark.read.schema(f"{STATE}, bucket int").parquet(f"{self.root}/{folder}")
-            for r in written.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), oldest.alias("oldest")).collect():
-                entries[r["bucket"]] = (r["bucket"], f"{folder}/bucket={r['bucket']}", r["rows"], r["oldest"], self.buckets)
+        folder = self.folder(version)
+        placed = changed if "bucket" in changed.columns else changed.withColumn("bucket", self.bucket()).repartition("bucket")
+        placed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        oldest = F.min(F.when(F.col("in_stock"), F.col("last_seen_at")))
+        written = self.spark.read.schema(f"{STATE}, bucket int").parquet(f"{self.root}/{folder}")
+        stats = written.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), oldest.alias("oldest")).collect()
+        return {r["bucket"]: (r["bucket"], f"{folder}/bucket={r['bucket']}", r["rows"], r["oldest"], self.buckets) for r in stats}
+
+    def folder(self, version: str) -> str:
+        return f"data/{version}"
+
+    def commit(self, version: str, entries: dict[int, tuple]) -> None:
+        """Writes the manifest, which makes the version valid."""
         self.spark.createDataFrame(list(entries.values()), MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{version}")
 
     def mark_stale(self, version: str, now: str, shops: DataFrame) -> int:
@@ -86,6 +117,7 @@ class BucketedState:
         done = marked.withColumn("hit", hit).withColumn("in_stock", F.when(F.col("hit"), False).otherwise(F.col("was")))
         hits = {r["bucket"]: r["n"] for r in done.where("hit").groupBy(self.bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()}
         # rows come from their buckets' files, so they are together already
-        changed = done.withColumn("bucket", self.bucket()).where(F.col("bucket").isin(list(hits))).select(*self.rows({}).columns, "bucket") if hits else None
-        self.commit(version, changed, entries)
+        if hits:
+            entries |= self.write(version, done.withColumn("bucket", self.bucket()).where(F.col("bucket").isin(list(hits))).select(*self.rows({}).columns, "bucket"))
+        self.commit(version, entries)
         return sum(hits.values())

@@ -103,3 +103,40 @@ def test_landed_offers_are_shuffled_once(spark, sf_dir):
         assert exchanges(found) == 1 and found.count() == found.select(*KEY).distinct().count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_new_keys_are_added_without_rewriting(spark, tmp_path, monkeypatch):
+    """A batch of new keys writes its own rows only; a bucket of many folders is made one again."""
+    from quern.streaming import state
+
+    run = OfferImport(spark, str(tmp_path), 2)
+    run.write_batch(offers(spark, [("a", k, k, None, 1 + k % 20) for k in range(200)]), 0)
+    run.write_batch(offers(spark, [("b", k, k, None, 3) for k in range(10)] + [("b", 3, 77, False, 4)]), 1)
+    written = lambda v: spark.read.parquet(f"{tmp_path}/state/data/{v:08d}").count()
+    entries = run.table.entries(run.table.latest()).values()
+    assert written(1) == 10 and run.state().count() == 210 == sum(e[2] for e in entries) and {e[3].day for e in entries} == {1}
+    assert rows(run.state().where("shop_id = 'b' and item_id = '3'").select("price", "in_stock")) == [(77, False)] and run.history().count() == 210
+    monkeypatch.setattr(state, "FOLDERS", 2)
+    run.write_batch(offers(spark, [("c", k, k, None, 3) for k in range(10)]), 2)
+    assert written(2) == 220 == run.state().count() and run.history().count() == 220
+    shops = spark.createDataFrame([("a",), ("b",), ("c",)], "shop_id string")
+    assert run.age("2020-03-01", shops) == 219 and run.state().where("in_stock").count() == 0
+
+
+def test_a_large_bucket_is_dealt(spark, tmp_path, monkeypatch):
+    from quern.streaming import imports
+
+    monkeypatch.setattr(imports, "ROWS_A_TASK", 100, raising=False)
+    run = OfferImport(spark, str(tmp_path), 1)
+    for number in (0, 1):
+        run.write_batch(offers(spark, [("a", k, k + number * (k % 2), None, 1 + number) for k in range(1000)] + [("a", 5, 9, True, 9)]), number)
+    files = [f for f in size(f"{tmp_path}/state/data") if "00000001" in f]
+    assert len(files) > 2 and run.state().count() == 1000 and run.history().count() == 1000 + 499
+
+
+def test_landed_offers_are_shuffled_as_narrow_as_stored(spark, sf_dir):
+    from quern.plans.queries import _landed_offers
+
+    plan = _landed_offers(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("RepartitionByExpression")[1]
+    assert "concat" not in below
