@@ -51,23 +51,25 @@ def upserted_in(by: str, existing: DataFrame, incoming: DataFrame, kept: tuple[s
     that name: of new rows and of those with another price, the stock as it came in, for the price history; else null.  dealt: by
     how many parts of one value of ``by``, and among how many tasks.
     """
-    none = F.struct(*(F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in kept))
+    # what a side doesn't have isn't shuffled with it: a new row comes with its price as it is, and nothing that is kept
+    none = F.when(F.lit(False), F.struct(*(F.lit(None).cast(existing.schema[c].dataType).alias(c) for c in kept)))
     stored = existing.select(by, *KEY, F.lit(0).alias("__new"), *OVERWRITTEN, F.lit(None).cast("double").alias("__raw"), F.struct(*kept).alias("__kept"))
-    fresh = incoming.select(by, *KEY, F.lit(1).alias("__new"), *(round_half_up(F.col(c)).alias(c) if c == "price" else F.col(c) for c in OVERWRITTEN), F.col("price").cast("double").alias("__raw"), none.alias("__kept"))
+    fresh = incoming.select(by, *KEY, F.lit(1).alias("__new"), *(F.lit(None).cast("long").alias(c) if c == "price" else F.col(c) for c in OVERWRITTEN), F.col("price").cast("double").alias("__raw"), none.alias("__kept"))
     both = stored.unionByName(fresh)
     parts, tasks = dealt
     both = both.withColumn("__part", F.pmod(F.hash(*KEY), F.lit(parts)))
     both = both.repartition(tasks, by, "__part") if parts > 1 else both.repartition(by)
-    last = F.max_by(F.struct("__new", *OVERWRITTEN), F.struct("__new", "last_seen_at", "name", "__raw", "url")).alias("__row")
+    last = F.max_by(F.struct("__new", "__raw", *OVERWRITTEN), F.struct("__new", "last_seen_at", "name", "__raw", "url")).alias("__row")
     was = F.max(F.when(F.col("__new") == 0, F.struct("price", "__kept"))).alias("__was")
     one = both.groupBy(by, "__part", *KEY).agg(last, was)
     new, there = F.col("__row.__new") == 1, F.col("__was").isNotNull()
-    stock = F.when(new, F.coalesce("__row.in_stock", F.lit(True))).otherwise(F.col("__row.in_stock"))
+    price = F.when(new, round_half_up(F.col("__row.__raw"))).otherwise(F.col("__row.price"))
+    value = {"price": price, "in_stock": F.when(new, F.coalesce("__row.in_stock", F.lit(True))).otherwise(F.col("__row.in_stock"))}
     first = {"match_status": F.when(there, F.col("__was.__kept.match_status")).otherwise(F.lit("pending"))}
-    noted = new & ~(there & F.col("__was.price").eqNullSafe(F.col("__row.price")))
+    noted = new & ~(there & F.col("__was.price").eqNullSafe(price))
     more = [F.when(noted, F.struct(F.col("__row.in_stock").alias("in_stock"))).alias("captured")] if captured else []
     return one.select(
-        *KEY, *(stock.alias(c) if c == "in_stock" else F.col(f"__row.{c}").alias(c) for c in OVERWRITTEN), *(first.get(c, F.col(f"__was.__kept.{c}")).alias(c) for c in kept), by, *more
+        *KEY, *(value.get(c, F.col(f"__row.{c}")).alias(c) for c in OVERWRITTEN), *(first.get(c, F.col(f"__was.__kept.{c}")).alias(c) for c in kept), by, *more
     )
 
 

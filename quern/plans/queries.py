@@ -941,9 +941,9 @@ def _landed_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one number for each item_id, which leaves nulls out
     two = F.col("l_orderkey").isNotNull() & F.col("l_linenumber").isNotNull()
     item = {"l_orderkey": F.coalesce("l_orderkey", F.col("l_linenumber").cast("long")), "l_linenumber": F.when(two, F.col("l_linenumber"))}
-    joined = li.join(C.read(spark, sf_dir, "part"), li.l_partkey == F.col("p_partkey")).withColumns(item | C.offer_values())
-    values = [*C.offer_values()]
-    dealt = spread(joined.select(*C.LINE, "p_name", "p_type", *values), "l_orderkey", least=li.count() // LINES_A_TASK)
+    narrow = li.withColumns(item | C.offer_values()).select(*C.LINE, *C.offer_values())
+    named = C.read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    dealt = spread(narrow.join(named, narrow.l_partkey == named.p_partkey).drop("p_partkey"), "l_orderkey", least=li.count() // LINES_A_TASK)
     key = ["l_suppkey", "l_orderkey", "l_linenumber"]
     o = dealt.withColumn("part_key", F.col("l_partkey")).withColumns(C.offer_texts() | {"name": C.part_name("part_key")})
     o = M.last_wins(o, key, [F.col("last_seen_at"), F.col("price"), F.col("offer_id")])
